@@ -1,0 +1 @@
+"""operators of the two-sided co-location engine."""

@@ -1,0 +1 @@
+"""plans of the two-sided co-location engine."""

@@ -1,0 +1 @@
+"""sources of the two-sided co-location engine."""

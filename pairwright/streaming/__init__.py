@@ -1,0 +1 @@
+"""streaming of the two-sided co-location engine."""
