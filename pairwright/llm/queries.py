@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm.common import table
 from pairwright.llm.exact_dedup import exact_dedup
+from pairwright.llm.secrets import secret_report
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +32,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": op8_exact_dedup}
+    found = (op6_secrets, op8_exact_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
