@@ -38,8 +38,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each stretch of sorted rows that agree in run, bucket and key, the first, with the sum of sizes."""
     held = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        rows = rows.combine_chunks()
+        rows = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
+        rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
         if not rows.num_rows:
             continue
         new = np.zeros(rows.num_rows, dtype=bool)
@@ -50,7 +50,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         sizes = np.add.reduceat(rows.column("size").to_numpy(), first)
         merged = rows.take(pa.array(first))
-        merged = merged.set_column(merged.schema.get_field_index("size"), "size", pa.array(sizes, pa.int64()))
+        merged = merged.drop_columns("size").append_column("size", pa.array(sizes, pa.int64()))
         yield from merged.slice(0, merged.num_rows - 1).to_batches()
         held = merged.slice(merged.num_rows - 1)
     if held is not None:

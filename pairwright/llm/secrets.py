@@ -40,8 +40,8 @@ class MarkovRatio:
     """weights[a * len(ALPHABET) + b]: thousandths of a nat that b after a speaks for a random string."""
 
     weights: tuple[int, ...]
-    per_char: float = 0.5
-    least: float = 12.0
+    per_char: float = 0.8
+    least: float = 15.0
 
     def ratio(self, value: Column) -> Column:
         table = F.from_json(F.lit(json.dumps(self.weights)), "array<int>")
