@@ -53,3 +53,8 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, tot
     hot = F.broadcast(groups.filter(F.col(size) >= least))
     light = groups.filter(F.col(size) < least)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(light, keys))
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of few rows, as single texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

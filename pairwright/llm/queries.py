@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm.common import table
 from pairwright.llm.exact_dedup import exact_dedup
+from pairwright.llm.packing import packing_report
 from pairwright.llm.secrets import secret_report
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -32,7 +37,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op6_secrets, op8_exact_dedup)
+    found = (op5_packing, op6_secrets, op8_exact_dedup)
     return {f.__name__: f for f in found}
 
 
