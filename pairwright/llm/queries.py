@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.llm.common import table
 from pairwright.llm.exact_dedup import exact_dedup
 from pairwright.llm.packing import packing_report
+from pairwright.llm.quality_rules import quality_rules
 from pairwright.llm.secrets import secret_report
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,72 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d
+), t AS (
+  SELECT doc_id, pos, word || ' ' || lead(word) OVER v || ' ' || lead(word, 2) OVER v AS tri
+  FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY pos)
+), r AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM t WHERE tri IS NOT NULL
+), rw AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM r WHERE c > 1) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
+), dl AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), s AS (
+  SELECT d.doc_id, lang, source, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rw.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN dl ON dl.doc_id = d.doc_id LEFT JOIN rw ON rw.doc_id = d.doc_id
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         1000 * word_chars // greatest(n_words, 1) AS mean_word, 10000 * n_symbols // greatest(word_chars, 1) AS symbols,
+         1000 * n_dup_lines // greatest(n_words, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats
+  FROM s
+), m AS (
+  SELECT lang, source, unnest(['mean_word', 'symbols', 'dup_lines', 'repeats']) AS measure, unnest([mean_word, symbols, dup_lines, repeats]) AS value
+  FROM b WHERE NOT base_failed
+), sk AS (
+  SELECT lang, source, measure, (value >> greatest(0, length(bin(value)) - 6)::INT) << greatest(0, length(bin(value)) - 6)::INT AS low, count(*) AS n
+  FROM m GROUP BY ALL
+), g AS (
+  SELECT 0 AS level, lang, source, measure, low, n FROM sk
+  UNION ALL SELECT 1, lang, NULL, measure, low, sum(n) FROM sk GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, measure, low, sum(n) FROM sk GROUP BY ALL
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total
+  FROM g
+), q AS (
+  SELECT level, lang, source, measure, min(low) FILTER (100 * upto >= 25 * total) AS q1, min(low) FILTER (100 * upto >= 75 * total) AS q3, max(total) AS total
+  FROM c GROUP BY ALL
+), f AS (
+  SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'mean_word' THEN 500 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 5 ELSE 50 END) AS reach FROM q
+), lim AS (
+  SELECT lang, source, measure, max(CASE WHEN level = pick THEN CASE WHEN measure = 'mean_word' THEN q1 - reach ELSE 0 END END) AS low, max(CASE WHEN level = pick THEN q3 + reach END) AS high
+  FROM (
+    SELECT o.lang, o.source, o.measure, x.level, x.q1, x.q3, x.reach,
+           CASE WHEN o.total >= 200 THEN 0 WHEN y.total >= 200 THEN 1 ELSE 2 END AS pick
+    FROM f o JOIN f y ON y.level = 1 AND y.lang = o.lang AND y.measure = o.measure
+    JOIN f x ON x.measure = o.measure AND (x.level = 2 OR x.lang = o.lang AND (x.level = 1 OR x.source = o.source))
+    WHERE o.level = 0
+  ) GROUP BY lang, source, measure
+), wide AS (
+  SELECT lang, source, max(low) FILTER (measure = 'mean_word') AS l1, max(high) FILTER (measure = 'mean_word') AS h1,
+         max(high) FILTER (measure = 'symbols') AS h2, max(high) FILTER (measure = 'dup_lines') AS h3, max(high) FILTER (measure = 'repeats') AS h4
+  FROM lim GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(mean_word BETWEEN l1 AND h1 AND symbols <= h2 AND dup_lines <= h3 AND repeats <= h4, false) AS kept
+FROM b LEFT JOIN wide ON wide.lang = b.lang AND wide.source = b.source
+"""
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h
@@ -37,9 +108,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op5_packing, op6_secrets, op8_exact_dedup)
+    found = (op2_quality_rules, op5_packing, op6_secrets, op8_exact_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _OP8}
+    return {"op2_quality_rules": _OP2, "op8_exact_dedup": _OP8}
