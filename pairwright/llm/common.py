@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions.ship import ship
+
 #: A group is hot from this share of all rows on, so at most HOT_PARTS groups are.
 HOT_PARTS = 1000
 
@@ -56,5 +58,6 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, tot
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, as single texts can be very long."""
+    """For Python tasks: the package on their path, and Arrow batches of few rows, as texts can be very long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
