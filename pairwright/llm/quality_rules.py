@@ -23,7 +23,7 @@ from pairwright.llm.common import hot_join, materialize, small_batches
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: For each measure its least interquartile range; those in TWO_SIDED fail below the lower fence too.
-MEASURES = {"mean_word": 500, "symbols": 100, "dup_lines": 5, "repeats": 50}
+MEASURES = {"mean_word": 500, "symbols": 100, "dup_lines": 10, "repeats": 120}
 TWO_SIDED = {"mean_word"}
 FENCE = 3
 

@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.llm.common import table
 from pairwright.llm.exact_dedup import exact_dedup
 from pairwright.llm.packing import packing_report
+from pairwright.llm.quality_model import quality_scores
 from pairwright.llm.quality_rules import quality_rules
 from pairwright.llm.secrets import secret_report
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -75,7 +80,7 @@ WITH d AS (
   SELECT level, lang, source, measure, min(low) FILTER (100 * upto >= 25 * total) AS q1, min(low) FILTER (100 * upto >= 75 * total) AS q3, max(total) AS total
   FROM c GROUP BY ALL
 ), f AS (
-  SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'mean_word' THEN 500 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 5 ELSE 50 END) AS reach FROM q
+  SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'mean_word' THEN 500 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 10 ELSE 120 END) AS reach FROM q
 ), lim AS (
   SELECT lang, source, measure, max(CASE WHEN level = pick THEN CASE WHEN measure = 'mean_word' THEN q1 - reach ELSE 0 END END) AS low, max(CASE WHEN level = pick THEN q3 + reach END) AS high
   FROM (
@@ -108,7 +113,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_quality_rules, op5_packing, op6_secrets, op8_exact_dedup)
+    found = (op1_quality_model, op2_quality_rules, op5_packing, op6_secrets, op8_exact_dedup)
     return {f.__name__: f for f in found}
 
 
