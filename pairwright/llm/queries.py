@@ -12,6 +12,7 @@ from pairwright.llm.packing import packing_report
 from pairwright.llm.quality_model import quality_scores
 from pairwright.llm.quality_rules import quality_rules
 from pairwright.llm.secrets import secret_report
+from pairwright.llm.toxicity import toxicity_scores
 
 
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -113,7 +118,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_model, op2_quality_rules, op5_packing, op6_secrets, op8_exact_dedup)
+    found = (op1_quality_model, op2_quality_rules, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup)
     return {f.__name__: f for f in found}
 
 
