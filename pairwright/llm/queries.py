@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.llm.common import table
 from pairwright.llm.exact_dedup import exact_dedup
 from pairwright.llm.jaccard_join import near_duplicates
+from pairwright.llm.line_dedup import line_dedup_report
 from pairwright.llm.packing import packing_report
 from pairwright.llm.quality_model import quality_scores
 from pairwright.llm.quality_rules import quality_rules
@@ -44,6 +45,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(table(spark, sf_dir, "documents"))
+
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -123,7 +128,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_model, op2_quality_rules, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op10_jaccard_join)
+    found = (op1_quality_model, op2_quality_rules, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
