@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm.common import table
 from pairwright.llm.exact_dedup import exact_dedup
+from pairwright.llm.html_extract import extract_main_text
 from pairwright.llm.jaccard_join import near_duplicates
 from pairwright.llm.line_dedup import line_dedup_report
 from pairwright.llm.packing import packing_report
@@ -49,6 +50,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -128,7 +133,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_model, op2_quality_rules, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op10_jaccard_join)
+    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
