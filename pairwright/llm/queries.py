@@ -12,6 +12,7 @@ from pairwright.llm.html_extract import extract_main_text
 from pairwright.llm.jaccard_join import near_duplicates
 from pairwright.llm.line_dedup import line_dedup_report
 from pairwright.llm.packing import packing_report
+from pairwright.llm.piece_encode import round_trips
 from pairwright.llm.quality_model import quality_scores
 from pairwright.llm.quality_rules import quality_rules
 from pairwright.llm.secrets import secret_report
@@ -42,6 +43,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -133,7 +138,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op10_jaccard_join)
+    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op9_piece_encode, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
