@@ -354,3 +354,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, block: int = 1000, most
     out = hot_join(sets.select("doc_id", "key", F.col("n").alias("n_shingles")), named, ["key"], "size", total).select("doc_id", "n_shingles", "component_id")
     rest = found.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id is the smallest of their component; rows without words or id stay."""
+    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwright.llm.common import hot_join, materialize, small_batches
 
@@ -146,7 +147,7 @@ def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
     others = hot_join(each, repeated, ["hash"], "n", total).filter("NOT (key = first_key AND at = first_at)")
     gone = others.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "first")).alias("_gone"))
     joined = keyed.withColumn("text", F.col("text").cast("string")).join(gone, "_key", "left").select(*docs.columns, "_gone")
-    schema = joined.drop("_gone").schema.add("n_removed", "integer")
+    schema = T.StructType([*joined.drop("_gone").schema, T.StructField("n_removed", T.IntegerType())])
     out = joined.mapInArrow(_remover(docs.columns, docs.columns.index("text")), schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
@@ -158,3 +159,9 @@ def line_dedup_report(docs: DataFrame) -> DataFrame:
     out = line_dedup(docs.select("doc_id", "text"))
     left = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_removed", F.length(left).alias("n_chars"), F.sha2(left, 256).alias("text_sha256"))
+
+
+def with_text_left(docs: DataFrame) -> DataFrame:
+    """docs after line_dedup, without the rows that it left no text; rows that had none before stay."""
+    out = line_dedup(docs)
+    return out.filter("n_removed = 0 OR text <> ''").select(*docs.columns)

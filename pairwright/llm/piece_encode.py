@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwright.llm.common import small_batches
 
@@ -221,7 +222,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
     path = model_path or default_model_path()
     make = _appender(lambda texts: coder(path).encode([t or "" for t in texts]))
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(make("ids", pa.binary(), "text"), docs.schema.add("ids", "binary"))
+    return docs.mapInArrow(make("ids", pa.binary(), "text"), T.StructType([*docs.schema, T.StructField("ids", T.BinaryType())]))
 
 
 def decode_documents(rows: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -230,7 +231,7 @@ def decode_documents(rows: DataFrame, model_path: str | None = None) -> DataFram
     path = model_path or default_model_path()
     make = _appender(lambda ids: [coder(path).decode(i or b"") for i in ids])
     rows = rows.drop("decoded")
-    return rows.mapInArrow(make("decoded", pa.string(), "ids"), rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(make("decoded", pa.string(), "ids"), T.StructType([*rows.schema, T.StructField("decoded", T.StringType())]))
 
 
 def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwright.llm.common import held_out, materialize, small_batches
 
@@ -167,29 +168,30 @@ def _doc_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind), pa.array(stems, kind)], names=["label", "strings", "units"])
 
 
-def _scorer(machine, most: int = 150_000):
-    """Largest margins of each text; a worker remembers a bounded number of strings."""
+def _scorer(machine, text_at: int, most: int = 150_000):
+    """Adds the largest margins of each text; a worker remembers a bounded number of strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for b in batches:
-            texts = [strings(t or "") for t in b.column(1).to_pylist()]
+            texts = [strings(t or "") for t in b.column(text_at).to_pylist()]
             new = list(set().union(*texts) - known.keys())
             if len(known) + len(new) > most:
                 known = {}
                 new = list(set().union(*texts))
             known.update(zip(new, machine.value.margins(new).tolist(), strict=True))
             top = [heapq.nlargest(TOP, map(known.__getitem__, s)) for s in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(top, pa.list_(pa.float64()))], names=["doc_id", "margins"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(top, pa.list_(pa.float64()))], names=[*b.schema.names, "_margins"])
 
     return run
 
 
-def largest_margins(docs: DataFrame, machine: KernelMachine) -> DataFrame:
-    """doc_id and margins: the TOP largest ones of the text's distinct strings, fewer if it has fewer."""
+def with_margins(docs: DataFrame, machine: KernelMachine) -> DataFrame:
+    """docs and _margins: the TOP largest ones of the text's distinct strings, fewer if it has fewer."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a table of fixed size
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scorer(shared), "doc_id long, margins array<double>")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(_scorer(shared, docs.columns.index("text")), T.StructType([*docs.schema, T.StructField("_margins", T.ArrayType(T.DoubleType()))]))
 
 
 def _variants(word: str, k: int) -> list[str]:
@@ -257,9 +259,9 @@ def _scored(counts: DataFrame, machine: KernelMachine) -> DataFrame:
 
 def _calibrated(machine: KernelMachine, sample: DataFrame) -> KernelMachine:
     """mix and shift by logistic regression of the sampled documents' labels on their largest margins."""
-    found = largest_margins(sample.select(F.col("label").alias("doc_id"), "text"), machine).collect()
-    x = np.array([[*r.margins, *[LEAST] * (TOP - len(r.margins)), 1.0] for r in found])
-    y = np.array([float(r.doc_id) for r in found])
+    found = with_margins(sample, machine).select("label", "_margins").collect()  # of a sample of bounded size
+    x = np.array([[*r._margins, *[LEAST] * (TOP - len(r._margins)), 1.0] for r in found])
+    y = np.array([float(r.label) for r in found])
     ridge = np.array([*[0.2] * TOP, 0.0])
     t = np.array([*machine.mix, machine.shift])
     for _ in range(100):
@@ -288,6 +290,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
     rows score alike; a null id is scored too.
     """
     machine = fit(docs, labels)
-    found = largest_margins(docs, machine) if machine else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("CAST(array() AS array<double>)").alias("margins"))
-    out = found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("margins"), machine).alias("score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = with_margins(rows, machine) if machine else rows.withColumn("_margins", F.lit(None))
+    out = found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("_margins"), machine).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, whole, whose texts score below the threshold; all of them where nothing can be learnt."""
+    machine = fit(docs, labels)
+    if machine is None:
+        return docs
+    return with_margins(docs, machine).filter(score(F.col("_margins"), machine) < threshold).select(*docs.columns)
