@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions.scratch import materialize
 from pairwright.functions.ship import ship
 
+__all__ = ["HOT_PARTS", "held_out", "hot_join", "materialize", "shuffle_partitions", "small_batches", "table"]
+
 #: A group is hot from this share of all rows on, so at most HOT_PARTS groups are.
 HOT_PARTS = 1000
 
-#: The characters that part words, as a Java and RE2 class.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; only where none is set, a local one (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/pairwright-checkpoints"
-    return f"{base.rstrip('/')}/pairwright-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder, which outlives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

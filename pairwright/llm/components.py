@@ -1,4 +1,4 @@
-"""Links found group by group, and connected components, without all pairs and without the driver."""
+"""Links that span components, found group by group, without all pairs and without the driver."""
 
 from __future__ import annotations
 
@@ -8,30 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.operators.graph import components
 from pairwright.llm.common import materialize, shuffle_partitions
 
 #: Yields pairs of row numbers of a group's table that are linked, enough of them to span its components.
 Linker = Callable[[pa.Table], Iterator[tuple[int, int]]]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """v and c, the smallest vertex that it reaches, of every vertex of edges (a, b: long).
-
-    Each round takes the least label among neighbours, then that label's own label, which halves paths.
-    """
-    both = edges.filter("a <> b").select("a", "b")
-    e = materialize(both.union(both.select("b", "a")).distinct())
-    labels = materialize(e.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("c")))
-    while True:
-        heard = e.join(labels.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("c").alias("m"))
-        least = materialize(labels.join(heard, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c")))
-        nearer = least.select(F.col("v").alias("c"), F.col("c").alias("n"))
-        new = materialize(least.join(nearer, "c").select("v", "old", F.col("n").alias("c")))
-        if not new.filter("c <> old").limit(1).count():
-            return new.select("v", "c")
-        labels = new.select("v", "c")
-
-
 def _stream(linker: Linker, keys: list[str]):
     """Runs the linker on each stretch of rows that agree in keys; holds one group."""
 

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import hot_join, materialize, small_batches
-from pairwright.llm.components import components, spanning_links
+from pairwright.llm.components import spanning_links
+from pairwright.operators.graph import components
 
 #: Two sets are linked when LINK[1] * intersection >= LINK[0] * union.
 LINK = (80, 100)
