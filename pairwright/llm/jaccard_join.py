@@ -33,7 +33,6 @@ from pairwright.operators.graph import components
 #: Two sets are linked when LINK[1] * intersection >= LINK[0] * union.
 LINK = (80, 100)
 WIDTH = 5
-SKETCH_BITS = 1024
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +74,9 @@ def most_apart(total: np.ndarray | int) -> np.ndarray | int:
 
 
 def odd_sketch(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((tokens >> np.uint64(11)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    """Parity bits, at least as many as tokens and a power of two of them, so that longer ones fold onto shorter."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(11)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8))
 
 
@@ -206,21 +207,60 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- linkers ----------------------------------------------------------------------------------------------
 
 
+def _fold(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of half as many bytes."""
+    half = sketch.shape[-1] // 2
+    return sketch[..., :half] ^ sketch[..., half:]
+
+
 def sketch_links(group: pa.Table) -> Iterator[tuple[int, int]]:
-    """Row pairs that span what the sketches can't tell apart; columns n and sketch."""
+    """Row pairs that span what the sketches can't tell apart; columns n and sketch.
+
+    Sizes of linked sets differ by a fourth at most, so their sketches' lengths are equal or next to each
+    other, and the longer one is folded.
+    """
     n = group.column("n").to_numpy()
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-    free = np.arange(len(n))
-    while len(free) > 1:
-        walk, free = [int(free[0])], free[1:]
-        while walk and len(free):
+    raw = group.column("sketch").to_pylist()
+    length = np.array([len(x) for x in raw])
+    free: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in np.unique(length).tolist():
+        rows = np.flatnonzero(length == size)
+        free[size] = rows, np.frombuffer(b"".join(raw[i] for i in rows.tolist()), dtype=np.uint8).reshape(len(rows), size)
+
+    def near(i: int) -> Iterator[int]:
+        """Takes what may be linked with row i out of the free rows."""
+        mine, size = np.frombuffer(raw[i], dtype=np.uint8), len(raw[i])
+        for other in (size // 2, size, 2 * size):
+            if other not in free:
+                continue
+            rows, sketches = free[other]
+            total = n[rows] + n[i]
+            may = np.flatnonzero(np.abs(n[rows] - n[i]) <= most_apart(total))
+            if not len(may):
+                continue
+            theirs = sketches[may]
+            apart = (_fold(theirs) ^ mine) if other > size else (theirs ^ (_fold(mine) if other < size else mine))
+            hit = may[np.bitwise_count(np.ascontiguousarray(apart).view(np.uint64)).sum(axis=1) <= most_apart(total[may])]
+            if len(hit):
+                yield from rows[hit].tolist()
+                kept = np.delete(rows, hit), np.delete(sketches, hit, axis=0)
+                if len(kept[0]):
+                    free[other] = kept
+                else:
+                    del free[other]
+
+    while free:
+        size = next(iter(free))
+        rows, sketches = free[size]
+        walk = [int(rows[0])]
+        free[size] = rows[1:], sketches[1:]
+        if len(rows) == 1:
+            del free[size]
+        while walk and free:
             i = walk.pop()
-            total = n[free] + n[i]
-            near = (np.abs(n[free] - n[i]) <= most_apart(total)) & (np.bitwise_count(sketch[free] ^ sketch[i]).sum(axis=1) <= most_apart(total))
-            for j in free[near].tolist():
+            for j in near(i):
                 yield i, j
                 walk.append(j)
-            free = free[~near]
 
 
 class _Node:
