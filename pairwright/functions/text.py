@@ -52,31 +52,29 @@ def fingerprint(org: Column, title: Column, city: Column, url: Column) -> Column
     return F.concat_ws("::", merge_org_key(owner), norm(title), norm(city))
 
 
-_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
-
-
 def html_to_text(html: Column) -> Column:
     """Scripts and styles go, line breaks and ends of blocks become new lines, other tags blanks."""
     text = F.coalesce(html, F.lit(""))
     steps = [
-        (r"(?is)<script.*?</script>", " "),
-        (r"(?is)<style.*?</style>", " "),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)</(p|div|li|h[1-6]|tr)>", "\n"),
-        (r"<[^>]+>", " "),
-    ]
+        (r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|li|h[1-6]|tr)>", "\n"), (r"<[^>]+>", " "),
+        ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'),
+    ]
     for pattern, by in steps:
         text = F.regexp_replace(text, pattern, by)
-    for name, by in _ENTITIES.items():
-        text = F.regexp_replace(text, f"(?i){name}", by)
-    parts = F.split(text, "&#")
-    decoded = F.transform(parts, lambda p, i: F.when((i > 0) & p.rlike(r"^\d{1,7};"), F.concat(F.chr(F.regexp_extract(p, r"^(\d{1,7});", 1).cast("int")), F.regexp_replace(p, r"^\d{1,7};", ""))).when(i > 0, F.concat(F.lit("&#"), p)).otherwise(p))
+    # decimal references, only where there are any
+    point = r"^(\d{1,7});"
+    decoded = F.transform(F.split(text, "&#"), lambda p, i: F.when(i == 0, p).when(p.rlike(point), F.concat(_character(F.regexp_extract(p, point, 1)), F.regexp_replace(p, point, ""))).otherwise(F.concat(F.lit("&#"), p)))
     text = F.when(text.contains("&#"), F.array_join(decoded, "")).otherwise(text)
-    for pattern, by in [(r"[ \t]+", " "), (r"\n\s*\n\s*\n+", "\n\n")]:
-        text = F.regexp_replace(text, pattern, by)
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _character(digits: Column) -> Column:
+    """The character of a code point below 65536; '' for others."""
+    code = digits.cast("int")
+    return F.when(code.between(1, 0xFFFF), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).otherwise("")
+
+
 #: Letters with accents and their plain forms, as far as place names need them.
 _ACCENTS = ("àáâãäåāăąçćčďèéêëēĕėęěìíîïĩīĭįñńňòóôõöøōŏőŕřśšşťţùúûüũūŭůűýÿźżžğĝģķĺļľḥṣṭẓ", "aaaaaaaaacccdeeeeeeeeeiiiiiiiinnnooooooooorrssstt" + "uuuuuuuuu" + "yyzzzggg" + "klll" + "hstz")
 
@@ -151,21 +149,21 @@ def gap_days(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(F.datediff(a, b)), F.lit(0))
 
 
-#: Hosts and names of addresses that nobody reads.
-NOISE_EMAIL = r"(noreply|no-reply|donotreply|example\.|\.png|\.jpg|\.gif|sentry|wixpress)"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
+#: Addresses and numbers, and addresses that are never a person's.
+NOISE_EMAIL = r"(noreply|no-reply|donotreply|webmaster|postmaster|privacy|legal|unsubscribe|support@|example\.|sentry\.|\.png|\.jpg)"
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+PHONE = r"(?:\+?\d{1,3}[\s.-]?)?(?:\(\d{3}\)|\d{3})[\s.-]?\d{3}[\s.-]?\d{4}\b|\+\d{3}[\s-]?\d{3,4}[\s-]?\d{4}\b"
 
 
 def emails(text: Column, noise: str | None = NOISE_EMAIL, most: int = 4) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java(EMAIL, False)), F.lit(0)))
     return F.slice(F.filter(found, lambda e: ~F.lower(e).rlike(noise)) if noise else found, 1, most)
 
 
 def phones(text: Column, most: int = 3) -> Column:
     """Distinct phone numbers that are written with a separator."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PHONE), F.lit(0)), lambda p: F.trim(p))
-    return F.slice(F.array_distinct(F.filter(found, lambda p: p.rlike(r"[\s().-]"))), 1, most)
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java(PHONE, False)), F.lit(0)), lambda p: F.trim(p))
+    return F.slice(F.array_distinct(F.filter(found, lambda p: p.rlike(r"[()\s.+-]"))), 1, most)
 
 
 def dial(phone: Column) -> Column:
