@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that employer keys leave out, for merging and, fewer, for pairs.
@@ -105,16 +105,16 @@ CITY_ALIASES = {
 _ARTICLE = r"^(al|ar|as|ad|at|az|an|el)\s+"
 
 
-def key_variants(text: Column) -> Column:
-    """Every key that a place goes by, best first: with and without " city" and the Arabic article, then its alias."""
-    base = place_key(text)
-    alias = F.element_at(F.create_map(*(F.lit(x) for kv in CITY_ALIASES.items() for x in kv)), base)
+def with_key_variants(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """Adds every key that a place goes by, best first: with and without " city" and the Arabic article, then its alias."""
+    aliases = F.create_map(*(F.lit(x) for kv in CITY_ALIASES.items() for x in kv))
+    df = df.withColumn("_base", place_key(text)).withColumn("_alias", F.element_at(aliases, F.col("_base")))
 
-    def spread(k: Column) -> list[Column]:
-        bare = F.regexp_replace(k, _ARTICLE, "")
-        return [k, F.regexp_replace(k, r"\s+city$", ""), bare, F.regexp_replace(bare, r"\s+city$", "")]
+    def spread(c: str) -> list[Column]:
+        return [F.col(c), F.regexp_replace(c, r"\s+city$", ""), F.regexp_replace(c, _ARTICLE, ""), F.regexp_replace(F.regexp_replace(c, _ARTICLE, ""), r"\s+city$", "")]
 
-    return F.filter(F.array_distinct(F.array_compact(F.array(*spread(base), *spread(alias)))), lambda k: k != "")
+    keys = F.array_distinct(F.array_compact(F.array(*spread("_base"), *spread("_alias"))))
+    return df.withColumn(name, F.filter(keys, lambda k: k != "")).drop("_base", "_alias")
 
 
 def clean_place(text: Column) -> Column:
@@ -142,7 +142,7 @@ def to_date(text: Column) -> Column:
 
 def age_days(posted: Column, today: Column) -> Column:
     """Days since posting, 0 at least; null without a date."""
-    return F.greatest(F.lit(0), F.datediff(today, posted))
+    return F.when(posted.isNotNull(), F.greatest(F.lit(0), F.datediff(today, posted)))
 
 
 def gap_days(a: Column, b: Column) -> Column:

@@ -1,11 +1,222 @@
-"""Queries over the engine's own operators, with their SQL counterparts."""
+"""Queries over the engine's operators, with their SQL counterparts in core_sql."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pairwright.functions import text as T
+from pairwright.functions.geo import half_up
+from pairwright.operators import areas, classify, geocode, pairs, roles, score
+from pairwright.plans import core_sql
+from pairwright.plans.fixtures import TODAY, postings, sites, table
+from pairwright.plans.gazetteer import places
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _FOUND[f.__name__] = f
+    return f
+
+
+def _today():
+    return F.lit(TODAY).cast("date")
+
+
+# ---- pairs and areas --------------------------------------------------------------------------------------
+
+
+@query
+def pairs_onsite(spark, sf_dir):
+    return pairs.onsite_pairs(sites(spark, sf_dir)).drop("confidence_note")
+
+
+@query
+def pairs_remote(spark, sf_dir):
+    return pairs.remote_pairs(sites(spark, sf_dir)).select("id", "a_id", "b_id", "score")
+
+
+@query
+def pairs_all_counts(spark, sf_dir):
+    found = pairs.build_pairs(sites(spark, sf_dir))
+    return found.groupBy("remote_partner", "confidence").agg(F.count("*").alias("n"), F.sum("score").alias("total_score"), F.count_if("same_org").alias("n_same_org"))
+
+
+@query
+def pairs_country_scale(spark, sf_dir):
+    found = pairs.onsite_pairs(sites(spark, sf_dir))
+    return found.filter("confidence = 'country-scale'").select("id", "miles", "score")
+
+
+@query
+def pairs_best(spark, sf_dir):
+    return pairs.best_pairs(pairs.onsite_pairs(sites(spark, sf_dir), 60.0), 3).select("a_id", "b_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def area_assign(spark, sf_dir):
+    return areas.assign_areas(sites(spark, sf_dir)).select("id", "area_id", F.round("area_lat", 6).alias("area_lat"), F.round("area_lon", 6).alias("area_lon"))
+
+
+@query
+def area_bands(spark, sf_dir):
+    found = areas.bands(areas.build_areas(sites(spark, sf_dir)))
+    return found.select("area_id", "key", "label", "band", "score", "a_count", "b_count", "span_miles", "missing_side")
+
+
+def fixed_areas(roles_: DataFrame) -> DataFrame:
+    """Areas of a given assignment, which SQL can follow: squares of half a degree, named after their best role."""
+    spot = F.concat_ws("_", F.floor(F.col("lat") * 2).cast("string"), F.floor(F.col("lon") * 2).cast("string"))
+    rows = roles_.withColumn("area_id", spot)
+    order = F.row_number().over(areas_window())
+    return rows.select("id", "area_id", order.cast("long").alias("rank"), F.avg("lat").over(areas_part()).alias("area_lat"), F.avg("lon").over(areas_part()).alias("area_lon"))
+
+
+def areas_part():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("area_id")
+
+
+def areas_window():
+    return areas_part().orderBy(F.desc("score"), "ordinal")
+
+
+@query
+def area_summary(spark, sf_dir):
+    rows = sites(spark, sf_dir)
+    found = areas.summarize_areas(rows, fixed_areas(rows))
+    return found.select("area_id", "label", "key", "is_together", "a_count", "b_count", "best_a", "best_b", "span_miles", "same_org", "approximate", "score", "missing_side", "remote_unlocked", F.array_join("a_ids", ",").alias("a_ids"))
+
+
+# ---- text -------------------------------------------------------------------------------------------------
+
+
+@query
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+def _contacts(spark, sf_dir, noise):
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", T.emails(F.col("text"), noise).alias("e"), T.phones(F.col("text")).alias("p"))
+    return found.select("doc_id", F.array_join("e", "|").alias("emails"), F.array_join("p", "|").alias("phones"), F.array_join(F.transform("p", lambda x: T.dial(x)), "|").alias("dial")).filter("emails <> '' OR phones <> ''")
+
+
+@query
+def contacts(spark, sf_dir):
+    return _contacts(spark, sf_dir, None)
+
+
+@query
+def contacts_without_noise(spark, sf_dir):
+    return _contacts(spark, sf_dir, T.NOISE_EMAIL)
+
+
+@query
+def norm_keys(spark, sf_dir):
+    p = postings(spark, sf_dir).select("org", "title").distinct()
+    return p.select("org", "title", T.norm(F.col("title")).alias("title_key"), T.merge_org_key(F.col("org")).alias("merge_key"), T.pair_org_key(F.col("org")).alias("pair_key"))
+
+
+@query
+def fingerprints(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    found = p.select("posting_ordinal", T.fingerprint(F.col("org"), F.col("title"), F.col("location"), F.col("url")).alias("fp"))
+    return found.groupBy("fp").agg(F.count("*").alias("copies"), F.min("posting_ordinal").alias("first_ordinal"))
+
+
+# ---- classification and scores ----------------------------------------------------------------------------
+
+
+@query
+def classify_postings(spark, sf_dir):
+    found = classify.classify(postings(spark, sf_dir))
+    return found.select("posting_ordinal", "specialty", "is_attending", "is_interventional", "is_locum", "is_leadership", "setting", "work_model", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query
+def setting_counts(spark, sf_dir):
+    return classify.classify(postings(spark, sf_dir)).groupBy("setting", "work_model").agg(F.count("*").alias("n"))
+
+
+@query
+def relevant_counts(spark, sf_dir):
+    found = classify.classify(postings(spark, sf_dir)).filter(classify.is_relevant())
+    return found.groupBy("specialty", "source_name").agg(F.count("*").alias("n"), F.count_if("is_interventional").alias("n_ir"))
+
+
+def _plainly_scored(spark, sf_dir):
+    found = classify.classify(postings(spark, sf_dir)).filter(classify.is_relevant())
+    found = found.withColumns({"country": F.when(F.col("location").contains("Qatar"), "QA").when(F.col("location") == "", None).otherwise("US"), "precision": F.when(F.col("location").contains(","), "city").otherwise("region"), "date_posted": T.to_date(F.col("date_posted"))})
+    return score.score_roles(found, _today())
+
+
+@query
+def score_parts(spark, sf_dir):
+    found = _plainly_scored(spark, sf_dir)
+    return found.select("posting_ordinal", "score", "tier", F.coalesce(F.col("age_days").cast("long"), F.lit(-1)).alias("age_days"), *(F.col(f"subscores.{p}").alias(p) for p in score.PARTS))
+
+
+@query
+def score_reasons(spark, sf_dir):
+    found = _plainly_scored(spark, sf_dir)
+    pairs_ = found.select("specialty", F.explode(F.concat(F.transform("score_reasons", lambda r: F.struct(F.lit("reason").alias("kind"), r.alias("why"))), F.transform("concerns", lambda r: F.struct(F.lit("concern").alias("kind"), r.alias("why"))))).alias("x"))
+    return pairs_.groupBy("specialty", "x.kind", "x.why").agg(F.count("*").alias("n"))
+
+
+@query
+def score_shares(spark, sf_dir):
+    found = _plainly_scored(spark, sf_dir).withColumn("s", score.shares(F.col("subscores")))
+    return found.groupBy("tier").agg(*(F.sum(half_up(F.col(f"s.{p}"))).alias(p) for p in score.PARTS), F.count("*").alias("n"))
+
+
+# ---- geocoding and roles ----------------------------------------------------------------------------------
+
+
+@query
+def geocoded(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    found = geocode.geocode(p.select(F.col("location").alias("raw")), places(spark))
+    return p.withColumn("raw", F.trim("location")).join(found, "raw").groupBy("raw", "city", "region", "country", "precision").agg(F.count("*").alias("n"))
+
+
+@query
+def location_text(spark, sf_dir):
+    found = geocode.with_location(postings(spark, sf_dir), places(spark))
+    return found.groupBy("location_text").agg(F.count("*").alias("n"))
+
+
+@query
+def employers(spark, sf_dir):
+    found = roles.with_employer(postings(spark, sf_dir))
+    return found.select("posting_ordinal", "employer", "clean_title")
+
+
+def board_roles(spark, sf_dir) -> DataFrame:
+    return roles.build_roles(postings(spark, sf_dir), places(spark), _today())
+
+
+@query
+def merged_roles(spark, sf_dir):
+    found = board_roles(spark, sf_dir)
+    return found.select("id", "title", "org", "specialty", "score", "tier", "setting", "work_model", "city", "precision", "copies", "source_name", F.array_join("also_seen_on", "|").alias("also_seen_on"))
+
+
+@query
+def funnel_counts(spark, sf_dir):
+    return roles.funnel(postings(spark, sf_dir), places(spark), _today())
+
+
+def queries() -> dict[str, Query]:
+    from pairwright.plans import board_queries  # noqa: F401  registers its own
+
+    return dict(_FOUND)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in core_sql.oracles().items() if k in queries()}
