@@ -31,7 +31,6 @@ _RUN = "[A-Za-z0-9+/_=-]"
 CANDIDATE = rf"(?<!{_RUN}){_RUN}{{20,}}"
 IDENTIFIER = rf"(?<!{_RUN})[A-Za-z_-]{{12,}}(?!{_RUN})"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
-_NONE = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
 _BLOCK = 256
 
 
@@ -73,7 +72,7 @@ def with_matches(df: DataFrame, name: str, pattern: str, value_group: int = 0) -
     df = df.withColumn("_e", F.when(F.size("_m") > 0, F.zip_with(F.slice("_p", 1, F.size("_m")), "_m", lambda p, m: F.length(p) + F.length(m))))
     df = df.withColumn("_e", F.when(F.col("_e").isNotNull(), running_sums(F.col("_e"))))
     found = F.transform(F.arrays_zip("_m", "_e", "_v"), lambda x: F.struct((x["_e"] - F.length(x["_m"])).alias("start"), x["_e"].alias("end"), x["_v"].alias("value")))
-    return df.withColumn(name, F.coalesce(found, _NONE)).drop("_m", "_p", "_v", "_e")
+    return df.withColumn(name, F.coalesce(found, F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>"))).drop("_m", "_p", "_v", "_e")
 
 
 def _spans(matches: Column, kind: str) -> Column:
