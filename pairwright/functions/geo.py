@@ -22,7 +22,7 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     """Great-circle miles; null if a coordinate is."""
     s1, s2 = F.sin((F.radians(lat2) - F.radians(lat1)) / 2), F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     h = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
-    return F.lit(2 * EARTH_MILES) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), F.lit(2 * EARTH_MILES) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def drive_minutes(miles: Column) -> Column:
