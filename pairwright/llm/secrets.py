@@ -157,7 +157,12 @@ def transition_counts(samples: DataFrame) -> dict[str, np.ndarray]:
 
 def fit(samples: DataFrame, smoothing: float = 0.5) -> MarkovRatio:
     """Random strings: the even mixture of generated and caught samples; against ordinary identifiers."""
-    chain = lambda c: (c + smoothing) / (c + smoothing).sum(axis=1, keepdims=True)
+
+    def chain(c: np.ndarray) -> np.ndarray:
+        """Transition probabilities; rare contexts fall back on how frequent a character is at all."""
+        single = (c.sum(axis=0) + smoothing) / (c.sum() + smoothing * len(c))
+        return (c + smoothing * len(c) * single) / (c.sum(axis=1, keepdims=True) + smoothing * len(c))
+
     counts = transition_counts(samples)
     random = [chain(counts[x]) for x in ("generated", "caught") if counts[x].sum()]
     # letters count alike in either case among identifiers, as in titles and constants
