@@ -252,3 +252,24 @@ def stream_first_seen(spark, sf_dir):
     return jobs.run_to_table(found, "seen", scratch(spark), "complete")
 
 
+
+
+@query
+def gazetteer_places(spark, sf_dir):
+    """Parts as lines of a gazetteer."""
+    from pairwright.sources import geonames as G
+
+    k = F.col("p_partkey")
+    country = F.element_at(F.array(*map(F.lit, ("US", "QA", "FR", "AE"))), (k % 4 + 1).cast("int"))
+    cities = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.when(k % 5 != 0, F.concat(F.lit("Town "), k.cast("string"))).alias("ascii"), F.concat_ws(",", F.lit("Alt é"), F.concat(F.lit("Alt "), k.cast("string")), F.lit("")).alias("alternates"), (k % 90 / 3.0).alias("lat"), (k % 170 / 7.0).alias("lon"), country.alias("country"), (k % 10).cast("string").alias("admin1"), (k * 37 % 5000).alias("population"))
+    admin1 = table(spark, sf_dir, "nation").select(F.concat(F.lit("QA."), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("label"))
+    found = G.build_places(cities, admin1)
+    return found.select("n", "r", "c", "lat", "lon", "p", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query
+def country_centroids(spark, sf_dir):
+    from pairwright.operators.geocode import centroids
+
+    rows = sites(spark, sf_dir).select(F.col("ordinal").cast("int").alias("place_ordinal"), F.col("city").alias("n"), F.col("region").alias("r"), F.col("country").alias("c"), "lat", "lon", (F.col("population") % 3).alias("p"))
+    return centroids(rows).select("key", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))

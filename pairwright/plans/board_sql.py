@@ -62,6 +62,11 @@ CASE page_id % 8 WHEN 0 THEN 'https://acme.wd5.myworkdayjobs.com/wday/cxs/acme/C
 SELECT 'G' || b AS source_name, count(*) AS n, min('Radiologist ' || k) AS first_title, max('https://g.example/' || k) AS last_url, 'Doha' AS place, 'Great & calm' AS description FROM o GROUP BY b
 UNION ALL SELECT 'R' || b, count(*), min('Radiologist ' || k), max('https://g.example/' || k), '', '' FROM o GROUP BY b
 UNION ALL SELECT 'J' || b, count(*), min('Surgeon ' || k), max('https://j.example/j/' || (k % 700)), 'Akron, OH', '' FROM (SELECT b, min(k) AS k FROM o GROUP BY b, k % 700) GROUP BY b""",
+        "gazetteer_places": """WITH c AS (SELECT *, (['US', 'QA', 'FR', 'AE'])[p_partkey % 4 + 1] AS c, p_partkey * 37 % 5000 AS p, CASE WHEN p_partkey % 5 <> 0 THEN 'Town ' || p_partkey ELSE p_name END AS n FROM part)
+SELECT n, CASE WHEN c = 'US' THEN (p_partkey % 10)::VARCHAR WHEN c = 'QA' THEN n_name ELSE '' END AS r, c, floor((p_partkey % 90 / 3.0::DOUBLE) * 1e4 + 0.5) / 1e4 AS lat, floor((p_partkey % 170 / 7.0::DOUBLE) * 1e4 + 0.5) / 1e4 AS lon, p, CASE WHEN c = 'US' THEN '' ELSE 'Alt ' || p_partkey END AS aliases
+FROM c LEFT JOIN nation ON n_nationkey = p_partkey % 10 WHERE c <> 'FR' AND (c <> 'US' OR p >= 1000)""",
+        "country_centroids": f"""WITH {SITES_SQL}, k AS (SELECT country AS key, lat, lon, population % 3 AS p FROM sites UNION ALL SELECT country || ':' || region, lat, lon, population % 3 FROM sites)
+SELECT key, round(floor(sum(lat * p) / sum(p) * 1e4 + 0.5) / 1e4, 3) AS lat, round(floor(sum(lon * p) / sum(p) * 1e4 + 0.5) / 1e4, 3) AS lon FROM k WHERE p > 0 GROUP BY key""",
         "stream_dedup": "SELECT DISTINCT user_id, 1::BIGINT AS n FROM events",
         "stream_first_seen": "SELECT user_id, min(ts) AS first_seen, count(*) AS n FROM events GROUP BY 1",
     }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from pairwright.functions.ship import ship
-from pairwright.functions.text import html_to_text
+from pairwright.functions.text import html_to_text, java
 
 SCHEMA = "source_name string, source_url string, kind string, request_seq int, ok boolean, status int, error string, body string"
 FIELDS = ("title", "org", "location", "description", "url", "date_posted", "department")
@@ -146,9 +146,9 @@ def first_per(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def workday(payloads: DataFrame) -> DataFrame:
-    j = _array(payloads.withColumn("body", F.col("body")), "jobPostings array<struct<title:string,externalPath:string,locationsText:string,postedOn:string>>", "jobPostings").join(payloads.select("source_name", "request_seq", "source_url"), ["source_name", "request_seq"])
+    j = _array(payloads, "jobPostings array<struct<title:string,externalPath:string,locationsText:string,bulletFields:array<string>,postedOn:string>>", "jobPostings").join(payloads.select("source_name", "request_seq", "source_url"), ["source_name", "request_seq"])
     site = F.regexp_replace("source_url", r"/wday/cxs/[^/]+/([^/]+)/jobs.*$", "/$1")
-    rows = j.select("*", "j.title", F.col("source_name").alias("org"), F.col("j.locationsText").alias("location"), F.lit("").alias("description"), F.concat(site, F.col("j.externalPath")).alias("url"), F.col("j.postedOn").alias("date_posted"), F.lit("").alias("department"))
+    rows = j.select("*", "j.title", F.col("source_name").alias("org"), F.coalesce("j.locationsText", F.get("j.bulletFields", F.lit(0))).alias("location"), F.lit("").alias("description"), F.when(F.col("j.externalPath").startswith("http"), F.col("j.externalPath")).otherwise(F.concat(site, F.coalesce("j.externalPath", F.lit("")))).alias("url"), F.col("j.postedOn").alias("date_posted"), F.lit("").alias("department"))
     return contract(first_per(rows, F.col("url")))
 
 
@@ -173,8 +173,59 @@ def rss(payloads: DataFrame) -> DataFrame:
     return contract(feed).unionByName(contract(listed))
 
 
+def jobvite(payloads: DataFrame) -> DataFrame:
+    element = "array<struct<title:string,location:string,city:string,state:string,jobDescription:string,applyUrl:string,detailUrl:string,postedDate:string,department:string,category:string>>"
+    both = F.from_json("body", f"requisitions {element}, jobs {element}")
+    j = payloads.filter("ok").select("source_name", "request_seq", F.posexplode(F.coalesce(both["requisitions"], both["jobs"])).alias("posting_ordinal", "j"))
+    place = F.coalesce("j.location", F.concat_ws(", ", *(F.nullif(f"j.{c}", F.lit("")) for c in ("city", "state"))))
+    return contract(j.select("*", "j.title", F.col("source_name").alias("org"), place.alias("location"), html_to_text(F.col("j.jobDescription")).alias("description"), F.coalesce("j.applyUrl", "j.detailUrl").alias("url"), F.col("j.postedDate").alias("date_posted"), F.coalesce("j.department", "j.category").alias("department")))
+
+
+def successfactors(payloads: DataFrame) -> DataFrame:
+    """Result pages in HTML: every hit begins with its title's link, followed by labelled fields."""
+    hits = payloads.filter("ok").select("source_name", "source_url", "request_seq", F.posexplode(F.split("body", r'(?i)<a[^>]*class="[^"]*jobTitle-link')).alias("posting_ordinal", "chunk")).filter("posting_ordinal > 0")
+    hits = hits.withColumns({"text": html_to_text(F.substring("chunk", 1, 4000)), "title": html_to_text(F.regexp_extract("chunk", r"(?s)>(.{1,200}?)</a>", 1)), "href": F.regexp_extract("chunk", 'href="([^"]+)"', 1)})
+    field = lambda label: F.nullif(F.trim(F.regexp_extract("text", java(rf"\b{label}\s*\n+\s*([^\n]{{2,60}})"), 1)), F.lit(""))
+    place = F.coalesce(F.nullif(F.concat_ws(", ", field("City"), field("Country")), F.lit("")), field("Location"))
+    rows = hits.filter("href <> '' AND title <> ''").select("source_name", "request_seq", "posting_ordinal", "title", F.coalesce(field("Facility"), "source_name").alias("org"), place.alias("location"), F.substring("text", 1, 800).alias("description"), _absolute(F.col("href"), F.col("source_url")).alias("url"), F.lit(None).cast("string").alias("date_posted"), F.lit("").alias("department"))
+    return contract(first_per(rows, F.col("url")))
+
+
+def jooble(payloads: DataFrame) -> DataFrame:
+    j = _array(payloads, "jobs array<struct<title:string,company:string,location:string,snippet:string,link:string,updated:string>>", "jobs")
+    rows = j.select("*", "j.title", F.col("j.company").alias("org"), "j.location", html_to_text(F.col("j.snippet")).alias("description"), F.col("j.link").alias("url"), F.col("j.updated").alias("date_posted"), F.lit("").alias("department"))
+    return contract(first_per(rows.filter("url <> ''"), F.col("url")))
+
+
+def usajobs(payloads: DataFrame) -> DataFrame:
+    """The employer is the agency, not the site."""
+    item = "struct<PositionURI:string,PositionTitle:string,OrganizationName:string,DepartmentName:string,PositionLocation:array<struct<LocationName:string>>,PositionLocationDisplay:string,UserArea:struct<Details:struct<JobSummary:string>>,QualificationSummary:string,PublicationStartDate:string>"
+    found = F.from_json("body", f"SearchResult struct<SearchResultItems:array<struct<MatchedObjectDescriptor:{item}>>>")
+    rows = payloads.filter("ok").select("source_name", "request_seq", F.posexplode(found["SearchResult"]["SearchResultItems"]).alias("posting_ordinal", "i")).withColumn("j", F.col("i.MatchedObjectDescriptor"))
+    place = F.coalesce(F.get("j.PositionLocation", F.lit(0))["LocationName"], F.col("j.PositionLocationDisplay"))
+    rows = rows.select("*", F.col("j.PositionTitle").alias("title"), F.coalesce("j.OrganizationName", "j.DepartmentName").alias("org"), place.alias("location"), html_to_text(F.coalesce("j.UserArea.Details.JobSummary", "j.QualificationSummary")).alias("description"), F.col("j.PositionURI").alias("url"), F.col("j.PublicationStartDate").alias("date_posted"), F.col("j.DepartmentName").alias("department"))
+    return contract(first_per(rows.filter("url <> ''"), F.col("url")))
+
+
+def jsearch(payloads: DataFrame) -> DataFrame:
+    """The list is `data` or `data.jobs`; a remote flag outranks the location."""
+    job = "array<struct<job_title:string,employer_name:string,job_is_remote:boolean,job_location:string,job_city:string,job_state:string,job_description:string,job_apply_link:string,job_google_link:string,job_posted_at_datetime_utc:string>>"
+    data = F.get_json_object("body", "$.data")
+    jobs = F.when(data.startswith("["), F.from_json(data, job)).otherwise(F.from_json(F.get_json_object("body", "$.data.jobs"), job))
+    rows = payloads.filter("ok").select("source_name", "request_seq", F.posexplode(jobs).alias("posting_ordinal", "j"))
+    place = F.coalesce("j.job_location", F.concat_ws(", ", *(F.nullif(f"j.{c}", F.lit("")) for c in ("job_city", "job_state"))))
+    rows = rows.select("*", F.col("j.job_title").alias("title"), F.col("j.employer_name").alias("org"), F.when(F.col("j.job_is_remote"), "Remote").otherwise(place).alias("location"), html_to_text(F.col("j.job_description")).alias("description"), F.coalesce("j.job_apply_link", "j.job_google_link").alias("url"), F.col("j.job_posted_at_datetime_utc").alias("date_posted"), F.lit("").alias("department"))
+    return contract(first_per(rows.filter("url <> ''"), F.col("url")))
+
+
+def adzuna(payloads: DataFrame) -> DataFrame:
+    """Pages aren't deduplicated; what came before a failing page stays."""
+    j = _array(payloads, "results array<struct<title:string,company:struct<display_name:string>,location:struct<display_name:string>,description:string,redirect_url:string,created:string,category:struct<label:string>>>", "results")
+    return contract(j.select("*", "j.title", F.col("j.company.display_name").alias("org"), F.col("j.location.display_name").alias("location"), html_to_text(F.col("j.description")).alias("description"), F.col("j.redirect_url").alias("url"), F.col("j.created").alias("date_posted"), F.col("j.category.label").alias("department")))
+
+
 Adapter = Callable[[DataFrame], DataFrame]
-ADAPTERS: dict[str, Adapter] = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "smartrecruiters": smartrecruiters, "json": json_board, "workday": workday, "rss": rss, "icims-rss": rss, "taleo-rss": rss}
+ADAPTERS: dict[str, Adapter] = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "smartrecruiters": smartrecruiters, "json": json_board, "workday": workday, "jobvite": jobvite, "successfactors": successfactors, "jooble": jooble, "usajobs": usajobs, "jsearch": jsearch, "adzuna": adzuna, "rss": rss, "icims-rss": rss, "taleo-rss": rss}
 
 
 def to_postings(payloads: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:

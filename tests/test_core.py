@@ -125,3 +125,21 @@ def test_rss_and_sitemap(spark):
 
 def test_job_array_is_found_and_unwrapped():
     assert payloads.job_array({"facets": [{"x": 1}], "items": [{"requisitionList": [{"data": {"title": "t"}}]}]}) == [{"title": "t"}]
+
+
+def test_other_feeds(spark):
+    bodies = {
+        "jobvite": '{"requisitions": [{"title": "T", "city": "A", "state": "OH", "detailUrl": "https://x/1"}]}',
+        "jooble": '{"jobs": [{"title": "T", "company": "C", "location": "A", "link": "https://x/1"}, {"title": "again", "link": "https://x/1"}]}',
+        "usajobs": '{"SearchResult": {"SearchResultItems": [{"MatchedObjectDescriptor": {"PositionURI": "https://x/1", "PositionTitle": "T", "OrganizationName": "C", "PositionLocation": [{"LocationName": "A"}]}}]}}',
+        "jsearch": '{"data": {"jobs": [{"job_title": "T", "employer_name": "C", "job_is_remote": true, "job_location": "A", "job_apply_link": "https://x/1"}]}}',
+        "adzuna": '{"results": [{"title": "T", "company": {"display_name": "C"}, "location": {"display_name": "A"}, "redirect_url": "https://x/1"}]}',
+        "successfactors": '<a class="x jobTitle-link" href="/job/1">T</a><div>City</div>\\n<div>Doha</div>\\n<div>Country</div>\\n<div>Qatar</div>',
+        "workday": '{"jobPostings": [{"title": "T", "externalPath": "/job/1", "locationsText": "A"}]}',
+    }
+    rows = spark.createDataFrame([(k, "https://w.example/wday/cxs/t/site/jobs", k, 0, True, 200, None, b.replace("\\n", "\n")) for k, b in bodies.items()], payloads.SCHEMA)
+    got = {r.source_name: (r.title, r.org, r.location, r.url) for r in payloads.to_postings(rows).collect()}
+    assert got == {
+        "jobvite": ("T", "jobvite", "A, OH", "https://x/1"), "jooble": ("T", "C", "A", "https://x/1"), "usajobs": ("T", "C", "A", "https://x/1"), "jsearch": ("T", "C", "Remote", "https://x/1"), "adzuna": ("T", "C", "A", "https://x/1"),
+        "successfactors": ("T", "successfactors", "Doha, Qatar", "https://w.example/job/1"), "workday": ("T", "workday", "A", "https://w.example/site/job/1"),
+    }
