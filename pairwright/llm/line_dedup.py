@@ -1,11 +1,13 @@
-"""Line deduplication by content-defined chunks of lines.
-
-A text is cut into lines, and long lines into sentences, as one line may hold a whole passage. A rolling
-hash over the last WINDOW line hashes closes a chunk where it is divisible by DIVISOR, so boundaries
-depend on nearby lines alone and come back wherever a passage does, whatever stands before it; a line of
-LONG words or more also stands apart from its neighbours. Of every chunk that is found more than once, in
-one document or many, the first one (by doc_id, then place) stays; others go after their bytes have been
-compared with it. Chunks below `least_words` words always stay.
+"""Line deduplication by lines and sentences.
+
+A text is cut where a line or a sentence ends, so cuts depend on the bytes beside them alone and come back
+wherever a passage does, whatever stands before or after it. A chunk of `least_words` words or more is
+looked up by itself. Of shorter ones that follow each other, runs of that many words are looked up: of any
+AMONG neighbouring runs the one with the smallest hash, so a passage of 50 words holds one in every host.
+Of what is found more than once, in one document or many, the first one (by doc_id, then place) stays;
+others go after their bytes have been compared with it, and so do the short chunks before and after them, as
+far as they are those beside the first one. White space around chunks doesn't count. Each chunk that goes
+has its like further on top, so of text that repeats itself without a break one period stays.
 """
 
 from __future__ import annotations
@@ -21,97 +23,121 @@ from pyspark.sql import types as T
 
 from pairwright.llm.common import hot_join, materialize, small_batches
 
-WINDOW, DIVISOR, MOST_LINES = 2, 2, 64
-LONG, SENTENCES_FROM = 50, 24
-_END = re.compile(rb"[.!?][\x20\t]+")
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-
-
-def lines(text: bytes) -> Iterator[tuple[int, int, int, bool]]:
-    """start, end, words and apart of each line or sentence; together they are the text."""
-    start = 0
-    while start < len(text):
-        end = text.find(b"\n", start) + 1 or len(text)
-        n = len(text[start:end].split())
-        if n > SENTENCES_FROM:
-            at = start
-            cuts = [m.end() for m in _END.finditer(text, start, end) if m.end() < end]
-            for cut in (*cuts, end):
-                # `apart` marks the first and the last sentence of a long line
-                yield at, cut, len(text[at:cut].split()), n >= LONG
-                at = cut
-        else:
-            yield start, end, n, False
-        start = end
+#: Runs of which one is looked up, and short chunks at either side that are compared: runs hold ten at most.
+AMONG, BESIDE = 4, 16
+#: The end of a line or of a sentence, with the blank lines that follow.
+_END = re.compile(rb"(?:[.!?][\x20\t]++\n?|\n)(?:[\x20\t\r\f\v]*+\n)*+")
 
 
 def chunks(text: bytes) -> Iterator[tuple[int, int, int]]:
-    """start, end and words of the text's chunks, in order and without gaps."""
-    recent: list[int] = []
-    begin = at = words = count = 0
-    was_apart = False
-    for start, end, n, apart in lines(text):
-        fresh = start == 0 or text[start - 1] == 10  # a line's own start, not a sentence's
-        if count and fresh and (apart or was_apart):
-            yield begin, start, words
-            begin, words, count = start, 0, 0
-        recent = [*recent[1 - WINDOW :], xxhash.xxh64_intdigest(text[start:end].strip())] if WINDOW > 1 else [xxhash.xxh64_intdigest(text[start:end].strip())]
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * _BASE + h) & _MASK
-        words, count, at, was_apart = words + n, count + 1, end, apart
-        if (rolled >> 17) % DIVISOR == 0 or count >= MOST_LINES:
-            yield begin, end, words
-            begin, words, count = end, 0, 0
-    if count:
-        yield begin, at, words
-
-
-def _chunk_hashes(least_words: int):
+    """start, end and words of the text's lines and sentences, in order and without gaps."""
+    start, stop = 0, len(text.rstrip())
+    for m in _END.finditer(text, 0, stop):
+        if m.end() < stop:
+            yield start, m.end(), len(text[start : m.end()].split())
+            start = m.end()
+    if text:
+        yield start, len(text), len(text[start:].split())
+
+
+def _cut(text: bytes) -> tuple[list[tuple[int, int, int]], list[bytes]]:
+    cut = list(chunks(text))
+    return cut, [text[s:e].strip() for s, e, _ in cut]
+
+
+def runs(cut: list[tuple[int, int, int]], parts: list[bytes], least_words: int) -> list[tuple[int, int, int]]:
+    """First and last chunk, and hash, of what is looked up, in order."""
+    found: list[tuple[int, int, int]] = []
+    short: list[tuple[int, int, int]] = []  # the runs of the short chunks that follow each other
+    first = last = words = 0
+
+    def choose() -> None:
+        at = -1
+        for k in range(max(1, len(short) - AMONG + 1)):
+            if at < k or short[k + AMONG - 1][2] < short[at][2]:
+                at = min(range(k, min(k + AMONG, len(short))), key=lambda i: short[i][2])
+                found.append(short[at])
+        short.clear()
+
+    for i, (_, _, n) in enumerate(cut):
+        if n >= least_words or not n:
+            if short:
+                choose()
+            if n:
+                found.append((i, i, xxhash.xxh64_intdigest(parts[i])))
+            first, words = i + 1, 0
+            continue
+        words, last = words + n, i
+        while words >= least_words:
+            short.append((first, last, xxhash.xxh64_intdigest(b"\n".join(parts[first : last + 1]))))
+            words -= cut[first][2]
+            first += 1
+    if short:
+        choose()
+    return found
+
+
+def _beside(cut: list[tuple[int, int, int]], parts: list[bytes], least_words: int, at: int, step: int) -> list[bytes]:
+    """The short chunks from a place on, the nearest one first."""
+    out: list[bytes] = []
+    while 0 <= at < len(cut) and 0 < cut[at][2] < least_words and len(out) < BESIDE:
+        out.append(parts[at])
+        at += step
+    return out
+
+
+def _run_hashes(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for t in b.column(2).cast(pa.binary()):
-                text = t.as_py() or b""
-                found.append([{"at": i, "hash": xxhash.xxh64_intdigest(text[s:e].strip()) - (1 << 63)} for i, (s, e, n) in enumerate(chunks(text)) if n >= least_words])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.struct([("at", pa.int32()), ("hash", pa.int64())])))], names=["doc_id", "key", "chunks"])
+            found = [[h - (1 << 63) for *_, h in runs(*_cut(t.as_py() or b""), least_words)] for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "runs"])
 
     return run
 
 
-def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hash and text of the chunks asked for: columns text and wanted (at, hash)."""
-    for b in batches:
-        hashes, texts = [], []
-        for t, wanted in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
-            text = t.as_py() or b""
-            cut = list(chunks(text))
-            for w in wanted:
-                s, e, _ = cut[w["at"]]
-                hashes.append(w["hash"])
-                texts.append(text[s:e].strip())
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(texts, pa.binary())], names=["hash", "first"])
+def _run_texts(least_words: int):
+    """hash and text of the runs asked for, and the short chunks beside them: columns text and wanted (at, hash)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t, wanted in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
+                cut, parts = _cut(t.as_py() or b"")
+                found = runs(cut, parts, least_words)
+                for w in wanted:
+                    i, j, _ = found[w["at"]]
+                    beside = (_beside(cut, parts, least_words, x, d) for x, d in ((i - 1, -1), (j + 1, 1)))
+                    rows.append((w["hash"], *map(b"\n".join, (parts[i : j + 1], *beside))))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(columns)], names=["hash", "first", "before", "after"])
 
-def _without(text: bytes, gone: list[dict]) -> tuple[bytes, int]:
-    """The text without the chunks whose bytes are those of their first occurrence, and their number."""
-    first = {g["at"]: g["first"] for g in gone}
-    out, n = [], 0
-    for i, (s, e, _) in enumerate(chunks(text)):
-        if i in first and text[s:e].strip() == first[i]:
-            n += 1
-        else:
-            out.append(text[s:e])
-    return b"".join(out).strip(b"\n\x20"), n
+    return run
 
 
-def _remover(names: list[str], text_at: int):
+def _without(text: bytes, gone: list[dict], least_words: int) -> tuple[bytes, int]:
+    """The text without the chunks whose bytes are those of their first occurrence, and their number."""
+    cut, parts = _cut(text)
+    found, out = runs(cut, parts, least_words), set()
+    for g in gone:
+        i, j, _ = found[g["at"]]
+        if b"\n".join(parts[i : j + 1]) != g["first"]:
+            continue
+        out.update(range(i, j + 1))
+        for x, step, beside in ((i - 1, -1, g["before"]), (j + 1, 1, g["after"])):
+            for other in beside.split(b"\n") if beside else ():
+                if not 0 <= x < len(cut) or parts[x] != other:
+                    break
+                out.add(x)
+                x += step
+    return b"".join(text[s:e] for i, (s, e, _) in enumerate(cut) if i not in out).strip(b"\n\x20"), len(out)
+
+
+def _remover(names: list[str], text_at: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed = [], []
             for t, gone in zip(b.column(text_at).cast(pa.binary()), b.column(len(names)).to_pylist(), strict=True):
-                text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone)
+                text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone, least_words)
                 texts.append(text)
                 removed.append(n)
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else b.column(i) for i in range(len(names))]
@@ -132,8 +158,8 @@ def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
     docs = docs.drop("n_removed")
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
     found = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
-    found = materialize(found.mapInArrow(_chunk_hashes(least_words), "doc_id long, key long, chunks array<struct<at:int,hash:long>>").distinct())
-    each = found.select("doc_id", "key", F.explode("chunks").alias("c")).select("doc_id", "key", "c.at", "c.hash")
+    found = materialize(found.mapInArrow(_run_hashes(least_words), "doc_id long, key long, runs array<long>").distinct())
+    each = found.select("doc_id", "key", F.posexplode("runs").alias("at", "hash"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "at")
     repeated = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("p")).filter("n > 1")
     repeated = materialize(repeated.select("hash", "n", F.col("p.key").alias("first_key"), F.col("p.at").alias("first_at")))
@@ -141,14 +167,14 @@ def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
     wanted = repeated.groupBy(F.col("first_key").alias("_key")).agg(F.collect_list(F.struct(F.col("first_at").alias("at"), "hash")).alias("wanted"))
     keyed = docs.withColumn("_key", key)
     texts = keyed.filter("text IS NOT NULL").select("_key", F.col("text").cast("string").alias("text")).join(wanted, "_key").select("text", "wanted")
-    texts = texts.mapInArrow(_chunk_texts, "hash long, first binary").groupBy("hash").agg(F.first("first").alias("first"))
+    texts = texts.mapInArrow(_run_texts(least_words), "hash long, first binary, before binary, after binary").dropDuplicates(["hash"])
     repeated = materialize(repeated.join(texts, "hash"))
     total = each.count()
     others = hot_join(each, repeated, ["hash"], "n", total).filter("NOT (key = first_key AND at = first_at)")
-    gone = others.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "first")).alias("_gone"))
+    gone = others.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "first", "before", "after")).alias("_gone"))
     joined = keyed.withColumn("text", F.col("text").cast("string")).join(gone, "_key", "left").select(*docs.columns, "_gone")
     schema = T.StructType([*joined.drop("_gone").schema, T.StructField("n_removed", T.IntegerType())])
-    out = joined.mapInArrow(_remover(docs.columns, docs.columns.index("text")), schema)
+    out = joined.mapInArrow(_remover(docs.columns, docs.columns.index("text"), least_words), schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out

@@ -1,6 +1,7 @@
 """Operators on single texts against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -168,6 +169,31 @@ def test_chunks_are_whole_and_shift_resistant():
     assert len(of(long) & of(b"one more line\nand another\n" + long)) >= len(of(long)) - 2
 
 
+def sentences(rng, *lengths):
+    return [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(4, 8))) for _ in range(n)) + "." for n in lengths]
+
+
+def test_shared_passages_go_whole_from_any_host(spark):
+    rng = random.Random(5)
+    shapes = {"two long": [30, 30], "four": [15] * 4, "short": [6] * 10, "tiny": [3] * 20, "mixed": [4, 25, 3, 3, 20, 5], "one": [55]}
+    hosts, texts = ["own line", "own lines", "inside a line", "first", "last", "short lines"], []
+    want = {}
+    for shape in shapes.values():
+        for first in hosts:
+            for host in hosts:
+                s = sentences(rng, *shape)
+                for name in (first, host):
+                    a, b = (" ".join(sentences(rng, *rng.choices(range(2, 40), k=3))) for _ in range(2))
+                    passage, i = ("\n" if "lines" in name else " ").join(s), len(texts)
+                    before, after = {"inside a line": (f"{a} ", f" {b}"), "first": ("", f"\n{b}"), "last": (f"{a}\n", "")}.get(name, (f"{a}\n", f"\n{b}"))
+                    if name == "short lines":
+                        before, after = a.replace(". ", ".\n") + f"\nshort one {i}\n", f"\nand another {i}\n\n" + b.replace(". ", ".\n")
+                    texts.append((i, before + passage + after))
+                    want[i] = texts[-1][1].split() if i % 2 == 0 else (before + after).split()
+    got = {r.doc_id: r.text.split() for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>menu</a></nav><div class="main-%d"><h1>A &amp; B</h1><p>One <b>bold</b>
  text that is long enough.<p>Two<br>three &lt;x&gt;<div class="ad">buy</div><ul><li>item<li>other</ul><section id=comments><p>reader</section></div><script>"<p>no</p>"</script><form>f</form><footer>foot</footer></body>"""
 
