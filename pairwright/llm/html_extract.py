@@ -2,9 +2,11 @@
 
 A page is parsed once into blocks of text, each under a generalised path: the tags of its containers, with
 their first class or id, digits masked. Blocks weigh what they hold in running text, links counting
-against them; a page's best container is the deepest one that keeps most of the page's weight. Pages vote
-for their best containers' paths, votes are counted for each host, and every page is then extracted again
-by its host's winning path. A page without that path falls back to its own best container.
+against them; a page's best container is the deepest one that keeps most of the page's weight. As heading,
+lead or tail may stand beside it, it widens to the article or main around it, or else as far as what it gains
+isn't mostly links. Pages vote for their best containers' paths, votes are counted for each host, and every
+page is then extracted again by its host's winning path, or by its own where that encloses it. A page without
+that path falls back to its own best container. What is dropped inside is of the excluded kinds.
 """
 
 from __future__ import annotations
@@ -139,8 +141,25 @@ def best_container(blocks: list[tuple[str, str, int]]) -> tuple[str, int]:
     kept = [(p.count(">"), w, p) for p, w in weights.items() if w >= KEEPS * total and w > 0]
     if not kept:
         return "", 0
-    _, w, p = max(kept)
-    return p, w
+    p = widened(max(kept)[2], blocks)
+    return p, weights[p]
+
+
+def widened(path: str, blocks: list[tuple[str, str, int]]) -> str:
+    """The farthest article or main around a path; without one, the farthest path that gains only blocks of running text."""
+    labels = path.split(">")
+    for k, label in enumerate(labels):
+        if label.split(".")[0] in ("article", "main"):
+            return ">".join(labels[: k + 1])
+    best = path
+    for k in range(len(labels) - 1, 0, -1):
+        up, inside = ">".join(labels[:k]), f"{best}>"
+        gained = [(t, n) for p, t, n in blocks if (p == up or p.startswith(f"{up}>")) and p != best and not p.startswith(inside)]
+        if any(2 * n >= len(t) for t, n in gained):
+            break
+        if gained:
+            best = up
+    return best
 
 
 def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +204,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     winners = materialize(winning_paths(parsed))
     total = winners.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     found = hot_join(parsed, winners, ["host"], "pages", total)
-    found = found.withColumn("found", main_text(F.col("blocks"), F.col("path")))
+    path = F.when(F.col("path").startswith(F.concat("own", F.lit(">"))), F.col("own")).otherwise(F.col("path"))
+    found = found.withColumn("found", main_text(F.col("blocks"), path))
     text = F.array_join(F.when(F.size("found") > 0, F.col("found")).otherwise(main_text(F.col("blocks"), F.col("own"))), "\n")
     return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

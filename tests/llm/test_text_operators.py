@@ -206,6 +206,19 @@ def test_main_text(spark):
     assert got[9] == got[10] == ("", 0) and got[11][0] in ("only A", "")
 
 
+@pytest.mark.parametrize("box", ["article", "main", "div class=page"])
+def test_heading_lead_and_tail_beside_the_body_stay(spark, box):
+    body = "".join(f"<p>A long paragraph {k} of the body that holds most of the weight.</p>" for k in range(20))
+    page = f"""<html><body><nav><a href=/>menu</a></nav><{box}><h1>Title</h1><p>The lead.</p><div class="entry">{body}</div><section><p>The end.</p></section>
+ <div class="share"><p>share</p></div></{box.split()[0]}><ul><li><a href=/x>A list of links elsewhere</a></li></ul><footer>foot</footer></body></html>"""
+    bare = f"<html><body><{box}><div class=entry>{body}</div></{box.split()[0]}></body></html>"
+    pages = [(i, f"http://h.example/{i}", page if i < 2 else bare) for i in range(6)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    inner = [f"A long paragraph {k} of the body that holds most of the weight." for k in range(20)]
+    for i in range(6):
+        assert got[i] == (["Title", "The lead.", *inner, "The end."] if i < 2 else inner)
+
+
 def test_html_that_is_broken_does_not_break_the_parser():
     for h in ("<", "<p", "<a href='x>y", "<!-- open", "</p></div>", "<script>x", "<p>" * 500 + "x", "<div>" * 500 + "x", "a<b", "&#xZZ; &amp", "<p class=>x"):
         html_extract.parse(h)
