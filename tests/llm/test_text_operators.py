@@ -75,6 +75,17 @@ def test_ids_are_those_of_the_tokenizer(rows):
         assert np.frombuffer(bpe.encode(t or ""), "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    bpe = tokens.byte_bpe(tokens.default_ranks_path())
+    x = "<|endoftext|>"
+    for t in (x, f"a {x} b", f"a{x}{x}\n b  {x}  c", f"<|{x}|>", f"été {x[:-1]} {x}", f"  {x}\n\n{x} "):
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_sum_of_squares_places_where_the_sum_becomes_least():
     rng = np.random.default_rng(1)
     rule, counts = packing.SumOfSquares(20), {}
