@@ -8,16 +8,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; only where none is set, a local one (tests)."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/pairwright-checkpoints"
-    return f"{base.rstrip('/')}/pairwright-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/pairwright-checkpoints"  # one machine, as in tests
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder. What is written there goes when the application ends."""
+    path = f"{_base(spark)}/pairwright-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a Parquet table in the shared folder, which outlives lost executors."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing will read again."""
+    for t in tables:
+        fs, at = _file_system(t.sparkSession, t._scratch_path)
+        fs.delete(at, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.functions.scratch import materialize
+from pairwright.functions.scratch import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialize(labels.join(heard, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c")))
         nearer = least.select(F.col("v").alias("c"), F.col("c").alias("n"))
         new = materialize(least.join(nearer, "c").select("v", "old", F.col("n").alias("c")))
-        if not new.filter("c <> old").limit(1).count():
+        done = not new.filter("c <> old").limit(1).count()
+        release(labels, least)
+        if done:
+            release(e)
             return new.select("v", "c")
-        labels = new.select("v", "c")
+        labels = new
