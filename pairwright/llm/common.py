@@ -1,17 +1,22 @@
-"""What several operators need: shared scratch tables and joins that stand hot keys."""
+"""What several operators need: shared scratch tables, joins that stand hot keys, and slices of batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.functions.scratch import materialize
+from pairwright.functions.scratch import materialize, release
 from pairwright.functions.ship import ship
 
-__all__ = ["HOT_PARTS", "held_out", "hot_join", "materialize", "shuffle_partitions", "small_batches", "table"]
+__all__ = ["PARTS", "held_out", "hot_join", "materialize", "release", "ship", "shuffle_partitions", "slices", "table"]
 
-#: A group is hot from this share of all rows on, so at most HOT_PARTS groups are.
-HOT_PARTS = 1000
+#: A hot group is dealt out in pieces of a thousandth of all rows each, so there are at most PARTS hot groups.
+PARTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,18 +33,31 @@ def held_out(doc_id: Column) -> Column:
 
 
 def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with one row for each group; `size` counts a group's rows.
+    """Inner join of rows with one row for each group; `size` counts a group's rows, `total` all of them.
 
-    Groups of at least 1/HOT_PARTS of all rows, at most HOT_PARTS of them, are broadcast, so that their
-    rows aren't dealt out by key; the rows of all other groups meet theirs in a shuffle.
+    The rows of a hot group, one of more than a thousandth of all rows, are dealt out in as many pieces as
+    it has thousandths, and its row is repeated for each of them. Only the hot groups' hashes and numbers of
+    pieces are broadcast, two numbers each for at most PARTS groups, whatever the keys and values weigh.
     """
-    least = max(1000, total // HOT_PARTS)
-    hot = F.broadcast(groups.filter(F.col(size) >= least))
-    light = groups.filter(F.col(size) < least)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(light, keys))
-
-
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """For Python tasks: the package on their path, and Arrow batches of few rows, as texts can be very long."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    least = max(1000, total // PARTS)
+    code = F.xxhash64(*keys)
+    hot = groups.filter(F.col(size) > least).groupBy(code.alias("_code")).agg(F.max(F.ceil(F.col(size) / least)).cast("long").alias("_parts"))
+    hot = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    dealt = rows.withColumn("_code", code).join(hot, "_code", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts))
+    spread = groups.withColumn("_code", code).join(hot, "_code", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.drop("_code", "_parts").join(spread.drop("_code", "_parts"), [*keys, "_part"]).drop("_part")
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_at: int = 0, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into stretches of rows whose texts hold about most_bytes, one row at least."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = before = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
+            yield b.slice(at, end - at)
+            before, at = int(upto[end - 1]), end

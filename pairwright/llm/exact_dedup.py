@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import hot_join, materialize, shuffle_partitions, small_batches
+from pairwright.llm.common import hot_join, materialize, shuffle_partitions, ship
 
 KEY = ["digest", "check_hash", "norm_chars"]
 _RUN = "run long, bucket int, digest binary, check_hash long, norm_chars int, n_chars int, doc_id long, size long"
@@ -80,9 +80,10 @@ def exact_dedup(docs: DataFrame, fan_in: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs (doc_id, text).
 
     A null text counts as empty; all empty or blank texts are equal. Rows that repeat the doc_id that
-    stays are kept too. A null id stays only where no row as long has one. An empty table gives none.
+    stays are kept too. A null id stays only where no row as long has one. An empty table gives none; other
+    columns don't matter, whatever their names.
     """
-    small_batches(docs.sparkSession, 10_000)  # of digests, not of texts
+    ship(docs.sparkSession)
     found = materialize(digests(docs))
     groups = materialize(tree_merge(found, fan_in))
     joined = hot_join(found, groups, KEY, "group_size", found.count())

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import hot_join, materialize, small_batches
+from pairwright.llm.common import hot_join, materialize, ship, slices
 from pairwright.llm.components import spanning_links
 from pairwright.operators.graph import components
 
@@ -94,7 +94,7 @@ def _repeats(width: int, at_once: int = 2_000_000):
                 token, n = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["token", "n"])
 
-        for b in batches:
+        for b in slices(batches, 0):
             for text in b.column(0).cast(pa.binary()):
                 held.append(shingles(text.as_py() or b"", known, width))
                 size += len(held[-1])
@@ -117,7 +117,7 @@ def frequent_tokens(docs: DataFrame, width: int, most: int, least: int = 32) ->
     found = materialize(docs.select("text").mapInArrow(_repeats(width), "token long, n long"))
     total = found.filter("token IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = found.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(least, -(-total // most)))
-    return np.sort(np.array([r.token for r in often.select("token").collect()], dtype=np.int64)).view(np.uint64)
+    return np.sort(often.select("token").toArrow().column(0).to_numpy().astype(np.int64)).view(np.uint64)
 
 
 _SIGNATURE = "doc_id long, n long, key binary, prefix array<long>, sketch binary"
@@ -128,7 +128,7 @@ def _signatures(width: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, often = _Hashes(), set(), np.sort(frequent.value)
-        for b in batches:
+        for b in slices(batches, 1):
             n, key, prefix, sketch = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 tokens = shingles(text.as_py() or b"", known, width)
@@ -364,12 +364,10 @@ def near_links(docs: DataFrame, signatures: DataFrame, width: int, block: int) -
     """Links (a, b) that span the components of all documents whose signatures have a prefix."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = signatures.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"))
-    small_batches(docs.sparkSession, 10_000)  # of numbers, not of texts
     dealt = tokens.repartition(n, "token").sortWithinPartitions("token", "doc")
     members = materialize(dealt.mapInArrow(_groups, "g long, doc long").distinct())
     sketches = signatures.filter("sketch IS NOT NULL").select(F.col("doc_id").alias("doc"), "n", "sketch")
     maybe = components(spanning_links(members, sketches, sketch_links, 4 * block))
-    small_batches(docs.sparkSession)
     clusters = maybe.select(F.col("c").alias("g"), F.col("v").alias("doc"))
     return spanning_links(clusters, docs.select(F.col("doc_id").alias("doc"), "text"), trie_links(width), block)
 
@@ -378,10 +376,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, block: int = 1000, most
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
     Empty, blank and null texts have no shingles and are linked with nothing. Rows that share an id count
-    as one document; rows with a null id aren't linked, and their component is null. `block` bounds the
+    as one document; rows with a null id aren't linked, and their component is null. An empty table gives
+    none; other columns don't matter, whatever their names. `block` bounds the
     documents that a task compares at once, not the size of a group.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, width, most_frequent))
     found = materialize(docs.mapInArrow(_signatures(width, frequent), _SIGNATURE))

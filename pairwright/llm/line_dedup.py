@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright.llm.common import hot_join, materialize, small_batches
+from pairwright.llm.common import hot_join, materialize, ship, slices
 
 #: Runs of which one is looked up, and short chunks at either side that are compared: runs hold ten at most.
 AMONG, BESIDE = 4, 16
@@ -88,7 +88,7 @@ def _beside(cut: list[tuple[int, int, int]], parts: list[bytes], least_words: in
 
 def _run_hashes(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             found = [[h - (1 << 63) for *_, h in runs(*_cut(t.as_py() or b""), least_words)] for t in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "runs"])
 
@@ -99,7 +99,7 @@ def _run_texts(least_words: int):
     """hash and text of the runs asked for, and the short chunks beside them: columns text and wanted (at, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0):
             rows = []
             for t, wanted in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
                 cut, parts = _cut(t.as_py() or b"")
@@ -134,7 +134,7 @@ def _without(text: bytes, gone: list[dict], least_words: int) -> tuple[bytes, in
 
 def _remover(names: list[str], text_at: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, text_at):
             texts, removed = [], []
             for t, gone in zip(b.column(text_at).cast(pa.binary()), b.column(len(names)).to_pylist(), strict=True):
                 text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone, least_words)
@@ -154,7 +154,7 @@ def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
     with a null id comes last. A column n_removed of docs is replaced; names that begin with _ are the
     operator's own.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     docs = docs.drop("n_removed")
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
     found = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))

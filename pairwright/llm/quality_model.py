@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import held_out, materialize, small_batches
+from pairwright.llm.common import held_out, materialize, ship, slices
 from pairwright.llm.quality_rules import SYMBOLS, repeated_words
 
 FEATURES = ("log_words", "word_chars", "symbols", "dup_lines", "repeats", "upper", "exclaim", "digits", "log_line_words", "distinct", "ended_lines")
@@ -48,14 +48,14 @@ def features(text: bytes) -> list[float]:
 
 
 def _features_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 1):
         found = [features(x.as_py() or b"") for x in b.column(1).cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "f"])
 
 
 def document_features(docs: DataFrame) -> DataFrame:
     """doc_id and f, the FEATURES of its whole text; a null text is empty."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features_all, "doc_id long, f array<double>")
 
 
@@ -123,7 +123,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text).
 
     labels (doc_id, quality) teach only by rows that aren't held out; null labels and ids don't. Repeated
-    rows count as often. Empty texts have features like any other text, and so a score.
+    rows count as often. Empty and null texts have features like any other text, and so a score. Other columns
+    don't matter, whatever their names; an empty table gives none. Without both labels every score is 0.5.
     """
     found = materialize(document_features(docs))
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(~held_out(F.col("doc_id")) & F.col("label").isNotNull())

@@ -94,35 +94,36 @@ WITH d AS (
 ), sk AS (
   SELECT lang, source, measure, (value >> greatest(0, length(bin(value)) - 6)::INT) << greatest(0, length(bin(value)) - 6)::INT AS low, count(*) AS n
   FROM m GROUP BY ALL
-), g AS (
-  SELECT 0 AS level, lang, source, measure, low, n FROM sk
-  UNION ALL SELECT 1, lang, NULL, measure, low, sum(n) FROM sk GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, measure, low, sum(n) FROM sk GROUP BY ALL
+), sl AS (
+  SELECT lang, measure, low, sum(n) AS n FROM sk GROUP BY ALL
+), lang_sketch AS (
+  SELECT lang, measure, low, sum(n) AS n FROM (
+    SELECT lang, measure, low, 100 * n AS n FROM sl
+    UNION ALL
+    SELECT g.lang, measure, low, floor(a.n * 10000 / sum(a.n) OVER (PARTITION BY g.lang, measure)) FROM (SELECT measure, low, sum(n) AS n FROM sk GROUP BY ALL) a JOIN (SELECT DISTINCT lang, measure FROM sl) g USING (measure)
+  ) GROUP BY ALL
+), group_sketch AS (
+  SELECT lang, source, measure, low, sum(n) AS n FROM (
+    SELECT lang, source, measure, low, 100 * n AS n FROM sk
+    UNION ALL
+    SELECT lang, g.source, measure, low, floor(a.n * 10000 / sum(a.n) OVER (PARTITION BY lang, g.source, measure)) FROM lang_sketch a JOIN (SELECT DISTINCT lang, source, measure FROM sk) g USING (lang, measure)
+  ) GROUP BY ALL
 ), c AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total
-  FROM g
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY low) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM group_sketch
 ), q AS (
-  SELECT level, lang, source, measure, min(low) FILTER (100 * upto >= 25 * total) AS q1, min(low) FILTER (100 * upto >= 75 * total) AS q3, max(total) AS total
+  SELECT lang, source, measure, min(low) FILTER (100 * upto >= 10 * total) AS tail, min(low) FILTER (100 * upto >= 50 * total) AS middle, min(low) FILTER (100 * upto >= 90 * total) AS head
   FROM c GROUP BY ALL
-), f AS (
-  SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'mean_word' THEN 500 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 10 ELSE 120 END) AS reach FROM q
-), lim AS (
-  SELECT lang, source, measure, max(CASE WHEN level = pick THEN CASE WHEN measure = 'mean_word' THEN q1 - reach ELSE 0 END END) AS low, max(CASE WHEN level = pick THEN q3 + reach END) AS high
-  FROM (
-    SELECT o.lang, o.source, o.measure, x.level, x.q1, x.q3, x.reach,
-           CASE WHEN o.total >= 200 THEN 0 WHEN y.total >= 200 THEN 1 ELSE 2 END AS pick
-    FROM f o JOIN f y ON y.level = 1 AND y.lang = o.lang AND y.measure = o.measure
-    JOIN f x ON x.measure = o.measure AND (x.level = 2 OR x.lang = o.lang AND (x.level = 1 OR x.source = o.source))
-    WHERE o.level = 0
-  ) GROUP BY lang, source, measure
 ), wide AS (
-  SELECT lang, source, max(low) FILTER (measure = 'mean_word') AS l1, max(high) FILTER (measure = 'mean_word') AS h1,
-         max(high) FILTER (measure = 'symbols') AS h2, max(high) FILTER (measure = 'dup_lines') AS h3, max(high) FILTER (measure = 'repeats') AS h4
-  FROM lim GROUP BY lang, source
+  SELECT lang, source, max(tail - 3 * (middle - tail)) FILTER (measure = 'mean_word') AS l1, max(head + 3 * (head - middle)) FILTER (measure = 'mean_word') AS h1,
+         max(head + 3 * (head - middle)) FILTER (measure = 'symbols') AS h2, max(head + 3 * (head - middle)) FILTER (measure = 'dup_lines') AS h3, max(head + 3 * (head - middle)) FILTER (measure = 'repeats') AS h4
+  FROM q GROUP BY lang, source
+), z AS (
+  SELECT *, word_chars::DOUBLE AS c1, n_symbols::DOUBLE AS c2, n_dup_lines::DOUBLE AS c3, n_repeat_words::DOUBLE AS c4, greatest(n_words, 1)::DOUBLE AS w, greatest(word_chars, 1)::DOUBLE AS k FROM b
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(mean_word BETWEEN l1 AND h1 AND symbols <= h2 AND dup_lines <= h3 AND repeats <= h4, false) AS kept
-FROM b LEFT JOIN wide ON wide.lang = b.lang AND wide.source = b.source
+       NOT base_failed AND coalesce((c1 - 2::DOUBLE * sqrt(c1 + 1)) * 1000 <= h1 * w AND (c1 + 2::DOUBLE * sqrt(c1 + 1)) * 1000 >= l1 * w AND (c2 - 2::DOUBLE * sqrt(c2 + 1)) * 10000 <= h2 * k
+         AND (c3 - 2::DOUBLE * sqrt(c3 + 1)) * 1000 <= h3 * w AND (c4 - 2::DOUBLE * sqrt(6::DOUBLE * (c4 + 6))) * 1000 <= h4 * w, false) AS kept
+FROM z LEFT JOIN wide ON wide.lang = z.lang AND wide.source = z.source
 """
 
 _OP8 = r"""
