@@ -2,9 +2,14 @@
 
 An item goes where the squared counts of open bins, summed over the residual gaps, become smallest: into
 an open bin, or into a new one. Counts per gap are all that the rule needs, so its state is one array of
-`capacity` numbers and the open bins' ids. Each scan partition tokenises and packs its own documents in
-one pass without a shuffle: longest first within windows of bounded size; the items of bins that a window
-leaves open are packed again with the next one, and at the end of the partition by best fit.
+`capacity` numbers and the open bins' ids. Longest items come first. As the rule keeps gaps of every size
+open, which pays in long runs only, a finished window is mended: the bins that it left open are taken apart,
+and so are MENDED in a hundred of the full ones, those of the most items, and their items go where they fit
+best.
+
+Each scan partition tokenises and packs its own documents in one pass; what doesn't fill its sequences to
+the last token is dealt out anew, to as many tasks as its tokens fill windows, and closed there. So the
+number of sequences hardly depends on how the table is laid out in files.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import small_batches
+from pairwright.llm.common import materialize, ship
 from pairwright.llm.tokens import byte_bpe, default_ranks_path
 
 CAPACITY = 1024
 END_OF_DOCUMENT = 2
+MENDED = 20
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
+_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -60,16 +67,37 @@ class SumOfSquares:
         return at
 
 
-def pack(sizes: list[int], capacity: int, closing: bool) -> tuple[list[int], list[int], list[int]]:
-    """For each item its bin and offset; and for each bin what it holds. Longest items come first."""
-    bins, used, rule = [0] * len(sizes), [], SumOfSquares(capacity)
-    offsets = [0] * len(sizes)
+def _placed(sizes: list[int], capacity: int, closing: bool) -> list[list[int]]:
+    """The items of each bin, longest first."""
+    rule, bins = SumOfSquares(capacity), []
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        b = bins[i] = rule.place(sizes[i], closing)
-        if b == len(used):
-            used.append(0)
-        offsets[i] = used[b]
-        used[b] += sizes[i]
+        b = rule.place(sizes[i], closing)
+        if b == len(bins):
+            bins.append([])
+        bins[b].append(i)
+    return bins
+
+
+def pack(sizes: list[int], capacity: int, closing: bool) -> tuple[list[int], list[int], list[int]]:
+    """For each item its bin and offset; and for each bin what it holds. closing: by best fit alone."""
+    found = _placed(sizes, capacity, closing)
+    if not closing:
+        held = [sum(sizes[i] for i in b) for b in found]
+        full = sorted((k for k, h in enumerate(held) if h == capacity), key=lambda k: -len(found[k]))
+        apart = {k for k, h in enumerate(held) if h < capacity}
+        if apart:
+            apart.update(full[: MENDED * len(full) // 100])
+        again = [i for k in sorted(apart) for i in found[k]]
+        mended = [[again[i] for i in b] for b in _placed([sizes[i] for i in again], capacity, True)]
+        if len(mended) <= len(apart):
+            found = [b for k, b in enumerate(found) if k not in apart] + mended
+    bins, offsets, used = [0] * len(sizes), [0] * len(sizes), []
+    for k, b in enumerate(found):
+        at = 0
+        for i in b:
+            bins[i], offsets[i] = k, at
+            at += sizes[i]
+        used.append(at)
     return bins, offsets, used
 
 
@@ -83,37 +111,27 @@ def cut(ids: bytes, capacity: int) -> Iterator[tuple[int, int, bytes]]:
         piece, start, end = piece + 1, end, end + capacity
 
 
-def _packer(ranks_path: str, capacity: int, window: int):
-    end = np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
+def _emit(rows: list[tuple], numbers: list[int | None], offsets: list[int | None]) -> pa.RecordBatch:
+    doc_id, piece, start, ids = zip(*rows, strict=True)
+    columns = (doc_id, piece, start, [len(x) // 4 for x in ids], ids, numbers, offsets)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, _KINDS, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    def emit(rows: list[tuple], numbers: list[int], offsets: list[int]) -> pa.RecordBatch:
-        doc_id, piece, start, ids = zip(*rows, strict=True)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-        columns = (doc_id, piece, start, [len(x) // 4 for x in ids], ids, numbers, offsets)
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+def _first_pass(ranks_path: str, capacity: int, window: int):
+    """Pieces of documents; those that no full sequence takes have no sequence_id yet."""
+    end = np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, next_id = byte_bpe(ranks_path), TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         waiting = 0
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, waiting, next_id
-            if not held:
-                return
-            bins, offsets, used = pack([len(r[3]) // 4 for r in held], capacity, closing=False)
-            again = [i for i, b in enumerate(bins) if used[b] < capacity]
-            keep = set(again)
-            done = [i for i in range(len(held)) if i not in keep]
-            if done:
-                number = {b: next_id + k for k, b in enumerate(sorted({bins[i] for i in done}))}
-                next_id += len(number)
-                yield emit([held[i] for i in done], [number[bins[i]] for i in done], [offsets[i] for i in done])
-            held = [held[i] for i in again]
-            waiting = sum(len(r[3]) // 4 for r in held)
-            if held and (last or waiting > window // 2):  # what doesn't go up exactly is closed by best fit
-                bins, offsets, used = pack([len(r[3]) // 4 for r in held], capacity, closing=True)
-                yield emit(held, [next_id + b for b in bins], offsets)
+            if held:
+                bins, offsets, used = pack([len(r[3]) // 4 for r in held], capacity, closing=False)
+                full = [used[b] == capacity for b in bins]
+                yield _emit(held, [next_id + b if ok else None for b, ok in zip(bins, full, strict=True)], [o if ok else None for o, ok in zip(offsets, full, strict=True)])
                 next_id += len(used)
                 held, waiting = [], 0
 
@@ -123,8 +141,35 @@ def _packer(ranks_path: str, capacity: int, window: int):
                     held.append((doc_id, piece, start, ids))
                     waiting += len(ids) // 4
                 if waiting >= window:
-                    yield from flush(False)
-        yield from flush(True)
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _second_pass(capacity: int, window: int):
+    """Closes what the first pass left over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        next_id = (1 << 62) + (TaskContext.get().partitionId() << 40)
+        held: list[tuple] = []
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, waiting, next_id
+            if held:
+                bins, offsets, used = pack([len(r[3]) // 4 for r in held], capacity, closing=False)
+                yield _emit(held, [next_id + b for b in bins], offsets)
+                next_id += len(used)
+                held, waiting = [], 0
+
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+                held.append(row)
+                waiting += len(row[3]) // 4
+            if waiting >= 2 * window:
+                yield from flush()
+        yield from flush()
 
     return run
 
@@ -133,12 +178,16 @@ def pack_documents(docs: DataFrame, ranks_path: str | None = None, capacity: int
     """Every piece of every document (doc_id, text) with its ids, sequence and place.
 
     ids are little-endian unsigned 32-bit numbers; a document ends in END_OF_DOCUMENT, so an empty or null
-    text makes one piece of one id. Repeated rows and null ids are packed like any other. Sequences never
-    reach over scan partitions; `window` bounds, in tokens, what a task holds.
+    text makes one piece of one id. Repeated rows and null ids are packed like any other; an empty table
+    gives none; other columns don't matter, whatever their names. `window` bounds, in tokens, what a task
+    holds: one window, or two in the second pass.
     """
-    small_batches(docs.sparkSession)
-    run = _packer(ranks_path or default_ranks_path(), capacity, window)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    ship(docs.sparkSession)
+    run = _first_pass(ranks_path or default_ranks_path(), capacity, window)
+    found = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA))
+    left = found.filter("sequence_id IS NULL")
+    tasks = -(-left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // window) or 1
+    return found.filter("sequence_id IS NOT NULL").unionByName(left.repartition(tasks).mapInArrow(_second_pass(capacity, window), SCHEMA))
 
 
 def packing_report(docs: DataFrame) -> DataFrame:
