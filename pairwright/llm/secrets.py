@@ -2,9 +2,12 @@
 
 Everything runs as DataFrame expressions. Positions come from what a pattern leaves between its matches:
 the pieces of split() and the matches of regexp_extract_all() alternate, so running sums of their lengths
-are the offsets, in code points. Two first-order Markov chains over the characters of a candidate, one of
-random strings and one of ordinary identifiers, give its log-likelihood ratio; candidates past the
-threshold become spans of kind `markov` where they don't touch a span of a fixed pattern.
+are the offsets, in code points. First-order Markov chains over the characters of a candidate, one for each
+alphabet of random strings and one of ordinary identifiers, give its log-likelihood ratio, the best random
+chain against the ordinary one; candidates past the threshold become spans of kind `markov` where they don't
+touch a span of a fixed pattern. The chains are trained from labelled samples: generated random strings, the
+values that the fixed patterns caught in the corpus, and identifiers: the corpus's own long words, and each
+of its words put together with usual parts, versions, dates and numbers.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.llm.common import materialize
+
 #: The patterns of the three base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs that are long enough: as a match takes a whole run, shorter ones can't hide a longer one.
@@ -28,29 +33,50 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 _RUN = "[A-Za-z0-9+/_=-]"
 #: A whole run of characters that tokens are made of.
-CANDIDATE = rf"(?<!{_RUN}){_RUN}{{20,}}"
+CANDIDATE = rf"(?<!{_RUN}){_RUN}{{12,}}"
 IDENTIFIER = rf"(?<!{_RUN})[A-Za-z_-]{{12,}}(?!{_RUN})"
+WORD = r"[A-Za-z]{3,}"
+#: Usual parts of identifiers, which stand beside the corpus's words in labelled samples.
+PARTS = (
+    "get", "set", "is", "has", "to", "from", "by", "of", "id", "name", "type", "key", "value", "list", "map", "count", "size", "max", "min", "index", "user", "account", "order", "file", "path", "url",
+    "http", "api", "test", "data", "base", "model", "view", "handler", "manager", "service", "client", "server", "config", "status", "code", "error", "request", "response", "version", "date", "time", "host", "src", "lib",
+    "abstract", "factory", "proxy", "builder", "string", "buffer", "stream", "queue", "thread", "cache", "session", "provider", "controller", "template", "util", "common", "core", "main", "app", "build", "linux", "node",
+    "java", "python", "image", "profile", "picture", "group", "process", "function", "object", "event", "message", "package", "public", "private", "static", "default", "system", "network", "database", "backup",
+)
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 _BLOCK = 256
 
 
 @dataclass(frozen=True)
 class MarkovRatio:
-    """weights[a * len(ALPHABET) + b]: thousandths of a nat that b after a speaks for a random string."""
+    """weights[(k * N + a) * N + b], N = len(ALPHABET): thousandths of a nat that b after a speaks for random chain k.
+
+    least: the log of how much rarer random strings are held to be than ordinary ones.
+    """
 
     weights: tuple[int, ...]
-    per_char: float = 0.8
-    least: float = 15.0
+    least: float = 10.0
 
     def ratio(self, value: Column) -> Column:
-        table = F.from_json(F.lit(json.dumps(self.weights)), "array<int>")
+        """Of the random chain that fits best, in nats, with what the choice among them costs."""
+        n = len(ALPHABET)
+        chains = len(self.weights) // n**2
         codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-        steps = F.zip_with(F.slice(codes, 1, F.length(value) - 1), F.slice(codes, 2, F.length(value) - 1), lambda a, b: F.get(table, a * len(ALPHABET) + b))
-        return F.aggregate(steps, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0))) / 1000.0
+        steps = F.zip_with(F.slice(codes, 1, F.length(value) - 1), F.slice(codes, 2, F.length(value) - 1), lambda a, b: a * n + b)
+        tables = [F.from_json(F.lit(json.dumps(self.weights[k * n**2 : (k + 1) * n**2])), "array<int>") for k in range(chains)]
+
+        def best(steps: Column) -> Column:
+            sums = [F.aggregate(steps, F.lit(0), _adder(t)) for t in tables]
+            return (F.greatest(*sums) if chains > 1 else sums[0]) / 1000.0 - float(np.log(chains))
+
+        return F.get(F.transform(F.array(steps), best), F.lit(0))  # one evaluation of the steps for all chains
 
     def is_random(self, value: Column) -> Column:
-        r = self.ratio(value)
-        return (r >= self.least) & (r >= self.per_char * F.length(value))
+        return self.ratio(value) >= self.least
+
+
+def _adder(table: Column):
+    return lambda acc, x: acc + F.coalesce(F.get(table, x), F.lit(0))
 
 
 def _sums(lengths: Column) -> Column:
@@ -91,17 +117,18 @@ def find_secrets(docs: DataFrame, model: MarkovRatio) -> DataFrame:
     """docs (with a column text) and base_spans, spans: arrays of start, kind (index in KINDS), end, sorted.
 
     Offsets are code points, the end exclusive. base_spans has the fixed patterns' matches, which may
-    overlap across kinds; spans adds those of the models. A null or empty text has none. Rows and other
-    columns stay as they are, but names that begin with _ are the operator's own.
+    overlap across kinds; spans adds those of the models; n_assign, n_access and n_hex count the former. A
+    null or empty text has none; repeated rows have the same; an empty table gives none. Columns of docs with
+    one of these five names are replaced, all others stay.
     """
-    df = with_matches(base_matches(docs), "_run", CANDIDATE)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"))
+    df = with_matches(base_matches(rows), "_run", CANDIDATE)
     base = F.array_sort(F.concat(*(_spans(F.col(f"_{k}"), k) for k in KINDS[:3])))
     df = df.withColumn("base_spans", base.cast(_SPAN))
     apart = lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
-    mixed = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
-    random = F.filter(F.filter("_run", lambda m: mixed(m) & apart(m)), lambda m: model.is_random(m["value"]))
-    df = df.withColumn("spans", F.array_sort(F.concat("base_spans", _spans(random, "markov"))).cast(_SPAN))
-    return df.withColumns({f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS[:3]}).drop("_assign", "_access", "_hex", "_run", "_text")
+    random = F.filter(F.filter("_run", apart), lambda m: model.is_random(m["value"]))
+    found = {"base_spans": F.col("base_spans"), "spans": F.array_sort(F.concat("base_spans", _spans(random, "markov"))).cast(_SPAN), **{f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS[:3]}}
+    return df.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in found), *(v.alias(k) for k, v in found.items()))
 
 
 def as_text(spans: Column) -> Column:
@@ -110,20 +137,29 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: MarkovRatio, mark: str = "[secret]") -> DataFrame:
-    """docs with every span of their texts, overlapping ones together, replaced by a mark; n_chars follows."""
-    df = find_secrets(docs, model)
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
+def _running_max(values: Column) -> Column:
+    """The greatest value before each one, 0 at first, by blocks as in running_sums."""
+    top = lambda x, first: F.aggregate(x, F.array(first), lambda acc, v: F.array_append(acc, F.greatest(F.element_at(acc, -1), v)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
+    before = top(F.transform(blocks, lambda b: F.array_max(b)), F.lit(0))
+    return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, first: F.slice(top(b, first), 1, F.size(b))))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    df = df.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text")))
+def redact(docs: DataFrame, model: MarkovRatio, mark: str = "[secret]") -> DataFrame:
+    """docs with every span of their texts, overlapping ones together, replaced by a mark; n_chars follows.
+
+    All columns stay, whatever their names; a text without spans, null or empty ones too, stays as it is.
+    """
+    rows = docs.select(F.struct("*").alias("_docs_row"), F.col("text").cast("string").alias("text"))
+    df = find_secrets(rows, model).withColumn("_done", F.when(F.size("spans") > 0, _running_max(F.col("spans.end"))))
+    piece = lambda s: F.when(s["spans"]["start"] >= s["_done"], F.concat(F.substring(F.col("text"), s["_done"] + 1, s["spans"]["start"] - s["_done"]), F.lit(mark))).otherwise("")
+    last = F.array_max("spans.end")
+    text = F.concat(F.array_join(F.transform(F.arrays_zip("spans", "_done"), piece), ""), F.substring(F.col("text"), last + 1, F.length("text")))
+    df = df.withColumn("_text", F.when(F.size("spans") > 0, text))
+    new = {"text": F.coalesce(F.col("_text"), F.col("_docs_row")["text"])}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_docs_row")["n_chars"])
+    return df.select(*(new.get(c, F.col("_docs_row")[c]).alias(c) for c in docs.columns))
 
 
 # ---- training ----------------------------------------------------------------------------------------------
@@ -132,54 +168,89 @@ def redact(docs: DataFrame, model: MarkovRatio, mark: str = "[secret]") -> DataF
 def generated_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     """Labelled samples of random strings in the alphabets that tokens use: (label, value)."""
     i = F.col("id").cast("string")
-    return spark.range(n).select(F.lit("generated").alias("label"), F.explode(F.array(F.base64(F.unhex(F.sha2(i, 256))), F.lower(F.hex(F.md5(i))), F.upper(F.conv(F.substring(F.sha2(i, 224), 1, 15), 16, 36)), F.translate(F.base64(F.unhex(F.sha2(i, 384))), "+/", "-_"))).alias("value"))
-
-
-def corpus_samples(docs: DataFrame) -> DataFrame:
-    """Labelled samples of all documents: values that the fixed patterns caught, and ordinary identifiers."""
-    df = base_matches(docs.select("text"))
-    caught = F.transform(F.concat("_assign", "_access", "_hex"), lambda m: F.struct(F.lit("caught").alias("label"), m["value"].alias("value")))
-    plain = F.transform(F.regexp_extract_all("_text", F.lit(IDENTIFIER), F.lit(0)), lambda v: F.struct(F.lit("identifier").alias("label"), v.alias("value")))
-    return df.select(F.explode(F.concat(caught, plain)).alias("s")).select("s.label", "s.value")
+    base64 = F.base64(F.unhex(F.sha2(i, 256)))
+    letters = F.translate(base64, "0123456789+/=", "")
+    short = F.conv(F.substring(F.sha2(i, 224), 1, 15), 16, 36)
+    made = {
+        "base64": base64, "url64": F.translate(F.base64(F.unhex(F.sha2(i, 384))), "+/", "-_"), "base62": F.translate(base64, "+/=", ""), "hex": F.lower(F.hex(F.md5(i))),
+        "upper36": F.upper(short), "lower36": F.lower(short), "letters": letters, "lower": F.lower(letters), "upper": F.upper(letters),
+    }
+    pairs = F.array(*(F.struct(F.lit(k).alias("label"), v.alias("value")) for k, v in made.items()))
+    return spark.range(n).select(F.explode(pairs).alias("s")).select("s.label", "s.value")
+
+
+def rules(spark: SparkSession, n: int = 300) -> DataFrame:
+    """Labelled samples of ruled lines, which are ordinary too."""
+    length = (F.lit(12) + F.col("id") % 30).cast("int")
+    return spark.range(n).select(F.lit("identifier").alias("label"), F.explode(F.array(*(F.repeat(F.lit(c), length) for c in "=-_+/x"))).alias("value"))
+
+
+def identifiers_of(words: DataFrame) -> DataFrame:
+    """Labelled samples (label, value): each word with usual parts, versions, dates and numbers, which ones its hash says."""
+    w, h = F.lower("word"), F.xxhash64("word")
+    digit = lambda shift, n: F.pmod(F.shiftright(h, shift), F.lit(n)).cast("int")
+    part = lambda shift: F.element_at(F.array(*map(F.lit, PARTS)), digit(shift, len(PARTS)) + 1)
+    number = lambda shift, n: digit(shift, n).cast("string")
+    two = lambda shift, n: F.lpad((digit(shift, n) + 1).cast("string"), 2, "0")
+    a, b, year = part(0), part(7), (F.lit(1990) + digit(13, 40)).cast("string")
+    made = [
+        F.concat_ws("_", w, a, b), F.concat_ws("_", a, w, F.concat(F.lit("v"), number(17, 9)), year), F.concat(a, F.initcap(w), number(19, 1000), F.initcap(b)), F.concat(F.initcap(w), F.initcap(a), F.initcap(b)),
+        F.upper(F.concat_ws("_", a, b, w, F.concat(F.lit("V"), number(23, 20)))), F.concat_ws("-", w, a, number(29, 20), number(31, 20), number(37, 100)), F.concat_ws("/", a, w, year, F.concat(b, number(41, 100))),
+        F.concat(w, F.lit("_"), year, F.lit("-"), two(43, 12), F.lit("-"), two(47, 28)), F.concat(a, number(5, 100), F.lit("_"), number(11, 100), F.lit("-"), w), F.concat(w, year, a, number(19, 100)),
+        F.concat_ws("-", b, F.concat(year, two(43, 12), two(47, 28)), number(3, 1_000_000), number(9, 1_000_000_000)),
+    ]
+    return words.select(F.lit("identifier").alias("label"), F.element_at(F.array(*made), digit(53, len(made)) + 1).alias("value"))
+
+
+def corpus_samples(docs: DataFrame, most_docs: int = 20_000) -> DataFrame:
+    """Labelled samples, each once: values that the fixed patterns caught, and ordinary identifiers.
+
+    Caught values and long words are those of all documents. Words that are put together with other parts
+    are those of about most_docs documents, chosen by their texts' hashes.
+    """
+    n = docs.count()
+    df = base_matches(docs.select(F.col("text").cast("string").alias("text")))
+    labelled = lambda name, values: F.transform(values, lambda v: F.struct(F.lit(name).alias("label"), v.alias("value")))
+    caught = labelled("caught", F.transform(F.concat("_assign", "_access", "_hex"), lambda m: m["value"]))
+    plain = labelled("identifier", F.regexp_extract_all("_text", F.lit(IDENTIFIER), F.lit(0)))
+    chosen = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) * n < 1_000_000 * most_docs
+    words = F.when(chosen, labelled("word", F.array_distinct(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))))).otherwise(F.slice(plain, 1, 0))
+    found = materialize(df.select(F.explode(F.concat(caught, plain, words)).alias("s")).select("s.label", "s.value").distinct())
+    return found.filter("label <> 'word'").unionByName(identifiers_of(found.filter("label = 'word'").select(F.col("value").alias("word"))))
 
 
 def transition_counts(samples: DataFrame) -> dict[str, np.ndarray]:
-    """For each label the counts of character b after a: three tables of fixed size, whatever the samples are."""
-    values = samples.groupBy("label", "value").agg(F.count("*").alias("n"))
-    codes = F.transform(F.split("value", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    pairs = values.withColumn("c", codes).select("label", "n", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.when((a >= 0) & (b >= 0), a * len(ALPHABET) + b))).alias("pair"))
+    """For each label the counts of character b after a: tables of fixed size, whatever the samples are."""
     k = len(ALPHABET)
-    counts = {x: np.zeros(k * k) for x in ("generated", "caught", "identifier")}
-    for r in pairs.filter("pair IS NOT NULL").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
-        counts[r.label][r.pair] = r.n
-    return {x: c.reshape(k, k) for x, c in counts.items()}
+    codes = F.transform(F.split("value", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    steps = samples.withColumn("c", codes).select("label", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c") - 1), lambda a, b: F.when((a >= 0) & (b >= 0), a * k + b))).alias("pair"))
+    counts: dict[str, np.ndarray] = {}
+    for r in steps.filter("pair IS NOT NULL").groupBy("label", "pair").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r.label, np.zeros(k * k))[r.pair] = r.n
+    return {x: c.reshape(k, k) for x, c in sorted(counts.items())}
 
 
 def fit(samples: DataFrame, smoothing: float = 0.5) -> MarkovRatio:
-    """Random strings: the even mixture of generated and caught samples; against ordinary identifiers."""
+    """A chain for each label of random strings, against that of the label `identifier`."""
+    k = len(ALPHABET)
 
     def chain(c: np.ndarray) -> np.ndarray:
         """Transition probabilities; rare contexts fall back on how frequent a character is at all."""
-        single = (c.sum(axis=0) + smoothing) / (c.sum() + smoothing * len(c))
-        return (c + smoothing * len(c) * single) / (c.sum(axis=1, keepdims=True) + smoothing * len(c))
+        single = (c.sum(axis=0) + smoothing) / (c.sum() + smoothing * k)
+        return (c + smoothing * k * single) / (c.sum(axis=1, keepdims=True) + smoothing * k)
 
     counts = transition_counts(samples)
-    random = [chain(counts[x]) for x in ("generated", "caught") if counts[x].sum()]
-    # letters count alike in either case among identifiers, as in titles and constants
-    low, up = slice(0, 26), slice(26, 52)
-    plain = counts["identifier"].copy()
-    folded = plain[low, low] + plain[up, up] + plain[up, low] + plain[low, up]
-    for a in (low, up):
-        plain[a, a] += folded
-    ratio = np.log(sum(random) / len(random)) - np.log(chain(plain)) if random else np.zeros_like(plain)
-    return MarkovRatio(tuple(int(x) for x in np.rint(1000 * ratio).ravel()))
+    plain = np.log(chain(counts.pop("identifier", np.zeros((k, k)))))
+    random = [np.log(chain(c)) - plain for c in counts.values()] or [np.zeros((k, k))]
+    return MarkovRatio(tuple(int(x) for x in np.rint(1000 * np.array(random)).ravel()))
 
 
 def fit_corpus(docs: DataFrame) -> MarkovRatio:
-    return fit(corpus_samples(docs).unionByName(generated_samples(docs.sparkSession)))
+    spark = docs.sparkSession
+    return fit(corpus_samples(docs).unionByName(generated_samples(spark)).unionByName(rules(spark)))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of docs; other columns don't matter."""
     df = find_secrets(docs.select("doc_id", "text"), fit_corpus(docs))
     return df.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(as_text(F.col("base_spans")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
