@@ -11,6 +11,7 @@ that path falls back to its own best container. What is dropped inside is of the
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import hot_join, materialize, small_batches
+from pairwright.llm.common import hot_join, materialize, ship, slices
 
 #: Kinds of tags, and words that name what isn't the article.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -34,15 +35,77 @@ OUT_WORDS = set(
     " login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus widget toolbar pagination pager"
     " skip search hidden header topbar toc".split()
 )
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 _TOKENS = re.compile(r"[A-Za-z]+")
-_DEEPEST = 64
+#: Containers nested deeper than this share the path of the one around them, and a longer label is cut to a
+#: digest, so that paths stay short; texts and their order don't change.
+DEEPEST, LONGEST_LABEL = 64, 80
 KEEPS = 0.8
 
-_BLOCKS = "array<struct<path:string,text:string>>"
-_PARSED = f"page_id long, url string, own string, weight long, blocks {_BLOCKS}"
+_BLOCKS = "array<struct<path:int,text:string>>"
+_PARSED = f"page_id long, url string, own string, weight long, paths array<string>, blocks {_BLOCKS}"
+
+
+class Tags:
+    """Walks over the tags of a page once: every search starts where the last one ended, or isn't repeated."""
+
+    def __init__(self, html: str):
+        self.html, self.quoted, self.next_end = html, True, -1
+
+    def _end(self, at: int) -> int:
+        """The place of the first > from a place on, -1 if there is none."""
+        if self.next_end != len(self.html) and self.next_end < at:
+            found = self.html.find(">", at)
+            self.next_end = len(self.html) if found < 0 else found
+        return -1 if self.next_end == len(self.html) else self.next_end
+
+    def _tag_end(self, at: int) -> int:
+        """The > that ends a tag, quoted ones left out; where quotes don't pair, the first one, as for all later tags."""
+        first = self._end(at)
+        if first < 0 or not self.quoted:
+            return first
+        while m := _QUOTE_OR_END.search(self.html, at):
+            if m[0] == ">":
+                return m.start()
+            before = m.start() - 1
+            while self.html[before].isspace():
+                before -= 1
+            at = m.end()
+            if self.html[before] == "=":  # elsewhere a quote is a letter like others
+                at = self.html.find(m[0], at) + 1
+                if not at:
+                    break
+        self.quoted = False
+        return first
+
+    def skip_raw(self, tag: str, at: int) -> int:
+        """The place after the end tag of a raw element, the page's end if there is none."""
+        m = _RAW_END[tag].search(self.html, at)
+        end = self._end(m.end()) if m else -1
+        return end + 1 if end >= 0 else len(self.html)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str]:
+        """start, end, whether it closes, name ('' for comments and the like) and attributes of the next tag."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                return at, len(html) if end < 0 else end + 3, False, "", ""
+            after = html[at + 1 : at + 3]
+            if after[:1].isascii() and after[:1].isalpha() or after[:1] == "/" and after[1:].isascii() and after[1:].isalpha():
+                stop = self._end(at)
+                if stop < 0:
+                    break
+                m = _NAME.match(html, at, stop + 1)
+                end = self._tag_end(m.end())
+                return at, end + 1, after[0] == "/", m[1].lower(), html[m.end() : end]
+            if after[:1] in ("!", "?") and (end := self._end(at)) >= 0:
+                return at, end + 1, False, "", ""
+            at += 1
+        return len(html), len(html), False, "", ""
 
 
 def _label(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
@@ -56,8 +119,9 @@ def _label(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
         if tag not in ("html", "body", "article", "main"):
             out = out or any(w in OUT_WORDS for n in names.split() for w in _name_words(n))
         first = names.split()
-        name = f".{re.sub(r'[0-9]+', '#', first[0].lower())}" if first else ""
-    return tag + name, out
+        name = f".{re.sub(r'[0-9]+', '#', first[0].lower()).replace('>', '_')}" if first else ""
+    label = tag + name
+    return label if len(label) <= LONGEST_LABEL else hashlib.md5(label.encode("utf-8", "replace")).hexdigest(), out
 
 
 def _name_words(name: str) -> list[str]:
@@ -82,70 +146,70 @@ def parse(html: str) -> list[tuple[str, str, int]]:
             buffer.clear()
         links = 0
 
-    while True:
-        m = _TAG.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if text:
-            buffer.append(text)
+    tags, opened = Tags(html), {}  # opened: how many of each name are on the stack
+    while at < len(html):
+        start, end, close, tag, attributes = tags.next(at)
+        if start > at:
+            buffer.append(html[at:start])
             if in_link:
-                links += len(text)
-        if not m:
-            break
-        at = m.end()
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+                links += start - at
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
             in_link = 0 if close else 1
         if tag in INLINE and tag not in ("br", "hr"):
             continue
         if tag in RAW:
             if not close and not attributes.endswith("/"):
-                end = _RAW_END[tag].search(html, at)
-                at = end.end() if end else len(html)
+                at = tags.skip_raw(tag, at)
             continue
         flush()
         if tag in VOID:
             continue
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened.get(tag):
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
         if stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         if attributes.endswith("/") and tag not in ("p", "div", "article", "section", "main"):
             continue
         _, path, out, inside = stack[-1]
         label, gone = _label(tag, attributes, inside)
-        if tag not in LEAF and len(stack) < _DEEPEST:
+        if tag not in LEAF and len(stack) < DEEPEST:
             path = f"{path}>{label}" if path else label
         stack.append((tag, path, out or gone, inside or tag in ("article", "main")))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return blocks
 
 
 def best_container(blocks: list[tuple[str, str, int]]) -> tuple[str, int]:
-    """The deepest path under which at least KEEPS of the page's weight lies, and that weight."""
-    weights: dict[str, int] = {}
-    total = 0
+    """The deepest path under which at least KEEPS of the page's weight lies, widened, and its weight."""
+    own: dict[str, int] = {}
+    linked: dict[str, bool] = {}  # whether a block right under the path is mostly links
     for path, text, links in blocks:
-        w = max(len(text) - 2 * links, 0)
-        total += w
+        own[path] = own.get(path, 0) + max(len(text) - 2 * links, 0)
+        linked[path] = linked.get(path, False) or 2 * links >= len(text)
+    weights: dict[str, int] = {}
+    for path, w in own.items():
         at = len(path)
         while at > 0:
             weights[path[:at]] = weights.get(path[:at], 0) + w
             at = path.rfind(">", 0, at)
+    total = sum(own.values())
     kept = [(p.count(">"), w, p) for p, w in weights.items() if w >= KEEPS * total and w > 0]
     if not kept:
         return "", 0
-    p = widened(max(kept)[2], blocks)
+    p = widened(max(kept)[2], linked)
     return p, weights[p]
 
 
-def widened(path: str, blocks: list[tuple[str, str, int]]) -> str:
+def widened(path: str, linked: dict[str, bool]) -> str:
     """The farthest article or main around a path; without one, the farthest path that gains only blocks of running text."""
     labels = path.split(">")
     for k, label in enumerate(labels):
@@ -154,8 +218,8 @@ def widened(path: str, blocks: list[tuple[str, str, int]]) -> str:
     best = path
     for k in range(len(labels) - 1, 0, -1):
         up, inside = ">".join(labels[:k]), f"{best}>"
-        gained = [(t, n) for p, t, n in blocks if (p == up or p.startswith(f"{up}>")) and p != best and not p.startswith(inside)]
-        if any(2 * n >= len(t) for t, n in gained):
+        gained = [is_linked for p, is_linked in linked.items() if (p == up or p.startswith(f"{up}>")) and p != best and not p.startswith(inside)]
+        if any(gained):
             break
         if gained:
             best = up
@@ -163,16 +227,19 @@ def widened(path: str, blocks: list[tuple[str, str, int]]) -> str:
 
 
 def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
-    for b in batches:
-        own, weight, blocks = [], [], []
+    kind = pa.list_(pa.struct([("path", pa.int32()), ("text", pa.string())]))
+    for b in slices(batches, 2):
+        own, weight, paths, blocks = [], [], [], []
         for h in b.column(2).to_pylist():
             found = parse(h or "")
             best, w = best_container(found)
+            number: dict[str, int] = {}
+            blocks.append([{"path": number.setdefault(p, len(number)), "text": t} for p, t, _ in found])
             own.append(best)
             weight.append(w)
-            blocks.append([{"path": p, "text": t} for p, t, _ in found])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.string()), pa.array(weight, pa.int64()), pa.array(blocks, kind)], names=["page_id", "url", "own", "weight", "blocks"])
+            paths.append(list(number))
+        columns = [b.column(0), b.column(1), pa.array(own, pa.string()), pa.array(weight, pa.int64()), pa.array(paths, pa.list_(pa.string())), pa.array(blocks, kind)]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "own", "weight", "paths", "blocks"])
 
 
 def host(url: Column) -> Column:
@@ -187,24 +254,26 @@ def winning_paths(parsed: DataFrame) -> DataFrame:
     return votes.groupBy("host").agg(best.alias("path"), F.sum("pages").alias("pages"))
 
 
-def main_text(blocks: Column, path: Column) -> Column:
-    under = F.filter(blocks, lambda b: (b["path"] == path) | b["path"].startswith(F.concat(path, F.lit(">"))))
-    return F.transform(under, lambda b: b["text"])
+def main_text(paths: Column, blocks: Column, path: Column) -> Column:
+    """The texts of the blocks under a path, in page order."""
+    under = F.transform(paths, lambda p: (p == path) | p.startswith(F.concat(path, F.lit(">"))))
+    return F.transform(F.filter(blocks, lambda b: F.get(under, b["path"])), lambda b: b["text"])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
     A null or empty html gives an empty text. Rows with a null url share the empty host. Repeated rows each
-    give a row (and a vote).
+    give a row (and a vote); an empty table gives none; other columns don't matter, whatever their names.
+    Parsing takes time in proportion to a page's length, whatever is left open in it.
     """
-    small_batches(pages.sparkSession, 200)
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = materialize(rows.mapInArrow(_parse_all, _PARSED).withColumn("host", host(F.col("url"))))
     winners = materialize(winning_paths(parsed))
     total = winners.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     found = hot_join(parsed, winners, ["host"], "pages", total)
     path = F.when(F.col("path").startswith(F.concat("own", F.lit(">"))), F.col("own")).otherwise(F.col("path"))
-    found = found.withColumn("found", main_text(F.col("blocks"), path))
-    text = F.array_join(F.when(F.size("found") > 0, F.col("found")).otherwise(main_text(F.col("blocks"), F.col("own"))), "\n")
+    found = found.withColumn("found", main_text(F.col("paths"), F.col("blocks"), path))
+    text = F.array_join(F.when(F.size("found") > 0, F.col("found")).otherwise(main_text(F.col("paths"), F.col("blocks"), F.col("own"))), "\n")
     return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
