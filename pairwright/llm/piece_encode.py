@@ -1,12 +1,11 @@
 """SentencePiece (BPE with byte fallback) encoding by suffix-array matching, and decoding.
 
-A batch's new words are written one after another, and the positions of that text are sorted by what
-follows them, as far as the longest piece reaches. A binary search then gives every piece its range of
-occurrences; each is an edge of the lattice over the text, and edges are sorted by word, score and
-position. Relaxation starts from single characters: in each round every word takes its best edge that
-spans two neighbouring segments, which is the order in which the vocabulary's merges apply; no piece
-reaches over the start of a word, so all words relax side by side. Characters without a piece become their
-UTF-8 bytes.
+The words of a batch are written one after another, each different one once, and the positions of that text
+are sorted by what follows them, as far as the longest piece reaches. A binary search then gives every piece
+its range of occurrences; sorted by position, they are its edges in the lattice over the text. Edges relax
+piece by piece, best score first, which is the order in which the vocabulary's merges apply: an edge is taken
+where it spans two neighbouring segments at that time. An edge is looked at once, so words of any length go
+the same way. Characters without a piece become their UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -22,16 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright.llm.common import small_batches
+from pairwright.llm.common import ship, slices
 
 SPACE = "▁"
 _UNKNOWN = 1  # the code of characters that no piece has; 0 parts words
-#: Longer words relax by a heap, as they would need very many rounds.
-_LONG = 200
+#: How much text is a batch, and how many characters are indexed at once (a longer word goes whole).
+BATCH_BYTES, AT_ONCE = 8_000_000, 1_000_000
 
 
 class PieceCoder:
-    def __init__(self, model_path: str, words: int = 150_000, at_once: int = 300_000):
+    def __init__(self, model_path: str, at_once: int = AT_ONCE):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -40,17 +39,17 @@ class PieceCoder:
         plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.byte_ids = {int(pieces[i][1:-1], 16): i for i in ids if model.is_byte(i)}
         self.unknown = model.unk_id()
-        self.single = {pieces[i]: i for i in plain if len(pieces[i]) == 1}
-        several = [i for i in plain if len(pieces[i]) > 1]
+        single = {pieces[i]: i for i in plain if len(pieces[i]) == 1}
+        several = sorted((i for i in plain if len(pieces[i]) > 1), key=lambda i: -model.get_score(i))
         self.codes = {c: k + 2 for k, c in enumerate(sorted({c for i in plain for c in pieces[i]}))}
         self.code_of = np.full(0x110000, _UNKNOWN, dtype=np.int64)
         self.code_of[[ord(c) for c in self.codes]] = list(self.codes.values())
         self.single_of = np.full(0x110000, -1, dtype=np.int64)
-        self.single_of[[ord(c) for c in self.single]] = list(self.single.values())
+        self.single_of[[ord(c) for c in single]] = list(single.values())
         self.reach = max((len(pieces[i]) for i in several), default=1)
         self.piece_ids = np.array(several, dtype=np.int64)
         self.lengths = np.array([len(pieces[i]) for i in several], dtype=np.int64)
-        self.scores = np.array([model.get_score(i) for i in ids])
+        self.above = self._above([pieces[i] for i in several])
         rows = np.zeros((len(several), self.reach), dtype=">u2")
         for row, i in zip(rows, several, strict=True):
             row[: len(pieces[i])] = [self.codes[c] for c in pieces[i]]
@@ -63,32 +62,45 @@ class PieceCoder:
         self.as_bytes = [b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         for b, i in self.byte_ids.items():
             self.as_bytes[i] = bytes([b])
-        self.known: dict[str, bytes] = {}
-        self.most, self.at_once = words, at_once
+        self.at_once = at_once
+
+    @staticmethod
+    def _above(pieces: list[str]) -> list[list[int]]:
+        """For each rank those of the pieces that it is one of two parts of, in order."""
+        rank = {p: r for r, p in enumerate(pieces)}
+        out: list[list[int]] = [[] for _ in pieces]
+        for p, r in rank.items():
+            for k in range(1, len(p)):
+                parts = [rank.get(x, -1 if len(x) == 1 else None) for x in (p[:k], p[k:])]
+                if None not in parts:
+                    for x in set(parts) - {-1}:
+                        out[x].append(r)
+        return out
 
     def _keys(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows).view(f"S{2 * self.reach}").ravel()
 
     # ---- matching ----
 
-    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """start, end and id of every occurrence of a piece of two or more characters."""
+    def occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The positions in the order of what follows them, and each piece's first and last place in it."""
         n = len(codes)
-        rank, span = codes.astype(np.int64), 1
-        while span < self.reach:  # ranks by the first 1, 2, 4, ... codes
-            after = np.zeros(n, dtype=np.int64)
-            after[: n - span] = rank[span:] + 1
-            rank = np.unique(rank * (int(rank.max(initial=0)) + int(after.max(initial=0)) + 2) + after, return_inverse=True)[1]
-            span *= 2
+        rank, span = codes, 1
+        while span < self.reach:  # ranks by the first 1, 4, 16, ... codes
+            wide = rank
+            base = int(rank.max(initial=0)) + 2
+            for k in (1, 2, 3):
+                after = np.zeros(n, dtype=np.int64)
+                after[: max(n - k * span, 0)] = rank[k * span :] + 1
+                if base > 1 << 15 and k > 1:  # four ranks no longer fit into one number
+                    wide = np.unique(wide, return_inverse=True)[1]
+                wide = wide * base + after
+            rank = np.unique(wide, return_inverse=True)[1]
+            span *= 4
         order = np.argsort(rank, kind="stable")
         padded = np.concatenate([codes, np.zeros(self.reach, dtype=np.int64)]).astype(">u2")
         keys = self._keys(np.lib.stride_tricks.sliding_window_view(padded, self.reach)[order])
-        first, last = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-        found = np.maximum(last - first, 0)
-        total = int(found.sum())
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(total)
-        start = order[at]
-        return start, start + np.repeat(self.lengths, found), np.repeat(self.piece_ids, found)
+        return order, np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
 
     # ---- relaxation ----
 
@@ -99,31 +111,45 @@ class PieceCoder:
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64)
         codes[begins[1:] - 1] = 0
-        start, end, piece = self.edges(codes)
-        word = np.searchsorted(begins, start, "right") - 1
-        order = np.lexsort((start, -self.scores[piece], word))
-        start, end, piece, word = start[order], end[order], piece[order], word[order]
+        order, first, last = self.occurrences(codes)
         n = len(codes)
         following = np.arange(1, n + 2)  # the next segment's start
         is_start = np.ones(n + 1, dtype=bool)
         ids = self.single_of[points]
-        long = sizes[word] > _LONG
-        if long.any():
-            for w in np.unique(word[long]):
-                mine = word == w
-                self._relax_long(start[mine].tolist(), end[mine].tolist(), piece[mine].tolist(), following, is_start, ids)
-            start, end, piece, word = start[~long], end[~long], piece[~long], word[~long]
-        while len(start):
+        edges: dict[int, np.ndarray] = {}
+
+        def relax(r: int) -> bool:
+            start, size = edges[r], self.lengths[r]
             middle = following[start]
-            ready = np.flatnonzero((middle < end) & (following[np.minimum(middle, n)] == end))
-            if not len(ready):
-                break
-            best = ready[np.concatenate([[True], word[ready][1:] != word[ready][:-1]])]
-            is_start[middle[best]] = False
-            following[start[best]] = end[best]
-            ids[start[best]] = piece[best]
-            alive = is_start[start] & is_start[end] & (following[start] < end)
-            start, end, piece, word = start[alive], end[alive], piece[alive], word[alive]
+            end = start + size
+            ready = is_start[start] & (middle < end)
+            ready &= following[np.minimum(middle, n)] == end
+            if not ready.any():
+                return False
+            start, middle = start[ready], middle[ready]
+            if len(start) > 1 and int(np.diff(start).min()) < size:  # of edges that overlap, the left one
+                keep, at = [], -1
+                for k, s in enumerate(start.tolist()):
+                    if s >= at:
+                        keep.append(k)
+                        at = s + size
+                start, middle = start[keep], middle[keep]
+            following[start] = start + size
+            is_start[middle] = False
+            ids[start] = self.piece_ids[r]
+            return True
+
+        for r in np.flatnonzero(last > first).tolist():
+            edges[r] = np.sort(order[first[r] : last[r]])
+            again = [r]
+            while again:  # a piece can make way for one with a better score that was looked at before
+                q = heapq.heappop(again)
+                if relax(q):
+                    for p in self.above[q]:
+                        if p > r:
+                            break
+                        if p in edges and p not in again:
+                            heapq.heappush(again, p)
         heads = np.flatnonzero(is_start[:n] & (codes > 0))
         got = ids[heads]
         cut, stop = np.searchsorted(heads, begins).tolist(), np.searchsorted(heads, begins + sizes).tolist()
@@ -138,52 +164,23 @@ class PieceCoder:
     def _fallback(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
 
-    def _relax_long(self, start: list[int], end: list[int], piece: list[int], following: np.ndarray, is_start: np.ndarray, ids: np.ndarray) -> None:
-        """The same order of merges for one word, by a heap; an edge is queued when it spans two segments."""
-        edge = dict(zip(zip(start, end, strict=True), piece, strict=True))
-        first, last = min(start), max(end)
-        nxt = {i: i + 1 for i in range(first, last)}
-        before = {i + 1: i for i in range(first, last)}
-        heap: list[tuple[float, int, int, int]] = []
-
-        def queue(i: int) -> None:
-            m = nxt.get(i)
-            k = nxt.get(m) if m is not None else None
-            if k is not None and (i, k) in edge:
-                heapq.heappush(heap, (-self.scores[edge[i, k]], i, m, k))
-
-        for i in range(first, last):
-            queue(i)
-        while heap:
-            _, i, m, k = heapq.heappop(heap)
-            if nxt.get(i) != m or nxt.get(m) != k:
-                continue
-            del nxt[m], before[m]
-            nxt[i], before[k] = k, i
-            is_start[m], following[i], ids[i] = False, k, edge[i, k]
-            queue(i)
-            if i in before:
-                queue(before[i])
-
     # ---- texts ----
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit bytes."""
         split = [self.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, set().union(*split)
+        ids: dict[str, bytes] = {}
         part: list[str] = []
         size = 0
-        for w in sorted(new):
+        for w in set().union(*split):
             part.append(w)
             size += len(w) + 1
             if size >= self.at_once:
-                self.known.update(zip(part, self.encode_words(part), strict=True))
+                ids.update(zip(part, self.encode_words(part), strict=True))
                 part, size = [], 0
         if part:
-            self.known.update(zip(part, self.encode_words(part), strict=True))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+            ids.update(zip(part, self.encode_words(part), strict=True))
+        return [b"".join(map(ids.__getitem__, ws)) for ws in split]
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.as_bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
@@ -192,7 +189,7 @@ class PieceCoder:
 
 @lru_cache(maxsize=2)
 def coder(model_path: str) -> PieceCoder:
-    """One for each Python worker, so that its words serve later tasks too."""
+    """One for each Python worker."""
     return PieceCoder(model_path)
 
 
@@ -202,36 +199,34 @@ def default_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _appender(make):
-    """Batches with one more column, made of the one named `at`."""
+def _with_column(rows: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source: str, make) -> DataFrame:
+    """rows and one more column, made of the one named `source`; a column of that name is replaced."""
+    ship(rows.sparkSession)
+    rows = rows.drop(name)
+    at = rows.columns.index(source)
 
-    def of(name: str, kind: pa.DataType, source: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                values = make(b.column(b.schema.get_field_index(source)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, kind)], names=[*b.schema.names, name])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(make(b.column(at).to_pylist()), arrow)], names=[*b.schema.names, name])
 
-        return run
-
-    return of
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(name, kind)]))
 
 
 def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """docs (with a column text) and ids: little-endian unsigned 32-bit numbers; none for an empty or null text."""
-    small_batches(docs.sparkSession)
+    """docs (with a column text) and ids: little-endian unsigned 32-bit numbers; none for an empty or null text.
+
+    A column ids of docs is replaced; all others stay. Repeated rows are encoded like any other; an empty
+    table gives none.
+    """
     path = model_path or default_model_path()
-    make = _appender(lambda texts: coder(path).encode([t or "" for t in texts]))
-    docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(make("ids", pa.binary(), "text"), T.StructType([*docs.schema, T.StructField("ids", T.BinaryType())]))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return _with_column(docs, "ids", T.BinaryType(), pa.binary(), "text", lambda texts: coder(path).encode([t or "" for t in texts]))
 
 
 def decode_documents(rows: DataFrame, model_path: str | None = None) -> DataFrame:
-    """rows (with a column ids) and decoded: their texts; '' for null ids."""
-    small_batches(rows.sparkSession)
+    """rows (with a column ids) and decoded: their texts; '' for null ids. A column decoded of rows is replaced."""
     path = model_path or default_model_path()
-    make = _appender(lambda ids: [coder(path).decode(i or b"") for i in ids])
-    rows = rows.drop("decoded")
-    return rows.mapInArrow(make("decoded", pa.string(), "ids"), T.StructType([*rows.schema, T.StructField("decoded", T.StringType())]))
+    return _with_column(rows, "decoded", T.StringType(), pa.string(), "ids", lambda ids: [coder(path).decode(i or b"") for i in ids])
 
 
 def round_trips(docs: DataFrame, model_path: str | None = None) -> DataFrame:
