@@ -25,6 +25,24 @@ def any_match(text: Column, patterns: list[str]) -> Column:
     return matches(text, "|".join(f"(?:{p})" for p in patterns))
 
 
+def ascii_words(text: Column) -> Column:
+    """The text with a ~ for every character outside ASCII, so that \\b of any JVM goes by ASCII words; '' for null."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]", "~")
+
+
+def has(ascii_text: Column, patterns: str | list[str]) -> Column:
+    """Whether one of the patterns is found in a text of ascii_words()."""
+    patterns = [patterns] if isinstance(patterns, str) else patterns
+    if len(patterns) > 1 and all(p.startswith(r"\b") and "|" not in p for p in patterns):  # one look for a word's edge
+        return ascii_text.rlike(r"(?i)\b(?:" + "|".join(p[2:] for p in patterns) + ")")
+    return ascii_text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
+def once(df: DataFrame, name: str, columns: dict[str, Column]) -> DataFrame:
+    """df and a struct of columns, each computed once: a generator, through which no filter or projection copies them."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias(name))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -70,9 +88,9 @@ def html_to_text(html: Column) -> Column:
 
 
 def _character(digits: Column) -> Column:
-    """The character of a code point below 65536; '' for others."""
-    code = digits.cast("int")
-    return F.when(code.between(1, 0xFFFF), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).otherwise("")
+    """The character of the lower sixteen bits of a number."""
+    code = digits.cast("int").bitwiseAND(0xFFFF)
+    return F.when(code > 0, F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")).otherwise("")
 
 
 #: Letters with accents and their plain forms, as far as place names need them.

@@ -42,37 +42,67 @@ def role_components(roles: DataFrame, radius: float) -> DataFrame:
     return named.withColumn("component", F.coalesce("c", "_cell")).drop("c", "_cell", "band", "cell")
 
 
+class _NearAreas:
+    """Areas of a walk by the grid cell of their centroids, so that a role only looks at those around it."""
+
+    def __init__(self, radius: float, widest_lat: float):
+        self.step = math.degrees(radius / EARTH_MILES) * 1.0001
+        ratio = math.sin(radius / (2 * EARTH_MILES)) / max(math.cos(math.radians(min(widest_lat + 2 * self.step, 90.0))), 1e-9)
+        self.columns = max(1, math.floor(360 / (math.degrees(2 * math.asin(min(1.0, ratio))) * 1.0001)))
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        self.at: list[tuple[int, int]] = []
+
+    def _cell(self, lat: float, lon: float) -> tuple[int, int]:
+        return math.floor(lat / self.step), math.floor((lon + 180) / 360 * self.columns) % self.columns
+
+    def put(self, area: int, lat: float, lon: float) -> None:
+        cell = self._cell(lat, lon)
+        if area == len(self.at):
+            self.at.append(cell)
+        elif self.at[area] != cell:
+            self.cells[self.at[area]].discard(area)
+            self.at[area] = cell
+        self.cells.setdefault(cell, set()).add(area)
+
+    def around(self, lat: float, lon: float) -> list[int]:
+        row, column = self._cell(lat, lon)
+        columns = {(column + k) % self.columns for k in (-1, 0, 1)}
+        return sorted(a for r in (row - 1, row, row + 1) for c in columns for a in self.cells.get((r, c), ()))
+
+
 def _greedy(radius: float):
     def run(roles: pd.DataFrame) -> pd.DataFrame:
         roles = roles.sort_values(["score", "ordinal"], ascending=[False, True], kind="stable", na_position="last")
-        lat, lon = roles.lat.to_numpy(), roles.lon.to_numpy()
-        pinned, country = (roles.precision == "city").to_numpy(), roles.country.to_numpy()
-        area = np.zeros(len(roles), dtype=np.int64)
-        centre = np.zeros((len(roles), 2))
-        sums, counts = np.zeros((len(roles), 2)), np.zeros(len(roles))
-        founder = np.zeros(len(roles), dtype=np.int64)
-        home: list = []
-        n = 0
-        for i in range(len(roles)):
-            target = -1
-            if n:
-                p, c = np.radians(lat[i]), np.radians(centre[:n, 0])
-                h = np.sin((c - p) / 2) ** 2 + math.cos(p) * np.cos(c) * np.sin((np.radians(centre[:n, 1]) - math.radians(lon[i])) / 2) ** 2
-                miles = 2 * EARTH_MILES * np.arcsin(np.minimum(1, np.sqrt(h)))
-                if not pinned[i]:  # vague roles only join areas of their own country
-                    miles = np.where([k is None or k == country[i] for k in home], miles, np.inf)
-                best = int(miles.argmin())
-                target = best if miles[best] <= radius else -1
+        lats, lons = roles.lat.tolist(), roles.lon.tolist()
+        pinned, country = (roles.precision == "city").tolist(), roles.country.tolist()
+        near = _NearAreas(radius, float(roles.lat.abs().max()))
+        area: list[int] = []
+        sums: list[list[float]] = []
+        founder: list[int] = []
+        for i, (lat, lon) in enumerate(zip(lats, lons, strict=True)):
+            target, least = -1, math.inf
+            p = math.radians(lat)
+            for k in near.around(lat, lon):
+                n, y, x = sums[k]
+                home = country[founder[k]]
+                if not pinned[i] and home is not None and home != country[i]:  # vague roles only join areas of their own country
+                    continue
+                c = math.radians(y / n)
+                h = math.sin((c - p) / 2) ** 2 + math.cos(p) * math.cos(c) * math.sin((math.radians(x / n) - math.radians(lon)) / 2) ** 2
+                miles = 2 * EARTH_MILES * math.asin(min(1.0, math.sqrt(h)))
+                if miles <= radius and miles < least:
+                    target, least = k, miles
             if target < 0:
-                target, n = n, n + 1
-                founder[target] = i
-                home.append(country[i])
-            sums[target] += lat[i], lon[i]
-            counts[target] += 1
-            centre[target] = sums[target] / counts[target]
-            area[i] = target
-        ids = roles.id.to_numpy()
-        return pd.DataFrame({"id": ids, "area_id": ids[founder[area]], "rank": np.arange(len(roles)), "area_lat": centre[area, 0], "area_lon": centre[area, 1]})
+                target = len(sums)
+                sums.append([0, 0.0, 0.0])
+                founder.append(i)
+            s = sums[target]
+            s[0], s[1], s[2] = s[0] + 1, s[1] + lat, s[2] + lon
+            near.put(target, s[1] / s[0], s[2] / s[0])
+            area.append(target)
+        ids, of = roles.id.to_numpy(), np.array(area)
+        centre = np.array([(y / n, x / n) for n, y, x in sums])
+        return pd.DataFrame({"id": ids, "area_id": ids[np.array(founder)[of]], "rank": np.arange(len(roles)), "area_lat": centre[of, 0], "area_lon": centre[of, 1]})
 
     return run
 
@@ -80,7 +110,8 @@ def _greedy(radius: float):
 def assign_areas(roles: DataFrame, radius: float = DEFAULT_RADIUS) -> DataFrame:
     """id, area_id (its founder's id), rank within the component, and the area's final centroid.
 
-    Visiting order matters, so each component is walked by one task; components are independent.
+    Every role's area depends on those of all better roles around it, so each component is walked by one
+    task, in time and memory in proportion to its roles; components are independent.
     """
     ship(roles.sparkSession)
     rows = role_components(located(roles).select("id", "score", "ordinal", "lat", "lon", "precision", "country"), radius)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.functions.text import any_match, matches
+from pairwright.functions.text import ascii_words, has, once
 
 #: The default vocabularies.
 SIDE_A = [r"\bvascular surgeon\b", r"\bvascular surgery\b", r"\bendovascular\b", r"\bvascular (?:and |& )?endovascular\b", r"\bcardiothoracic (?:and |& )?vascular surg"]
@@ -67,43 +67,52 @@ def _text(name: str) -> Column:
 
 
 def with_matches(postings: DataFrame) -> DataFrame:
-    """Adds what each rule says of title and department (_t...) and of everything (_f...), once per rule."""
-    df = postings.withColumn("_titleish", F.concat_ws(" ", _text("title"), _text("department")))
-    df = df.withColumn("_full", F.concat_ws(" ", "_titleish", _text("description")))
-    t, full, org = F.col("_titleish"), F.col("_full"), _text("org")
-    return df.withColumns({
-        "is_attending": ~any_match(t, NOT_ATTENDING), "_other": matches(t, OTHER_SPECIALTY), "_ours": matches(t, OURS_AFTER_ALL), "_ta": any_match(t, SIDE_A), "_tb": any_match(t, SIDE_B),
-        "_tir": matches(t, INTERVENTIONAL), "_fir": matches(full, INTERVENTIONAL), "_md": matches(t, PHYSICIAN), "_fa": any_match(full, SIDE_A), "_fb": any_match(full, SIDE_B),
-        "_gov": matches(F.concat_ws(" ", org, "_full"), GOVERNMENT), "_private_org": matches(org, PRIVATE), "_academic_title": matches(F.concat_ws(" ", org, "_titleish"), ACADEMIC),
-        "_private": matches(full, PRIVATE), "_academic_body": matches(_text("description"), ACADEMIC),
-        "_remote_title": matches(t, REMOTE_TITLE), "_onsite_title": matches(t, ONSITE_TITLE), "_hybrid_title": matches(t, HYBRID_TITLE),
-        "_remote_place": matches(_text("location"), REMOTE_PLACE), "_remote": matches(full, REMOTE_PHRASE), "_hybrid": matches(full, HYBRID_PHRASE),
+    """Adds _t, what the rules say of title, department, employer and place, and _f, what they say of the whole text.
+
+    Bodies are only searched for what titles leave open; where they do, the answer is null.
+    """
+    df = once(postings, "_a", {"titleish": ascii_words(F.concat_ws(" ", _text("title"), _text("department"))), "body": ascii_words(_text("description")), "org": ascii_words(_text("org"))})
+    t, body, org = F.col("_a.titleish"), F.col("_a.body"), F.col("_a.org")
+    full = F.concat_ws(" ", t, body)
+    df = once(df, "_t", {
+        "attending": ~has(t, NOT_ATTENDING), "other": has(t, OTHER_SPECIALTY), "ours": has(t, OURS_AFTER_ALL), "a": has(t, SIDE_A), "b": has(t, SIDE_B), "ir": has(t, INTERVENTIONAL), "md": has(t, PHYSICIAN),
+        "private_org": has(org, PRIVATE), "academic": has(F.concat_ws(" ", org, t), ACADEMIC), "locum": has(t, LOCUM), "leadership": has(t, LEADERSHIP),
+        "remote": has(t, REMOTE_TITLE), "onsite": has(t, ONSITE_TITLE), "hybrid": has(t, HYBRID_TITLE), "remote_place": has(ascii_words(_text("location")), REMOTE_PLACE),
     })
+    titled = F.col("_t.a") | F.col("_t.b") | F.col("_t.ir")
+    generic = F.col("_t.attending") & F.col("_t.md") & ~F.col("_t.other") & ~titled
+    by_body = ~(F.col("_t.remote") | F.col("_t.onsite") | F.col("_t.hybrid") | F.col("_t.remote_place"))
+    found = once(df, "_f", {
+        "a": F.when(generic, has(full, SIDE_A)), "b": F.when(generic, has(full, SIDE_B)), "ir": F.when(~F.col("_t.ir"), has(full, INTERVENTIONAL)),
+        "government": has(F.concat_ws(" ", org, full), GOVERNMENT), "private": F.when(~F.col("_t.private_org") & ~F.col("_t.academic"), has(full, PRIVATE)), "academic": F.when(~F.col("_t.private_org") & ~F.col("_t.academic"), has(body, ACADEMIC)),
+        "remote": F.when(by_body, has(full, REMOTE_PHRASE)), "hybrid": F.when(by_body, has(full, HYBRID_PHRASE)),
+    })
+    return found.drop("_a")
 
 
 def _route() -> Column:
     """Which rule settles the specialty: a key of REASONS, or null."""
-    generic = F.col("is_attending") & F.col("_md") & ~F.col("_other")
+    a, b = F.col("_f.a"), F.col("_f.b")  # null unless an attending physician's title names no specialty
     return (
-        F.when(F.col("_other") & ~F.col("_ours"), F.lit(None).cast("string"))
-        .when(F.col("_ta"), "a_title").when(F.col("_tb"), "b_title").when(F.col("_tir"), "ir_title")
-        .when(generic & F.col("_fa") & ~F.col("_fb"), "a_body").when(generic & F.col("_fb") & ~F.col("_fa"), "b_body").when(generic & F.col("_fa") & F.col("_fb"), "both")
+        F.when(F.col("_t.other") & ~F.col("_t.ours"), F.lit(None).cast("string"))
+        .when(F.col("_t.a"), "a_title").when(F.col("_t.b"), "b_title").when(F.col("_t.ir"), "ir_title")
+        .when(a & ~b, "a_body").when(b & ~a, "b_body").when(a & b, "both")
     )
 
 
 def setting() -> Column:
     """By strength of evidence; the employer's name outranks its prose."""
     return (
-        F.when(F.col("_gov"), "government").when(F.col("_private_org"), "private").when(F.col("_academic_title"), "academic")
-        .when(F.col("_private"), "private").when(F.col("_academic_body"), "academic").when(_text("org") != "", "hospital-employed").otherwise("unknown")
+        F.when(F.col("_f.government"), "government").when(F.col("_t.private_org"), "private").when(F.col("_t.academic"), "academic")
+        .when(F.col("_f.private"), "private").when(F.col("_f.academic"), "academic").when(_text("org") != "", "hospital-employed").otherwise("unknown")
     )
 
 
 def work_model() -> Column:
     """The title outranks the location, which outranks prose."""
     return (
-        F.when(F.col("_remote_title"), "remote").when(F.col("_onsite_title"), "onsite").when(F.col("_hybrid_title"), "hybrid")
-        .when(F.col("_remote_place") | F.col("_remote"), "remote").when(F.col("_hybrid"), "hybrid").otherwise("onsite")
+        F.when(F.col("_t.remote"), "remote").when(F.col("_t.onsite"), "onsite").when(F.col("_t.hybrid"), "hybrid")
+        .when(F.col("_t.remote_place") | F.col("_f.remote"), "remote").when(F.col("_f.hybrid"), "hybrid").otherwise("onsite")
     )
 
 
@@ -113,14 +122,14 @@ def classify(postings: DataFrame) -> DataFrame:
     specialty = F.when(F.col("_route").isin("a_title", "a_body"), "a").when(F.col("_route").isin("b_title", "ir_title", "b_body"), "b")
     df = df.withColumn("specialty", specialty)
     why = F.element_at(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv)), F.col("_route"))
+    attending = F.col("_t.attending")
     df = df.withColumns({
-        "is_interventional": F.col("_tir") | (F.coalesce(F.col("specialty") == "b", F.lit(False)) & F.col("_fir")),
-        "is_locum": matches(F.col("_titleish"), LOCUM),
-        "is_leadership": F.col("is_attending") & F.col("specialty").isNotNull() & matches(F.col("_titleish"), LEADERSHIP),
+        "is_attending": attending, "is_interventional": F.col("_t.ir") | (F.coalesce(F.col("specialty") == "b", F.lit(False)) & F.col("_f.ir")),
+        "is_locum": F.col("_t.locum"), "is_leadership": attending & F.col("specialty").isNotNull() & F.col("_t.leadership"),
         "setting": setting(), "work_model": work_model(),
-        "reasons": F.array_compact(F.array(F.when(~F.col("is_attending"), REASONS["not_attending"]), why)),
+        "reasons": F.array_compact(F.array(F.when(~attending, REASONS["not_attending"]), why)),
     })
-    return df.drop(*(c for c in df.columns if c.startswith("_") and c not in postings.columns))
+    return df.drop("_t", "_f", "_route")
 
 
 def is_relevant() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.geo import half_up
-from pairwright.functions.text import age_days, matches
+from pairwright.functions.text import age_days, ascii_words, has, once
 
 #: Weights of the parts per side, tiers, and what counts for and against a posting.
 PARTS = ("specialty_fit", "seniority", "practice_quality", "location", "recency", "signal")
@@ -59,31 +59,30 @@ def _unit(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def _hits(text: Column, side: str | None, rules: list) -> list[tuple[Column, float, str]]:
-    on = F.lit(True) if side is None else F.col("specialty") == side
-    return [(on & matches(text, p), pts, why) for p, pts, why in rules]
-
-
 def score_roles(roles: DataFrame, today: Column, preferred: tuple[str, ...] = PREFERRED) -> DataFrame:
     """roles with score, tier, subscores (struct), age_days, score_reasons and concerns, both in order and distinct."""
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    body = F.coalesce("description", F.lit(""))
-    good = [h for side in ("a", "b") for h in _hits(text, side, POSITIVE[side])]
-    bad = _hits(text, None, NEGATIVE)
-    ir_only = (F.col("specialty") == "b") & F.col("is_interventional") & ~matches(text, DIAGNOSTIC)
+    df = once(roles, "_a", {"text": ascii_words(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))})
+    text, body = F.col("_a.text"), F.coalesce("description", F.lit(""))
+    rules = {f"{side}{k}": (F.coalesce(F.col("specialty") == side, F.lit(False)) & has(text, p), pts, why) for side in ("a", "b") for k, (p, pts, why) in enumerate(POSITIVE[side])}
+    against = {f"n{k}": (has(text, p), pts, why) for k, (p, pts, why) in enumerate(NEGATIVE)}
+    ir_only = F.coalesce((F.col("specialty") == "b") & F.col("is_interventional"), F.lit(False)) & ~has(text, DIAGNOSTIC)
+    found = {n: c for n, (c, _, _) in (rules | against).items()} | {"ir_only": ir_only, "entry": has(text, ENTRY), "trauma": has(text, TRAUMA), "ranked": has(text, RANKED)}
+    roles = once(df, "_m", found).drop("_a")
+    good, bad = ([(F.col(f"_m.{n}"), pts, why) for n, (_, pts, why) in x.items()] for x in (rules, against))
+    ir_only = F.col("_m.ir_only")
     fit = F.lit(0.55)
     for hit, pts, _ in good:
         fit = fit + F.when(hit, F.lit(pts * 0.12)).otherwise(0.0)
     fit = fit - F.when(ir_only, F.lit(0.3)).otherwise(0.0)
     for hit, pts, _ in bad:
         fit = fit + F.when(hit, F.lit(pts * 0.12)).otherwise(0.0)
-    entry = matches(text, ENTRY)
+    entry = F.col("_m.entry")
     seniority = F.when(F.col("is_locum"), 0.25).when(entry, 0.35).when(F.col("is_leadership"), 0.95).otherwise(0.6)
     quality = F.lit(0.55)
     for name, (value, _) in SETTINGS.items():
         quality = F.when(F.col("setting") == name, F.lit(value)).otherwise(quality)
-    trauma = matches(text, TRAUMA)
-    quality = _unit(quality + F.when(trauma, 0.1).otherwise(0.0) + F.when(matches(text, RANKED), 0.05).otherwise(0.0))
+    trauma = F.col("_m.trauma")
+    quality = _unit(quality + F.when(trauma, 0.1).otherwise(0.0) + F.when(F.col("_m.ranked"), 0.05).otherwise(0.0))
     pinned = F.coalesce(F.col("precision") == "city", F.lit(False))
     place = _unit(F.when(F.col("country").isin(*preferred), 0.7).otherwise(0.3) + F.when(pinned, 0.15).otherwise(0.0))
     age = age_days(F.col("date_posted"), today)
@@ -113,7 +112,7 @@ def score_roles(roles: DataFrame, today: Column, preferred: tuple[str, ...] = PR
         total = total + weighted[p]
     score = half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))).cast("long")
     df = df.withColumns({"score": score, "subscores": F.struct(*(half_up(weighted[p]).cast("long").alias(p) for p in PARTS)), "age_days": age, "score_reasons": F.array_distinct(F.array_compact(F.array(*reasons))), "concerns": F.array_distinct(F.array_compact(F.array(*concerns)))})
-    return df.withColumn("tier", tier(F.col("score"))).drop(*(f"_{p}" for p in PARTS))
+    return df.withColumn("tier", tier(F.col("score"))).drop("_m", *(f"_{p}" for p in PARTS))
 
 
 def tier(score: Column) -> Column:

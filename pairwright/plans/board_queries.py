@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.scratch import materialize, scratch
@@ -13,6 +14,8 @@ from pairwright.sources import payloads as P
 from pairwright.sources import registry as R
 from pairwright.streaming import jobs
 
+#: Items of one response, as feeds page them.
+PAGE = 100
 SITE = "https://board.example/"
 FILTER = board.RoleFilter(specialty="b", min_score=55, posted_within=200, search="radiolog")
 
@@ -189,18 +192,19 @@ def detect_feed(spark, sf_dir):
 
 
 def landed(spark, sf_dir):
-    """Orders as landed payloads: a greenhouse body per customer bucket, a nested board and a feed."""
+    """Orders as landed payloads, PAGE to a page: a greenhouse board per customer bucket, a nested board and a feed."""
     k = F.col("o_orderkey")
     job = F.struct(F.concat(F.lit("Radiologist "), k.cast("string")).alias("title"), F.struct(F.lit("Doha").alias("name")).alias("location"), F.lit("<p>Great &amp; calm</p>").alias("content"), F.concat(F.lit("https://g.example/"), k.cast("string")).alias("absolute_url"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"))
     flat = F.struct(F.concat(F.lit("Surgeon "), k.cast("string")).alias("jobTitle"), F.concat(F.lit("/j/"), (k % 700).cast("string")).alias("externalPath"), F.lit("Akron, OH").alias("city"))
     orders = table(spark, sf_dir, "orders").withColumn("b", (F.col("o_custkey") % 50))
-    wide = orders.groupBy("b").agg(F.sort_array(F.collect_list(F.struct(k, job.alias("j"), flat.alias("f")))).alias("rows"))
+    orders = orders.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("b").orderBy("o_orderkey")) - 1) / PAGE).cast("int"))
+    wide = orders.groupBy("b", "page").agg(F.sort_array(F.collect_list(F.struct(k, job.alias("j"), flat.alias("f")))).alias("rows"))
     base = [F.lit(True).alias("ok"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("error")]
     name = lambda s: F.concat(F.lit(s), F.col("b").cast("string"))
-    green = wide.select(name("G").alias("source_name"), F.lit("https://g.example").alias("source_url"), F.lit("greenhouse").alias("kind"), F.lit(0).alias("request_seq"), *base, F.to_json(F.struct(F.transform("rows", lambda r: r["j"]).alias("jobs"))).alias("body"))
-    nested = wide.select(name("J").alias("source_name"), F.lit("https://j.example/x").alias("source_url"), F.lit("json").alias("kind"), F.lit(0).alias("request_seq"), *base, F.to_json(F.struct(F.lit(3).alias("total"), F.array(F.struct(F.transform("rows", lambda r: F.struct(r["f"].alias("data"))).alias("requisitionList"))).alias("items"))).alias("body"))
+    green = wide.select(name("G").alias("source_name"), F.lit("https://g.example").alias("source_url"), F.lit("greenhouse").alias("kind"), F.col("page").alias("request_seq"), *base, F.to_json(F.struct(F.transform("rows", lambda r: r["j"]).alias("jobs"))).alias("body"))
+    nested = wide.select(name("J").alias("source_name"), F.lit("https://j.example/x").alias("source_url"), F.lit("json").alias("kind"), F.col("page").alias("request_seq"), *base, F.to_json(F.struct(F.lit(3).alias("total"), F.array(F.struct(F.transform("rows", lambda r: F.struct(r["f"].alias("data"))).alias("requisitionList"))).alias("items"))).alias("body"))
     items = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("<item><title><![CDATA["), r["j"]["title"], F.lit("]]></title><link>"), r["j"]["absolute_url"], F.lit("</link><pubDate>Mon, 06 Aug 2001 10:00:00 GMT</pubDate></item>"))), "")
-    feed = wide.select(name("R").alias("source_name"), F.lit("https://r.example").alias("source_url"), F.lit("rss").alias("kind"), F.lit(0).alias("request_seq"), *base, F.concat(F.lit("<rss><channel>"), items, F.lit("</channel></rss>")).alias("body"))
+    feed = wide.select(name("R").alias("source_name"), F.lit("https://r.example").alias("source_url"), F.lit("rss").alias("kind"), F.col("page").alias("request_seq"), *base, F.concat(F.lit("<rss><channel>"), items, F.lit("</channel></rss>")).alias("body"))
     return green.unionByName(nested).unionByName(feed)
 
 
@@ -214,7 +218,7 @@ def payload_jobs(spark, sf_dir):
 def source_coverage(spark, sf_dir):
     k = F.col("s_suppkey")
     sources = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("source_name"), (k % 5 != 0).alias("is_active"), F.when(k % 7 == 1, "needs KEY").alias("skipped"), F.when(k % 4 == 2, "503").alias("error"))
-    found = table(spark, sf_dir, "lineitem").filter("l_quantity > 10 AND l_suppkey % 3 <> 0").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("source_name")), "l_suppkey")
+    found = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("source_name")), "l_suppkey")
     return snapshot.source_coverage(sources.select("source_name"), found, sources)
 
 

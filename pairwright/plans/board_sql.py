@@ -44,7 +44,7 @@ SELECT *, a_count > 0 AND b_count > 0 AS is_together, a_count > 0 AND b_count =
         "digest_entries": f"""WITH {_RUNS} SELECT specialty, row_number() OVER (PARTITION BY specialty ORDER BY score DESC, id) AS rank, id, org, CASE WHEN city IS NOT NULL THEN city || ', ' || CASE WHEN country = 'US' THEN 'OH' ELSE country END WHEN work_model = 'remote' THEN 'Remote' ELSE 'somewhere' END AS location, score,
 'https://board.example/#role=role%2F' || k || '%20(x)' AS board_url FROM u WHERE is_new QUALIFY rank <= 12""",
         "digest_counts": f"WITH {_RUNS} SELECT count(*) AS total_roles, count_if(is_new)::BIGINT AS new_this_run, count_if(is_new AND specialty = 'a')::BIGINT AS new_a, count_if(is_new AND specialty = 'b')::BIGINT AS new_b FROM u",
-        "source_coverage": """WITH n AS (SELECT l_suppkey AS k, count(*) AS postings FROM lineitem WHERE l_quantity > 10 AND l_suppkey % 3 <> 0 GROUP BY 1)
+        "source_coverage": """WITH n AS (SELECT l_suppkey AS k, count(*) AS postings FROM lineitem GROUP BY 1)
 SELECT s_name AS source_name, coalesce(postings, 0) AS postings, CASE WHEN s_suppkey % 5 = 0 THEN 'sweep-only' WHEN s_suppkey % 7 = 1 THEN 'needs-credentials' WHEN s_suppkey % 4 = 2 THEN 'failed' WHEN postings IS NULL THEN 'empty' ELSE 'ok' END AS status FROM supplier LEFT JOIN n ON k = s_suppkey""",
         "display_columns": f"""WITH {_ROLES} SELECT id, CASE WHEN city IS NOT NULL THEN city || ', ' || CASE WHEN country = 'US' THEN 'OH' ELSE country END WHEN work_model = 'remote' THEN 'Remote' ELSE 'somewhere' END AS location,
 CASE WHEN age_days IS NULL THEN 'date not stated' WHEN age_days = 0 THEN 'posted today' WHEN age_days = 1 THEN 'posted yesterday' WHEN age_days < 30 THEN 'posted ' || age_days || ' days ago' ELSE 'posted ' || floor(age_days / 30.0 + 0.5)::BIGINT || CASE WHEN floor(age_days / 30.0 + 0.5) = 1 THEN ' month ago' ELSE ' months ago' END END AS posted FROM r""",

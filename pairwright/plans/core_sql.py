@@ -24,11 +24,11 @@ def hit(text: str, pattern: str | list[str]) -> str:
 
 
 _HAV = "2 * 3958.7613 * asin(least(1.0, sqrt(power(sin((radians({b}lat) - radians({a}lat)) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * power(sin((radians({b}lon) - radians({a}lon)) / 2), 2))))"
-_NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def org_key(x: str, words: tuple) -> str:
-    return f"trim(regexp_replace(regexp_replace({_NORM.format(x)}, '\\b({'|'.join(words)})\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({NORM.format(x)}, '\\b({'|'.join(words)})\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 _H = "CASE WHEN {0} > 0 AND {1} > 0 THEN 2.0::DOUBLE * {0} * {1} / ({0} + {1}) ELSE 0 END"
@@ -54,9 +54,10 @@ def _pairs(select: str, radius: float = 45.0) -> str:
     return _PAIRS.format(r=f"{radius}::DOUBLE") + select
 
 
-def _classified() -> str:
+def classified(source: str) -> str:
+    """classified: a view of postings with what the rules say of them."""
     t, f = "titleish", "full_text"
-    return f"""{POSTINGS_SQL}, c0 AS (SELECT *, title || ' ' || department AS titleish, title || ' ' || department || ' ' || description AS full_text FROM postings), c1 AS (
+    return f"""c0 AS (SELECT *, title || ' ' || department AS titleish, title || ' ' || department || ' ' || description AS full_text FROM {source}), c1 AS (
   SELECT *, NOT {hit(t, C.NOT_ATTENDING)} AS is_attending, {hit(t, C.OTHER_SPECIALTY)} AS other, {hit(t, C.OURS_AFTER_ALL)} AS ours, {hit(t, C.SIDE_A)} AS ta, {hit(t, C.SIDE_B)} AS tb, {hit(t, C.INTERVENTIONAL)} AS tir,
     {hit(f, C.INTERVENTIONAL)} AS fir, {hit(t, C.PHYSICIAN)} AS md, {hit(f, C.SIDE_A)} AS fa, {hit(f, C.SIDE_B)} AS fb FROM c0
 ), c2 AS (
@@ -71,23 +72,23 @@ def _classified() -> str:
 )"""
 
 
-def _scored() -> str:
+def scores(source: str) -> str:
+    """scored: a view (title, description, specialty, ..., country, prec) with score, tier and the scores' parts."""
     x = "title || ' ' || description"
     good = " ".join(f"+ CASE WHEN specialty = '{side}' AND {hit(x, p)} THEN {pts * 0.12!r}::DOUBLE ELSE 0 END" for side in ("a", "b") for p, pts, _ in S.POSITIVE[side])
     bad = " ".join(f"+ CASE WHEN {hit(x, p)} THEN {pts * 0.12!r}::DOUBLE ELSE 0 END" for p, pts, _ in S.NEGATIVE)
     weights = {p: f"CASE WHEN specialty = 'a' THEN {S.RUBRIC['a'][k]} ELSE {S.RUBRIC['b'][k]} END" for k, p in enumerate(S.PARTS)}
     parts = ", ".join(f"p_{p} * ({weights[p]}) AS w_{p}" for p in S.PARTS)
     tiers = " ".join(f"WHEN score >= {n} THEN '{t}'" for n, t in S.TIERS)
-    return f"""{_classified()}, s0 AS (
-  SELECT *, CASE WHEN contains(location, 'Qatar') THEN 'QA' WHEN location = '' THEN NULL ELSE 'US' END AS country, CASE WHEN contains(location, ',') THEN 'city' ELSE 'region' END AS prec,
-    greatest(0, datediff('day', date_posted::DATE, DATE '{TODAY}')) AS age0, {hit(x, S.DIAGNOSTIC)} AS dx, {hit(x, S.ENTRY)} AS entry, {hit(x, S.TRAUMA)} AS trauma, {hit(x, S.RANKED)} AS ranked
-  FROM classified WHERE is_attending AND specialty IS NOT NULL
+    return f"""s0 AS (
+  SELECT *, greatest(0, datediff('day', date_posted::DATE, DATE '{TODAY}')) AS age0, {hit(x, S.DIAGNOSTIC)} AS dx, {hit(x, S.ENTRY)} AS entry, {hit(x, S.TRAUMA)} AS trauma, {hit(x, S.RANKED)} AS ranked
+  FROM {source}
 ), s1 AS (
   SELECT *, CASE WHEN date_posted IS NULL THEN NULL ELSE age0 END AS age_days,
     greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.55::DOUBLE {good} - CASE WHEN specialty = 'b' AND is_interventional AND NOT dx THEN 0.3::DOUBLE ELSE 0 END {bad})) AS p_specialty_fit,
     (CASE WHEN is_locum THEN 0.25 WHEN entry THEN 0.35 WHEN is_leadership THEN 0.95 ELSE 0.6 END)::DOUBLE AS p_seniority,
     least(1.0::DOUBLE, (CASE setting WHEN 'academic' THEN 0.75 WHEN 'private' THEN 0.72 WHEN 'government' THEN 0.6 ELSE 0.55 END)::DOUBLE + (CASE WHEN trauma THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN ranked THEN 0.05 ELSE 0 END)::DOUBLE) AS p_practice_quality,
-    (CASE WHEN country IN ('US', 'QA') THEN 0.7 ELSE 0.3 END)::DOUBLE + (CASE WHEN prec = 'city' THEN 0.15 ELSE 0 END)::DOUBLE AS p_location,
+    (CASE WHEN country IN ({', '.join(map(quoted, S.PREFERRED))}) THEN 0.7 ELSE 0.3 END)::DOUBLE + (CASE WHEN prec = 'city' THEN 0.15 ELSE 0 END)::DOUBLE AS p_location,
     greatest(0.15::DOUBLE, least(1.0::DOUBLE, length(description) / 1800.0::DOUBLE)) AS p_signal FROM s0
 ), s2 AS (
   SELECT *, (CASE WHEN age_days IS NULL THEN 0.5 WHEN age_days <= 14 THEN 1 WHEN age_days <= 45 THEN 0.75 WHEN age_days <= 90 THEN 0.45 WHEN age_days <= 180 THEN 0.25 ELSE 0.08 END)::DOUBLE AS p_recency FROM s1
@@ -99,18 +100,17 @@ def _scored() -> str:
 _NOT_ATTENDING = quoted(C.REASONS["not_attending"])
 _WHY = "CASE route " + " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in C.REASONS.items() if k != "not_attending") + " END"
 
-#: What each location of the view means, by hand: city, region, country, precision.
-GEOCODED = {
-    "Cleveland, OH": ("Cleveland", "OH", "US", "city"), "Springfield, IL": ("Springfield", "IL", "US", "city"), "Springfield, MO": ("Springfield", "MO", "US", "city"), "Doha, Qatar": ("Doha", "Baladiyat ad Dawhah", "QA", "city"),
-    "Remote": (None, None, None, "remote"), "Remote - Akron, Ohio": ("Akron", "OH", "US", "city"), "Al Khobar, Saudi Arabia": ("Khobar", "Eastern Province", "SA", "city"), "Texas": (None, "TX", "US", "region"),
-    "Qatar": (None, None, "QA", "country"), "St. Louis, MO": ("St. Louis", "MO", "US", "city"), "Multiple Locations": (None, None, None, "none"), "Smalltown, OH": (None, "OH", "US", "region"),
-    "Akron, OH; Cleveland, OH": ("Akron", "OH", "US", "city"), "": (None, None, None, "none"), "Springfield": ("Springfield", "MO", "US", "city"), "Kuwait City": ("Kuwait City", "Al Asimah", "KW", "city"),
-}
+def _classified() -> str:
+    return f"{POSTINGS_SQL}, {classified('postings')}"
+
+
+def _scored() -> str:
+    """Scores of relevant postings whose places are told by a comma and a name alone."""
+    placed = "SELECT *, CASE WHEN contains(location, 'Qatar') THEN 'QA' WHEN location = '' THEN NULL ELSE 'US' END AS country, CASE WHEN contains(location, ',') THEN 'city' ELSE 'region' END AS prec FROM classified WHERE is_attending AND specialty IS NOT NULL"
+    return f"{_classified()}, placed AS ({placed}), {scores('placed')}"
 
 
 def oracles() -> dict[str, str]:
-    v = lambda x: "NULL" if x is None else quoted(x)
-    truth = ", ".join(f"({', '.join(map(v, (k, *g)))})" for k, g in GEOCODED.items())
     email, phone = quoted(T.EMAIL), quoted(T.PHONE)
     distinct = "list_filter({0}, lambda v, i: list_position({0}, v) = i)"
 
@@ -154,15 +154,14 @@ SELECT area_id, city || CASE WHEN country = 'US' THEN ', ' || region ELSE CASE c
         "html_to_text": f"SELECT page_id, {html} AS text FROM pages",
         "contacts": contact(None),
         "contacts_without_noise": contact(T.NOISE_EMAIL),
-        "norm_keys": f"WITH {POSTINGS_SQL} SELECT DISTINCT org, title, {_NORM.format('title')} AS title_key, {org_key('org', T.MERGE_ORG_WORDS)} AS merge_key, {org_key('org', T.PAIR_ORG_WORDS)} AS pair_key FROM postings",
-        "fingerprints": f"WITH {POSTINGS_SQL} SELECT {org_key(org, T.MERGE_ORG_WORDS)} || '::' || {_NORM.format('title')} || '::' || {_NORM.format('location')} AS fp, count(*) AS copies, min(posting_ordinal) AS first_ordinal FROM postings GROUP BY 1",
+        "norm_keys": f"WITH {POSTINGS_SQL} SELECT DISTINCT org, title, {NORM.format('title')} AS title_key, {org_key('org', T.MERGE_ORG_WORDS)} AS merge_key, {org_key('org', T.PAIR_ORG_WORDS)} AS pair_key FROM postings",
+        "fingerprints": f"WITH {POSTINGS_SQL} SELECT {org_key(org, T.MERGE_ORG_WORDS)} || '::' || {NORM.format('title')} || '::' || {NORM.format('location')} AS fp, count(*) AS copies, min(posting_ordinal) AS first_ordinal FROM postings GROUP BY 1",
         "classify_postings": f"WITH {_classified()} SELECT posting_ordinal, specialty, is_attending, is_interventional, is_locum, is_leadership, setting, work_model, array_to_string(list_filter([CASE WHEN NOT is_attending THEN {_NOT_ATTENDING} END, {_WHY}], lambda r: r IS NOT NULL), '; ') AS reasons FROM classified",
         "setting_counts": f"WITH {_classified()} SELECT setting, work_model, count(*) AS n FROM classified GROUP BY ALL",
         "relevant_counts": f"WITH {_classified()} SELECT specialty, source_name, count(*) AS n, count_if(is_interventional)::BIGINT AS n_ir FROM classified WHERE is_attending AND specialty IS NOT NULL GROUP BY ALL",
         "score_parts": f"WITH {_scored()} SELECT posting_ordinal, score, tier, coalesce(age_days, -1)::BIGINT AS age_days, {', '.join(S.PARTS)} FROM scored",
         "score_shares": f"WITH {_scored()} SELECT tier, {', '.join(f'sum(floor(greatest(0.0, least(100.0, {p} / {c}.0::DOUBLE * 100)) + 0.5))::BIGINT AS {p}' for p, c in S.CEILING.items())}, count(*) AS n FROM scored GROUP BY 1",
-        "geocoded": f"WITH {POSTINGS_SQL}, g(raw, city, region, country, \"precision\") AS (VALUES {truth}) SELECT raw, city, region, country, \"precision\", count(*) AS n FROM postings JOIN g ON raw = location GROUP BY ALL",
     }
-    from pairwright.plans import board_sql
+    from pairwright.plans import board_sql, role_sql
 
-    return found | board_sql.oracles()
+    return found | role_sql.oracles() | board_sql.oracles()

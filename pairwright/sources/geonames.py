@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwright.functions.geo import half_up
+from pairwright.functions.scratch import materialize
 from pairwright.operators.geocode import centroids
 
 #: The countries that are kept, the least population in the first, and a place's most aliases.
@@ -33,7 +34,17 @@ def build_places(cities: DataFrame, admin1: DataFrame) -> DataFrame:
     other = F.filter(F.transform(F.split(F.coalesce("alternates", F.lit("")), ","), lambda a: F.trim(a)), lambda a: a.rlike(r"^[\x20-\x7E]+$") & (F.lower(a) != F.lower("n")))
     fourth = lambda c: half_up(F.col(c) * 1e4) / 1e4
     rows = df.select("n", F.when(us, F.col("admin1")).otherwise(F.coalesce("_label", F.lit(""))).alias("r"), F.col("country").alias("c"), fourth("lat").alias("lat"), fourth("lon").alias("lon"), "p", F.when(us, F.array().cast("array<string>")).otherwise(F.slice(other, 1, MOST_ALIASES)).alias("aliases"))
-    return rows.withColumn("place_ordinal", F.row_number().over(W.orderBy(F.desc("p"), "n", "c", "r", "lat", "lon")) - 1)  # a gazetteer has some 17,000 places
+    return numbered(rows, [F.desc("p"), F.asc("n"), F.asc("c"), F.asc("r"), F.asc("lat"), F.asc("lon")], "place_ordinal")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place in an order, from 0: sorted by ranges, numbered in each, from where the ranges before end."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    at = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_at", at).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).drop("_range", "_at", "_before")
 
 
 def places_per_country(places: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def field(job: dict, names: tuple[str, ...]) -> str:
     return ""
 
 
-@udtf(returnType=f"posting_ordinal int, id string, {', '.join(f'{c} string' for c in FIELDS)}")
+@udtf(returnType=f"posting_ordinal int, id string, {', '.join(f'{c} string' for c in FIELDS)}", useArrow=True)
 class BoardJobs:
     """The jobs of one JSON body, each with the first field that it has of every alias."""
 
