@@ -9,9 +9,11 @@ task scores any string by look-ups; the table's size doesn't depend on the data.
 A sentence is as toxic as its worst string: a token, folded to letters, or a run of letters set apart
 (`i d i o t`). Labels belong to documents, so this is learning from bags: every sentence of a clean document
 is labelled clean; of a toxic one's sentences, those that hold its worst strings are labelled toxic. Which
-ones these are is told by the machine of the round before, at first by how the kernel's means over toxic and
-clean sentences differ. Sentences count once however often copies repeat them. A part of the labelled
-documents isn't learnt from and sets the scale of the scores.
+ones these are is told at first by how the kernel's means over toxic and clean sentences differ; with these a
+machine is trained on either half of the documents, and what one half's machine finds toxic in the other half
+teaches the last one, so that no string counts as toxic on its own document's word alone. Sentences count once
+however often copies repeat them. A part of the labelled documents isn't learnt from and sets the scale of
+the scores.
 
 Bounds of what is learnt from, all parameters of fit(): `most_docs` labelled documents of either class, those
 first by hash; of their strings `most_strings` clean ones, half of them those that the round before found
@@ -42,7 +44,12 @@ REACH, DECAY = 6, 0.6
 LONGEST, OVERLAP = 24, 12
 #: How many of a text's strings its score rests on, and the margin that stands in for missing ones.
 TOP, LEAST = 3, -2.0
-PENALTY = 1e-4
+PENALTY = 4e-4
+#: From which margin on the other half's machine tells a toxic string.
+TOLD = 0.5
+#: A toxic string weighs by the power POWER of its support: the documents that hold it or strings like it, by the third
+#: power of their kernel. So what stands in one document only, and is like nothing in others, hardly counts.
+LIKE, POWER = 3, 2.5
 #: How far the scores' scale makes up for the rarer class: 0 not at all, 1 in full.
 BALANCE = 0.5
 STEPS = [(a, b) for a in range(1, REACH) for b in range(1, REACH + 1 - a)]
@@ -149,7 +156,7 @@ class KernelMachine:
 
     weights: np.ndarray
     bias: float
-    mix: tuple[float, ...] = (2.0, 1.0, 1.0)
+    mix: tuple[float, ...] = (3.0, 0.5, 0.5)
     shift: float = 0.0
     clip: bool = True
 
@@ -159,7 +166,7 @@ class KernelMachine:
 
 
 def train(positive: dict[str, float], negative: list[str], landmarks: list[str], penalty: float = PENALTY) -> KernelMachine:
-    """Squared-hinge machine over the Nyström features of the landmarks, classes of equal weight."""
+    """Squared-hinge machine over the Nyström features of the landmarks, classes of equal weight; positive: strings and their documents."""
     landmarks = list(dict.fromkeys(landmarks))
     index, skipped = subsequences(coded(landmarks))
     seen = np.unique(index)
@@ -175,9 +182,13 @@ def train(positive: dict[str, float], negative: list[str], landmarks: list[str],
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])  # kernel rows times root are the Nyström features
     words = [*positive, *negative]
-    x = np.c_[lookup(words, phi, slot) @ root, np.ones(len(words))]
+    kernel = lookup(words, phi, slot)
+    weight = np.array([*positive.values()])
+    told = [j for j, w in enumerate(landmarks) if w in positive]
+    support = np.maximum(weight, kernel[: len(positive), told].astype(np.float64) ** LIKE @ np.array([positive[landmarks[j]] for j in told])) ** POWER
+    x = np.c_[kernel @ root, np.ones(len(words))]
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    c = np.r_[0.5 * np.array([*positive.values()]) / sum(positive.values()), np.full(len(negative), 0.5 / len(negative))]
+    c = np.r_[0.5 * support / support.sum(), np.full(len(negative), 0.5 / len(negative))]
     w = np.zeros(x.shape[1])
     ridge = penalty * np.r_[np.ones(x.shape[1] - 1), 1e-3]
     for _ in range(30):  # Newton steps on the active rows
@@ -247,7 +258,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_docs: int) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("label", "text").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_strings: int = 12000, landmarks: int = 512, rounds: int = 3) -> KernelMachine | None:
+def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_strings: int = 12000, landmarks: int = 512) -> KernelMachine | None:
     """The machine; None where a class has no labelled document or no string sets toxic documents apart."""
     ship(docs.sparkSession)
     sample = materialize(labelled_sample(docs, labels, most_docs))
@@ -259,26 +270,35 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_strings:
     bags = found.groupBy("sentence").agg(F.min("label").alias("label"), F.first("strings").alias("strings"))  # of both kinds of documents: clean
     counts = materialize(bags.select("label", F.explode("strings").alias("s")).groupBy("s").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")))
     of_doc = materialize(found.filter("label = 1").select("doc", F.explode("strings").alias("s")).distinct().join(counts.filter("toxic > 0 AND clean = 0").select("s"), "s"))
-    machine = _mean_difference(counts)
-    for k in range(rounds):
-        scored = materialize(_scored(counts, machine))
-        ranked = of_doc.join(scored, "s").withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("margin"), "s")))
-        worst = ranked.filter(F.col("rank") <= TOP).groupBy("s").agg(F.count("*").alias("n"))
-        if k:  # the machine has a scale by now: every string of toxic sentences alone that it finds toxic
-            also = scored.filter("clean = 0 AND margin >= 0").join(of_doc.groupBy("s").agg(F.count("*").alias("n")), "s").select("s", "n")
-            worst = worst.join(scored.filter("margin >= 0").select("s"), "s", "left_semi").unionByName(also).groupBy("s").agg(F.max("n").alias("n"))
-        # TOP strings for each sampled toxic document, or most_strings
-        positive = {r.s: float(r.n) for r in worst.orderBy(F.desc("n"), F.xxhash64("s")).limit(most_strings).collect()}
-        clean = scored.filter("clean > 0")
-        hard = [r.s for r in clean.orderBy(F.desc("margin"), "s").limit(most_strings // 2).select("s").collect()]
+    fold = F.pmod("doc", F.lit(2))
+
+    def learnt(chosen: DataFrame, scored: DataFrame, worst: Column) -> KernelMachine | None:
+        """Of strings of toxic documents (s, n: documents) against the worst and other strings of clean ones."""
+        # TOP strings for each sampled toxic document at most, or most_strings
+        positive = {r.s: float(r.n) for r in chosen.orderBy(F.desc("n"), F.xxhash64("s")).limit(most_strings).collect()}
+        clean = scored.filter("clean > 0").select("s", worst.alias("w"))
+        hard = [r.s for r in clean.orderBy(F.desc("w"), "s").limit(most_strings // 2).select("s").collect()]
         usual = [r.s for r in clean.orderBy(F.xxhash64("s"), "s").limit(most_strings // 2).select("s").collect()]
-        release(scored)
         if not positive or not usual:
             return None
         every = lambda x, n: x[:: max(1, len(x) // max(n, 1))][:n]
         known = list(positive)
         spread = known[: landmarks // 4] + every(known[landmarks // 4 :], landmarks // 4) + every(hard, landmarks // 4) + every(usual, landmarks // 4)
-        machine = train(positive, sorted({*hard, *usual} - set(positive)), spread)
+        return train(positive, sorted({*hard, *usual} - set(positive)), spread)
+
+    scored = materialize(_scored(counts, [_mean_difference(counts)]))
+    ranked = of_doc.join(scored, "s").withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy(F.desc(F.get("margins", F.lit(0))), "s")))
+    worst = materialize(ranked.filter(F.col("rank") <= TOP).groupBy("s", fold.alias("fold")).agg(F.count("*").alias("n")))
+    halves = [learnt(worst.filter(F.col("fold") == k), scored, F.get("margins", F.lit(0))) for k in (0, 1)]
+    machine = next((h for h in halves if h), None)
+    if all(halves):
+        both = materialize(_scored(counts, halves))
+        told = of_doc.join(both, "s").filter(F.get("margins", (1 - fold).cast("int")) >= TOLD).groupBy("s").agg(F.count("*").alias("n"))
+        machine = learnt(told, both, F.array_max("margins")) or machine
+        release(both)
+    release(scored, worst)
+    if machine is None:
+        return None
     held = sample.filter(for_scale)
     machine = _calibrated(machine, held if held.groupBy("label").count().count() == 2 else sample)
     release(sample, found, counts, of_doc)
@@ -310,15 +330,17 @@ def _mean_difference(counts: DataFrame) -> KernelMachine:
     return KernelMachine(weights, 0.0, clip=False)
 
 
-def _scored(counts: DataFrame, machine: KernelMachine) -> DataFrame:
-    shared = counts.sparkSession.sparkContext.broadcast(machine)
+def _scored(counts: DataFrame, machines: list[KernelMachine]) -> DataFrame:
+    """counts and margins, one of each machine."""
+    shared = counts.sparkSession.sparkContext.broadcast(machines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            margins = shared.value.margins(b.column(0).to_pylist()) if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(margins, pa.float32())], names=["s", "toxic", "clean", "margin"])
+            words = b.column(0).to_pylist()
+            margins = np.array([m.margins(words) for m in shared.value]).T.tolist() if words else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(margins, pa.list_(pa.float32()))], names=["s", "toxic", "clean", "margins"])
 
-    return counts.select("s", "toxic", "clean").mapInArrow(run, "s string, toxic long, clean long, margin float")
+    return counts.select("s", "toxic", "clean").mapInArrow(run, "s string, toxic long, clean long, margins array<float>")
 
 
 def _calibrated(machine: KernelMachine, sample: DataFrame) -> KernelMachine:
