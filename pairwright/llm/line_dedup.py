@@ -86,26 +86,28 @@ def _beside(cut: list[tuple[int, int, int]], parts: list[bytes], least_words: in
     return out
 
 
+_RUNS = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("last", pa.int32())]))
+
+
 def _run_hashes(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            found = [[h - (1 << 63) for *_, h in runs(*_cut(t.as_py() or b""), least_words)] for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "runs"])
+            found = [[{"hash": h - (1 << 63), "at": i, "last": j} for i, j, h in runs(*_cut(t.as_py() or b""), least_words)] for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _RUNS)], names=["doc_id", "key", "runs"])
 
     return run
 
 
 def _run_texts(least_words: int):
-    """hash and text of the runs asked for, and the short chunks beside them: columns text and wanted (at, hash)."""
+    """hash and text of the runs asked for, and the short chunks beside them: columns text and wanted (at, last, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
             rows = []
             for t, wanted in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
                 cut, parts = _cut(t.as_py() or b"")
-                found = runs(cut, parts, least_words)
                 for w in wanted:
-                    i, j, _ = found[w["at"]]
+                    i, j = w["at"], w["last"]
                     beside = (_beside(cut, parts, least_words, x, d) for x, d in ((i - 1, -1), (j + 1, 1)))
                     rows.append((w["hash"], *map(b"\n".join, (parts[i : j + 1], *beside))))
             columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -114,12 +116,12 @@ def _run_texts(least_words: int):
     return run
 
 
-def _without(text: bytes, gone: list[dict], least_words: int) -> tuple[bytes, int]:
+def _without(text: bytes, gone: list[dict]) -> tuple[bytes, int]:
     """The text without the chunks whose bytes are those of their first occurrence, and their number."""
     cut, parts = _cut(text)
-    found, out = runs(cut, parts, least_words), set()
+    out: set[int] = set()
     for g in gone:
-        i, j, _ = found[g["at"]]
+        i, j = g["at"], g["last"]
         if b"\n".join(parts[i : j + 1]) != g["first"]:
             continue
         out.update(range(i, j + 1))
@@ -132,12 +134,12 @@ def _without(text: bytes, gone: list[dict], least_words: int) -> tuple[bytes, in
     return b"".join(text[s:e] for i, (s, e, _) in enumerate(cut) if i not in out).strip(b"\n\x20"), len(out)
 
 
-def _remover(names: list[str], text_at: int, least_words: int):
+def _remover(names: list[str], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_at):
             texts, removed = [], []
             for t, gone in zip(b.column(text_at).cast(pa.binary()), b.column(len(names)).to_pylist(), strict=True):
-                text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone, least_words)
+                text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone)
                 texts.append(text)
                 removed.append(n)
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else b.column(i) for i in range(len(names))]
@@ -158,23 +160,23 @@ def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
     docs = docs.drop("n_removed")
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
     found = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
-    found = materialize(found.mapInArrow(_run_hashes(least_words), "doc_id long, key long, runs array<long>").distinct())
-    each = found.select("doc_id", "key", F.posexplode("runs").alias("at", "hash"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "at")
+    found = materialize(found.mapInArrow(_run_hashes(least_words), "doc_id long, key long, runs array<struct<hash:long,at:int,last:int>>").dropDuplicates(["doc_id", "key"]))
+    each = found.select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "at", "last")
     repeated = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("p")).filter("n > 1")
-    repeated = materialize(repeated.select("hash", "n", F.col("p.key").alias("first_key"), F.col("p.at").alias("first_at")))
+    repeated = materialize(repeated.select("hash", "n", F.col("p.key").alias("first_key"), F.col("p.at").alias("first_at"), F.col("p.last").alias("first_last")))
     # the text of every first occurrence, read from its document
-    wanted = repeated.groupBy(F.col("first_key").alias("_key")).agg(F.collect_list(F.struct(F.col("first_at").alias("at"), "hash")).alias("wanted"))
+    wanted = repeated.groupBy(F.col("first_key").alias("_key")).agg(F.collect_list(F.struct(F.col("first_at").alias("at"), F.col("first_last").alias("last"), "hash")).alias("wanted"))
     keyed = docs.withColumn("_key", key)
     texts = keyed.filter("text IS NOT NULL").select("_key", F.col("text").cast("string").alias("text")).join(wanted, "_key").select("text", "wanted")
     texts = texts.mapInArrow(_run_texts(least_words), "hash long, first binary, before binary, after binary").dropDuplicates(["hash"])
     repeated = materialize(repeated.join(texts, "hash"))
     total = each.count()
     others = hot_join(each, repeated, ["hash"], "n", total).filter("NOT (key = first_key AND at = first_at)")
-    gone = others.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "first", "before", "after")).alias("_gone"))
+    gone = others.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "last", "first", "before", "after")).alias("_gone"))
     joined = keyed.withColumn("text", F.col("text").cast("string")).join(gone, "_key", "left").select(*docs.columns, "_gone")
     schema = T.StructType([*joined.drop("_gone").schema, T.StructField("n_removed", T.IntegerType())])
-    out = joined.mapInArrow(_remover(docs.columns, docs.columns.index("text"), least_words), schema)
+    out = joined.mapInArrow(_remover(docs.columns, docs.columns.index("text")), schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out
