@@ -72,7 +72,8 @@ def fingerprint(org: Column, title: Column, city: Column, url: Column) -> Column
 
 def html_to_text(html: Column) -> Column:
     """Scripts and styles go, line breaks and ends of blocks become new lines, other tags blanks."""
-    text = F.coalesce(html, F.lit(""))
+    plain = F.coalesce(html, F.lit(""))
+    text = plain
     steps = [
         (r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|li|h[1-6]|tr)>", "\n"), (r"<[^>]+>", " "),
         ("(?i)&nbsp;", " "), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&quot;", '"'),
@@ -82,7 +83,7 @@ def html_to_text(html: Column) -> Column:
     # decimal references, only where there are any
     point = r"^(\d{1,7});"
     decoded = F.transform(F.split(text, "&#"), lambda p, i: F.when(i == 0, p).when(p.rlike(point), F.concat(_character(F.regexp_extract(p, point, 1)), F.regexp_replace(p, point, ""))).otherwise(F.concat(F.lit("&#"), p)))
-    text = F.when(text.contains("&#"), F.array_join(decoded, "")).otherwise(text)
+    text = F.when(plain.contains("&#") | plain.rlike("(?i)&amp;#"), F.array_join(decoded, "")).when(plain.contains("<") | plain.contains("&"), text).otherwise(plain)
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

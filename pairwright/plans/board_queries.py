@@ -158,11 +158,14 @@ def digest_counts(spark, sf_dir):
     return digest.digest_counts(updated(spark, sf_dir))
 
 
+REGISTRY_KINDS = ("greenhouse", "json", "workday", "rss", "none", "carrier-pigeon", "jooble", "usajobs", "jsearch", "adzuna")
+
+
 def registry(spark, sf_dir):
     """Suppliers as entries of a registry, some of them broken."""
     k = F.col("s_suppkey")
-    kind = F.element_at(F.array(*map(F.lit, ("greenhouse", "json", "workday", "rss", "none", "carrier-pigeon"))), (k % 6 + 1).cast("int"))
-    endpoint = F.when(k % 6 == 2, F.concat(F.lit("POST https://w"), k.cast("string"), F.lit('.example/jobs body: {"limit": 20, "searchText": "nurse"}'))).when(k % 12 != 0, F.concat(F.lit("https://e"), k.cast("string"), F.lit(".example/feed")))
+    kind = F.element_at(F.array(*map(F.lit, REGISTRY_KINDS)), (k % 10 + 1).cast("int"))
+    endpoint = F.when(k % 10 == 2, F.concat(F.lit("POST https://w"), k.cast("string"), F.lit('.example/jobs body: {"limit": 20, "searchText": "nurse"}'))).when(k % 12 != 0, F.concat(F.lit("https://e"), k.cast("string"), F.lit(".example/feed")))
     mr = F.when(k % 7 != 0, F.struct(kind.alias("kind"), endpoint.alias("endpoint"), (k % 2 == 0).alias("confirmed")))
     return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("https://s"), k.cast("string")).alias("url"), F.when(k % 13 != 0, "aggregator").alias("category"), mr.alias("machine_readable"), F.lit(None).cast("array<string>").alias("requires_env"), F.lit("").alias("query"), F.lit("both").alias("specialty"), F.array(F.lit("US")).alias("geos"))
 
@@ -177,7 +180,8 @@ def registry_valid(spark, sf_dir):
 @query
 def request_plan(spark, sf_dir):
     good, _ = R.validate(registry(spark, sf_dir))
-    return R.request_plan(good).groupBy("kind", "method", "page", "body").agg(F.count("*").alias("n"))
+    shape = F.regexp_replace("url", "^https://[ew][0-9]+", "https://host")
+    return R.request_plan(good).groupBy("kind", "seq", "method", shape.alias("url"), "page", "body").agg(F.count("*").alias("n"))
 
 
 @query
@@ -277,3 +281,55 @@ def country_centroids(spark, sf_dir):
 
     rows = sites(spark, sf_dir).select(F.col("ordinal").cast("int").alias("place_ordinal"), F.col("city").alias("n"), F.col("region").alias("r"), F.col("country").alias("c"), "lat", "lon", (F.col("population") % 3).alias("p"))
     return centroids(rows).select("key", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
+
+
+@query
+def feed_items(spark, sf_dir):
+    from pairwright.plans import feed_queries
+
+    return feed_queries.feed_items(spark, sf_dir)
+
+
+@query
+def source_states(spark, sf_dir):
+    """Registered suppliers, of which some answered, some failed and some didn't."""
+    good, _ = R.validate(registry(spark, sf_dir))
+    k = F.col("s_suppkey")
+    needs = good.join(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (k % 9 == 1).alias("_needs")), "name")
+    good = needs.withColumn("requires_env", F.when(F.col("_needs"), F.array(F.lit("KEY"))).otherwise(F.col("requires_env"))).drop("_needs")
+    asked = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 0").select(F.col("s_name").alias("source_name"), F.explode(F.array(F.lit(0), F.lit(1))).alias("request_seq"), k.alias("k"))
+    answers = asked.select("source_name", F.lit("").alias("source_url"), F.lit("json").alias("kind"), "request_seq", (F.col("k") % 4 + F.col("request_seq") < 3).alias("ok"), F.lit(503).alias("status"), F.when(F.col("k") % 4 + F.col("request_seq") >= 3, "http 503").alias("error"), F.lit("{}").alias("body"))
+    return P.source_status(good, answers, [])
+
+
+@query
+def places_per_country(spark, sf_dir):
+    from pairwright.sources.geonames import places_per_country as counts
+
+    return counts(sites(spark, sf_dir).select(F.col("country").alias("c")))
+
+
+@query
+def tabs(spark, sf_dir):
+    _, found = square_areas(spark, sf_dir)
+    marks = board.board_marks(marks_log(spark, sf_dir), "board-3")
+    return board.tab_counts(found, simple_roles(spark, sf_dir), marks, FILTER)
+
+
+@query
+def together_news(spark, sf_dir):
+    rows, found = square_areas(spark, sf_dir)
+    return board.new_together(found, rows.filter("score >= 60"), 4).select("area_id", "score")
+
+
+@query
+def pins_per_area(spark, sf_dir):
+    rows, found = square_areas(spark, sf_dir)
+    marks = rows.select(F.col("id").alias("role_id"), (F.col("score") % 7 == 0).alias("pinned"))
+    return board.pinned_counts(found, marks)
+
+
+@query
+def separations(spark, sf_dir):
+    found = pairs.onsite_pairs(sites(spark, sf_dir))
+    return found.select("id", board.separation_label(F.col("miles"), F.col("drive_minutes")).alias("apart"))

@@ -23,7 +23,20 @@ m2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY board_id, role_i
 _SQUARES = f"""{SITES_SQL}, k AS (SELECT *, floor(lat * 2)::BIGINT || '_' || floor(lon * 2)::BIGINT AS area_id FROM sites)"""
 
 
+_COVERAGE = """WITH n AS (SELECT l_suppkey AS k, count(*) AS postings FROM lineitem GROUP BY 1)
+SELECT s_name AS source_name, coalesce(postings, 0) AS postings, CASE WHEN s_suppkey % 5 = 0 THEN 'sweep-only' WHEN s_suppkey % 7 = 1 THEN 'needs-credentials' WHEN s_suppkey % 4 = 2 THEN 'failed' WHEN postings IS NULL THEN 'empty' ELSE 'ok' END AS status FROM supplier LEFT JOIN n ON k = s_suppkey"""
+_KIND = "(['greenhouse', 'json', 'workday', 'rss', 'none', 'carrier-pigeon', 'jooble', 'usajobs', 'jsearch', 'adzuna'])[s_suppkey % 10 + 1]"
+#: Kind, term, its place, and pages of every request.
+_TERMS = ", ".join(
+    [f"('{k}', NULL, 0, 1)" for k in ("greenhouse", "json", "rss")]
+    + [f"('{k}', '{t}', {i}, {n})" for k, n in (("workday", 5), ("jooble", 3), ("usajobs", 3), ("jsearch", 1)) for i, t in enumerate(("radiologist", "vascular surgeon"))]
+    + [f"('adzuna', '{t}', {i}, 3)" for i, t in enumerate(("vascular surgeon", "diagnostic radiologist"))]
+)
+
+
 def oracles() -> dict[str, str]:
+    from pairwright.plans import core_sql, feed_queries
+
     return {
         "new_roles": f"WITH {_RUNS} SELECT id, score FROM u WHERE is_new",
         "first_seen": f"WITH {_RUNS} SELECT first_seen::VARCHAR AS first_seen, is_new, count(*) AS n FROM u GROUP BY ALL",
@@ -44,16 +57,18 @@ SELECT *, a_count > 0 AND b_count > 0 AS is_together, a_count > 0 AND b_count =
         "digest_entries": f"""WITH {_RUNS} SELECT specialty, row_number() OVER (PARTITION BY specialty ORDER BY score DESC, id) AS rank, id, org, CASE WHEN city IS NOT NULL THEN city || ', ' || CASE WHEN country = 'US' THEN 'OH' ELSE country END WHEN work_model = 'remote' THEN 'Remote' ELSE 'somewhere' END AS location, score,
 'https://board.example/#role=role%2F' || k || '%20(x)' AS board_url FROM u WHERE is_new QUALIFY rank <= 12""",
         "digest_counts": f"WITH {_RUNS} SELECT count(*) AS total_roles, count_if(is_new)::BIGINT AS new_this_run, count_if(is_new AND specialty = 'a')::BIGINT AS new_a, count_if(is_new AND specialty = 'b')::BIGINT AS new_b FROM u",
-        "source_coverage": """WITH n AS (SELECT l_suppkey AS k, count(*) AS postings FROM lineitem GROUP BY 1)
-SELECT s_name AS source_name, coalesce(postings, 0) AS postings, CASE WHEN s_suppkey % 5 = 0 THEN 'sweep-only' WHEN s_suppkey % 7 = 1 THEN 'needs-credentials' WHEN s_suppkey % 4 = 2 THEN 'failed' WHEN postings IS NULL THEN 'empty' ELSE 'ok' END AS status FROM supplier LEFT JOIN n ON k = s_suppkey""",
+        "source_coverage": _COVERAGE,
         "display_columns": f"""WITH {_ROLES} SELECT id, CASE WHEN city IS NOT NULL THEN city || ', ' || CASE WHEN country = 'US' THEN 'OH' ELSE country END WHEN work_model = 'remote' THEN 'Remote' ELSE 'somewhere' END AS location,
 CASE WHEN age_days IS NULL THEN 'date not stated' WHEN age_days = 0 THEN 'posted today' WHEN age_days = 1 THEN 'posted yesterday' WHEN age_days < 30 THEN 'posted ' || age_days || ' days ago' ELSE 'posted ' || floor(age_days / 30.0 + 0.5)::BIGINT || CASE WHEN floor(age_days / 30.0 + 0.5) = 1 THEN ' month ago' ELSE ' months ago' END END AS posted FROM r""",
-        "registry_valid": """WITH s AS (SELECT s_name AS name, s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN (['greenhouse', 'json', 'workday', 'rss', 'none', 'carrier-pigeon'])[s_suppkey % 6 + 1] END AS kind, s_suppkey % 12 <> 0 AS has FROM supplier),
+        "registry_valid": """WITH s AS (SELECT s_name AS name, s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN (['greenhouse', 'json', 'workday', 'rss', 'none', 'carrier-pigeon', 'jooble', 'usajobs', 'jsearch', 'adzuna'])[s_suppkey % 10 + 1] END AS kind, s_suppkey % 12 <> 0 OR s_suppkey % 10 = 2 AS has FROM supplier),
 p AS (SELECT *, array_to_string(list_filter([CASE WHEN k % 13 = 0 THEN 'missing category' END, CASE WHEN kind = 'carrier-pigeon' THEN 'unknown kind carrier-pigeon' END, CASE WHEN kind <> 'none' AND NOT has THEN 'no endpoint for ' || kind END], lambda x: x IS NOT NULL), '; ') AS problems FROM s)
 SELECT name, CASE WHEN problems = '' THEN coalesce(kind, 'none') ELSE kind END AS kind, problems = '' AND kind IS NOT NULL AND kind <> 'none' AND has AS active, problems FROM p""",
-        "request_plan": """WITH s AS (SELECT s_suppkey AS k, (['greenhouse', 'json', 'workday', 'rss', 'none', 'carrier-pigeon'])[s_suppkey % 6 + 1] AS kind FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 13 <> 0 AND s_suppkey % 12 <> 0 AND s_suppkey % 6 < 4),
-t AS (SELECT *, unnest(CASE WHEN kind = 'workday' THEN ['{"limit": 20, "searchText": "radiologist"}', '{"limit": 20, "searchText": "vascular surgeon"}'] ELSE [NULL] END) AS body FROM s), g AS (SELECT *, unnest(CASE WHEN kind = 'workday' THEN [1, 2, 3, 4, 5] ELSE [1] END) AS page FROM t)
-SELECT kind, CASE WHEN kind = 'workday' THEN 'POST' ELSE 'GET' END AS method, page, body, count(*) AS n FROM g GROUP BY ALL""",
+        "request_plan": f"""WITH s AS (SELECT s_suppkey AS k, {_KIND} AS kind FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 13 <> 0 AND (s_suppkey % 12 <> 0 OR s_suppkey % 10 = 2) AND s_suppkey % 10 NOT IN (4, 5)),
+t AS (SELECT s.kind, seq, page, CASE WHEN s.kind IN ('workday', 'jooble') THEN 'POST' ELSE 'GET' END AS method, CASE s.kind WHEN 'workday' THEN '{{"limit": 20, "searchText": "' || term || '"}}' WHEN 'jooble' THEN '{{"keywords":"' || term || '","location":"United States","page":"' || page || '"}}' END AS body,
+  'https://host.example/' || CASE s.kind WHEN 'workday' THEN 'jobs' ELSE 'feed' END || CASE s.kind WHEN 'usajobs' THEN '?Keyword=' || replace(term, ' ', '%20') || '&ResultsPerPage=100&Page=' || page WHEN 'jsearch' THEN '?query=' || replace(term, ' ', '%20') || '%20in%20USA&num_pages=1&country=us&date_posted=all'
+    WHEN 'adzuna' THEN '/us/search/' || page || '?results_per_page=50&what_phrase=' || replace(term, ' ', '%20') || '&content-type=application/json' ELSE '' END AS url
+  FROM s JOIN (SELECT kind, term, nth, page, (nth * pages + page - 1)::INT AS seq FROM (VALUES {_TERMS}) v(kind, term, nth, pages), range(1, 6) r(page) WHERE page <= pages) q ON q.kind = s.kind)
+SELECT kind, seq, method, url, page::INT AS page, body, count(*) AS n FROM t GROUP BY ALL""",
         "detect_feed": """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'workday' WHEN 1 THEN 'json' WHEN 2 THEN 'greenhouse' WHEN 3 THEN 'lever' WHEN 4 THEN 'json' WHEN 5 THEN 'successfactors' WHEN 6 THEN 'icims-rss' END AS kind,
 CASE page_id % 8 WHEN 0 THEN 'https://acme.wd5.myworkdayjobs.com/wday/cxs/acme/Careers/jobs' WHEN 1 THEN 'https://abc.fa.us2.oraclecloud.com/hcmRestApi/resources/latest/recruitingCEJobRequisitions?onlyData=true&expand=requisitionList&finder=findReqs;siteNumber=CX_7,limit=200'
  WHEN 2 THEN 'https://boards-api.greenhouse.io/v1/boards/acme/jobs?content=true' WHEN 3 THEN 'https://api.lever.co/v0/postings/acme?mode=json' WHEN 4 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/api/jobs?keywords=radiologist&limit=50&page=1&sortBy=relevance'
@@ -67,6 +82,20 @@ SELECT n, CASE WHEN c = 'US' THEN (p_partkey % 10)::VARCHAR WHEN c = 'QA' THEN n
 FROM c LEFT JOIN nation ON n_nationkey = p_partkey % 10 WHERE c <> 'FR' AND (c <> 'US' OR p >= 1000)""",
         "country_centroids": f"""WITH {SITES_SQL}, k AS (SELECT country AS key, lat, lon, population % 3 AS p FROM sites UNION ALL SELECT country || ':' || region, lat, lon, population % 3 FROM sites)
 SELECT key, round(floor(sum(lat * p) / sum(p) * 1e4 + 0.5) / 1e4, 3) AS lat, round(floor(sum(lon * p) / sum(p) * 1e4 + 0.5) / 1e4, 3) AS lon FROM k WHERE p > 0 GROUP BY key""",
+        "feed_items": feed_queries.oracle(),
+        "source_states": f"""WITH s AS (SELECT s_name AS source_name, s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN {_KIND} ELSE 'none' END AS kind, s_suppkey % 12 <> 0 OR s_suppkey % 10 = 2 AS has FROM supplier),
+v AS (SELECT *, kind <> 'none' AND has AS is_active FROM s WHERE k % 13 <> 0 AND kind <> 'carrier-pigeon' AND (kind = 'none' OR has)),
+w AS (SELECT *, CASE WHEN NOT is_active THEN 'no endpoint' WHEN k % 9 = 1 THEN 'needs KEY' END AS skipped FROM v)
+SELECT source_name, is_active, skipped, CASE WHEN skipped IS NULL THEN CASE k % 4 WHEN 0 THEN 'no response' WHEN 3 THEN 'http 503' END END AS error FROM w""",
+        "places_per_country": f"WITH {SITES_SQL} SELECT country AS c, count(*) AS places FROM sites GROUP BY 1",
+        "tabs": f"""WITH {_SQUARES}, {_ROLES}, {_MARKS}, g AS (SELECT area_id, count_if(side = 'a') AS na, count_if(side = 'b') AS nb FROM k GROUP BY 1)
+SELECT (SELECT count_if(na > 0)::BIGINT FROM g) AS together, (SELECT count_if(pinned)::BIGINT FROM m2 WHERE board_id = 'board-3') AS pinned, 0::BIGINT AS a_results, (SELECT count(*) FROM r WHERE {_FILTERED} AND age_days <= 200) AS b_results""",
+        "pins_per_area": f"WITH {_SQUARES} SELECT area_id, count(*) AS pinned FROM k WHERE score % 7 = 0 GROUP BY 1",
+        "separations": core_sql._pairs("SELECT id, CASE WHEN miles < 1 THEN '<1 mi' ELSE floor(miles + 0.5)::BIGINT || ' mi' END || CASE WHEN drive_minutes < 60 THEN ' · ~' || drive_minutes || ' min' ELSE ' · ~' || (drive_minutes // 60) || 'h' || CASE WHEN drive_minutes % 60 > 0 THEN ' ' || (drive_minutes % 60) || 'm' ELSE '' END END AS apart FROM onsite"),
+        "together_news": f"""WITH {_SQUARES}, fresh AS (SELECT DISTINCT area_id FROM k WHERE score >= 60) SELECT area_id, score FROM ({core_sql.area_summary()}) WHERE is_together AND area_id IN (SELECT area_id FROM fresh) ORDER BY score DESC, area_id LIMIT 4""",
+        "run_counts": f"""WITH {_RUNS}, a AS ({core_sql.area_summary()}), p AS ({core_sql._pairs("SELECT count(*) AS n FROM onsite")}), c AS ({_COVERAGE})
+SELECT (SELECT count(*) FROM u) AS raw, (SELECT count(*) FROM u) AS roles, (SELECT count_if(specialty = 'a')::BIGINT FROM u) AS a_roles, (SELECT count_if(specialty = 'b')::BIGINT FROM u) AS b_roles, (SELECT count_if(is_new)::BIGINT FROM u) AS new_roles, (SELECT count(*) FROM carried) AS carried,
+  (SELECT n FROM p) AS pairs, (SELECT count(*) FROM a) AS areas, (SELECT count_if(is_together)::BIGINT FROM a) AS together, (SELECT count(*) FROM c) AS sources, (SELECT count_if(status = 'failed')::BIGINT FROM c) AS sources_failed""",
         "stream_dedup": "SELECT DISTINCT user_id, 1::BIGINT AS n FROM events",
         "stream_first_seen": "SELECT user_id, min(ts) AS first_seen, count(*) AS n FROM events GROUP BY 1",
     }

@@ -110,6 +110,22 @@ def _scored() -> str:
     return f"{_classified()}, placed AS ({placed}), {scores('placed')}"
 
 
+def area_summary() -> str:
+    return f"""WITH {SITES_SQL}, m AS (SELECT *, floor(lat * 2)::BIGINT || '_' || floor(lon * 2)::BIGINT AS area_id FROM sites), k AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY score DESC, ordinal) AS rnk FROM m),
+pool AS (SELECT count(*) AS pool, coalesce(max(score), 0) AS pool_best FROM sites WHERE side = 'b' AND work_model = 'remote'),
+sp AS (SELECT a.area_id, max({_HAV.format(a="a.", b="b.")}) AS span FROM k a JOIN k b ON a.area_id = b.area_id AND a.side = 'a' AND b.side = 'b' GROUP BY 1),
+so AS (SELECT DISTINCT a.area_id FROM k a JOIN k b ON a.area_id = b.area_id AND a.side = 'a' AND b.side = 'b' AND a.org = b.org),
+g AS (SELECT area_id, count_if(side = 'a')::BIGINT AS a_count, count_if(side = 'b')::BIGINT AS b_count, coalesce(max(score) FILTER (side = 'a'), 0) AS best_a, coalesce(max(score) FILTER (side = 'b'), 0) AS best_b, bool_or("precision" <> 'city') AS approximate,
+  coalesce(string_agg(id, ',' ORDER BY rnk) FILTER (side = 'a'), '') AS a_ids, first(city ORDER BY "precision" <> 'city', CASE WHEN "precision" = 'city' THEN -population ELSE 0 END, rnk) AS city,
+  first(region ORDER BY "precision" <> 'city', CASE WHEN "precision" = 'city' THEN -population ELSE 0 END, rnk) AS region, first(country ORDER BY "precision" <> 'city', CASE WHEN "precision" = 'city' THEN -population ELSE 0 END, rnk) AS country FROM k GROUP BY 1),
+h AS (SELECT g.*, coalesce(span, 0) AS span, so.area_id IS NOT NULL AS same_org, a_count > 0 AND b_count > 0 AS is_together, pool, pool_best, least(a_count, b_count) AS depth FROM g LEFT JOIN sp ON sp.area_id = g.area_id LEFT JOIN so ON so.area_id = g.area_id, pool),
+i AS (SELECT *, floor(greatest(0.0, least(100.0, (CASE WHEN is_together THEN {_H.format("best_a", "best_b")} ELSE greatest(best_a, best_b) * 0.35::DOUBLE END) * 0.72::DOUBLE + (CASE WHEN span >= 45 THEN 0 ELSE 1 - power(span / 45.0::DOUBLE, 1.5) END) * 100 * 0.18::DOUBLE
+  + (CASE WHEN depth > 1 THEN least(12, (depth - 1) * 5) ELSE 0 END) + (CASE WHEN same_org THEN 8 ELSE 0 END) - (CASE WHEN approximate THEN 6 ELSE 0 END))) + 0.5)::BIGINT AS base_score, NOT is_together AND a_count > 0 AND pool > 0 AS remote_unlocked FROM h)
+SELECT area_id, city || CASE WHEN country = 'US' THEN ', ' || region ELSE CASE country WHEN 'QA' THEN ', Qatar' WHEN 'AE' THEN ', UAE' WHEN 'SA' THEN ', Saudi Arabia' WHEN 'KW' THEN ', Kuwait' WHEN 'BH' THEN ', Bahrain' ELSE '' END END AS label,
+  country || ':' || lower(region) || ':' || regexp_replace(lower(city), '[^a-z0-9]+', '-', 'g') AS key, is_together, a_count, b_count, best_a, best_b, floor(span * 10 + 0.5) / 10 AS span_miles, same_org, approximate,
+  CASE WHEN remote_unlocked THEN greatest(base_score, floor(least(100.0, ({_H.format("best_a", "pool_best")}) * 0.8::DOUBLE) + 0.5)::BIGINT) ELSE base_score END AS score, CASE WHEN is_together THEN NULL WHEN a_count > 0 THEN 'b' ELSE 'a' END AS missing_side, remote_unlocked, a_ids FROM i"""
+
+
 def oracles() -> dict[str, str]:
     email, phone = quoted(T.EMAIL), quoted(T.PHONE)
     distinct = "list_filter({0}, lambda v, i: list_position({0}, v) = i)"
@@ -138,19 +154,7 @@ SELECT doc_id, array_to_string(e, '|') AS emails, array_to_string(p, '|') AS pho
         ),
         "pairs_country_scale": _pairs("SELECT id, miles, score FROM onsite WHERE confidence = 'country-scale'"),
         "pairs_best": _pairs("SELECT a_id, b_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM onsite) WHERE rank <= 3", 60.0),
-        "area_summary": f"""WITH {SITES_SQL}, m AS (SELECT *, floor(lat * 2)::BIGINT || '_' || floor(lon * 2)::BIGINT AS area_id FROM sites), k AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY score DESC, ordinal) AS rnk FROM m),
-pool AS (SELECT count(*) AS pool, coalesce(max(score), 0) AS pool_best FROM sites WHERE side = 'b' AND work_model = 'remote'),
-sp AS (SELECT a.area_id, max({_HAV.format(a="a.", b="b.")}) AS span FROM k a JOIN k b ON a.area_id = b.area_id AND a.side = 'a' AND b.side = 'b' GROUP BY 1),
-so AS (SELECT DISTINCT a.area_id FROM k a JOIN k b ON a.area_id = b.area_id AND a.side = 'a' AND b.side = 'b' AND a.org = b.org),
-g AS (SELECT area_id, count_if(side = 'a')::BIGINT AS a_count, count_if(side = 'b')::BIGINT AS b_count, coalesce(max(score) FILTER (side = 'a'), 0) AS best_a, coalesce(max(score) FILTER (side = 'b'), 0) AS best_b, bool_or("precision" <> 'city') AS approximate,
-  coalesce(string_agg(id, ',' ORDER BY rnk) FILTER (side = 'a'), '') AS a_ids, first(city ORDER BY "precision" <> 'city', CASE WHEN "precision" = 'city' THEN -population ELSE 0 END, rnk) AS city,
-  first(region ORDER BY "precision" <> 'city', CASE WHEN "precision" = 'city' THEN -population ELSE 0 END, rnk) AS region, first(country ORDER BY "precision" <> 'city', CASE WHEN "precision" = 'city' THEN -population ELSE 0 END, rnk) AS country FROM k GROUP BY 1),
-h AS (SELECT g.*, coalesce(span, 0) AS span, so.area_id IS NOT NULL AS same_org, a_count > 0 AND b_count > 0 AS is_together, pool, pool_best, least(a_count, b_count) AS depth FROM g LEFT JOIN sp ON sp.area_id = g.area_id LEFT JOIN so ON so.area_id = g.area_id, pool),
-i AS (SELECT *, floor(greatest(0.0, least(100.0, (CASE WHEN is_together THEN {_H.format("best_a", "best_b")} ELSE greatest(best_a, best_b) * 0.35::DOUBLE END) * 0.72::DOUBLE + (CASE WHEN span >= 45 THEN 0 ELSE 1 - power(span / 45.0::DOUBLE, 1.5) END) * 100 * 0.18::DOUBLE
-  + (CASE WHEN depth > 1 THEN least(12, (depth - 1) * 5) ELSE 0 END) + (CASE WHEN same_org THEN 8 ELSE 0 END) - (CASE WHEN approximate THEN 6 ELSE 0 END))) + 0.5)::BIGINT AS base_score, NOT is_together AND a_count > 0 AND pool > 0 AS remote_unlocked FROM h)
-SELECT area_id, city || CASE WHEN country = 'US' THEN ', ' || region ELSE CASE country WHEN 'QA' THEN ', Qatar' WHEN 'AE' THEN ', UAE' WHEN 'SA' THEN ', Saudi Arabia' WHEN 'KW' THEN ', Kuwait' WHEN 'BH' THEN ', Bahrain' ELSE '' END END AS label,
-  country || ':' || lower(region) || ':' || regexp_replace(lower(city), '[^a-z0-9]+', '-', 'g') AS key, is_together, a_count, b_count, best_a, best_b, floor(span * 10 + 0.5) / 10 AS span_miles, same_org, approximate,
-  CASE WHEN remote_unlocked THEN greatest(base_score, floor(least(100.0, ({_H.format("best_a", "pool_best")}) * 0.8::DOUBLE) + 0.5)::BIGINT) ELSE base_score END AS score, CASE WHEN is_together THEN NULL WHEN a_count > 0 THEN 'b' ELSE 'a' END AS missing_side, remote_unlocked, a_ids FROM i""",
+        "area_summary": area_summary(),
         "html_to_text": f"SELECT page_id, {html} AS text FROM pages",
         "contacts": contact(None),
         "contacts_without_noise": contact(T.NOISE_EMAIL),

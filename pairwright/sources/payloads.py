@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from pairwright.functions.ship import ship
-from pairwright.functions.text import html_to_text, java
+from pairwright.functions.text import html_to_text, java, once
 
 SCHEMA = "source_name string, source_url string, kind string, request_seq int, ok boolean, status int, error string, body string"
 FIELDS = ("title", "org", "location", "description", "url", "date_posted", "department")
@@ -152,9 +152,10 @@ def workday(payloads: DataFrame) -> DataFrame:
     return contract(first_per(rows, F.col("url")))
 
 
-def _tag(chunk: Column, tag: str) -> Column:
+def _tag(chunk: Column, low: Column, tag: str) -> Column:
+    """What a tag holds, without CDATA marks; only searched for where the chunk (low: in lower case) names it."""
     text = F.regexp_extract(chunk, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*<!\[CDATA\[", ""), r"\]\]>\s*$", ""))
+    return F.when(low.contains(f"<{tag}"), F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*<!\[CDATA\[", ""), r"\]\]>\s*$", ""))).otherwise("")
 
 
 def rss(payloads: DataFrame) -> DataFrame:
@@ -162,9 +163,10 @@ def rss(payloads: DataFrame) -> DataFrame:
     body = payloads.filter("ok").withColumn("items", F.regexp_extract_all("body", F.lit(r"(?is)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0)))
     chunk = body.select("source_name", "request_seq", F.posexplode("items").alias("posting_ordinal", "c"))
     c = F.col("c")
-    some = lambda *tags: F.coalesce(*(F.nullif(_tag(c, t), F.lit("")) for t in tags))
+    chunk = once(chunk, "_x", {"low": F.lower(c)})
+    some = lambda *tags: F.coalesce(*(F.nullif(_tag(c, F.col("_x.low"), t), F.lit("")) for t in tags))
     href = F.nullif(F.regexp_extract(c, r'(?i)<link[^>]*href="([^"]+)"', 1), F.lit(""))
-    feed = chunk.select("*", html_to_text(_tag(c, "title")).alias("title"), F.col("source_name").alias("org"), some("location", "job:location").alias("location"), html_to_text(some("description", "summary", "content")).alias("description"), F.coalesce(some("link"), href).alias("url"), some("pubDate", "published", "updated").alias("date_posted"), some("category").alias("department"))
+    feed = chunk.select("*", html_to_text(some("title")).alias("title"), F.col("source_name").alias("org"), some("location", "job:location").alias("location"), html_to_text(some("description", "summary", "content")).alias("description"), F.coalesce(some("link"), href).alias("url"), some("pubDate", "published", "updated").alias("date_posted"), some("category").alias("department"))
     sitemap = body.filter((F.size("items") == 0) & F.col("body").rlike(r"(?i)<urlset\b"))
     pages = sitemap.select("source_name", "request_seq", F.posexplode(F.regexp_extract_all("body", F.lit("<loc>([^<]+)</loc>"), F.lit(1))).alias("posting_ordinal", "u")).withColumn("u", F.trim("u")).filter(F.col("u").rlike("(?i)job"))
     slug = F.element_at(F.split(F.regexp_replace("u", "/$", ""), "/"), -1)

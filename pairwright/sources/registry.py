@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ REQUIRED = ("name", "url", "category", "specialty", "geos")
 KINDS = ("none", "greenhouse", "lever", "ashby", "smartrecruiters", "json", "workday", "jobvite", "successfactors", "jooble", "usajobs", "jsearch", "rss", "icims-rss", "taleo-rss", "adzuna")
 #: What every keyword-driven feed is asked for, and pages per term where a kind has pages.
 TERMS = ("radiologist", "vascular surgeon")
+ADZUNA_TERMS = ("vascular surgeon", "diagnostic radiologist")
 PAGES = {"workday": 5, "successfactors": 4, "jooble": 3, "usajobs": 3, "adzuna": 3}
 
 
@@ -69,19 +72,45 @@ def parse_endpoint(raw: Column) -> Column:
 _FINDER = r"(?i)finder=findReqs;([^&]*)"
 
 
+def _encoded(term: str) -> str:
+    return quote(term, safe="")
+
+
+def _keyword_requests(kind: Column, url: Column) -> Column:
+    """Of the kinds that are asked per term, an array of (url, body) templates with {page}; null for others."""
+    pair = lambda u, b=None: F.struct(u.alias("url"), (F.lit(b) if b else F.lit(None).cast("string")).alias("body"))
+    country = F.when(F.coalesce("query", F.lit("")).contains("gb"), "gb").otherwise("us")
+    joined = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    by_kind = {
+        "jooble": [pair(url, f'{{"keywords":"{t}","location":"United States","page":"{{page}}"}}') for t in TERMS],
+        "usajobs": [pair(joined(url, f"?Keyword={_encoded(t)}&ResultsPerPage=100&Page={{page}}")) for t in TERMS],
+        "jsearch": [pair(joined(url, f"?query={_encoded(t + ' in USA')}&num_pages=1&country=us&date_posted=all")) for t in TERMS],
+        "adzuna": [pair(joined(url, "/", country, f"/search/{{page}}?results_per_page=50&what_phrase={_encoded(t)}&content-type=application/json")) for t in ADZUNA_TERMS],
+    }
+    out = F.lit(None).cast("array<struct<url:string,body:string>>")
+    for name, requests in by_kind.items():
+        out = F.when(kind == name, F.array(*requests)).otherwise(out)
+    return out
+
+
 def request_plan(sources: DataFrame) -> DataFrame:
-    """source_name, seq, method, url and body of every request of the active sources.
+    """source_name, kind, seq (order within the source), method, url, body and page of every request of the active sources.
 
     Keyword fields of POST bodies, and finder URLs that aren't scoped yet, are swept over all terms, the
-    finder also without one; kinds with pages get them for each body.
+    finder also without one; kinds with pages get them for each body. Search services get a request for each
+    term and page; their credentials are the fetcher's to add.
     """
-    df = sources.filter(is_active()).select(F.col("name").alias("source_name"), F.col("machine_readable.kind").alias("kind"), parse_endpoint(F.col("machine_readable.endpoint")).alias("e")).select("source_name", "kind", "e.*")
+    df = sources.filter(is_active()).select(F.col("name").alias("source_name"), "query", F.col("machine_readable.kind").alias("kind"), parse_endpoint(F.col("machine_readable.endpoint")).alias("e")).select("source_name", "query", "kind", "e.*")
     field = F.regexp_extract(F.coalesce("body", F.lit("")), r'"(keywords|searchText|q|query|keyword)"\s*:', 1)
     swept = F.transform(F.array(*map(F.lit, TERMS)), lambda t: F.regexp_replace("body", r'("(?:keywords|searchText|q|query|keyword)"\s*:\s*)"[^"]*"', F.concat(F.lit('$1"'), t, F.lit('"'))))
     bodies = F.when(field != "", swept).otherwise(F.array("body"))
     oracle = F.col("url").rlike(r"(?i)hcmRestApi/resources/.*recruitingCEJobRequisitions") & ~F.col("url").rlike(r"(?i)[;,]keyword=") & F.col("url").rlike(_FINDER)
     scoped = F.transform(F.array(*map(F.lit, TERMS)), lambda t: F.regexp_replace("url", _FINDER, F.concat(F.lit("finder=findReqs;$1,keyword="), F.replace(F.url_encode(t), F.lit("+"), F.lit("%20")))))
     urls = F.when(oracle, F.concat(F.array("url"), scoped)).otherwise(F.array("url"))
+    plain = F.flatten(F.transform(urls, lambda u: F.transform(bodies, lambda b: F.struct(u.alias("url"), b.alias("body")))))
+    requests = F.coalesce(_keyword_requests(F.col("kind"), F.col("url")), plain)
     pages = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PAGES.items() for x in kv)), F.col("kind")), F.lit(1))
-    df = df.withColumn("url", F.explode(urls)).withColumn("body", F.explode(bodies)).withColumn("page", F.explode(F.sequence(F.lit(1), pages)))
-    return df.select("source_name", "kind", "method", "url", "body", "page")
+    method = F.when(F.col("kind") == "jooble", "POST").otherwise(F.col("method"))
+    df = df.select("source_name", "kind", method.alias("method"), pages.alias("pages"), F.posexplode(requests).alias("at", "r")).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("pages"))))
+    paged = lambda c: F.replace(F.col(f"r.{c}"), F.lit("{page}"), F.col("page").cast("string"))
+    return df.select("source_name", "kind", (F.col("at") * F.col("pages") + F.col("page") - 1).alias("seq"), "method", paged("url").alias("url"), paged("body").alias("body"), "page")
