@@ -143,3 +143,74 @@ def test_other_feeds(spark):
         "jobvite": ("T", "jobvite", "A, OH", "https://x/1"), "jooble": ("T", "C", "A", "https://x/1"), "usajobs": ("T", "C", "A", "https://x/1"), "jsearch": ("T", "C", "Remote", "https://x/1"), "adzuna": ("T", "C", "A", "https://x/1"),
         "successfactors": ("T", "successfactors", "Doha, Qatar", "https://w.example/job/1"), "workday": ("T", "workday", "A", "https://w.example/site/job/1"),
     }
+
+
+def test_rules_go_by_ascii_words(spark):
+    import re
+
+    texts = ["a RN, b", "éRN x", "RNé", "x_RN", "RN", "ÉRN RN", "no", None, "PA-C here", "A PA-C"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.has(T.ascii_words(F.col("t")), [r"\bRN\b", r"\bPA-C\b"])).collect()]
+    assert got == [bool(re.search(r"\b(?:RN|PA-C)\b", t or "", re.A | re.I)) for t in texts]
+
+
+def test_decimal_references_keep_sixteen_bits(spark):
+    assert spark.createDataFrame([("&#233;&#65601;&amp;#65;",)], "h string").select(T.html_to_text(F.col("h"))).first()[0] == "éAA"
+
+
+def test_numbers_follow_the_order(spark):
+    from pairwright.sources.geonames import numbered
+
+    rows = numbered(spark.range(200).select((F.col("id") * 37 % 200).alias("x")).repartition(5), [F.desc("x")], "n").collect()
+    assert {r.x: r.n for r in rows} == {x: 199 - x for x in range(200)}
+
+
+def test_requests_per_term(spark):
+    entries = [("J", "jooble", "https://j/api"), ("U", "usajobs", "https://u/search"), ("S", "jsearch", "https://s/search"), ("A", "adzuna", "https://a/jobs")]
+    rows = spark.createDataFrame([(n, "https://x", "aggregator", (k, e, True), None, "gb" if n == "A" else "", "both", ["US"]) for n, k, e in entries], registry.SCHEMA)
+    plan = registry.request_plan(rows).collect()
+    assert {n: sum(r.source_name == n for r in plan) for n, *_ in entries} == {"J": 6, "U": 6, "S": 2, "A": 6}
+    assert sorted(r.seq for r in plan if r.source_name == "U") == list(range(6))
+    first = {r.source_name: (r.method, r.url, r.body) for r in plan if r.seq == 0}
+    assert first["J"] == ("POST", "https://j/api", '{"keywords":"radiologist","location":"United States","page":"1"}')
+    assert first["A"][1] == "https://a/jobs/gb/search/1?results_per_page=50&what_phrase=vascular%20surgeon&content-type=application/json"
+
+
+def harvest(spark, names, failed=()):
+    """Sources, and payloads with a job of either side in Cleveland from each source that didn't fail."""
+    body = '{{"jobs": [{{"title": "Vascular Surgeon", "location": {{"name": "Cleveland, OH"}}, "content": "x", "absolute_url": "https://x/{0}/1", "updated_at": "2026-01-01"}}, {{"title": "Diagnostic Radiologist", "location": {{"name": "Akron, OH"}}, "content": "x", "absolute_url": "https://x/{0}/2", "updated_at": "2026-01-01"}}, {{"title": "Nurse", "absolute_url": "https://x/{0}/3"}}]}}'
+    sources = spark.createDataFrame([(n, "https://x", "health-system", ("greenhouse", "https://x/feed", True), None, "", "both", ["US"], i) for i, n in enumerate(names)], registry.SCHEMA + ", ordinal int")
+    landed = [(n, "https://x", "greenhouse", 0, n not in failed, 200, "http 503" if n in failed else None, body.format(n)) for n in names]
+    return sources, spark.createDataFrame(landed, payloads.SCHEMA)
+
+
+def test_runs_follow_each_other(spark, tmp_path):
+    from pairwright.operators import run
+
+    path = str(tmp_path / "board")
+    sources, landed = harvest(spark, ["S1", "S2"])
+    first = run.next_board(spark, path, sources, landed, places(spark), "2026-01-10", site_url="https://b")
+    roles_ = first.roles.collect()
+    assert sorted((r.source_name, r.specialty, r.is_new) for r in roles_) == [(s, x, False) for s in ("S1", "S2") for x in "ab"]
+    report = first.run.first()
+    assert (report.raw, report.irrelevant, report.roles, report.areas, report.together, report.sources_failed) == (6, 2, 4, 1, 1, 0) and report.pairs == 4
+    sources, landed = harvest(spark, ["S1", "S2", "S3"], failed=("S2",))
+    second = run.next_board(spark, path, sources, landed, places(spark), "2026-01-17", site_url="https://b")
+    got = {(r.source_name, r.specialty): (r.is_new, r.stale, str(r.first_seen)) for r in second.roles.collect()}
+    assert got[("S1", "a")] == (False, False, "2026-01-10") and got[("S2", "b")] == (False, True, "2026-01-10") and got[("S3", "a")] == (True, False, "2026-01-17")
+    assert second.digest.count() == 2 and {r.source_name: r.status for r in second.coverage.collect()} == {"S1": "ok", "S2": "failed", "S3": "ok"}
+    for name in second.tables():
+        days = spark.read.parquet(f"{path}/{name}").select("run_date").distinct().count()
+        assert days == (1 if name == "digest" else 2), name
+    late = run.run_board(*harvest(spark, ["S1", "S2"], failed=("S2",)), snapshot.read_previous(spark, f"{path}/roles", "2026-02-20", run.CARRIED), places(spark), "2026-02-20")
+    assert {r.source_name for r in late.roles.collect()} == {"S1"}  # stale for more than 14 days
+
+
+def test_new_files_are_harvested_once(spark, tmp_path):
+    from pairwright.streaming import jobs
+
+    _, landed = harvest(spark, ["S1"])
+    seen = []
+    for day in (1, 2):
+        landed.withColumn("source_name", F.lit(f"S{day}")).write.mode("append").json(str(tmp_path / "landing"))
+        jobs.incremental_harvest(spark, str(tmp_path / "landing"), payloads.SCHEMA, str(tmp_path / "ck"), lambda df, _: seen.append(sorted(r.source_name for r in df.collect()))).awaitTermination()
+    assert [x for x in seen if x] == [["S1"], ["S2"]]
