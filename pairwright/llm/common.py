@@ -9,11 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairwright.functions.scratch import materialize, release
 from pairwright.functions.ship import ship
 
-__all__ = ["PARTS", "held_out", "hot_join", "materialize", "release", "ship", "shuffle_partitions", "slices", "table"]
+__all__ = ["PARTS", "columns_of", "held_out", "hot_join", "map_columns", "materialize", "release", "ship", "shuffle_partitions", "slices", "table"]
 
 #: A hot group is dealt out in pieces of a thousandth of all rows each, so there are at most PARTS hot groups.
 PARTS = 1000
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -49,6 +55,13 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, tot
     return dealt.drop("_code", "_parts").join(spread.drop("_code", "_parts"), [*keys, "_part"]).drop("_part")
 
 
+def map_columns(df: DataFrame, run, more: list[T.StructField]) -> DataFrame:
+    """df.mapInArrow(run) with `more` columns at its end; `run` sees columns c0, c1, ..., so that names may hold dots."""
+    fields = [*df.schema.fields, *more]
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, plain).toDF(*(f.name for f in fields))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_at: int = 0, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut into stretches of rows whose texts hold about most_bytes, one row at least."""
     for b in batches:

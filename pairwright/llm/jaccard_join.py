@@ -399,4 +399,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, block: int = 1000, most
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is the smallest of their component; rows without words or id stay."""
     gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    kept = rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright.llm.common import hot_join, materialize, ship, slices
+from pairwright.llm.common import columns_of, hot_join, map_columns, materialize, ship, slices
 
 #: Runs of which one is looked up, and short chunks at either side that are compared: runs hold ten at most.
 AMONG, BESIDE = 4, 16
@@ -134,16 +134,18 @@ def _without(text: bytes, gone: list[dict]) -> tuple[bytes, int]:
     return b"".join(text[s:e] for i, (s, e, _) in enumerate(cut) if i not in out).strip(b"\n\x20"), len(out)
 
 
-def _remover(names: list[str], text_at: int):
+def _remover(width: int, text_at: int):
+    """Texts without what is in the column after the first `width`, which goes on empty, and how many chunks went."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_at):
             texts, removed = [], []
-            for t, gone in zip(b.column(text_at).cast(pa.binary()), b.column(len(names)).to_pylist(), strict=True):
+            for t, gone in zip(b.column(text_at).cast(pa.binary()), b.column(width).to_pylist(), strict=True):
                 text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone)
                 texts.append(text)
                 removed.append(n)
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], names=[*names, "n_removed"])
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else b.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(b.num_rows, b.column(width).type), pa.array(removed, pa.int32())], names=[f"c{i}" for i in range(width + 2)])
 
     return run
 
@@ -174,9 +176,8 @@ def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
     total = each.count()
     others = hot_join(each, repeated, ["hash"], "n", total).filter("NOT (key = first_key AND at = first_at)")
     gone = others.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "last", "first", "before", "after")).alias("_gone"))
-    joined = keyed.withColumn("text", F.col("text").cast("string")).join(gone, "_key", "left").select(*docs.columns, "_gone")
-    schema = T.StructType([*joined.drop("_gone").schema, T.StructField("n_removed", T.IntegerType())])
-    out = joined.mapInArrow(_remover(docs.columns, docs.columns.index("text")), schema)
+    joined = keyed.withColumn("text", F.col("text").cast("string")).join(gone, "_key", "left").select(*columns_of(docs), "_gone")
+    out = map_columns(joined, _remover(len(docs.columns), docs.columns.index("text")), [T.StructField("n_removed", T.IntegerType())]).drop("_gone")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out
@@ -192,4 +193,4 @@ def line_dedup_report(docs: DataFrame) -> DataFrame:
 def with_text_left(docs: DataFrame) -> DataFrame:
     """docs after line_dedup, without the rows that it left no text; rows that had none before stay."""
     out = line_dedup(docs)
-    return out.filter("n_removed = 0 OR text <> ''").select(*docs.columns)
+    return out.filter("n_removed = 0 OR text <> ''").select(*columns_of(docs))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright.llm.common import ship, slices
+from pairwright.llm.common import map_columns, ship, slices
 
 SPACE = "▁"
 _UNKNOWN = 1  # the code of characters that no piece has; 0 parts words
@@ -203,13 +203,13 @@ def _with_column(rows: DataFrame, name: str, kind: T.DataType, arrow: pa.DataTyp
     """rows and one more column, made of the one named `source`; a column of that name is replaced."""
     ship(rows.sparkSession)
     rows = rows.drop(name)
-    at = rows.columns.index(source)
+    at, at_end = rows.columns.index(source), len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at, BATCH_BYTES):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(make(b.column(at).to_pylist()), arrow)], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(make(b.column(at).to_pylist()), arrow)], names=[f"c{i}" for i in range(at_end + 1)])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField(name, kind)]))
+    return map_columns(rows, run, [T.StructField(name, kind)])
 
 
 def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
