@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairwright.llm.common import table
+from pairwright.llm.decontaminate import contamination_report
 from pairwright.llm.exact_dedup import exact_dedup
 from pairwright.llm.html_extract import extract_main_text
 from pairwright.llm.jaccard_join import near_duplicates
@@ -59,6 +60,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -137,11 +142,35 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k
 """
 
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), b AS (
+  SELECT DISTINCT item, least(len(words), 10) AS n, array_to_string(words[pos:pos + 9], ' ') AS gram
+  FROM (SELECT item, words, unnest(range(1, greatest(2, len(words) - 8))) AS pos FROM i WHERE len(words) > 0)
+), p AS (
+  SELECT rid, pos, n, array_to_string(words[pos:pos + n - 1], ' ') AS gram
+  FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS pos FROM d), (SELECT DISTINCT n FROM b) WHERE pos + n - 1 <= len(words)
+), h AS (
+  SELECT rid, pos, p.n, item FROM p JOIN b USING (n, gram)
+), w AS (
+  SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS word FROM (SELECT DISTINCT rid, pos, n FROM h)) GROUP BY rid
+), t AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN w USING (rid) LEFT JOIN t USING (rid)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op9_piece_encode, op10_jaccard_join)
+    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op9_piece_encode, op10_jaccard_join, op13_decontaminate)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op8_exact_dedup": _OP8}
+    return {"op2_quality_rules": _OP2, "op8_exact_dedup": _OP8, "op13_decontaminate": _OP13}
