@@ -18,6 +18,7 @@ from pairwright.llm.quality_model import quality_scores
 from pairwright.llm.quality_rules import quality_rules
 from pairwright.llm.secrets import secret_report
 from pairwright.llm.toxicity import toxicity_scores
+from pairwright.llm.vector_codes import code_report
 
 
 def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -168,7 +173,7 @@ FROM d LEFT JOIN w USING (rid) LEFT JOIN t USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op9_piece_encode, op10_jaccard_join, op13_decontaminate)
+    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op9_piece_encode, op10_jaccard_join, op11_vector_codes, op13_decontaminate)
     return {f.__name__: f for f in found}
 
 
