@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairwright.llm.common import table
 from pairwright.llm.decontaminate import contamination_report
 from pairwright.llm.exact_dedup import exact_dedup
+from pairwright.llm.hard_negatives import hard_negatives
 from pairwright.llm.html_extract import extract_main_text
 from pairwright.llm.jaccard_join import near_duplicates
 from pairwright.llm.line_dedup import line_dedup_report
@@ -65,6 +66,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -172,10 +177,60 @@ FROM d LEFT JOIN w USING (rid) LEFT JOIN t USING (rid)
 """
 
 
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
+_SQUARES = "list_sum(list_transform(list_zip(parts.x, {book}.x), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+
+def _op11(rounds: int = 4) -> str:
+    """Every distance in every round."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_USABLE}
+), parts AS MATERIALIZED (
+  SELECT rid, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(4) r(p)
+), b0 AS MATERIALIZED (
+  SELECT p, k, x FROM parts JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS k FROM kept QUALIFY k < 256) USING (rid)
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f""", a{i} AS MATERIALIZED (
+  SELECT rid, p, min(struct_pack(far := {_SQUARES.format(book=f"b{i}")}, k := k)) AS best FROM parts JOIN b{i} USING (p) GROUP BY rid, p
+)""")
+        if i < rounds:
+            steps.append(f""", m{i} AS (
+  SELECT p, k, list(mean ORDER BY pos) AS x FROM (
+    SELECT p, best.k AS k, pos, floor(sum(x[pos]) / count(*))::BIGINT AS mean FROM a{i} JOIN parts USING (rid, p), unnest(range(1, len(x) + 1)) u(pos) GROUP BY ALL
+  ) GROUP BY p, k
+), b{i + 1} AS MATERIALIZED (
+  SELECT p, k, coalesce(m{i}.x, b{i}.x) AS x FROM b{i} LEFT JOIN m{i} USING (p, k)
+)""")
+    return "".join(steps) + f"""
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN (SELECT rid, string_agg(lower(printf('%02x', best.k)), '' ORDER BY p) AS code, sum(best.far)::BIGINT AS error FROM a{rounds} GROUP BY rid) USING (rid)
+"""
+
+
+_OP12 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE label IS NOT NULL AND {_USABLE}
+), s AS MATERIALIZED (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), z -> z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op9_piece_encode, op10_jaccard_join, op11_vector_codes, op13_decontaminate)
+    found = (op1_quality_model, op2_quality_rules, op3_html_extract, op4_line_dedup, op5_packing, op6_secrets, op7_toxicity, op8_exact_dedup, op9_piece_encode, op10_jaccard_join, op11_vector_codes, op12_hard_negatives, op13_decontaminate)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op8_exact_dedup": _OP8, "op13_decontaminate": _OP13}
+    return {"op2_quality_rules": _OP2, "op8_exact_dedup": _OP8, "op11_vector_codes": _op11(), "op12_hard_negatives": _OP12, "op13_decontaminate": _OP13}
