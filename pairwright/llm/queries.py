@@ -177,15 +177,15 @@ FROM d LEFT JOIN w USING (rid) LEFT JOIN t USING (rid)
 """
 
 
-_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
-_SQUARES = "list_sum(list_transform(list_zip(parts.x, {book}.x), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+_USABLE = "embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
+_SQUARES = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(parts.x, {book}.x)])::BIGINT"
 
 
 def _op11(rounds: int = 4) -> str:
     """Every distance in every round."""
     steps = [f"""
 WITH kept AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_USABLE}
+  SELECT row_number() OVER () AS rid, vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings WHERE {_USABLE}
 ), parts AS MATERIALIZED (
   SELECT rid, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(4) r(p)
 ), b0 AS MATERIALIZED (
@@ -211,10 +211,10 @@ FROM kept JOIN (SELECT rid, string_agg(lower(printf('%02x', best.k)), '' ORDER B
 
 _OP12 = f"""
 WITH v AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS x
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS x
   FROM embeddings WHERE label IS NOT NULL AND {_USABLE}
 ), s AS MATERIALIZED (
-  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), z -> z[1] * z[2]))::BIGINT AS score
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_sum([z[1] * z[2] for z in list_zip(a.x, b.x)])::BIGINT AS score
   FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % 100 = 0
 ), p AS (
   SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
