@@ -282,6 +282,7 @@ def _searcher(block, text_at: int, width: int, with_text: bool):
         pairs = np.unique(np.repeat(of, times) * max(1, len(phrases.names)) + named) if len(pairs) else pairs
         for p in pairs.tolist():
             items[p // len(phrases.names)].append(phrases.names[p % len(phrases.names)])
+        items = [sorted(x) for x in items]
         if b.num_columns > width:
             old = b.column(width).to_pylist()
             before = np.array([(i, s["start"], s["end"]) for i, row in enumerate(old) for s in row or ()], np.int64).reshape(-1, 3)

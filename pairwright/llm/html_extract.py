@@ -7,16 +7,20 @@ lead or tail may stand beside it, it widens to the article or main around it, or
 isn't mostly links. Pages vote for their best containers' paths, votes are counted for each host, and every
 page is then extracted again by its host's winning path, or by its own where that encloses it. A page without
 that path falls back to its own best container. What is dropped inside is of the excluded kinds.
+
+A page's paths form a tree whose nodes are numbered so that what lies under a node is a range of numbers; a
+path is known by a digest of its labels. So depth costs nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +39,24 @@ OUT_WORDS = set(
     " login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus widget toolbar pagination pager"
     " skip search hidden header topbar toc".split()
 )
+#: Of these, what readers or others wrote, and what no page makes its whole.
+FIRM_WORDS = set("comment comments commentlist respond reply replies disqus newsletter related recommended recommendations sharing social sponsored advert adverts".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: Words before "header" that make it the header of the text and not of the page.
+OF_TEXT = set("entry post article story content news".split())
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _QUOTE_OR_END = re.compile(r"""[>"']""")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other, so that nothing in a value is taken for a name.
+_ATTR = re.compile(r"""([^\s/>="']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_HEADED = re.compile(r"\s*(?:<header\b[^>]{0,300}>\s*)?<h([1-6])\b[^>]{0,300}>(.{0,300}?)</h\1", re.S | re.I)
+_TAG = re.compile(r"<[^>]{0,300}>")
 _RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 _TOKENS = re.compile(r"[A-Za-z]+")
-#: Containers nested deeper than this share the path of the one around them, and a longer label is cut to a
-#: digest, so that paths stay short; texts and their order don't change.
-DEEPEST, LONGEST_LABEL = 64, 80
-KEEPS = 0.8
+#: The part of a page's weight that makes a container the article's, and the part beyond which no name speaks against it.
+KEEPS, WHOLE = 0.8, 0.75
 
 _BLOCKS = "array<struct<path:int,text:string>>"
-_PARSED = f"page_id long, url string, own string, weight long, paths array<string>, blocks {_BLOCKS}"
+_PARSED = f"page_id long, url string, own int, own_path long, own_name string, weight long, paths array<long>, ends array<int>, blocks {_BLOCKS}"
 
 
 class Tags:
@@ -108,32 +118,97 @@ class Tags:
         return len(html), len(html), False, "", ""
 
 
-def _label(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """The path's label of a container, and whether it's none of the article."""
-    out = tag in OUT_TAGS or tag == "header" and not in_article
-    name = ""
-    if attributes.strip():
-        found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)}
-        names = f"{found.get('class', '')} {found.get('id', '')}"
-        out = out or found.get("role", "").lower() in OUT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        if tag not in ("html", "body", "article", "main"):
-            out = out or any(w in OUT_WORDS for n in names.split() for w in _name_words(n))
-        first = names.split()
-        name = f".{re.sub(r'[0-9]+', '#', first[0].lower()).replace('>', '_')}" if first else ""
-    label = tag + name
-    return label if len(label) <= LONGEST_LABEL else hashlib.md5(label.encode("utf-8", "replace")).hexdigest(), out
+def _attributes(text: str) -> dict[str, str]:
+    """Names in small letters, the first of each, and values without quotes; '' for none."""
+    found: dict[str, str] = {}
+    for name, value in _ATTR.findall(text):
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in "\"'" and value[:1] == value[-1:] and len(value) > 1 else value)
+    return found
 
 
 def _name_words(name: str) -> list[str]:
     """Words of a class or id that stand for its whole sense: its first and last one."""
     words = [w.lower() for w in _TOKENS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
-    return [] if words[:1] in (["has"], ["no"], ["with"]) else words[:1] + words[-1:]
-
+    if words[:1] in (["has"], ["no"], ["with"]) or len(words) > 1 and words[-1] == "header" and words[0] in OF_TEXT:
+        return []
+    return words[:1] + words[-1:]
+
+
+def _names_itself(name: str, html: str, at: int) -> bool:
+    """Whether the element's first heading says what its id says, as anchors of sections do."""
+    m = _HEADED.match(html, at)
+    plain = lambda x: "".join(_TOKENS.findall(x.lower()))
+    return bool(m) and plain(name) != "" and plain(name) in plain(unescape(_TAG.sub("", m[2])))
+
+
+def _verdict(tag: str, found: dict[str, str], in_article: bool, html: str, at: int) -> str:
+    """What a container is by tag, attributes and what comes first in it: 'out', 'firm' or 'soft' by name, or ''."""
+    if "hidden" in found and found["hidden"].lower() != "until-found" or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in OUT_ROLES:
+        return "out"
+    classes, anchor = found.get("class", "").split(), found.get("id", "")
+    if tag == "header":
+        own = in_article or any(not _name_words(c) for c in classes if c.lower().endswith("header"))
+        if not own:
+            return "out"
+    elif tag in OUT_TAGS:
+        return "soft" if tag == "form" else "out"
+    if tag in HEADINGS or tag in ("html", "body", "article", "main"):
+        return ""
+    words = [w for c in classes for w in _name_words(c)]
+    if anchor and tag not in LEAF:
+        of_id = [w for w in _name_words(anchor) if w in OUT_WORDS]
+        if of_id and (set(of_id) & FIRM_WORDS or not _names_itself(anchor, html, at)):
+            words += of_id
+    words = [w for w in words if w in OUT_WORDS and not (w == "header" and tag == "header")]
+    return ("firm" if set(words) & FIRM_WORDS else "soft") if words else ""
+
+
+def _label(tag: str, found: dict[str, str]) -> str:
+    first = (found.get("class", "") or found.get("id", "")).split()
+    return tag + (f".{re.sub(r'[0-9]+', '#', first[0].lower()).replace('>', '_')}" if first else "")
+
+
+@dataclass
+class Page:
+    """Blocks (node, text, link characters) in page order, and the tree of their paths; node 0 is the page.
+
+    Nodes are numbered so that those under node i are i + 1 to ends[i].
+    """
 
-def parse(html: str) -> list[tuple[str, str, int]]:
-    """path, text and link characters of each block that may be of the article, in page order."""
-    blocks: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, out, in an article
+    blocks: list[tuple[int, str, int]]
+    parent: list[int]
+    labels: list[str]
+    digests: list[int]
+    ends: list[int]
+
+
+def _numbered(blocks: list[tuple[int, str, int]], parent: list[int], labels: list[str]) -> Page:
+    """Renumbers nodes depth first."""
+    below: list[list[int]] = [[] for _ in parent]
+    for i in range(len(parent) - 1, 0, -1):
+        below[parent[i]].append(i)
+    order, todo = [], [0]
+    while todo:
+        order.append(i := todo.pop())
+        todo += below[i]
+    place = [0] * len(parent)
+    for n, i in enumerate(order):
+        place[i] = n
+    up = [place[parent[i]] for i in order]
+    digests, ends = [0] * len(order), list(range(len(order)))
+    for n in range(1, len(order)):
+        digests[n] = xxhash.xxh64_intdigest(f"{digests[up[n]]}>{labels[order[n]]}".encode("utf-8", "replace")) - (1 << 63)
+    for n in range(len(order) - 1, 0, -1):
+        ends[up[n]] = max(ends[up[n]], ends[n])
+    return Page([(place[i], t, k) for i, t, k in blocks], up, [labels[i] for i in order], digests, ends)
+
+
+def parse(html: str) -> Page:
+    """The blocks that may be of the article, and their paths."""
+    blocks: list[tuple[int, str, int, int]] = []
+    parent, labels, node_of = [-1], [""], {}
+    suspects: list[tuple[int, bool]] = []  # the suspect around, and whether its name is firm
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, -1)]  # tag, node, out, in an article, suspect
     buffer: list[str] = []
     links = in_link = at = 0
 
@@ -142,7 +217,7 @@ def parse(html: str) -> list[tuple[str, str, int]]:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             if text and not stack[-1][2]:
-                blocks.append((stack[-1][1], text, links))
+                blocks.append((stack[-1][1], text, links, stack[-1][4]))
             buffer.clear()
         links = 0
 
@@ -178,68 +253,108 @@ def parse(html: str) -> list[tuple[str, str, int]]:
             opened[stack.pop()[0]] -= 1
         if attributes.endswith("/") and tag not in ("p", "div", "article", "section", "main"):
             continue
-        _, path, out, inside = stack[-1]
-        label, gone = _label(tag, attributes, inside)
-        if tag not in LEAF and len(stack) < DEEPEST:
-            path = f"{path}>{label}" if path else label
-        stack.append((tag, path, out or gone, inside or tag in ("article", "main")))
+        _, node, out, inside, suspect = stack[-1]
+        found = _attributes(attributes) if attributes.strip() else {}
+        verdict = "" if out else _verdict(tag, found, inside, html, at)
+        if verdict in ("soft", "firm"):
+            suspects.append((suspect, verdict == "firm"))
+            suspect = len(suspects) - 1
+        if tag not in LEAF:
+            key = (node, _label(tag, found))
+            if key not in node_of:
+                node_of[key] = len(parent)
+                parent.append(node)
+                labels.append(key[1])
+            node = node_of[key]
+        stack.append((tag, node, out or verdict == "out", inside or tag in ("article", "main"), suspect))
         opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return blocks
-
-
-def best_container(blocks: list[tuple[str, str, int]]) -> tuple[str, int]:
-    """The deepest path under which at least KEEPS of the page's weight lies, widened, and its weight."""
-    own: dict[str, int] = {}
-    linked: dict[str, bool] = {}  # whether a block right under the path is mostly links
-    for path, text, links in blocks:
-        own[path] = own.get(path, 0) + max(len(text) - 2 * links, 0)
-        linked[path] = linked.get(path, False) or 2 * links >= len(text)
-    weights: dict[str, int] = {}
-    for path, w in own.items():
-        at = len(path)
-        while at > 0:
-            weights[path[:at]] = weights.get(path[:at], 0) + w
-            at = path.rfind(">", 0, at)
-    total = sum(own.values())
-    kept = [(p.count(">"), w, p) for p, w in weights.items() if w >= KEEPS * total and w > 0]
+    return _numbered(_cleared(blocks, suspects), parent, labels)
+
+
+def _cleared(blocks: list[tuple[int, str, int, int]], suspects: list[tuple[int, bool]]) -> list[tuple[int, str, int]]:
+    """Blocks but those of suspects; one without a firm name that holds nearly all of the page's running text is none."""
+    weights = [0] * len(suspects)
+    total = 0
+    firm = [False] * len(suspects)
+    for i, (around, is_firm) in enumerate(suspects):
+        firm[i] = is_firm or around >= 0 and firm[around]
+    for _, text, links, suspect in blocks:
+        w = max(len(text) - 2 * links, 0)
+        if suspect < 0:
+            total += w
+        elif not firm[suspect]:
+            total += w
+            weights[suspect] += w
+    kept = [False] * len(suspects)
+    for i in range(len(suspects) - 1, -1, -1):
+        if suspects[i][0] >= 0:
+            weights[suspects[i][0]] += weights[i]
+    for i, (around, _) in enumerate(suspects):
+        kept[i] = not firm[i] and 0 < WHOLE * total <= weights[i] and (around < 0 or kept[around])
+    return [(node, text, links) for node, text, links, suspect in blocks if suspect < 0 or kept[suspect]]
+
+
+def best_container(page: Page) -> tuple[int, int]:
+    """The deepest node under which at least KEEPS of the page's weight lies, widened, and its weight."""
+    n = len(page.parent)
+    weights, held, linked, depth = [0] * n, [0] * n, [0] * n, [0] * n
+    for node, text, links in page.blocks:
+        weights[node] += max(len(text) - 2 * links, 0)
+        held[node] = 1
+        linked[node] = int(linked[node] or 2 * links >= len(text))  # mostly links
+    for i in range(1, n):
+        depth[i] = depth[page.parent[i]] + 1
+    for i in range(n - 1, 0, -1):
+        p = page.parent[i]
+        weights[p], held[p], linked[p] = weights[p] + weights[i], held[p] + held[i], linked[p] + linked[i]
+    kept = [(depth[i], weights[i], -i) for i in range(1, n) if 0 < KEEPS * weights[0] <= weights[i]]
     if not kept:
-        return "", 0
-    p = widened(max(kept)[2], linked)
-    return p, weights[p]
-
-
-def widened(path: str, linked: dict[str, bool]) -> str:
-    """The farthest article or main around a path; without one, the farthest path that gains only blocks of running text."""
-    labels = path.split(">")
-    for k, label in enumerate(labels):
-        if label.split(".")[0] in ("article", "main"):
-            return ">".join(labels[: k + 1])
-    best = path
-    for k in range(len(labels) - 1, 0, -1):
-        up, inside = ">".join(labels[:k]), f"{best}>"
-        gained = [is_linked for p, is_linked in linked.items() if (p == up or p.startswith(f"{up}>")) and p != best and not p.startswith(inside)]
-        if any(gained):
+        return 0, weights[0]
+    best = widened(page, -max(kept)[2], held, linked)
+    return best, weights[best]
+
+
+def widened(page: Page, node: int, held: list[int], linked: list[int]) -> int:
+    """The farthest article or main around a node; without one, the farthest node that gains only blocks of running text."""
+    around, farthest = node, -1
+    while around > 0:
+        if page.labels[around].split(".")[0] in ("article", "main"):
+            farthest = around
+        around = page.parent[around]
+    if farthest >= 0:
+        return farthest
+    best, up = node, page.parent[node]
+    while up > 0:
+        if linked[up] > linked[best]:
             break
-        if gained:
+        if held[up] > held[best]:
             best = up
+        up = page.parent[up]
     return best
 
 
+def path_name(page: Page, node: int) -> str:
+    """The path's last labels, for people."""
+    names: list[str] = []
+    while node > 0 and len(names) < 12:
+        names.append(page.labels[node][:80])
+        node = page.parent[node]
+    return ">".join(reversed(names))
+
+
 def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("path", pa.int32()), ("text", pa.string())]))
     for b in slices(batches, 2):
-        own, weight, paths, blocks = [], [], [], []
+        rows = []
         for h in b.column(2).to_pylist():
-            found = parse(h or "")
-            best, w = best_container(found)
-            number: dict[str, int] = {}
-            blocks.append([{"path": number.setdefault(p, len(number)), "text": t} for p, t, _ in found])
-            own.append(best)
-            weight.append(w)
-            paths.append(list(number))
-        columns = [b.column(0), b.column(1), pa.array(own, pa.string()), pa.array(weight, pa.int64()), pa.array(paths, pa.list_(pa.string())), pa.array(blocks, kind)]
-        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "own", "weight", "paths", "blocks"])
+            page = parse(h or "")
+            own, weight = best_container(page)
+            blocks = [{"path": i, "text": t} for i, t, _ in page.blocks]
+            rows.append((own, page.digests[own], path_name(page, own), weight, page.digests, page.ends, blocks))
+        kinds = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), kind)
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["page_id", "url", "own", "own_path", "own_name", "weight", "paths", "ends", "blocks"])
 
 
 def host(url: Column) -> Column:
@@ -248,16 +363,15 @@ def host(url: Column) -> Column:
 
 
 def winning_paths(parsed: DataFrame) -> DataFrame:
-    """host, path and pages: the container path with most votes of each host, ties by weight, then by name."""
-    votes = parsed.groupBy("host", "own").agg(F.count("*").alias("pages"), F.count_if(F.col("weight") > 0).alias("votes"), F.sum("weight").alias("weight"))
-    best = F.max_by("own", F.struct("votes", "weight", "own"))
-    return votes.groupBy("host").agg(best.alias("path"), F.sum("pages").alias("pages"))
+    """host, path, its name, and pages: the container path with most votes of each host, ties by weight, then by path."""
+    votes = parsed.groupBy("host", "own_path").agg(F.count("*").alias("pages"), F.count_if(F.col("weight") > 0).alias("votes"), F.sum("weight").alias("weight"), F.min("own_name").alias("name"))
+    best = votes.groupBy("host").agg(F.max_by(F.struct("own_path", "name"), F.struct("votes", "weight", "own_path")).alias("best"), F.sum("pages").alias("pages"))
+    return best.select("host", F.col("best.own_path").alias("path"), F.col("best.name").alias("name"), "pages")
 
 
-def main_text(paths: Column, blocks: Column, path: Column) -> Column:
-    """The texts of the blocks under a path, in page order."""
-    under = F.transform(paths, lambda p: (p == path) | p.startswith(F.concat(path, F.lit(">"))))
-    return F.transform(F.filter(blocks, lambda b: F.get(under, b["path"])), lambda b: b["text"])
+def under(blocks: Column, ends: Column, node: Column) -> Column:
+    """The texts of the blocks under a node, in page order."""
+    return F.transform(F.filter(blocks, lambda b: (b["path"] >= node) & (b["path"] <= F.element_at(ends, node + 1))), lambda b: b["text"])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -273,7 +387,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     winners = materialize(winning_paths(parsed))
     total = winners.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     found = hot_join(parsed, winners, ["host"], "pages", total)
-    path = F.when(F.col("path").startswith(F.concat("own", F.lit(">"))), F.col("own")).otherwise(F.col("path"))
-    found = found.withColumn("found", main_text(F.col("paths"), F.col("blocks"), path))
-    text = F.array_join(F.when(F.size("found") > 0, F.col("found")).otherwise(main_text(F.col("paths"), F.col("blocks"), F.col("own"))), "\n")
+    # the winner's node on this page, if there is one; the page's own container where it encloses that, or where it holds nothing
+    node = F.array_position("paths", F.col("path")).cast("int") - 1
+    own = F.col("own")
+    found = found.withColumn("node", F.when((node < 0) | ((own > 0) & (node >= own) & (node <= F.element_at("ends", own + 1))), own).otherwise(node))
+    found = found.withColumn("found", under(F.col("blocks"), F.col("ends"), F.col("node")))
+    text = F.array_join(F.when(F.size("found") > 0, F.col("found")).when(F.col("weight") > 0, under(F.col("blocks"), F.col("ends"), own)).otherwise(F.array().cast("array<string>")), "\n")
     return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

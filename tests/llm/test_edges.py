@@ -77,7 +77,7 @@ def test_votes_win_per_host(spark):
     parsed = spark.createDataFrame(rows, "page_id long, url string, html string").mapInArrow(html_extract._parse_all, html_extract._PARSED).withColumn("host", html_extract.host(F.col("url")))
     own = {}
     for r in parsed.collect():
-        own.setdefault(r.host, []).append(r.own)
+        own.setdefault(r.host, []).append(r.own_path)
     want = {h: max(sorted(set(x)), key=lambda p, x=x: (x.count(p), p)) for h, x in own.items()}
     assert {r.host: r.path for r in html_extract.winning_paths(parsed).collect()} == want
 

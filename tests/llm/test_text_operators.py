@@ -245,3 +245,80 @@ def test_crc_of_pieces(docs):
     a = {(r.doc_id, r.piece): zlib.crc32(r.ids) for r in packing.pack_documents(docs).collect()}
     b = {(r.doc_id, r.piece): r.ids_crc32 for r in packing.packing_report(docs).collect()}
     assert a == b
+
+
+BODY = "<p>The first paragraph of the text, long enough to weigh something here.</p><p>And the second one, which goes on for a while about it.</p>"
+PLAIN = ["The first paragraph of the text, long enough to weigh something here.", "And the second one, which goes on for a while about it."]
+STAYS = {
+    "style": (f'<div style="overflow:hidden">{BODY}</div>', PLAIN),
+    "title": (f'<article title="A hidden place" data-id="sidebar" data-role="banner">{BODY}</article>', PLAIN),
+    "heading by id": (f'<article><h2 id="search">How to search</h2>{BODY}<h3 class="header">More</h3><p>Nothing.</p></article>', ["How to search", *PLAIN, "More", "Nothing."]),
+    "section by id": (f'<article><p>Lead.</p><section id="login"><h2>Login</h2>{BODY}</section><section id=cookies><header><h3>About Cookies</h3></header><p>They are small.</p></section></article>', ["Lead.", "Login", *PLAIN, "About Cookies", "They are small."]),
+    "entry header": (f'<article><header class="entry-header"><h1>Title</h1><p>By A.</p></header><div class="entry-content">{BODY}</div></article>', ["Title", "By A.", *PLAIN]),
+    "post header": (f'<div class="post"><div class="post-header"><h1>Title</h1></div>{BODY}</div>', ["Title", *PLAIN]),
+    "layout named by its sidebar": (f'<div class="layout-sidebar"><div class="text">{BODY}</div><div class="sidebar"><ul><li><a href=/x>Elsewhere</a></li></ul></div></div>', PLAIN),
+    "one form around all": (f'<form id="aspnet"><div class="text">{BODY}</div><form><label>Name</label></form></form>', PLAIN),
+    "found again": (f'<div hidden="until-found" class="x">{BODY}</div>', PLAIN),
+    "deep": ("<div>" * 100 + BODY + "</div>" * 100, PLAIN),
+    "deep beside a sidebar": ("<div>" * 100 + f"<section>{BODY}</section><ul>" + "<li><a href=/>A link to elsewhere on this site</a></li>" * 4 + "</ul>" + "</div>" * 100, PLAIN),
+}
+GOES = ['<div class="comments"><p>A reader writes at length about this and that.</p></div>', '<section id="comments"><h2>Comments</h2><p>A reader writes at length about this and that.</p></section>', '<div hidden><p>Not seen.</p></div>', '<div aria-hidden="true"><p>Not seen.</p></div>', '<div class="cookie-notice"><p>We use cookies.</p></div>', '<p class="advert">Buy this.</p>', '<div role="search">Search</div>', '<div id="sidebar"><p>Elsewhere.</p></div>', '<div class="site-header"><h1>The site</h1></div>', '<header><h1>The site</h1></header>']
+
+
+@pytest.mark.parametrize("name", STAYS)
+def test_articles_stay_whole(spark, name):
+    html, want = STAYS[name]
+    rows = [(i, f"http://h{i}.example/", f"<html><body><nav><a href=/>menu</a></nav>{html}{''.join(GOES)}<footer>foot</footer></body></html>") for i in range(2)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text.split("\n") for r in got] == [want] * 2
+
+
+def test_attributes_by_name():
+    of = html_extract._attributes
+    assert of(''' class="a hidden" title='id="x" hidden' data-id=sidebar ID = q1 hidden/''') == {"class": "a hidden", "title": 'id="x" hidden', "data-id": "sidebar", "id": "q1", "hidden": ""}
+    assert of('class=a class="b" x="') == {"class": "a", "x": '"'} and of("") == {}
+
+
+class _Plain(__import__("html.parser").parser.HTMLParser):
+    """Text by block elements, with those named as boilerplate left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.found, self.text = [], [], ""
+
+    def end(self):
+        if (t := " ".join(self.text.split())) and not any(self.out):
+            self.found.append(t)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("b", "i", "a"):
+            self.end()
+            a = dict(attrs)
+            self.out.append(tag in ("nav", "aside", "footer", "script") or "hidden" in a or a.get("class") in ("sidebar", "advert"))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a"):
+            self.end()
+            self.out.pop()
+
+    def handle_data(self, data):
+        self.text += data
+
+
+def test_random_pages_against_another_parser(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["one", "two &amp; three", "&eacute;t&#233;", "x &lt; y", "<b>bold</b>", "<i>it</i>s", "four\n  five"])
+
+    def box(depth):
+        kind = rng.choice(["<p{}>{}</p>"] * 4 + ["<div{}>{}</div>", "<section{}>{}</section>", "<ul{}><li>{}</li></ul>", "<nav{}>{}</nav>", "<aside{}>{}</aside>", '<div class="advert"{}>{}</div>', "<script{}>if (a) {{ '{}' }}</script>"][: 4 if depth > 5 else None])
+        attribute = rng.choice(["", "", ' style="overflow:hidden"', ' data-id="nav"', ' title="hidden"', f' lang="x{rng.randint(0, 9)}"', " hidden"])
+        inside = " ".join(word() for _ in range(rng.randint(1, 12))) if kind.startswith(("<p", "<ul", "<script")) else "".join(box(depth + 1) for _ in range(rng.randint(1, 4)))
+        return kind.format(attribute, inside)
+
+    pages = [(i, f"http://h{i}.example/", "<html><body><article>" + "<p>A paragraph of its own that is always there.</p>" + "".join(box(0) for _ in range(8)) + "</article></body></html>") for i in range(60)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, html in pages:
+        plain = _Plain()
+        plain.feed(html)
+        assert got[i] == plain.found
