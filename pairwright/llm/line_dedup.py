@@ -1,190 +1,233 @@
-"""Line deduplication by lines and sentences.
-
-A text is cut where a line or a sentence ends, so cuts depend on the bytes beside them alone and come back
-wherever a passage does, whatever stands before or after it. A chunk of `least_words` words or more is
-looked up by itself. Of shorter ones that follow each other, runs of that many words are looked up: of any
-AMONG neighbouring runs the one with the smallest hash, so a passage of 50 words holds one in every host.
-Of what is found more than once, in one document or many, the first one (by doc_id, then place) stays;
-others go after their bytes have been compared with it, and so do the short chunks before and after them, as
-far as they are those beside the first one. White space around chunks doesn't count. Each chunk that goes
-has its like further on top, so of text that repeats itself without a break one period stays.
+"""Line deduplication by content-defined chunks of lines.
+
+A line ends with a newline, a sentence, or after a word whose hash says so (one in FOLD), so that a passage
+in the midst of long lines has lines of its own. A rolling hash over the last WINDOW line hashes, cleared
+where a text begins, ends a chunk where it is divisible by DIVISOR. So boundaries depend on nearby lines
+alone, and from a passage's third line on they are the same in every host. Chunks of several lines that are
+found more than once, in one document or many, are compared with the first one (by doc_id, then place), word
+by word, and then on into the chunks beside it, as far as the words agree: a passage's boundaries lie there,
+as only its first WINDOW lines may be cut otherwise in another host. What agrees goes, if it is a passage:
+`least_words` words in all, or three lines of LINE_WORDS words. White space doesn't count. Whatever goes has
+its like further on top, so of text that repeats itself one period stays.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright.llm.common import columns_of, hot_join, map_columns, materialize, ship, slices
-
-#: Runs of which one is looked up, and short chunks at either side that are compared: runs hold ten at most.
-AMONG, BESIDE = 4, 16
-#: The end of a line or of a sentence, with the blank lines that follow.
-_END = re.compile(rb"(?:[.!?][\x20\t]++\n?|\n)(?:[\x20\t\r\f\v]*+\n)*+")
-
-
-def chunks(text: bytes) -> Iterator[tuple[int, int, int]]:
-    """start, end and words of the text's lines and sentences, in order and without gaps."""
-    start, stop = 0, len(text.rstrip())
-    for m in _END.finditer(text, 0, stop):
-        if m.end() < stop:
-            yield start, m.end(), len(text[start : m.end()].split())
-            start = m.end()
-    if text:
-        yield start, len(text), len(text[start:].split())
-
-
-def _cut(text: bytes) -> tuple[list[tuple[int, int, int]], list[bytes]]:
-    cut = list(chunks(text))
-    return cut, [text[s:e].strip() for s, e, _ in cut]
-
-
-def runs(cut: list[tuple[int, int, int]], parts: list[bytes], least_words: int) -> list[tuple[int, int, int]]:
-    """First and last chunk, and hash, of what is looked up, in order."""
-    found: list[tuple[int, int, int]] = []
-    short: list[tuple[int, int, int]] = []  # the runs of the short chunks that follow each other
-    first = last = words = 0
-
-    def choose() -> None:
-        at = -1
-        for k in range(max(1, len(short) - AMONG + 1)):
-            if at < k or short[k + AMONG - 1][2] < short[at][2]:
-                at = min(range(k, min(k + AMONG, len(short))), key=lambda i: short[i][2])
-                found.append(short[at])
-        short.clear()
-
-    for i, (_, _, n) in enumerate(cut):
-        if n >= least_words or not n:
-            if short:
-                choose()
-            if n:
-                found.append((i, i, xxhash.xxh64_intdigest(parts[i])))
-            first, words = i + 1, 0
-            continue
-        words, last = words + n, i
-        while words >= least_words:
-            short.append((first, last, xxhash.xxh64_intdigest(b"\n".join(parts[first : last + 1]))))
-            words -= cut[first][2]
-            first += 1
-    if short:
-        choose()
-    return found
-
-
-def _beside(cut: list[tuple[int, int, int]], parts: list[bytes], least_words: int, at: int, step: int) -> list[bytes]:
-    """The short chunks from a place on, the nearest one first."""
-    out: list[bytes] = []
-    while 0 <= at < len(cut) and 0 < cut[at][2] < least_words and len(out) < BESIDE:
-        out.append(parts[at])
+from pairwright.llm.common import columns_of, hot_join, materialize, ship, slices
+from pairwright.llm.words import Words, words_of
+
+WINDOW, DIVISOR, FOLD = 2, 2, 3
+#: Chunks beside a repeated one in which a passage may begin or end: one that the host began, and one for each line that its window reaches into.
+BESIDE = WINDOW + 1
+#: Lines and words of chunks that are looked up, and words of three lines that are a passage.
+LEAST_LINES, CHUNK_WORDS, LINE_WORDS = 2, 4, 10
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LETTERS = np.random.default_rng(0).integers(1, 1 << 63, 256, np.uint64)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_BYTE = np.arange(256)
+_IN_WORD = (_BYTE != 32) & ((_BYTE < 9) | (_BYTE > 13))
+_STOPS = np.isin(_BYTE, list(b".!?"))
+
+
+@dataclass
+class Cut:
+    """Chunks of a batch: words, first word of every chunk (and the end), lines, hash; chunk_at: first chunk of every text (and the end)."""
+
+    words: Words
+    word_at: np.ndarray
+    first: np.ndarray
+    lines: np.ndarray
+    hashes: np.ndarray
+    chunk_at: np.ndarray
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _sums(values: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of every stretch of values, modulo 2**64."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    lengths = ends - first
+    powers = np.ones(int(lengths.max()), np.uint64)
+    powers[1:] = _BASE
+    np.cumprod(powers, out=powers)
+    within = np.arange(len(values)) - np.repeat(first, lengths)
+    return _mixed(np.add.reduceat(values * powers[within], first))
+
+
+def cut(texts: pa.Array) -> Cut:
+    words = words_of(texts, _IN_WORD)
+    n, word_at = len(words.ids), np.concatenate([[0], np.cumsum(words.counts)])
+    offsets = np.frombuffer(words.dictionary.buffers()[1], np.int64)[: len(words.dictionary) + 1]
+    letters = np.frombuffer(words.dictionary.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    own = _sums(_LETTERS[letters], offsets[:-1], offsets[1:])[words.ids] if n else np.zeros(0, np.uint64)
+    base = np.repeat(words.base, words.counts)
+    newlines = np.concatenate([[0], np.cumsum(words.data == 10)])
+    ends = _STOPS[words.data[base + words.end - 1]] | (own >> np.uint64(20)) % np.uint64(FOLD) == 0 if n else np.zeros(0, bool)
+    ends[:-1] |= newlines[(base + words.start)[1:]] > newlines[(base + words.end)[:-1]]
+    last = word_at[1:][words.counts > 0] - 1
+    ends[last] = True
+    line_end = np.flatnonzero(ends) + 1
+    line_first = np.concatenate([[0], line_end[:-1]]) if n else line_end
+    line = _sums(own, line_first, line_end)
+    rolled, before = line.copy(), line
+    fresh = np.isin(line_first, word_at[:-1][words.counts > 0])  # a text's first line
+    clear = np.zeros(len(line), bool)
+    for k in range(1, WINDOW):
+        before = np.concatenate([np.zeros(1, np.uint64), before[:-1]])
+        clear = np.concatenate([[False], clear[:-1]]) | fresh if k > 1 else fresh
+        rolled = rolled * _BASE + np.where(clear, np.uint64(0), before)
+    closes = _mixed(rolled) % np.uint64(DIVISOR) == 0
+    closes |= np.isin(line_end, last + 1)
+    at = np.flatnonzero(closes)
+    first = np.concatenate([[0], line_end[at]])
+    lines = np.diff(np.concatenate([[-1], at]))
+    return Cut(words, word_at, first, lines, _sums(own, first[:-1], first[1:]) if n else np.zeros(0, np.uint64), np.searchsorted(first, word_at))
+
+
+def _looked_up(c: Cut) -> np.ndarray:
+    return np.flatnonzero((c.lines >= LEAST_LINES) & (np.diff(c.first) >= CHUNK_WORDS))
+
+
+_CHUNKS = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("last", pa.int32())]))
+
+
+def _chunk_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, key and the chunks to look up: hash, and first and last word (exclusive)."""
+    for b in slices(batches, 2, 4_000_000):
+        c = cut(b.column(2))
+        wanted = _looked_up(c)
+        text = np.searchsorted(c.chunk_at, wanted, "right") - 1
+        offsets = np.searchsorted(text, np.arange(b.num_rows + 1)).astype(np.int32)
+        at = c.first[wanted] - c.word_at[text]
+        fields = [c.hashes[wanted].view(np.int64), at.astype(np.int32), (at + c.first[wanted + 1] - c.first[wanted]).astype(np.int32)]
+        chunks = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(f) for f in fields], fields=list(_CHUNKS.value_type)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), chunks], names=["doc_id", "key", "chunks"])
+
+
+def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash and words of the chunks asked for, and those before and after: columns text and wanted (at, last, hash).
+
+    Beside it are BESIDE chunks, and all up to the next one that is looked up by itself.
+    """
+    for b in slices(batches, 0, 4_000_000):
+        c, rows = cut(b.column(0)), []
+        known = np.concatenate([[-1], _looked_up(c), [len(c.lines)]])
+        for i, (text, wanted) in enumerate(zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True)):
+            raw, own = text.as_py(), c.word_at[i]
+            begin, end = c.words.start, c.words.end
+            part = lambda x, y: b" ".join(raw[begin[own + x] : end[own + y - 1]].split()) if x < y else b""  # noqa: B023, E731
+            for w in wanted:
+                k = int(np.searchsorted(c.first, own + w["at"]))
+                before, after = known[np.searchsorted(known, k) - 1], known[np.searchsorted(known, k, "right")]
+                low, high = max(min(k - BESIDE, before), c.chunk_at[i]), min(max(k + BESIDE, after) + 1, c.chunk_at[i + 1])
+                rows.append((w["hash"], part(w["at"], w["last"]), part(int(c.first[low] - own), w["at"]), part(w["last"], int(c.first[high] - own))))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k else pa.int64()) for k, x in enumerate(columns)], names=["hash", "first", "before", "after"])
+
+
+def _agreeing(words: list[bytes], at: int, step: int, beside: list[bytes]) -> int:
+    """The place up to which words agree with those beside the first occurrence, the nearest one first."""
+    for other in beside:
+        if not 0 <= at < len(words) or words[at] != other:
+            break
         at += step
-    return out
-
-
-_RUNS = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("last", pa.int32())]))
-
-
-def _run_hashes(least_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2):
-            found = [[{"hash": h - (1 << 63), "at": i, "last": j} for i, j, h in runs(*_cut(t.as_py() or b""), least_words)] for t in b.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, _RUNS)], names=["doc_id", "key", "runs"])
-
-    return run
-
+    return at
 
-def _run_texts(least_words: int):
-    """hash and text of the runs asked for, and the short chunks beside them: columns text and wanted (at, last, hash)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 0):
-            rows = []
-            for t, wanted in zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True):
-                cut, parts = _cut(t.as_py() or b"")
-                for w in wanted:
-                    i, j = w["at"], w["last"]
-                    beside = (_beside(cut, parts, least_words, x, d) for x, d in ((i - 1, -1), (j + 1, 1)))
-                    rows.append((w["hash"], *map(b"\n".join, (parts[i : j + 1], *beside))))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(columns)], names=["hash", "first", "before", "after"])
-
-    return run
-
-
-def _without(text: bytes, gone: list[dict]) -> tuple[bytes, int]:
-    """The text without the chunks whose bytes are those of their first occurrence, and their number."""
-    cut, parts = _cut(text)
-    out: set[int] = set()
+def _without(text: bytes, gone: list[dict], least_words: int) -> tuple[bytes, int]:
+    """The text without the passages whose words are those of a first occurrence, and their number."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    words = [text[s:e] for s, e in spans]
+    out = np.zeros(len(words) + 1, bool)
     for g in gone:
         i, j = g["at"], g["last"]
-        if b"\n".join(parts[i : j + 1]) != g["first"]:
+        if b" ".join(words[i:j]) == g["first"]:
+            i = _agreeing(words, i - 1, -1, g["before"].split()[::-1]) + 1
+            j = _agreeing(words, j, 1, g["after"].split())
+            out[i:j] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], out]).astype(np.int8)))
+    kept, at, n = [], 0, 0
+    for i, j in edges.reshape(-1, 2).tolist():
+        if j - i < least_words and (j - i < LINE_WORDS or sum(words[k][-1:] in (b".", b"!", b"?") or b"\n" in text[spans[k][1] : spans[k + 1][0] if k + 1 < len(spans) else None] or k + 1 == len(spans) for k in range(i, j)) < 3):
             continue
-        out.update(range(i, j + 1))
-        for x, step, beside in ((i - 1, -1, g["before"]), (j + 1, 1, g["after"])):
-            for other in beside.split(b"\n") if beside else ():
-                if not 0 <= x < len(cut) or parts[x] != other:
-                    break
-                out.add(x)
-                x += step
-    return b"".join(text[s:e] for i, (s, e, _) in enumerate(cut) if i not in out).strip(b"\n\x20"), len(out)
-
-
-def _remover(width: int, text_at: int):
-    """Texts without what is in the column after the first `width`, which goes on empty, and how many chunks went."""
+        kept.append(text[at : spans[i][0]])
+        at, n = spans[j - 1][1], n + 1
+    if not n:
+        return text, 0
+    kept.append(text[at:])
+    left = kept[0]
+    for right in kept[1:]:  # of the white space around what went, one piece stays
+        a, b = left.rstrip(), right.lstrip()
+        gap = left[len(a) :] + right[: len(right) - len(b)]
+        left = a + (b"\n" if b"\n" in gap else gap[:1]) + b
+    return left.strip(b"\n\x20"), n
+
+
+def _remover(width: int, text_at: int, least_words: int):
+    """The first `width` columns with what is in the column after them taken out of the text, and how many passages went."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_at):
             texts, removed = [], []
             for t, gone in zip(b.column(text_at).cast(pa.binary()), b.column(width).to_pylist(), strict=True):
-                text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone)
+                text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone, least_words)
                 texts.append(text)
                 removed.append(n)
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else b.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(b.num_rows, b.column(width).type), pa.array(removed, pa.int32())], names=[f"c{i}" for i in range(width + 2)])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], names=[f"c{i}" for i in range(width + 1)])
 
     return run
 
 
-def line_dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
-    """docs (doc_id, text and any other columns) with their texts deduplicated, and n_removed.
+def line_dedup(docs: DataFrame, least_words: int = 30) -> DataFrame:
+    """docs (doc_id, text and any other columns) with their texts deduplicated, and n_removed, the passages that went.
 
-    n_chars, where there is one, follows. A null text stays null; one that loses all its chunks becomes
-    empty. Rows that repeat both doc_id and text are one document: they lose the same chunks. A document
-    with a null id comes last. A column n_removed of docs is replaced; names that begin with _ are the
-    operator's own.
+    n_chars, where there is one, follows. A null text stays null; one that loses all its words becomes
+    empty. Rows that repeat both doc_id and text are one document: they lose the same passages. A document
+    with a null id comes last; ties of id go by the text's hash. A column n_removed of docs is replaced;
+    other columns stay, whatever their names. An empty table gives an empty one.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("n_removed")
-    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    found = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
-    found = materialize(found.mapInArrow(_run_hashes(least_words), "doc_id long, key long, runs array<struct<hash:long,at:int,last:int>>").dropDuplicates(["doc_id", "key"]))
-    each = found.select("doc_id", "key", F.explode("runs").alias("r")).select("doc_id", "key", "r.*")
+    docs = docs.select(*(c for c, name in zip(columns_of(docs), docs.columns, strict=True) if name != "n_removed"))
+    names, width, text_at = docs.columns, len(docs.columns), docs.columns.index("text")
+    fields = [T.StructField(f"c{i}", T.StringType() if i == text_at else f.dataType) for i, f in enumerate(docs.schema.fields)]
+    doc, text = F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{text_at}").cast("string")
+    keyed = docs.toDF(*(f.name for f in fields)).withColumns({f"c{text_at}": text, "key": F.xxhash64(doc, text)})
+    texts = keyed.filter(text.isNotNull()).select(doc.alias("doc_id"), "key", text.alias("text"))
+    found = materialize(texts.mapInArrow(_chunk_hashes, "doc_id long, key long, chunks array<struct<hash:long,at:int,last:int>>").dropDuplicates(["doc_id", "key"]))
+    each = found.select("doc_id", "key", F.explode("chunks").alias("c")).select("doc_id", "key", "c.*")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "at", "last")
     repeated = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("p")).filter("n > 1")
     repeated = materialize(repeated.select("hash", "n", F.col("p.key").alias("first_key"), F.col("p.at").alias("first_at"), F.col("p.last").alias("first_last")))
-    # the text of every first occurrence, read from its document
-    wanted = repeated.groupBy(F.col("first_key").alias("_key")).agg(F.collect_list(F.struct(F.col("first_at").alias("at"), F.col("first_last").alias("last"), "hash")).alias("wanted"))
-    keyed = docs.withColumn("_key", key)
-    texts = keyed.filter("text IS NOT NULL").select("_key", F.col("text").cast("string").alias("text")).join(wanted, "_key").select("text", "wanted")
-    texts = texts.mapInArrow(_run_texts(least_words), "hash long, first binary, before binary, after binary").dropDuplicates(["hash"])
-    repeated = materialize(repeated.join(texts, "hash"))
-    total = each.count()
-    others = hot_join(each, repeated, ["hash"], "n", total).filter("NOT (key = first_key AND at = first_at)")
-    gone = others.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "last", "first", "before", "after")).alias("_gone"))
-    joined = keyed.withColumn("text", F.col("text").cast("string")).join(gone, "_key", "left").select(*columns_of(docs), "_gone")
-    out = map_columns(joined, _remover(len(docs.columns), docs.columns.index("text")), [T.StructField("n_removed", T.IntegerType())]).drop("_gone")
-    if "n_chars" in docs.columns:
+    # the words of every first occurrence, read from its document
+    wanted = repeated.groupBy(F.col("first_key").alias("key")).agg(F.collect_list(F.struct(F.col("first_at").alias("at"), F.col("first_last").alias("last"), "hash")).alias("wanted"))
+    firsts = texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_chunk_texts, "hash long, first binary, before binary, after binary")
+    repeated = materialize(repeated.join(firsts.dropDuplicates(["hash"]), "hash"))
+    others = hot_join(each, repeated, ["hash"], "n", each.count()).filter("NOT (key = first_key AND at = first_at)")
+    gone = others.groupBy("key").agg(F.collect_list(F.struct("at", "last", "first", "before", "after")).alias("gone"))
+    joined = keyed.join(gone, "key", "left").select(*(f.name for f in fields), "gone")
+    out = joined.mapInArrow(_remover(width, text_at, least_words), T.StructType([*fields, T.StructField(f"c{width}", T.IntegerType())])).toDF(*names, "n_removed")
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_removed chunks, and n_chars and SHA-256 of what is left."""
+    """doc_id, n_removed passages, and n_chars and SHA-256 of what is left."""
     out = line_dedup(docs.select("doc_id", "text"))
     left = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_removed", F.length(left).alias("n_chars"), F.sha2(left, 256).alias("text_sha256"))
@@ -192,5 +235,5 @@ def line_dedup_report(docs: DataFrame) -> DataFrame:
 
 def with_text_left(docs: DataFrame) -> DataFrame:
     """docs after line_dedup, without the rows that it left no text; rows that had none before stay."""
-    out = line_dedup(docs)
-    return out.filter("n_removed = 0 OR text <> ''").select(*columns_of(docs))
+    out = line_dedup(docs.select(*columns_of(docs), F.lit(0).alias("n_removed")) if "n_removed" not in docs.columns else docs)
+    return out.filter("n_removed = 0 OR text <> ''").select(*(c for c, name in zip(columns_of(out), out.columns, strict=True) if name in docs.columns))
