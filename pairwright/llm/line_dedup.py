@@ -76,7 +76,7 @@ def cut(texts: pa.Array) -> Cut:
     own = _sums(_LETTERS[letters], offsets[:-1], offsets[1:])[words.ids] if n else np.zeros(0, np.uint64)
     base = np.repeat(words.base, words.counts)
     newlines = np.concatenate([[0], np.cumsum(words.data == 10)])
-    ends = _STOPS[words.data[base + words.end - 1]] | (own >> np.uint64(20)) % np.uint64(FOLD) == 0 if n else np.zeros(0, bool)
+    ends = _STOPS[words.data[base + words.end - 1]] | ((own >> np.uint64(20)) % np.uint64(FOLD) == 0) if n else np.zeros(0, bool)
     ends[:-1] |= newlines[(base + words.start)[1:]] > newlines[(base + words.end)[:-1]]
     last = word_at[1:][words.counts > 0] - 1
     ends[last] = True

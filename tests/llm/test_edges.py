@@ -41,8 +41,9 @@ def test_toxic_filter_keeps_clashing_columns(spark, crowded):
 
 
 def test_other_operators_stand_clashing_columns(crowded, docs):
-    out = line_dedup.with_text_left(crowded.drop("n_removed", "_gone", "_key"))
-    assert set(docs.columns) <= set(out.columns)
+    named = crowded.withColumns({c: F.lit(f"own {c}") for c in ("key", "gone", "hash", "c0", "c1", "doc id")})
+    out = line_dedup.with_text_left(named)
+    assert out.columns == named.columns and owned(out) and out.filter("key <> 'own key' OR gone <> 'own gone' OR c0 <> 'own c0'").count() == 0
     assert jaccard_join.one_of_each_group(crowded).count() == jaccard_join.one_of_each_group(docs).count()
     for make in (quality_rules.quality_rules, exact_dedup.exact_dedup, packing.packing_report, piece_encode.round_trips, secrets.secret_report):
         assert make(crowded).count() == make(docs).count()

