@@ -234,6 +234,7 @@ def line_dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def with_text_left(docs: DataFrame) -> DataFrame:
-    """docs after line_dedup, without the rows that it left no text; rows that had none before stay."""
-    out = line_dedup(docs.select(*columns_of(docs), F.lit(0).alias("n_removed")) if "n_removed" not in docs.columns else docs)
-    return out.filter("n_removed = 0 OR text <> ''").select(*(c for c, name in zip(columns_of(out), out.columns, strict=True) if name in docs.columns))
+    """docs after line_dedup, without the rows that it left no text; rows that had none before stay, and so does a column n_removed."""
+    held = max(docs.columns, key=len) + "_"  # a name that no column has
+    out = line_dedup(docs.withColumnRenamed("n_removed", held)).filter("n_removed = 0 OR text <> ''").drop("n_removed")
+    return out.withColumnRenamed(held, "n_removed").select(*columns_of(docs))
