@@ -4,9 +4,10 @@ A line ends with a newline, a sentence, or after a word whose hash says so (one
 in the midst of long lines has lines of its own. A rolling hash over the last WINDOW line hashes, cleared
 where a text begins, ends a chunk where it is divisible by DIVISOR. So boundaries depend on nearby lines
 alone, and from a passage's third line on they are the same in every host. Chunks of several lines that are
-found more than once, in one document or many, are compared with the first one (by doc_id, then place), word
-by word, and then on into the chunks beside it, as far as the words agree: a passage's boundaries lie there,
-as only its first WINDOW lines may be cut otherwise in another host. What agrees goes, if it is a passage:
+found more than once, in one document or many, belong to the first one (by doc_id, then place). Those of a
+document that follow its first ones at the same distance are a run; it is compared with them word by word,
+and then on into the chunks beside, as far as the words agree: a passage's boundaries lie there, as only its
+first WINDOW lines may be cut otherwise in another host. What agrees goes, if it is a passage:
 `least_words` words in all, or three lines of LINE_WORDS words. White space doesn't count. Whatever goes has
 its like further on top, so of text that repeats itself one period stays.
 """
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,34 +120,50 @@ def _chunk_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), chunks], names=["doc_id", "key", "chunks"])
 
 
-def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """hash and words of the chunks asked for, and those before and after: columns text and wanted (at, last, hash).
+#: Bytes of fetched words that leave in one batch.
+_OUT = 8_000_000
 
-    Beside it are BESIDE chunks, and all up to the next one that is looked up by itself.
+
+def _run_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, at, n, lead and words of the runs asked for: columns key, text and wanted (at, n).
+
+    words are the run's and those beside it, of which `lead` come before: of BESIDE chunks, and of all up
+    to the next one that is looked up by itself.
     """
-    for b in slices(batches, 0, 4_000_000):
-        c, rows = cut(b.column(0)), []
-        known = np.concatenate([[-1], _looked_up(c), [len(c.lines)]])
-        for i, (text, wanted) in enumerate(zip(b.column(0).cast(pa.binary()), b.column(1).to_pylist(), strict=True)):
-            raw, own = text.as_py(), c.word_at[i]
-            begin, end = c.words.start, c.words.end
-            part = lambda x, y: b" ".join(raw[begin[own + x] : end[own + y - 1]].split()) if x < y else b""  # noqa: B023, E731
-            for w in wanted:
-                k = int(np.searchsorted(c.first, own + w["at"]))
-                before, after = known[np.searchsorted(known, k) - 1], known[np.searchsorted(known, k, "right")]
-                low, high = max(min(k - BESIDE, before), c.chunk_at[i]), min(max(k + BESIDE, after) + 1, c.chunk_at[i + 1])
-                rows.append((w["hash"], part(w["at"], w["last"]), part(int(c.first[low] - own), w["at"]), part(w["last"], int(c.first[high] - own))))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if k else pa.int64()) for k, x in enumerate(columns)], names=["hash", "first", "before", "after"])
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["first_key", "first_at", "n_words", "lead", "words"])
 
-def _agreeing(words: list[bytes], at: int, step: int, beside: list[bytes]) -> int:
-    """The place up to which words agree with those beside the first occurrence, the nearest one first."""
-    for other in beside:
-        if not 0 <= at < len(words) or words[at] != other:
-            break
-        at += step
-    return at
+    for b in slices(batches, 1, 4_000_000):
+        c, rows, held = cut(b.column(1)), [], 0
+        known = np.concatenate([[-1], _looked_up(c), [len(c.lines)]])
+        for i, (key, text, wanted) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True)):
+            raw, own = text.as_py(), int(c.word_at[i])
+            for w in wanted:
+                x, y = own + w["at"], own + w["at"] + w["n"]
+                k, last = int(np.searchsorted(c.first, x, "right")) - 1, int(np.searchsorted(c.first, y)) - 1
+                before, after = known[np.searchsorted(known, k) - 1], known[np.searchsorted(known, last, "right")]
+                low, high = c.first[max(min(k - BESIDE, before), c.chunk_at[i])], c.first[min(max(last + BESIDE, after) + 1, c.chunk_at[i + 1])]
+                rows.append((key, w["at"], w["n"], x - int(low), b" ".join(raw[c.words.start[low] : c.words.end[high - 1]].split())))
+                held += len(rows[-1][4])
+                if held > _OUT:
+                    yield out(rows)
+                    rows, held = [], 0
+        yield out(rows)
+
+
+def _agreement(words: list[bytes], at: int, last: int, lead: int, others: list[bytes]) -> np.ndarray:
+    """Places of words that agree with a run's first occurrence: within at to last, and from there on both sides as far as all agree."""
+    shift = lead - at
+    inside = [i for i in range(at, last) if words[i] == others[i + shift]]
+    i = at - 1
+    while inside[:1] == [at] and i >= 0 and i + shift >= 0 and words[i] == others[i + shift]:
+        i -= 1
+    j = last
+    while inside[-1:] == [last - 1] and j < len(words) and j + shift < len(others) and words[j] == others[j + shift]:
+        j += 1
+    return np.array([*range(i + 1, at), *inside, *range(last, j)], np.int64)
 
 
 def _without(text: bytes, gone: list[dict], least_words: int) -> tuple[bytes, int]:
@@ -154,27 +172,30 @@ def _without(text: bytes, gone: list[dict], least_words: int) -> tuple[bytes, in
     words = [text[s:e] for s, e in spans]
     out = np.zeros(len(words) + 1, bool)
     for g in gone:
-        i, j = g["at"], g["last"]
-        if b" ".join(words[i:j]) == g["first"]:
-            i = _agreeing(words, i - 1, -1, g["before"].split()[::-1]) + 1
-            j = _agreeing(words, j, 1, g["after"].split())
-            out[i:j] = True
+        out[_agreement(words, g["at"], g["last"], g["lead"], g["words"].split())] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[False], out]).astype(np.int8)))
     kept, at, n = [], 0, 0
     for i, j in edges.reshape(-1, 2).tolist():
-        if j - i < least_words and (j - i < LINE_WORDS or sum(words[k][-1:] in (b".", b"!", b"?") or b"\n" in text[spans[k][1] : spans[k + 1][0] if k + 1 < len(spans) else None] or k + 1 == len(spans) for k in range(i, j)) < 3):
+        if j - i < least_words and (j - i < LINE_WORDS or _lines(text, spans, i, j) < 3):
             continue
         kept.append(text[at : spans[i][0]])
         at, n = spans[j - 1][1], n + 1
     if not n:
         return text, 0
     kept.append(text[at:])
-    left = kept[0]
+    out_parts = [kept[0]]
     for right in kept[1:]:  # of the white space around what went, one piece stays
+        left = out_parts.pop()
         a, b = left.rstrip(), right.lstrip()
         gap = left[len(a) :] + right[: len(right) - len(b)]
-        left = a + (b"\n" if b"\n" in gap else gap[:1]) + b
-    return left.strip(b"\n\x20"), n
+        out_parts += [a, b"\n" if b"\n" in gap else gap[:1], b] if a else [b]
+    return b"".join(out_parts).strip(b"\n\x20"), n
+
+
+def _lines(text: bytes, spans: list[tuple[int, int]], i: int, j: int) -> int:
+    """How many lines or sentences end with words i to j (exclusive)."""
+    after = lambda k: text[spans[k][1] : spans[k + 1][0]] if k + 1 < len(spans) else b"\n"
+    return sum(text[spans[k][1] - 1 : spans[k][1]] in (b".", b"!", b"?") or b"\n" in after(k) for k in range(i, j))
 
 
 def _remover(width: int, text_at: int, least_words: int):
@@ -212,13 +233,23 @@ def line_dedup(docs: DataFrame, least_words: int = 30) -> DataFrame:
     each = found.select("doc_id", "key", F.explode("chunks").alias("c")).select("doc_id", "key", "c.*")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "at", "last")
     repeated = each.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("p")).filter("n > 1")
-    repeated = materialize(repeated.select("hash", "n", F.col("p.key").alias("first_key"), F.col("p.at").alias("first_at"), F.col("p.last").alias("first_last")))
-    # the words of every first occurrence, read from its document
-    wanted = repeated.groupBy(F.col("first_key").alias("key")).agg(F.collect_list(F.struct(F.col("first_at").alias("at"), F.col("first_last").alias("last"), "hash")).alias("wanted"))
-    firsts = texts.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_chunk_texts, "hash long, first binary, before binary, after binary")
-    repeated = materialize(repeated.join(firsts.dropDuplicates(["hash"]), "hash"))
+    repeated = materialize(repeated.select("hash", "n", F.col("p.key").alias("first_key"), F.col("p.at").alias("first_at")))
     others = hot_join(each, repeated, ["hash"], "n", each.count()).filter("NOT (key = first_key AND at = first_at)")
-    gone = others.groupBy("key").agg(F.collect_list(F.struct("at", "last", "first", "before", "after")).alias("gone"))
+    # chunks of a document whose first occurrences lie in one document at the same distance are a run
+    along = W.partitionBy("key").orderBy("at")
+    step = F.struct("first_key", F.col("first_at") - F.col("at"))
+    new = F.coalesce(step != F.lag(step).over(along), F.lit(True)).cast("int")
+    numbered = others.withColumn("new", new).withColumn("run", F.sum("new").over(along))
+    runs = numbered.groupBy("key", "run").agg(F.min("at").alias("at"), F.max("last").alias("last"), F.first("first_key").alias("first_key"), F.min("first_at").alias("first_at"))
+    runs = materialize(runs.select("key", "at", "last", "first_key", "first_at", (F.col("last") - F.col("at")).alias("n_words")))
+    # each run's words, read once from the document of the first occurrence
+    sizes = runs.groupBy("first_key", "first_at", "n_words").agg(F.count("*").alias("n"))
+    wanted = sizes.groupBy(F.col("first_key").alias("key")).agg(F.collect_list(F.struct(F.col("first_at").alias("at"), F.col("n_words").alias("n"))).alias("wanted"))
+    firsts = texts.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("key", "text", "wanted")
+    firsts = firsts.mapInArrow(_run_words, "first_key long, first_at int, n_words int, lead int, words binary")
+    told = materialize(firsts.join(sizes, ["first_key", "first_at", "n_words"]))
+    gone = hot_join(runs, told, ["first_key", "first_at", "n_words"], "n", runs.count())
+    gone = gone.groupBy("key").agg(F.collect_list(F.struct("at", "last", "lead", "words")).alias("gone"))
     joined = keyed.join(gone, "key", "left").select(*(f.name for f in fields), "gone")
     out = joined.mapInArrow(_remover(width, text_at, least_words), T.StructType([*fields, T.StructField(f"c{width}", T.IntegerType())])).toDF(*names, "n_removed")
     if "n_chars" in names:
