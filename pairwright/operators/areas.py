@@ -1,45 +1,34 @@
 """Commutable areas: roles clustered around moving centroids, best roles first, and their summaries.
 
 roles: as for pairs, with `ordinal`, the order of input that breaks ties of score.
+
+A role's area depends on all better roles around it, so the order can't be given up, but it only matters
+nearby. Roles are walked tile by tile, and a tile is told what the roles of other tiles were assigned to,
+as far as their areas come near it. At first it is told nothing; then tiles whose news changed walk again,
+until none has any. By induction on the order the last walk is the one walk over all roles: the best role
+of all is right at once, and each one is right as soon as all better ones whose areas come near it are.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairwright.functions.geo import EARTH_MILES, drive_minutes, half_up, harmonic, haversine_miles, proximity, to_tenth, with_cell, with_near_cells
-from pairwright.functions.scratch import materialize
+from pairwright.functions.scratch import materialize, release
 from pairwright.functions.ship import ship
 from pairwright.functions.text import pair_org_key
-from pairwright.operators.graph import components
 from pairwright.operators.pairs import DEFAULT_RADIUS, located
 
 #: How areas outside the first country are qualified.
 COUNTRY_LABELS = {"QA": "Qatar", "AE": "UAE", "SA": "Saudi Arabia", "KW": "Kuwait", "BH": "Bahrain", "OM": "Oman"}
-#: A role within one radius of a centroid is within two of a member; the rest is for the curved Earth.
-LINK = 2.25
-
-
-def role_components(roles: DataFrame, radius: float) -> DataFrame:
-    """roles with `component`: roles of different components can't be in one area, nor change each other's.
-
-    Occupied grid cells of LINK radii are joined with their neighbours, so the graph has a row for each
-    cell, whatever the number of roles.
-    """
-    reach = LINK * radius
-    key = F.col("band") * 10_000_000 + F.col("cell")
-    at = with_cell(roles, reach).withColumn("_cell", key)
-    spots = at.groupBy("_cell").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
-    near = with_near_cells(spots, reach).select(F.col("_cell").alias("a"), key.alias("b"))
-    cells = spots.select(F.col("_cell").alias("b"))
-    label = components(near.join(cells, "b", "left_semi"))
-    named = at.join(label.withColumnRenamed("v", "_cell"), "_cell", "left")
-    return named.withColumn("component", F.coalesce("c", "_cell")).drop("c", "_cell", "band", "cell")
+#: Radii that a tile is wide at least.
+TILE = 4
 
 
 class _NearAreas:
@@ -70,52 +59,116 @@ class _NearAreas:
         return sorted(a for r in (row - 1, row, row + 1) for c in columns for a in self.cells.get((r, c), ()))
 
 
-def _greedy(radius: float):
-    def run(roles: pd.DataFrame) -> pd.DataFrame:
-        roles = roles.sort_values(["score", "ordinal"], ascending=[False, True], kind="stable", na_position="last")
-        lats, lons = roles.lat.tolist(), roles.lon.tolist()
-        pinned, country = (roles.precision == "city").tolist(), roles.country.tolist()
-        near = _NearAreas(radius, float(roles.lat.abs().max()))
-        area: list[int] = []
-        sums: list[list[float]] = []
-        founder: list[int] = []
-        for i, (lat, lon) in enumerate(zip(lats, lons, strict=True)):
-            target, least = -1, math.inf
-            p = math.radians(lat)
-            for k in near.around(lat, lon):
-                n, y, x = sums[k]
-                home = country[founder[k]]
-                if not pinned[i] and home is not None and home != country[i]:  # vague roles only join areas of their own country
-                    continue
-                c = math.radians(y / n)
-                h = math.sin((c - p) / 2) ** 2 + math.cos(p) * math.cos(c) * math.sin((math.radians(x / n) - math.radians(lon)) / 2) ** 2
-                miles = 2 * EARTH_MILES * math.asin(min(1.0, math.sqrt(h)))
-                if miles <= radius and miles < least:
-                    target, least = k, miles
-            if target < 0:
-                target = len(sums)
-                sums.append([0, 0.0, 0.0])
-                founder.append(i)
-            s = sums[target]
-            s[0], s[1], s[2] = s[0] + 1, s[1] + lat, s[2] + lon
-            near.put(target, s[1] / s[0], s[2] / s[0])
-            area.append(target)
-        ids, of = roles.id.to_numpy(), np.array(area)
-        centre = np.array([(y / n, x / n) for n, y, x in sums])
-        return pd.DataFrame({"id": ids, "area_id": ids[np.array(founder)[of]], "rank": np.arange(len(roles)), "area_lat": centre[of, 0], "area_lon": centre[of, 1]})
+class _Tile:
+    """Open areas that come near one tile, as its roles and the news of other tiles arrive in order."""
+
+    def __init__(self, radius: float, widest_lat: float):
+        self.radius, self.near = radius, _NearAreas(radius, widest_lat)
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.sums: list[list[float]] = []
+        self.home: list[str | None] = []
+
+    def join(self, area: str, lat: float, lon: float, country: str | None) -> tuple[float, float]:
+        """The area's centroid with the role; the first one founds it."""
+        k = self.number.setdefault(area, len(self.names))
+        if k == len(self.names):
+            self.names.append(area)
+            self.sums.append([0, 0.0, 0.0])
+            self.home.append(country)
+        s = self.sums[k]
+        s[0], s[1], s[2] = s[0] + 1, s[1] + lat, s[2] + lon
+        at = s[1] / s[0], s[2] / s[0]
+        self.near.put(k, *at)
+        return at
+
+    def choose(self, lat: float, lon: float, pinned: bool, country: str | None) -> str | None:
+        """The nearest area within the radius, the oldest of equally near ones; vague roles only join areas of their own country."""
+        target, least, p = None, math.inf, math.radians(lat)
+        for k in self.near.around(lat, lon):
+            if not pinned and self.home[k] is not None and self.home[k] != country:
+                continue
+            n, y, x = self.sums[k]
+            c = math.radians(y / n)
+            h = math.sin((c - p) / 2) ** 2 + math.cos(p) * math.cos(c) * math.sin((math.radians(x / n) - math.radians(lon)) / 2) ** 2
+            miles = 2 * EARTH_MILES * math.asin(min(1.0, math.sqrt(h)))
+            if miles <= self.radius and miles < least:
+                target, least = self.names[k], miles
+        return target
+
+
+_WALKED = "id string, behind double, ordinal long, lat double, lon double, pinned boolean, country string, band long, cell long, old string, area_id string, area_lat double, area_lon double"
+
+
+def _walk(radius: float, width: float):
+    """New areas of the rows that are a tile's own; the others (own: false) join as they were told. Rows come by tile, in order."""
+    step = math.degrees(width / EARTH_MILES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tile = None, None
+        for batch in batches:
+            out = []
+            for id_, behind, ordinal, lat, lon, pinned, country, band, cell, old, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (band, cell):
+                    at, tile = (band, cell), _Tile(radius, min(90.0, max(abs((band - 1) * step - 90), abs((band + 2) * step - 90))))
+                area = (tile.choose(lat, lon, pinned, country) or id_) if own else old
+                centre = tile.join(area, lat, lon, country)
+                if own:
+                    out.append((id_, behind, ordinal, lat, lon, pinned, country, band, cell, old, area, *centre))
+            names = [f.split()[0] for f in _WALKED.split(", ")]
+            kinds = [pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)], names=names)
 
     return run
 
 
-def assign_areas(roles: DataFrame, radius: float = DEFAULT_RADIUS) -> DataFrame:
-    """id, area_id (its founder's id), rank within the component, and the area's final centroid.
+_TILE = ["band", "cell"]
+_ORDER = ["behind", "ordinal", "id"]
+
+
+def _settled(rows: DataFrame, radius: float, width: float) -> DataFrame:
+    """One walk over tiles: rows as of _WALKED, with own."""
+    told = rows.select("id", *_ORDER[:2], "lat", "lon", "pinned", "country", *_TILE, "old", "own")
+    return told.repartition(*_TILE).sortWithinPartitions(*_TILE, *_ORDER).mapInArrow(_walk(radius, width), _WALKED)
 
-    Every role's area depends on those of all better roles around it, so each component is walked by one
-    task, in time and memory in proportion to its roles; components are independent.
+
+def assign_areas(roles: DataFrame, radius: float = DEFAULT_RADIUS, width: float | None = None) -> DataFrame:
+    """id, area_id (its founder's id), rank within the area, and the area's final centroid.
+
+    A task holds the open areas near a tile, not its roles, which stream by in order. A round sends each
+    role to the tiles that its area comes near; only tiles whose news changed take part. width is the
+    least width of tiles in miles; any from the radius on gives the same areas.
     """
     ship(roles.sparkSession)
-    rows = role_components(located(roles).select("id", "score", "ordinal", "lat", "lon", "precision", "country"), radius)
-    return rows.groupBy("component").applyInPandas(_greedy(radius), "id string, area_id string, rank long, area_lat double, area_lon double")
+    width = max(radius, width or TILE * radius)
+    behind = F.when(F.col("score").isNull(), float("inf")).otherwise(-F.col("score").cast("double"))
+    pinned = F.coalesce(F.col("precision") == "city", F.lit(False))
+    rows = located(roles).select("id", behind.alias("behind"), F.col("ordinal").cast("long").alias("ordinal"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), pinned.alias("pinned"), "country", F.lit(None).cast("string").alias("old"), F.lit(True).alias("own"))
+    now = materialize(_settled(with_cell(rows, width), radius, width))
+    near = None
+    while True:
+        spots = now.select("area_id", F.col("area_lat").alias("lat"), F.col("area_lon").alias("lon")).distinct()
+        reached = materialize(with_near_cells(spots, width).select("area_id", *_TILE).distinct())
+        moved = now.filter(~F.col("area_id").eqNullSafe(F.col("old")))
+        changed = moved.select(F.explode(F.array("area_id", "old")).alias("area_id")).filter("area_id IS NOT NULL").distinct()
+        both = reached if near is None else reached.union(near)
+        active = materialize(both.join(changed, "area_id", "left_semi").select(*_TILE).distinct())
+        if near is not None:
+            release(near)
+        near = reached
+        if not active.limit(1).count():
+            break
+        news = now.withColumnRenamed("band", "_band").withColumnRenamed("cell", "_cell").join(reached.join(active, _TILE), "area_id")
+        news = news.filter("band <> _band OR cell <> _cell").withColumns({"old": F.col("area_id"), "own": F.lit(False)})
+        own = now.join(active, _TILE, "left_semi").withColumns({"old": F.col("area_id"), "own": F.lit(True)})
+        rest = now.join(active, _TILE, "left_anti").withColumn("old", F.col("area_id"))
+        columns = [f.split()[0] for f in _WALKED.split(", ")]
+        new = materialize(_settled(news.select(*columns, "own").unionByName(own.select(*columns, "own")), radius, width).unionByName(rest.select(*columns)))
+        release(now, active)
+        now = new
+    place = F.row_number().over(W.partitionBy("area_id").orderBy(*_ORDER)).cast("long") - 1
+    centre = now.groupBy("area_id").agg(F.max_by(F.struct("area_lat", "area_lon"), F.struct(*_ORDER)).alias("centre"))
+    return now.withColumn("rank", place).select("id", "area_id", "rank").join(centre, "area_id").select("id", "area_id", "rank", "centre.area_lat", "centre.area_lon")
 
 
 def _label(city: Column, region: Column, country: Column) -> Column:

@@ -110,8 +110,32 @@ def _scored() -> str:
     return f"{_classified()}, placed AS ({placed}), {scores('placed')}"
 
 
-def area_summary() -> str:
-    return f"""WITH {SITES_SQL}, m AS (SELECT *, floor(lat * 2)::BIGINT || '_' || floor(lon * 2)::BIGINT AS area_id FROM sites), k AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY score DESC, ordinal) AS rnk FROM m),
+def area_walk(radius: float = 45.0) -> str:
+    """walk: id and area_id of one walk over all located roles, one row of the recursion for each, which carries the open areas."""
+    role = "SELECT row_number() OVER (ORDER BY score DESC, ordinal) AS k, id, lat, lon, country, \"precision\" = 'city' AS pinned FROM sites"
+    miles = _HAV.replace("{b}lat", "(a.y / a.n)").replace("{b}lon", "(a.x / a.n)").format(a="o.")
+    far = f"[CASE WHEN NOT o.pinned AND a.home IS NOT NULL AND a.home <> o.country THEN NULL ELSE {miles} END FOR a IN w.areas]"
+    joined = "[CASE WHEN a.id = far_areas[hit].id THEN {id: a.id, n: a.n + 1, y: a.y + lat, x: a.x + lon, home: a.home} ELSE a END FOR a IN far_areas]"
+    return f"""o AS MATERIALIZED ({role}), w(k, id, area_id, areas) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, []::STRUCT(id VARCHAR, n BIGINT, y DOUBLE, x DOUBLE, home VARCHAR)[]
+  UNION ALL
+  SELECT k, id, CASE WHEN hit IS NULL THEN id ELSE far_areas[hit].id END, CASE WHEN hit IS NULL THEN list_append(far_areas, {{id: id, n: 1::BIGINT, y: lat, x: lon, home: country}}) ELSE {joined} END
+  FROM (SELECT o.*, w.areas AS far_areas, {far} AS far, CASE WHEN list_min(far) <= {radius} THEN list_position(far, list_min(far)) END AS hit FROM w JOIN o ON o.k = w.k + 1)
+), walk AS MATERIALIZED (SELECT id, area_id FROM w WHERE k > 0), centres AS (SELECT unnest(areas, recursive := true) FROM (SELECT areas FROM w ORDER BY k DESC LIMIT 1))"""
+
+
+def area_assign(radius: float = 45.0) -> str:
+    return f"WITH RECURSIVE {SITES_SQL}, {area_walk(radius)} SELECT walk.id, area_id, round(y / n, 6) AS area_lat, round(x / n, 6) AS area_lon FROM walk JOIN centres ON centres.id = area_id"
+
+
+def area_bands() -> str:
+    found = area_summary(f"RECURSIVE {SITES_SQL}, {area_walk()}, m AS (SELECT sites.*, area_id FROM sites JOIN walk USING (id))")
+    return f"""SELECT area_id, key, label, CASE WHEN is_together THEN 'together' WHEN remote_unlocked THEN 'remote-unlocked' ELSE 'one-sided' END AS band, score, a_count, b_count, span_miles, missing_side FROM ({found})
+QUALIFY is_together OR remote_unlocked OR row_number() OVER (PARTITION BY is_together OR remote_unlocked ORDER BY greatest(best_a, best_b) DESC, area_id) <= 12"""
+
+
+def area_summary(members: str = f"{SITES_SQL}, m AS (SELECT *, floor(lat * 2)::BIGINT || '_' || floor(lon * 2)::BIGINT AS area_id FROM sites)") -> str:
+    return f"""WITH {members}, k AS (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY score DESC, ordinal) AS rnk FROM m),
 pool AS (SELECT count(*) AS pool, coalesce(max(score), 0) AS pool_best FROM sites WHERE side = 'b' AND work_model = 'remote'),
 sp AS (SELECT a.area_id, max({_HAV.format(a="a.", b="b.")}) AS span FROM k a JOIN k b ON a.area_id = b.area_id AND a.side = 'a' AND b.side = 'b' GROUP BY 1),
 so AS (SELECT DISTINCT a.area_id FROM k a JOIN k b ON a.area_id = b.area_id AND a.side = 'a' AND b.side = 'b' AND a.org = b.org),
@@ -155,6 +179,8 @@ SELECT doc_id, array_to_string(e, '|') AS emails, array_to_string(p, '|') AS pho
         "pairs_country_scale": _pairs("SELECT id, miles, score FROM onsite WHERE confidence = 'country-scale'"),
         "pairs_best": _pairs("SELECT a_id, b_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM onsite) WHERE rank <= 3", 60.0),
         "area_summary": area_summary(),
+        "area_assign": area_assign(),
+        "area_bands": area_bands(),
         "html_to_text": f"SELECT page_id, {html} AS text FROM pages",
         "contacts": contact(None),
         "contacts_without_noise": contact(T.NOISE_EMAIL),

@@ -54,6 +54,21 @@ def test_areas_match_one_walk_over_all_roles(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [45.0, 90.0, 100000.0])
+def test_tiles_of_any_width_give_the_same_areas(spark, width):
+    """Across the date line and near a pole, with vague roles, ties of score and repeated places; narrow tiles need many rounds."""
+    rows = [(*r[:3], r[3] // 10 * 10, lat + r[4] - 40, (r[5] + shift + 180) % 360 - 180, *r[6:]) for lat, shift in ((40, 0), (69, 262)) for r in scatter(120, 6.0)]
+    rows = [(f"{i}-{r[0]}", *r[1:12], i, *r[13:]) for i, r in enumerate(rows + rows[:5])]
+    df = spark.createDataFrame(rows, SITE)
+    key = [c.split()[0] for c in SITE.split(",")]
+    tile, want, centre = areas._Tile(45.0, 85.0), {}, {}
+    for r in sorted((dict(zip(key, r)) for r in rows), key=lambda r: (-r["score"], r["ordinal"])):
+        want[r["id"]] = tile.choose(r["lat"], r["lon"], r["precision"] == "city", r["country"]) or r["id"]
+        centre[want[r["id"]]] = tile.join(want[r["id"]], r["lat"], r["lon"], r["country"])
+    got = areas.assign_areas(df, 45.0, width).collect()
+    assert {r.id: r.area_id for r in got} == want and all((r.area_lat, r.area_lon) == centre[r.area_id] for r in got)
+
+
 def test_components(spark):
     got = {r.v: r.c for r in components(spark.createDataFrame([(i, i + 1) for i in range(10, 60)] + [(1, 2), (5, 5)], "a long, b long")).collect()}
     assert got == {**{i: 10 for i in range(10, 61)}, 1: 1, 2: 1}
