@@ -71,6 +71,55 @@ def write_board(board: Board, path: str, run_date: str) -> None:
         snapshot.write_snapshot(rows, f"{path}/{name}", run_date)
 
 
+# ---- runs that are applied once -----------------------------------------------------------------------------
+
+#: A row for each run whose tables are all written.
+MANIFEST = T.StructType([T.StructField("run_date", T.DateType()), T.StructField("tables", T.ArrayType(T.StringType()))])
+
+
+def _put(rows: DataFrame, path: str, batch: int) -> None:
+    """Replaces what the batch wrote there before."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def committed(spark: SparkSession, path: str) -> dict[int, object]:
+    """The numbers of whole runs under path, with their days."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return {r["batch"]: r["run_date"] for r in spark.read.schema(T.StructType([*MANIFEST, T.StructField("batch", T.LongType())])).parquet(f"{path}/runs").select("batch", "run_date").collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+
+
+def commit_run(board: Board, path: str, batch: int, run_date: str) -> None:
+    """Every table of a run, and last its manifest. Until that is there, readers don't see the run; written again, it is the same run."""
+    spark = board.roles.sparkSession
+    tables = board.tables()
+    for name, rows in tables.items():
+        _put(rows.drop("run_date").withColumn("run_date", F.lit(run_date).cast("date")), f"{path}/{name}", batch)
+    _put(spark.createDataFrame([(sorted(tables),)], "tables array<string>").select(F.lit(run_date).cast("date").alias("run_date"), "tables").coalesce(1), f"{path}/runs", batch)
+
+
+def read_table(spark: SparkSession, path: str, name: str, batches: list[int] | None = None) -> DataFrame:
+    """A table of whole runs, all or some, with the number of the run as `batch`. There must be one."""
+    found = sorted(committed(spark, path)) if batches is None else batches
+    return spark.read.option("basePath", f"{path}/{name}").option("mergeSchema", True).parquet(*(f"{path}/{name}/batch={k}" for k in found)).withColumn("batch", F.col("batch").cast("long"))
+
+
+def run_batch(spark: SparkSession, path: str, batch: int, sources: DataFrame, payloads: DataFrame, places: DataFrame, today: str, **options) -> bool:
+    """One run for one batch of payloads, after the run before it; false if it was applied already."""
+    done = committed(spark, path)
+    if batch in done:
+        return False
+    last = max((k for k in done if k < batch), default=None)
+    previous = spark.createDataFrame([], CARRIED) if last is None else read_table(spark, path, "roles", [last]).drop("batch")
+    commit_run(run_board(sources, payloads, previous, places, today, **options), path, batch, today)
+    return True
+
+
 def next_board(spark: SparkSession, path: str, sources: DataFrame, payloads: DataFrame, places: DataFrame, today: str, **options) -> Board:
     """Runs after what lies under path, and writes there."""
     board = run_board(sources, payloads, snapshot.read_previous(spark, f"{path}/roles", today, T.StructType(CARRIED.fields[:-1])), places, today, **options)

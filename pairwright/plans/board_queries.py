@@ -260,6 +260,14 @@ def stream_first_seen(spark, sf_dir):
     return jobs.run_to_table(found, "seen", scratch(spark), "complete")
 
 
+@query
+def role_lifecycle(spark, sf_dir):
+    """Events as sightings of a fifth as many roles, three of five kinds as failures of their sources."""
+    from pairwright.streaming import lifecycle
+
+    roles_ = max(1, table(spark, sf_dir, "events").count() // 5)
+    rows = _events_stream(spark, sf_dir).select((F.col("event_id") % roles_).cast("string").alias("id"), F.col("ts").alias("at"), (~F.col("event_type").isin("view", "signup")).alias("failed"))
+    return lifecycle.run_changes(rows, scratch(spark)).select("id", "change", F.unix_micros("at").alias("at"), F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("stale_since").alias("stale_since"))
 
 
 @query
@@ -290,6 +298,13 @@ def feed_items(spark, sf_dir):
     return feed_queries.feed_items(spark, sf_dir)
 
 
+@query
+def board_runs(spark, sf_dir):
+    from pairwright.plans import feed_queries
+
+    return feed_queries.board_runs(spark, sf_dir)
+
+
 @query
 def source_states(spark, sf_dir):
     """Registered suppliers, of which some answered, some failed and some didn't."""

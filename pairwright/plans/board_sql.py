@@ -83,6 +83,7 @@ FROM c LEFT JOIN nation ON n_nationkey = p_partkey % 10 WHERE c <> 'FR' AND (c <
         "country_centroids": f"""WITH {SITES_SQL}, k AS (SELECT country AS key, lat, lon, population % 3 AS p FROM sites UNION ALL SELECT country || ':' || region, lat, lon, population % 3 FROM sites)
 SELECT key, round(floor(sum(lat * p) / sum(p) * 1e4 + 0.5) / 1e4, 3) AS lat, round(floor(sum(lon * p) / sum(p) * 1e4 + 0.5) / 1e4, 3) AS lon FROM k WHERE p > 0 GROUP BY key""",
         "feed_items": feed_queries.oracle(),
+        "board_runs": feed_queries.board_runs_sql(),
         "source_states": f"""WITH s AS (SELECT s_name AS source_name, s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN {_KIND} ELSE 'none' END AS kind, s_suppkey % 12 <> 0 OR s_suppkey % 10 = 2 AS has FROM supplier),
 v AS (SELECT *, kind <> 'none' AND has AS is_active FROM s WHERE k % 13 <> 0 AND kind <> 'carrier-pigeon' AND (kind = 'none' OR has)),
 w AS (SELECT *, CASE WHEN NOT is_active THEN 'no endpoint' WHEN k % 9 = 1 THEN 'needs KEY' END AS skipped FROM v)
@@ -96,6 +97,20 @@ SELECT (SELECT count_if(na > 0)::BIGINT FROM g) AS together, (SELECT count_if(pi
         "run_counts": f"""WITH {_RUNS}, a AS ({core_sql.area_summary()}), p AS ({core_sql._pairs("SELECT count(*) AS n FROM onsite")}), c AS ({_COVERAGE})
 SELECT (SELECT count(*) FROM u) AS raw, (SELECT count(*) FROM u) AS roles, (SELECT count_if(specialty = 'a')::BIGINT FROM u) AS a_roles, (SELECT count_if(specialty = 'b')::BIGINT FROM u) AS b_roles, (SELECT count_if(is_new)::BIGINT FROM u) AS new_roles, (SELECT count(*) FROM carried) AS carried,
   (SELECT n FROM p) AS pairs, (SELECT count(*) FROM a) AS areas, (SELECT count_if(is_together)::BIGINT FROM a) AS together, (SELECT count(*) FROM c) AS sources, (SELECT count_if(status = 'failed')::BIGINT FROM c) AS sources_failed""",
+        "role_lifecycle": """WITH RECURSIVE s AS (SELECT (event_id % greatest(1, (SELECT count(*) FROM events) // 5))::VARCHAR AS id, epoch_us(ts) AS us, event_type NOT IN ('view', 'signup') AS failed FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY us) AS k FROM s), d AS (SELECT 14 * 86400000000 AS life),
+w(id, k, first_seen, stale_since, gone, told, us) AS (
+  SELECT DISTINCT id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::STRUCT(first_seen BIGINT, stale_since BIGINT), NULL::STRUCT(change VARCHAR, first_seen BIGINT, stale_since BIGINT), NULL::BIGINT FROM n
+  UNION ALL
+  SELECT id, k, CASE WHEN f IS NOT NULL THEN f WHEN NOT failed THEN us END, CASE WHEN f IS NULL OR NOT failed THEN NULL ELSE coalesce(z, us) END, CASE WHEN over THEN {first_seen: was, stale_since: since} END,
+    CASE WHEN f IS NULL AND NOT failed THEN {change: 'first', first_seen: us, stale_since: NULL::BIGINT} WHEN f IS NOT NULL AND failed AND z IS NULL THEN {change: 'stale', first_seen: f, stale_since: us} WHEN NOT failed AND z IS NOT NULL THEN {change: 'alive', first_seen: f, stale_since: z} END, us
+  FROM (SELECT n.id, n.k, n.us, n.failed, w.first_seen AS was, w.stale_since AS since, coalesce(n.us >= w.stale_since + life, false) AS over, CASE WHEN n.us >= w.stale_since + life THEN NULL ELSE w.first_seen END AS f, CASE WHEN n.us >= w.stale_since + life THEN NULL ELSE w.stale_since END AS z
+        FROM w JOIN n ON n.id = w.id AND n.k = w.k + 1, d)
+), c AS (
+  SELECT id, told.change AS change, us, told.first_seen AS first_seen, told.stale_since AS stale_since FROM w WHERE told IS NOT NULL
+  UNION ALL SELECT id, 'evicted', gone.stale_since + life, gone.first_seen, gone.stale_since FROM w, d WHERE gone IS NOT NULL
+  UNION ALL SELECT id, 'evicted', stale_since + life, first_seen, stale_since FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1), d WHERE stale_since + life <= (SELECT max(us) FROM s)
+) SELECT id, change, us AS "at", first_seen, stale_since FROM c""",
         "stream_dedup": "SELECT DISTINCT user_id, 1::BIGINT AS n FROM events",
         "stream_first_seen": "SELECT user_id, min(ts) AS first_seen, count(*) AS n FROM events GROUP BY 1",
     }

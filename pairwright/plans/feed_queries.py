@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairwright.functions.scratch import materialize
-from pairwright.plans.fixtures import table
+from pairwright.functions.scratch import materialize, scratch
+from pairwright.operators.run import read_table
+from pairwright.plans.fixtures import postings, table
+from pairwright.plans.gazetteer import places
 from pairwright.sources import payloads as P
+from pairwright.streaming.jobs import harvest_runs
 
 #: Items of one response.
 PAGE = 100
@@ -68,6 +71,60 @@ def feed_items(spark, sf_dir) -> DataFrame:
     )
 
 
+#: The days of two harvests; the second one misses a fifth of the jobs and one source.
+HARVESTS = ("2001-07-20", "2001-08-01")
+
+
+def landed(spark, sf_dir, harvest: int) -> DataFrame:
+    """payloads: the fixture's postings as an aggregator's pages, PAGE to a page, by source."""
+    rows = postings(spark, sf_dir).filter(F.floor(F.col("posting_ordinal") / 5) % 5 != (4 if harvest else 0))
+    job = _s(title=F.col("title"), company=F.col("org"), location=F.col("location"), snippet=F.col("description"), link=F.col("url"), updated=F.col("date_posted"), k=F.col("posting_ordinal"))
+    paged = rows.select("source_name", job.alias("j"), F.floor((F.row_number().over(W.partitionBy("source_name").orderBy("posting_ordinal")) - 1) / PAGE).cast("int").alias("request_seq"))
+    pages = paged.groupBy("source_name", "request_seq").agg(F.to_json(_s(jobs=F.sort_array(F.collect_list(F.struct(F.col("j.k").alias("k"), F.col("j").alias("j")))).getField("j"))).alias("body"))
+    ok = F.lit(True) if not harvest else F.col("source_name") != "Source 3"
+    return pages.select("source_name", F.lit("https://jobs.example/").alias("source_url"), F.lit("jooble").alias("kind"), "request_seq", ok.alias("ok"), F.when(ok, 200).otherwise(503).alias("status"), F.when(~ok, "http 503").alias("error"), F.when(ok, F.col("body")).alias("body"))
+
+
+def board_runs(spark, sf_dir) -> DataFrame:
+    """Two harvests landed one after the other, each run once by the stream; the counters of both runs."""
+    names = postings(spark, sf_dir).groupBy("source_name").agg(F.first("category").alias("category"), F.first("source_ordinal").alias("ordinal"))
+    place = F.struct(F.lit("jooble").alias("kind"), F.lit("https://jobs.example/").alias("endpoint"), F.lit(True).alias("confirmed"))
+    none = F.array().cast("array<string>")
+    sources = materialize(names.select(F.col("source_name").alias("name"), F.lit("https://jobs.example/").alias("url"), "category", place.alias("machine_readable"), none.alias("requires_env"), F.lit("").alias("query"), F.lit("both").alias("specialty"), F.array(F.lit("US")).alias("geos"), "ordinal"))
+    landing, checkpoint, path = (scratch(spark) for _ in range(3))
+    for k in range(len(HARVESTS)):
+        landed(spark, sf_dir, k).write.mode("append").json(landing)
+        harvest_runs(spark, landing, checkpoint, path, sources, places(spark), HARVESTS.__getitem__, remote_partners=3).awaitTermination()
+    counters = ("raw", "irrelevant", "expired", "unlocated", "duplicates", "roles", "a_roles", "b_roles", "new_roles", "carried", "sources", "sources_failed")
+    return read_table(spark, path, "run").select("batch", F.col("today").cast("string").alias("today"), *counters)
+
+
+def board_runs_sql() -> str:
+    """Every run's roles by themselves, then what the second one adds and carries."""
+    from pairwright.operators.roles import SOURCE_RANKS
+    from pairwright.plans.core_sql import quoted
+    from pairwright.plans.fixtures import TODAY
+    from pairwright.plans.role_sql import _roles
+
+    rank = "CASE category " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in SOURCE_RANKS.items()) + " ELSE 0 END"
+
+    def run(k: int) -> str:
+        which = "o_orderkey // 5 % 5 <> 4 AND o_orderkey % 5 <> 3" if k else "o_orderkey // 5 % 5 <> 0"
+        found = _roles().replace("FROM orders)", f"FROM orders WHERE {which})").replace(f"DATE '{TODAY}'", f"DATE '{HARVESTS[k]}'")
+        return f"""r{k} AS MATERIALIZED (WITH {found}, m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {rank} DESC, score DESC, source_ordinal, posting_ordinal) AS nth FROM named)
+  SELECT (SELECT count(*) FROM stated) AS raw, (SELECT count(*) FROM stated WHERE fate = 'irrelevant') AS irrelevant, (SELECT count(*) FROM stated WHERE fate = 'expired') AS expired, (SELECT count(*) FROM named WHERE prec = 'none') AS unlocated,
+    (SELECT count(*) - count(DISTINCT id) FROM named) AS duplicates, list({{id: id, side: specialty, source: source_name}}) AS roles FROM m WHERE nth = 1),
+i{k} AS MATERIALIZED (SELECT unnest(roles, recursive := true) FROM r{k})"""
+
+    both = "old AS (SELECT * FROM i0 WHERE source = 'Source 3' AND id NOT IN (SELECT id FROM i1)), board AS (SELECT * FROM i1 UNION ALL SELECT * FROM old)"
+    shown = "raw, irrelevant, expired, unlocated, duplicates"
+    return f"""WITH {run(0)}, {run(1)}, {both}
+SELECT 0::BIGINT AS batch, '{HARVESTS[0]}' AS today, {shown}, (SELECT count(*) FROM i0) AS roles, (SELECT count(*) FROM i0 WHERE side = 'a') AS a_roles, (SELECT count(*) FROM i0 WHERE side = 'b') AS b_roles, 0::BIGINT AS new_roles, 0::BIGINT AS carried,
+  (SELECT count(DISTINCT o_orderkey % 5) FROM orders) AS sources, 0::BIGINT AS sources_failed FROM r0
+UNION ALL SELECT 1, '{HARVESTS[1]}', {shown}, (SELECT count(*) FROM board), (SELECT count(*) FROM board WHERE side = 'a'), (SELECT count(*) FROM board WHERE side = 'b'), (SELECT count(*) FROM board WHERE id NOT IN (SELECT id FROM i0)), (SELECT count(*) FROM old),
+  (SELECT count(DISTINCT o_orderkey % 5) FROM orders), (SELECT count(DISTINCT o_orderkey % 5) FROM orders WHERE o_orderkey % 5 = 3) FROM r1"""
+
+
 def oracle() -> str:
     """What each kind gives: (feed, url before the key, org, place, description, dates as they are or in full, department)."""
     rows = [

@@ -16,6 +16,17 @@ def incremental_harvest(spark: SparkSession, landing: str, schema: T.StructType
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def harvest_runs(spark: SparkSession, landing: str, checkpoint: str, path: str, sources: DataFrame, places: DataFrame, today: Callable[[int], str], source: str = "json", **options) -> StreamingQuery:
+    """A run of the board for each batch of new payload files, under path. A batch that Spark hands out again is not applied twice."""
+    from pairwright.operators.run import run_batch
+    from pairwright.sources.payloads import SCHEMA
+
+    def run(payloads: DataFrame, batch: int) -> None:
+        run_batch(payloads.sparkSession, path, batch, sources, payloads, places, today(batch), **options)
+
+    return incremental_harvest(spark, landing, SCHEMA, checkpoint, run, source)
+
+
 def first_arrivals(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
     """The first row of each key within the watermark's delay."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
