@@ -214,7 +214,7 @@ def landed(spark, sf_dir):
 
 @query
 def payload_jobs(spark, sf_dir):
-    found = P.to_postings(materialize(landed(spark, sf_dir)))
+    found = P.to_postings(landed(spark, sf_dir))
     return found.groupBy("source_name").agg(F.count("*").alias("n"), F.min("title").alias("first_title"), F.max("url").alias("last_url"), F.min("location").alias("place"), F.min("description").alias("description"))
 
 

@@ -63,7 +63,7 @@ def feeds(spark, sf_dir) -> DataFrame:
 
 
 def feed_items(spark, sf_dir) -> DataFrame:
-    found = P.to_postings(materialize(feeds(spark, sf_dir))).withColumn("feed", F.substring_index("source_name", " ", 1))
+    found = P.to_postings(feeds(spark, sf_dir)).withColumn("feed", F.substring_index("source_name", " ", 1))
     own = F.when(F.col("org") == F.col("source_name"), "source").otherwise(F.col("org"))
     return found.groupBy("feed").agg(
         F.count("*").alias("n"), F.min("title").alias("first_title"), F.max("title").alias("last_title"), F.min("url").alias("first_url"), F.max("url").alias("last_url"), F.min(own).alias("org"), F.min("location").alias("place"),

@@ -1,21 +1,25 @@
-"""Landed responses to postings, one builder per kind of feed, and what a source's responses amount to.
+"""Landed responses to postings, one shape per kind of feed, and what a source's responses amount to.
 
 payloads: source_name, source_url, kind, request_seq, ok, status, error, body. Postings: title, org,
 location, description, url, date_posted, department, source_name, request_seq, posting_ordinal.
+
+A shape is an expression that makes an array of jobs out of a body, so all kinds are read in one scan. A
+board of unknown JSON is parsed once as a variant and followed down to its jobs; only where the first way
+down doesn't lead to them does a search in Python go back and try others.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from pairwright.functions.ship import ship
-from pairwright.functions.text import html_to_text, java, once
+from pairwright.functions.text import html_to_text, java
 
 SCHEMA = "source_name string, source_url string, kind string, request_seq int, ok boolean, status int, error string, body string"
 FIELDS = ("title", "org", "location", "description", "url", "date_posted", "department")
@@ -31,34 +35,54 @@ def contract(rows: DataFrame) -> DataFrame:
     return rows.withColumns(blank).select(*FIELDS, "source_name", "request_seq", "posting_ordinal").filter("title <> '' AND url <> ''")
 
 
-def _array(payloads: DataFrame, schema: str, path: str | None) -> DataFrame:
-    """One row `j` per element of the array at path of a JSON body."""
-    parsed = F.from_json("body", schema)
-    rows = parsed[path] if path else parsed
-    return payloads.filter("ok").select("source_name", "request_seq", F.posexplode(rows).alias("posting_ordinal", "j"))
+def _job(title: Column, org: Column, location: Column, description: Column | None, url: Column, date_posted: Column | None = None, department: Column | None = None, key: Column | None = None, plain: bool = False) -> Column:
+    """One job as found; of several with one key in a source the first one counts. plain: title and description hold no markup."""
+    given = {"title": title, "org": org, "location": location, "description": description, "url": url, "date_posted": date_posted, "department": department, "key": key}
+    return F.struct(*((F.lit(None) if v is None else v).cast("string").alias(k) for k, v in given.items()), F.lit(plain).alias("plain"))
+
+
+def _each(jobs: Column, job: Callable[[Column], Column]) -> Column:
+    return F.transform(jobs, job)
+
+
+def _parsed(schema: str, path: str | None = None) -> Column:
+    found = F.from_json("body", schema)
+    return found[path] if path else found
+
 
+def _source() -> Column:
+    return F.col("source_name")
 
-def greenhouse(payloads: DataFrame) -> DataFrame:
-    j = _array(payloads, "jobs array<struct<title:string,location:struct<name:string>,content:string,absolute_url:string,updated_at:string,first_published:string,departments:array<struct<name:string>>>>", "jobs")
-    return contract(j.select("*", "j.title", F.col("source_name").alias("org"), F.col("j.location.name").alias("location"), html_to_text(F.col("j.content")).alias("description"), F.col("j.absolute_url").alias("url"), F.coalesce("j.updated_at", "j.first_published").alias("date_posted"), F.array_join("j.departments.name", ", ").alias("department")))
 
+def _some(*columns: Column) -> Column:
+    """The first that isn't empty."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
-def lever(payloads: DataFrame) -> DataFrame:
-    j = _array(payloads, "array<struct<text:string,categories:struct<location:string,team:string,department:string>,descriptionPlain:string,description:string,hostedUrl:string,applyUrl:string,createdAt:long>>", None)
-    when = F.date_format(F.timestamp_millis(F.nullif("j.createdAt", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return contract(j.select("*", F.col("j.text").alias("title"), F.col("source_name").alias("org"), F.col("j.categories.location").alias("location"), html_to_text(F.coalesce("j.descriptionPlain", "j.description")).alias("description"), F.coalesce("j.hostedUrl", "j.applyUrl").alias("url"), when.alias("date_posted"), F.coalesce("j.categories.team", "j.categories.department").alias("department")))
 
+def _listed(*columns: Column) -> Column:
+    return F.concat_ws(", ", *(F.nullif(c, F.lit("")) for c in columns))
 
-def ashby(payloads: DataFrame) -> DataFrame:
-    j = _array(payloads, "jobs array<struct<title:string,location:string,descriptionHtml:string,descriptionPlain:string,jobUrl:string,applyUrl:string,publishedAt:string,department:string,team:string>>", "jobs")
-    return contract(j.select("*", "j.title", F.col("source_name").alias("org"), "j.location", html_to_text(F.coalesce("j.descriptionHtml", "j.descriptionPlain")).alias("description"), F.coalesce("j.jobUrl", "j.applyUrl").alias("url"), F.col("j.publishedAt").alias("date_posted"), F.coalesce("j.department", "j.team").alias("department")))
 
+def greenhouse() -> Column:
+    jobs = _parsed("jobs array<struct<title:string,location:struct<name:string>,content:string,absolute_url:string,updated_at:string,first_published:string,departments:array<struct<name:string>>>>", "jobs")
+    return _each(jobs, lambda j: _job(j["title"], _source(), j["location"]["name"], j["content"], j["absolute_url"], F.coalesce(j["updated_at"], j["first_published"]), F.array_join(j["departments"]["name"], ", ")))
 
-def smartrecruiters(payloads: DataFrame) -> DataFrame:
-    j = _array(payloads, "content array<struct<id:string,name:string,location:struct<city:string,region:string,country:string>,jobAd:struct<sections:struct<jobDescription:struct<text:string>>>,applyUrl:string,company:struct<identifier:string>,releasedDate:string,department:struct<label:string>>>", "content")
-    place = F.concat_ws(", ", *(F.nullif(f"j.location.{c}", F.lit("")) for c in ("city", "region", "country")))
-    url = F.coalesce("j.applyUrl", F.concat(F.lit("https://jobs.smartrecruiters.com/"), F.coalesce("j.company.identifier", F.lit("")), F.lit("/"), "j.id"))
-    return contract(j.select("*", F.col("j.name").alias("title"), F.col("source_name").alias("org"), place.alias("location"), html_to_text(F.col("j.jobAd.sections.jobDescription.text")).alias("description"), url.alias("url"), F.col("j.releasedDate").alias("date_posted"), F.col("j.department.label").alias("department")))
+
+def lever() -> Column:
+    jobs = _parsed("array<struct<text:string,categories:struct<location:string,team:string,department:string>,descriptionPlain:string,description:string,hostedUrl:string,applyUrl:string,createdAt:long>>")
+    when = lambda j: F.date_format(F.timestamp_millis(F.nullif(j["createdAt"], F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _each(jobs, lambda j: _job(j["text"], _source(), j["categories"]["location"], F.coalesce(j["descriptionPlain"], j["description"]), F.coalesce(j["hostedUrl"], j["applyUrl"]), when(j), F.coalesce(j["categories"]["team"], j["categories"]["department"])))
+
+
+def ashby() -> Column:
+    jobs = _parsed("jobs array<struct<title:string,location:string,descriptionHtml:string,descriptionPlain:string,jobUrl:string,applyUrl:string,publishedAt:string,department:string,team:string>>", "jobs")
+    return _each(jobs, lambda j: _job(j["title"], _source(), j["location"], F.coalesce(j["descriptionHtml"], j["descriptionPlain"]), F.coalesce(j["jobUrl"], j["applyUrl"]), j["publishedAt"], F.coalesce(j["department"], j["team"])))
+
+
+def smartrecruiters() -> Column:
+    jobs = _parsed("content array<struct<id:string,name:string,location:struct<city:string,region:string,country:string>,jobAd:struct<sections:struct<jobDescription:struct<text:string>>>,applyUrl:string,company:struct<identifier:string>,releasedDate:string,department:struct<label:string>>>", "content")
+    url = lambda j: F.coalesce(j["applyUrl"], F.concat(F.lit("https://jobs.smartrecruiters.com/"), F.coalesce(j["company"]["identifier"], F.lit("")), F.lit("/"), j["id"]))
+    return _each(jobs, lambda j: _job(j["name"], _source(), _listed(*(j["location"][c] for c in ("city", "region", "country"))), j["jobAd"]["sections"]["jobDescription"]["text"], url(j), j["releasedDate"], j["department"]["label"]))
 
 
 #: Names under which boards keep their lists and fields, in order of preference.
@@ -93,63 +117,96 @@ def job_array(node, depth: int = 0) -> list | None:
     return None
 
 
-def field(job: dict, names: tuple[str, ...]) -> str:
-    for n in names:
-        v = job.get(n)
-        if isinstance(v, str) and v.strip():
-            return v.strip()
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return str(v)
-    return ""
+def _absolute(url: Column, base: Column) -> Column:
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    return F.when(url.startswith("http"), url).otherwise(F.concat(origin, url))
 
 
-@udtf(returnType=f"posting_ordinal int, id string, {', '.join(f'{c} string' for c in FIELDS)}", useArrow=True)
-class BoardJobs:
-    """The jobs of one JSON body, each with the first field that it has of every alias."""
+_VALUES = "map<string,variant>"
 
-    def eval(self, body: str) -> Iterator[tuple]:
-        try:
-            rows = job_array(json.loads(body))
-        except (TypeError, ValueError):
-            return
-        for i, j in enumerate(rows or []):
-            if isinstance(j, dict):
-                parts = [field(j, n) for n in (("city",), ("state", "region"), ("country",))]
-                several = "; ".join(x["LocalizedName"] for x in j["Locations"] if isinstance(x, dict) and x.get("LocalizedName")) if isinstance(j.get("Locations"), list) else ""
-                got = {c: field(j, n) for c, n in ALIASES.items()}
-                got["location"] = got["location"] or several or ", ".join(p for p in parts if p)
-                yield (i, field(j, ("id", "Id", "jobId", "requisitionId")), *(got[c] for c in FIELDS))
 
+def _unwrapped(element: Column) -> Column:
+    """The values of an array's element by name, those of its `data` if that has names; null for plain values."""
+    return F.coalesce(F.try_variant_get(element, "$.data", _VALUES), F.try_variant_get(element, "$", _VALUES))
 
-def _absolute(url: Column, base: Column) -> Column:
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    return F.when(url.startswith("http"), url).otherwise(F.concat(origin, url))
+
+def _jobs_in(node: Column) -> Column:
+    """The elements of an array that looks like jobs; null for anything else."""
+    rows = F.transform(F.try_variant_get(node, "$", "array<variant>"), _unwrapped)
+    named = lambda m: F.exists(F.array(*(F.try_element_at(m, F.lit(t)).cast("string") for t in TITLES)), lambda t: t.isNotNull() & ~t.isin("", "false", "0"))
+    return F.when(F.exists(rows, lambda m: F.coalesce(named(m), F.lit(False))), rows)
+
+
+def _down(node: Column) -> Column:
+    """A step on the first way down: the first element of an array, or the first list by name."""
+    return F.coalesce(F.try_variant_get(node, "$[0]", "variant"), *(F.try_variant_get(node, f"$.{k}", "variant") for k in LISTS))
+
+
+def _first_way(body: Column) -> Column:
+    """The jobs of a JSON body at the end of the first way down, null if they aren't there. Every node is looked at once."""
+    state = lambda node: F.struct(node.alias("node"), _jobs_in(node).alias("jobs"))
+    step = lambda at, _: F.when(at["jobs"].isNotNull() | at["node"].isNull(), at).otherwise(F.element_at(F.transform(F.array(_down(at["node"])), state), 1))
+    start = F.element_at(F.transform(F.array(F.try_parse_json(body)), state), 1)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), start, step, lambda at: at["jobs"])
 
 
-def json_board(payloads: DataFrame) -> DataFrame:
-    """Any board in JSON; a job that several requests return counts once."""
-    spark = payloads.sparkSession
-    ship(spark)
-    spark.udtf.register("board_jobs", BoardJobs)
-    payloads.filter("ok").createOrReplaceTempView("_board_payloads")
-    rows = spark.sql("SELECT p.source_name, p.source_url, p.request_seq, j.* FROM _board_payloads p, LATERAL board_jobs(p.body) j")
-    tail = F.when((F.col("url") == "") & (F.col("id") != "") & F.col("source_url").contains("ultipro.com"), F.concat(F.regexp_replace("source_url", "/JobBoardView/.*$", ""), F.lit("/OpportunityDetail?opportunityId="), "id")).otherwise(F.col("url"))
-    rows = rows.withColumn("url", _absolute(tail, F.col("source_url")))
-    rows = rows.withColumns({"org": F.when(F.col("org") != "", F.col("org")).otherwise(F.col("source_name")), "description": html_to_text(F.col("description")), "date_posted": F.nullif("date_posted", F.lit(""))})
-    return contract(first_per(rows, F.when(F.col("id") != "", F.col("id")).otherwise(F.col("url"))))
+def _texts(values: Column) -> Column:
+    """Texts and numbers among a job's values, trimmed."""
+    scalar = lambda v: F.when(F.schema_of_variant(v).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.trim(v.cast("string")))
+    return F.transform_values(F.map_filter(values, lambda k, v: k.isin(*_NAMES)), lambda _, v: scalar(v))
 
 
-def first_per(rows: DataFrame, key: Column) -> DataFrame:
-    """The first row of each source and key, by request and place."""
-    w = W.partitionBy("source_name", "_key").orderBy("request_seq", "posting_ordinal")
-    return rows.withColumn("_key", key).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_key")
+def _board_job(values: Column, t: Column) -> Column:
+    """A job by the first that it has of every alias; t: its _texts."""
+    first = lambda names: _some(*(F.try_element_at(t, F.lit(n)) for n in names))
+    got = {c: first(n) for c, n in ALIASES.items()}
+    several = F.array_join(F.array_compact(F.try_element_at(values, F.lit("Locations")).try_cast("array<struct<LocalizedName:string>>")["LocalizedName"]), "; ")
+    place = _some(got["location"], several, F.concat_ws(", ", *(first(n) for n in (("city",), ("state", "region"), ("country",)))))
+    number = _some(F.try_element_at(t, F.lit("Id")))
+    detail = F.when(number.isNotNull() & F.col("source_url").contains("ultipro.com"), F.concat(F.regexp_replace("source_url", "/JobBoardView/.*$", ""), F.lit("/OpportunityDetail?opportunityId="), number))
+    url = F.coalesce(got["url"], detail, F.lit(""))
+    return _job(got["title"], F.coalesce(got["org"], _source()), place, got["description"], url, got["date_posted"], got["department"], F.coalesce(first(KEYS), url))
 
 
-def workday(payloads: DataFrame) -> DataFrame:
-    j = _array(payloads, "jobPostings array<struct<title:string,externalPath:string,locationsText:string,bulletFields:array<string>,postedOn:string>>", "jobPostings").join(payloads.select("source_name", "request_seq", "source_url"), ["source_name", "request_seq"])
+#: What tells a job of unknown JSON from another one, in order of preference; its URL where there is none of them.
+KEYS = ("Id", "id", "requisitionId", "slug", "title", "Title")
+_NAMES = sorted({n for names in ALIASES.values() for n in names} | {"state", "region", "country", *KEYS})
+
+
+def _searched(bodies: pd.Series) -> pd.Series:
+    """The jobs of JSON bodies, wherever they are, each as JSON."""
+
+    def search(body: str | None) -> list[str] | None:
+        try:
+            rows = job_array(json.loads(body)) if body else None
+        except (ValueError, RecursionError):
+            return None
+        return rows and [json.dumps(j) for j in rows]
+
+    return bodies.map(search)
+
+
+def with_board_jobs(payloads: DataFrame, kinds: list[str]) -> DataFrame:
+    """payloads with `board`, the values of the jobs of each board in JSON; only bodies without jobs on the first way down are searched in Python."""
+    ship(payloads.sparkSession)
+    own = F.col("ok") & F.col("kind").isin(*kinds)
+    rows = payloads.withColumn("board", F.when(own, _first_way(F.col("body"))))
+    rows = rows.withColumn("searched", F.pandas_udf(_searched, "array<string>")(F.when(own & F.col("board").isNull(), F.col("body"))))
+    found = F.transform("searched", lambda j: F.try_variant_get(F.try_parse_json(j), "$", _VALUES))
+    return rows.withColumn("board", F.coalesce("board", found)).drop("searched")
+
+
+def json_board() -> Column:
+    """Any board in JSON (see with_board_jobs); a job that several requests return counts once."""
+    both = F.transform("board", lambda m: F.struct(m.alias("values"), _texts(m).alias("texts")))
+    return F.transform(both, lambda b: F.when(b["values"].isNotNull(), _board_job(b["values"], b["texts"])))
+
+
+def workday() -> Column:
+    jobs = _parsed("jobPostings array<struct<title:string,externalPath:string,locationsText:string,bulletFields:array<string>,postedOn:string>>", "jobPostings")
     site = F.regexp_replace("source_url", r"/wday/cxs/[^/]+/([^/]+)/jobs.*$", "/$1")
-    rows = j.select("*", "j.title", F.col("source_name").alias("org"), F.coalesce("j.locationsText", F.get("j.bulletFields", F.lit(0))).alias("location"), F.lit("").alias("description"), F.when(F.col("j.externalPath").startswith("http"), F.col("j.externalPath")).otherwise(F.concat(site, F.coalesce("j.externalPath", F.lit("")))).alias("url"), F.col("j.postedOn").alias("date_posted"), F.lit("").alias("department"))
-    return contract(first_per(rows, F.col("url")))
+    url = lambda j: F.when(j["externalPath"].startswith("http"), j["externalPath"]).otherwise(F.concat(site, F.coalesce(j["externalPath"], F.lit(""))))
+    return _each(jobs, lambda j: _job(j["title"], _source(), F.coalesce(j["locationsText"], F.get(j["bulletFields"], F.lit(0))), None, url(j), j["postedOn"], key=url(j)))
 
 
 def _tag(chunk: Column, low: Column, tag: str) -> Column:
@@ -158,88 +215,106 @@ def _tag(chunk: Column, low: Column, tag: str) -> Column:
     return F.when(low.contains(f"<{tag}"), F.trim(F.regexp_replace(F.regexp_replace(text, r"^\s*<!\[CDATA\[", ""), r"\]\]>\s*$", ""))).otherwise("")
 
 
-def rss(payloads: DataFrame) -> DataFrame:
+def rss() -> Column:
     """Items of RSS and entries of Atom feeds; of a sitemap, its job pages, titled by their slugs."""
-    body = payloads.filter("ok").withColumn("items", F.regexp_extract_all("body", F.lit(r"(?is)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0)))
-    chunk = body.select("source_name", "request_seq", F.posexplode("items").alias("posting_ordinal", "c"))
-    c = F.col("c")
-    chunk = once(chunk, "_x", {"low": F.lower(c)})
-    some = lambda *tags: F.coalesce(*(F.nullif(_tag(c, F.col("_x.low"), t), F.lit("")) for t in tags))
-    href = F.nullif(F.regexp_extract(c, r'(?i)<link[^>]*href="([^"]+)"', 1), F.lit(""))
-    feed = chunk.select("*", html_to_text(some("title")).alias("title"), F.col("source_name").alias("org"), some("location", "job:location").alias("location"), html_to_text(some("description", "summary", "content")).alias("description"), F.coalesce(some("link"), href).alias("url"), some("pubDate", "published", "updated").alias("date_posted"), some("category").alias("department"))
-    sitemap = body.filter((F.size("items") == 0) & F.col("body").rlike(r"(?i)<urlset\b"))
-    pages = sitemap.select("source_name", "request_seq", F.posexplode(F.regexp_extract_all("body", F.lit("<loc>([^<]+)</loc>"), F.lit(1))).alias("posting_ordinal", "u")).withColumn("u", F.trim("u")).filter(F.col("u").rlike("(?i)job"))
-    slug = F.element_at(F.split(F.regexp_replace("u", "/$", ""), "/"), -1)
-    title = F.array_join(F.transform(F.split(slug, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
-    listed = pages.select("*", title.alias("title"), F.col("source_name").alias("org"), F.when(F.lower(slug).contains("remote"), "Remote").otherwise("").alias("location"), F.lit("").alias("description"), F.col("u").alias("url"), F.lit(None).cast("string").alias("date_posted"), F.lit("").alias("department"))
-    return contract(feed).unionByName(contract(listed))
-
-
-def jobvite(payloads: DataFrame) -> DataFrame:
+    items = F.regexp_extract_all("body", F.lit(r"(?is)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0))
+
+    def item(c: Column) -> Column:
+        tag = lambda *tags: _some(*(_tag(c["text"], c["low"], t) for t in tags))
+        href = F.regexp_extract(c["text"], r'(?i)<link[^>]*href="([^"]+)"', 1)
+        return _job(tag("title"), _source(), tag("location", "job:location"), tag("description", "summary", "content"), F.coalesce(tag("link"), _some(href)), tag("pubDate", "published", "updated"), tag("category"))
+
+    def page(u: Column) -> Column:
+        slug = F.element_at(F.split(F.regexp_replace(u, "/$", ""), "/"), -1)
+        title = F.array_join(F.transform(F.split(slug, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+        return _job(title, _source(), F.when(F.lower(slug).contains("remote"), "Remote"), None, u, plain=True)
+
+    pages = F.filter(F.transform(F.regexp_extract_all("body", F.lit("<loc>([^<]+)</loc>"), F.lit(1)), lambda u: F.trim(u)), lambda u: u.rlike("(?i)job"))
+    return F.when(F.size(items) > 0, F.transform(F.transform(items, lambda c: F.struct(c.alias("text"), F.lower(c).alias("low"))), item)).when(F.col("body").rlike(r"(?i)<urlset\b"), F.transform(pages, page))
+
+
+def jobvite() -> Column:
     element = "array<struct<title:string,location:string,city:string,state:string,jobDescription:string,applyUrl:string,detailUrl:string,postedDate:string,department:string,category:string>>"
-    both = F.from_json("body", f"requisitions {element}, jobs {element}")
-    j = payloads.filter("ok").select("source_name", "request_seq", F.posexplode(F.coalesce(both["requisitions"], both["jobs"])).alias("posting_ordinal", "j"))
-    place = F.coalesce("j.location", F.concat_ws(", ", *(F.nullif(f"j.{c}", F.lit("")) for c in ("city", "state"))))
-    return contract(j.select("*", "j.title", F.col("source_name").alias("org"), place.alias("location"), html_to_text(F.col("j.jobDescription")).alias("description"), F.coalesce("j.applyUrl", "j.detailUrl").alias("url"), F.col("j.postedDate").alias("date_posted"), F.coalesce("j.department", "j.category").alias("department")))
+    both = _parsed(f"requisitions {element}, jobs {element}")
+    return _each(F.coalesce(both["requisitions"], both["jobs"]), lambda j: _job(j["title"], _source(), F.coalesce(j["location"], _listed(j["city"], j["state"])), j["jobDescription"], F.coalesce(j["applyUrl"], j["detailUrl"]), j["postedDate"], F.coalesce(j["department"], j["category"])))
 
 
-def successfactors(payloads: DataFrame) -> DataFrame:
+def successfactors() -> Column:
     """Result pages in HTML: every hit begins with its title's link, followed by labelled fields."""
-    hits = payloads.filter("ok").select("source_name", "source_url", "request_seq", F.posexplode(F.split("body", r'(?i)<a[^>]*class="[^"]*jobTitle-link')).alias("posting_ordinal", "chunk")).filter("posting_ordinal > 0")
-    hits = hits.withColumns({"text": html_to_text(F.substring("chunk", 1, 4000)), "title": html_to_text(F.regexp_extract("chunk", r"(?s)>(.{1,200}?)</a>", 1)), "href": F.regexp_extract("chunk", 'href="([^"]+)"', 1)})
-    field = lambda label: F.nullif(F.trim(F.regexp_extract("text", java(rf"\b{label}\s*\n+\s*([^\n]{{2,60}})"), 1)), F.lit(""))
-    place = F.coalesce(F.nullif(F.concat_ws(", ", field("City"), field("Country")), F.lit("")), field("Location"))
-    rows = hits.filter("href <> '' AND title <> ''").select("source_name", "request_seq", "posting_ordinal", "title", F.coalesce(field("Facility"), "source_name").alias("org"), place.alias("location"), F.substring("text", 1, 800).alias("description"), _absolute(F.col("href"), F.col("source_url")).alias("url"), F.lit(None).cast("string").alias("date_posted"), F.lit("").alias("department"))
-    return contract(first_per(rows, F.col("url")))
+    hits = F.split("body", r'(?i)<a[^>]*class="[^"]*jobTitle-link')
+
+    def hit(chunk: Column, text: Column) -> Column:
+        field = lambda label: _some(F.trim(F.regexp_extract(text, java(rf"\b{label}\s*\n+\s*([^\n]{{2,60}})"), 1)))
+        place = F.coalesce(_some(F.concat_ws(", ", field("City"), field("Country"))), field("Location"))
+        href = _some(F.regexp_extract(chunk, 'href="([^"]+)"', 1))
+        url = _absolute(href, F.col("source_url"))
+        return _job(html_to_text(F.regexp_extract(chunk, r"(?s)>(.{1,200}?)</a>", 1)), F.coalesce(field("Facility"), _source()), place, F.substring(text, 1, 800), url, key=url, plain=True)
 
+    texts = F.transform(hits, lambda c: F.struct(c.alias("chunk"), html_to_text(F.substring(c, 1, 4000)).alias("text")))
+    return F.transform(texts, lambda t, i: F.when(i > 0, hit(t["chunk"], t["text"])))
 
-def jooble(payloads: DataFrame) -> DataFrame:
-    j = _array(payloads, "jobs array<struct<title:string,company:string,location:string,snippet:string,link:string,updated:string>>", "jobs")
-    rows = j.select("*", "j.title", F.col("j.company").alias("org"), "j.location", html_to_text(F.col("j.snippet")).alias("description"), F.col("j.link").alias("url"), F.col("j.updated").alias("date_posted"), F.lit("").alias("department"))
-    return contract(first_per(rows.filter("url <> ''"), F.col("url")))
 
+def jooble() -> Column:
+    jobs = _parsed("jobs array<struct<title:string,company:string,location:string,snippet:string,link:string,updated:string>>", "jobs")
+    return _each(jobs, lambda j: _job(j["title"], j["company"], j["location"], j["snippet"], j["link"], j["updated"], key=j["link"]))
 
-def usajobs(payloads: DataFrame) -> DataFrame:
+
+def usajobs() -> Column:
     """The employer is the agency, not the site."""
     item = "struct<PositionURI:string,PositionTitle:string,OrganizationName:string,DepartmentName:string,PositionLocation:array<struct<LocationName:string>>,PositionLocationDisplay:string,UserArea:struct<Details:struct<JobSummary:string>>,QualificationSummary:string,PublicationStartDate:string>"
-    found = F.from_json("body", f"SearchResult struct<SearchResultItems:array<struct<MatchedObjectDescriptor:{item}>>>")
-    rows = payloads.filter("ok").select("source_name", "request_seq", F.posexplode(found["SearchResult"]["SearchResultItems"]).alias("posting_ordinal", "i")).withColumn("j", F.col("i.MatchedObjectDescriptor"))
-    place = F.coalesce(F.get("j.PositionLocation", F.lit(0))["LocationName"], F.col("j.PositionLocationDisplay"))
-    rows = rows.select("*", F.col("j.PositionTitle").alias("title"), F.coalesce("j.OrganizationName", "j.DepartmentName").alias("org"), place.alias("location"), html_to_text(F.coalesce("j.UserArea.Details.JobSummary", "j.QualificationSummary")).alias("description"), F.col("j.PositionURI").alias("url"), F.col("j.PublicationStartDate").alias("date_posted"), F.col("j.DepartmentName").alias("department"))
-    return contract(first_per(rows.filter("url <> ''"), F.col("url")))
+    found = _parsed(f"SearchResult struct<SearchResultItems:array<struct<MatchedObjectDescriptor:{item}>>>", "SearchResult")["SearchResultItems"]
+    place = lambda j: F.coalesce(F.get(j["PositionLocation"], F.lit(0))["LocationName"], j["PositionLocationDisplay"])
+    job = lambda j: _job(j["PositionTitle"], F.coalesce(j["OrganizationName"], j["DepartmentName"]), place(j), F.coalesce(j["UserArea"]["Details"]["JobSummary"], j["QualificationSummary"]), j["PositionURI"], j["PublicationStartDate"], j["DepartmentName"], j["PositionURI"])
+    return _each(found, lambda i: job(i["MatchedObjectDescriptor"]))
 
 
-def jsearch(payloads: DataFrame) -> DataFrame:
+def jsearch() -> Column:
     """The list is `data` or `data.jobs`; a remote flag outranks the location."""
-    job = "array<struct<job_title:string,employer_name:string,job_is_remote:boolean,job_location:string,job_city:string,job_state:string,job_description:string,job_apply_link:string,job_google_link:string,job_posted_at_datetime_utc:string>>"
+    kind = "array<struct<job_title:string,employer_name:string,job_is_remote:boolean,job_location:string,job_city:string,job_state:string,job_description:string,job_apply_link:string,job_google_link:string,job_posted_at_datetime_utc:string>>"
     data = F.get_json_object("body", "$.data")
-    jobs = F.when(data.startswith("["), F.from_json(data, job)).otherwise(F.from_json(F.get_json_object("body", "$.data.jobs"), job))
-    rows = payloads.filter("ok").select("source_name", "request_seq", F.posexplode(jobs).alias("posting_ordinal", "j"))
-    place = F.coalesce("j.job_location", F.concat_ws(", ", *(F.nullif(f"j.{c}", F.lit("")) for c in ("job_city", "job_state"))))
-    rows = rows.select("*", F.col("j.job_title").alias("title"), F.col("j.employer_name").alias("org"), F.when(F.col("j.job_is_remote"), "Remote").otherwise(place).alias("location"), html_to_text(F.col("j.job_description")).alias("description"), F.coalesce("j.job_apply_link", "j.job_google_link").alias("url"), F.col("j.job_posted_at_datetime_utc").alias("date_posted"), F.lit("").alias("department"))
-    return contract(first_per(rows.filter("url <> ''"), F.col("url")))
+    jobs = F.when(data.startswith("["), F.from_json(data, kind)).otherwise(F.from_json(F.get_json_object("body", "$.data.jobs"), kind))
+    place = lambda j: F.when(j["job_is_remote"], "Remote").otherwise(F.coalesce(j["job_location"], _listed(j["job_city"], j["job_state"])))
+    url = lambda j: F.coalesce(j["job_apply_link"], j["job_google_link"])
+    return _each(jobs, lambda j: _job(j["job_title"], j["employer_name"], place(j), j["job_description"], url(j), j["job_posted_at_datetime_utc"], key=url(j)))
 
 
-def adzuna(payloads: DataFrame) -> DataFrame:
+def adzuna() -> Column:
     """Pages aren't deduplicated; what came before a failing page stays."""
-    j = _array(payloads, "results array<struct<title:string,company:struct<display_name:string>,location:struct<display_name:string>,description:string,redirect_url:string,created:string,category:struct<label:string>>>", "results")
-    return contract(j.select("*", "j.title", F.col("j.company.display_name").alias("org"), F.col("j.location.display_name").alias("location"), html_to_text(F.col("j.description")).alias("description"), F.col("j.redirect_url").alias("url"), F.col("j.created").alias("date_posted"), F.col("j.category.label").alias("department")))
+    jobs = _parsed("results array<struct<title:string,company:struct<display_name:string>,location:struct<display_name:string>,description:string,redirect_url:string,created:string,category:struct<label:string>>>", "results")
+    return _each(jobs, lambda j: _job(j["title"], j["company"]["display_name"], j["location"]["display_name"], j["description"], j["redirect_url"], j["created"], j["category"]["label"]))
+
+
+Shape = Callable[[], Column]
+SHAPES: dict[str, Shape] = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "smartrecruiters": smartrecruiters, "json": json_board, "workday": workday, "jobvite": jobvite, "successfactors": successfactors, "jooble": jooble, "usajobs": usajobs, "jsearch": jsearch, "adzuna": adzuna, "rss": rss, "icims-rss": rss, "taleo-rss": rss}
+#: Kinds whose titles are markup too.
+_MARKED = ("rss", "icims-rss", "taleo-rss")
 
 
-Adapter = Callable[[DataFrame], DataFrame]
-ADAPTERS: dict[str, Adapter] = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "smartrecruiters": smartrecruiters, "json": json_board, "workday": workday, "jobvite": jobvite, "successfactors": successfactors, "jooble": jooble, "usajobs": usajobs, "jsearch": jsearch, "adzuna": adzuna, "rss": rss, "icims-rss": rss, "taleo-rss": rss}
+def _exploded(payloads: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
+    """One row `j` per job of every response that came."""
+    jobs = None
+    for shape in dict.fromkeys(shapes.values()):
+        kinds = F.col("kind").isin(*[k for k, x in shapes.items() if x is shape])
+        jobs = F.when(kinds, shape()) if jobs is None else jobs.when(kinds, shape())
+    return payloads.filter("ok").select(_source(), "source_url", "kind", "request_seq", F.posexplode(jobs).alias("posting_ordinal", "j"))
 
 
-def to_postings(payloads: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:
-    """Postings of all payloads whose kind has an adapter."""
-    parts = [adapter(payloads.filter(F.col("kind").isin(*[k for k, a in adapters.items() if a is adapter]))) for adapter in dict.fromkeys(adapters.values())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def to_postings(payloads: DataFrame, shapes: dict[str, Shape] = SHAPES) -> DataFrame:
+    """Postings of all payloads whose kind has a shape, in one scan."""
+    boards = [k for k, x in shapes.items() if x is json_board]
+    rows = _exploded(with_board_jobs(payloads, boards) if boards else payloads, shapes)
+    rows = rows.filter("j IS NOT NULL").select(_source(), "source_url", "kind", "request_seq", "posting_ordinal", "j.*")
+    if boards:
+        rows = rows.withColumn("url", F.when(F.col("kind").isin(*boards), _absolute(F.col("url"), F.col("source_url"))).otherwise(F.col("url")))
+    # the first row of each source and key, by request and place; without a key every row is its own
+    w = W.partitionBy("source_name", F.coalesce("key", F.concat(F.lit("\0"), F.col("request_seq").cast("string"), F.lit(":"), F.col("posting_ordinal").cast("string")))).orderBy("request_seq", "posting_ordinal")
+    rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    text = lambda c, marked: F.when(marked, html_to_text(F.col(c))).otherwise(F.col(c))
+    rows = rows.withColumns({"description": text("description", ~F.col("plain")), "title": text("title", ~F.col("plain") & F.col("kind").isin(*_MARKED))})
+    return contract(rows)
 
 
-def source_status(sources: DataFrame, payloads: DataFrame, provided: list[str], adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:
+def source_status(sources: DataFrame, payloads: DataFrame, provided: list[str], adapters: dict[str, Shape] = SHAPES) -> DataFrame:
     """source_name, skipped and error: a source with one good response is fine, one without credentials skipped."""
     from pairwright.sources.registry import is_active, missing_credentials
 
@@ -274,7 +349,7 @@ def detect_feed(html: Column, url: Column) -> Column:
 
 
 def job_counts(payloads: DataFrame) -> DataFrame:
-    """source_name and jobs that a JSON board's responses hold."""
-    return json_board(payloads).groupBy("source_name").agg(F.count("*").alias("jobs"))
-
-
+    """source_name, kind and jobs: how many postings each source's responses of any kind hold."""
+    kinds = payloads.groupBy("source_name").agg(F.max("kind").alias("kind"))
+    found = to_postings(payloads).groupBy("source_name").agg(F.count("*").alias("jobs"))
+    return kinds.join(found, "source_name", "left").select("source_name", "kind", F.coalesce("jobs", F.lit(0)).alias("jobs"))

@@ -135,7 +135,7 @@ def test_endpoints(spark):
 def test_rss_and_sitemap(spark):
     bodies = ["<rss><item><title><![CDATA[A &amp; B]]></title><link>https://x/1</link></item></rss>", "<urlset><loc>https://x/jobs/remote-night-reader/</loc><loc>https://x/about</loc></urlset>"]
     rows = spark.createDataFrame([(f"s{i}", "https://x", "rss", 0, True, 200, None, b) for i, b in enumerate(bodies)], payloads.SCHEMA)
-    assert sorted((r.title, r.url, r.location) for r in payloads.rss(rows).collect()) == [("A & B", "https://x/1", ""), ("Remote Night Reader", "https://x/jobs/remote-night-reader/", "Remote")]
+    assert sorted((r.title, r.url, r.location) for r in payloads.to_postings(rows).collect()) == [("A & B", "https://x/1", ""), ("Remote Night Reader", "https://x/jobs/remote-night-reader/", "Remote")]
 
 
 def test_job_array_is_found_and_unwrapped():
@@ -229,3 +229,38 @@ def test_new_files_are_harvested_once(spark, tmp_path):
         landed.withColumn("source_name", F.lit(f"S{day}")).write.mode("append").json(str(tmp_path / "landing"))
         jobs.incremental_harvest(spark, str(tmp_path / "landing"), payloads.SCHEMA, str(tmp_path / "ck"), lambda df, _: seen.append(sorted(r.source_name for r in df.collect()))).awaitTermination()
     assert [x for x in seen if x] == [["S1"], ["S2"]]
+
+
+BOARDS = {
+    "root": ('[{"title": "T", "Id": 5, "applyUrl": "https://x/1", "city": "A", "state": "OH"}]', [("T", "A", "https://x/1")]),
+    "wrapped": ('{"total": 1, "items": [{"facets": [{"x": 1}], "requisitionList": [{"data": {"jobTitle": "T", "externalPath": "/j/1", "location": {"no": 1}, "Locations": [{"LocalizedName": "A"}, {"LocalizedName": "B"}]}}]}]}', [("T", "A; B", "https://w.example/j/1")]),
+    "facets first": ('{"facets": [{"name": ""}], "jobs": [{"name": " T ", "url": "https://x/1", "primaryLocation": 7}]}', [("T", "7", "https://x/1")]),
+    "other way": ('{"jobs": [], "results": {"deep": [{"title": "T", "url": "https://x/1"}]}}', [("T", "", "https://x/1")]),
+    "second element": ('{"items": [{"none": 1}, {"jobs": [{"title": "T", "url": "https://x/1"}]}]}', [("T", "", "https://x/1")]),
+    "one id twice": ('{"jobs": [{"id": 1, "title": "T", "url": "https://x/1"}, {"id": 1, "title": "U", "url": "https://x/2"}, {"title": true, "url": "https://x/3"}, "odd", {"Id": "q", "PostingTitle": "V", "link": "/k"}]}', [("T", "", "https://x/1"), ("V", "", "https://w.example/k")]),
+    "broken": ('{"jobs": [', []),
+    "nothing": ('{"a": {"b": [1, 2, {"c": "title"}]}}', []),
+    "empty": ("", []),
+    "numbers": ("[1, 2]", []),
+}
+
+
+@pytest.mark.parametrize("searched", [False, True])
+def test_boards_of_unknown_json(spark, searched, monkeypatch):
+    """Found on the first way down or by the search; both give the same jobs."""
+    if searched:
+        monkeypatch.setattr(payloads, "_first_way", lambda body: F.lit(None).cast("array<map<string,variant>>"))
+    rows = [(k, "https://w.example/site", "json", 0, True, 200, None, b) for k, (b, _) in BOARDS.items()] + [("failed", "https://w.example", "json", 0, False, 503, "http 503", None)]
+    got = {}
+    for r in payloads.to_postings(spark.createDataFrame(rows, payloads.SCHEMA)).collect():
+        got.setdefault(r.source_name, []).append((r.title, r.location, r.url))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, (_, v) in BOARDS.items() if v}
+
+
+def test_ultipro_links_and_job_counts(spark):
+    body = '{"opportunities": [{"Title": "T", "Id": "abc"}, {"Title": "U", "Id": "def"}]}'
+    page = '{"jobs": [{"title": "T", "absolute_url": "https://x/1"}]}'
+    rows = [("U", "https://recruiting.ultipro.com/ORG1/JobBoardView/LoadSearchResults", "json", 0, True, 200, None, body), ("G", "https://g", "greenhouse", 0, True, 200, None, page), ("E", "https://e", "lever", 0, False, 503, "http 503", None)]
+    landed = spark.createDataFrame(rows, payloads.SCHEMA)
+    assert "https://recruiting.ultipro.com/ORG1/OpportunityDetail?opportunityId=abc" in {r.url for r in payloads.to_postings(landed).collect()}
+    assert {(r.source_name, r.kind, r.jobs) for r in payloads.job_counts(landed).collect()} == {("U", "json", 2), ("G", "greenhouse", 1), ("E", "lever", 0)}
