@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import ascii_words, has, once
+from pairwright.operators.rules import RuleSet, default
 
 #: The default vocabularies.
 SIDE_A = [r"\bvascular surgeon\b", r"\bvascular surgery\b", r"\bendovascular\b", r"\bvascular (?:and |& )?endovascular\b", r"\bcardiothoracic (?:and |& )?vascular surg"]
@@ -66,7 +67,7 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def with_matches(postings: DataFrame) -> DataFrame:
+def with_matches(postings: DataFrame, rules: RuleSet) -> DataFrame:
     """Adds _t, what the rules say of title, department, employer and place, and _f, what they say of the whole text.
 
     Bodies are only searched for what titles leave open; where they do, the answer is null.
@@ -75,23 +76,23 @@ def with_matches(postings: DataFrame) -> DataFrame:
     t, body, org = F.col("_a.titleish"), F.col("_a.body"), F.col("_a.org")
     full = F.concat_ws(" ", t, body)
     df = once(df, "_t", {
-        "attending": ~has(t, NOT_ATTENDING), "other": has(t, OTHER_SPECIALTY), "ours": has(t, OURS_AFTER_ALL), "a": has(t, SIDE_A), "b": has(t, SIDE_B), "ir": has(t, INTERVENTIONAL), "md": has(t, PHYSICIAN),
-        "private_org": has(org, PRIVATE), "academic": has(F.concat_ws(" ", org, t), ACADEMIC), "locum": has(t, LOCUM), "leadership": has(t, LEADERSHIP),
-        "remote": has(t, REMOTE_TITLE), "onsite": has(t, ONSITE_TITLE), "hybrid": has(t, HYBRID_TITLE), "remote_place": has(ascii_words(_text("location")), REMOTE_PLACE),
+        "attending": ~has(t, rules.not_attending), "other": has(t, rules.other_specialty), "ours": has(t, rules.ours_after_all), "a": has(t, rules.side_a), "b": has(t, rules.side_b), "ir": has(t, rules.interventional), "md": has(t, rules.physician),
+        "private_org": has(org, rules.private), "academic": has(F.concat_ws(" ", org, t), rules.academic), "locum": has(t, rules.locum), "leadership": has(t, rules.leadership),
+        "remote": has(t, rules.remote_title), "onsite": has(t, rules.onsite_title), "hybrid": has(t, rules.hybrid_title), "remote_place": has(ascii_words(_text("location")), rules.remote_place),
     })
     titled = F.col("_t.a") | F.col("_t.b") | F.col("_t.ir")
     generic = F.col("_t.attending") & F.col("_t.md") & ~F.col("_t.other") & ~titled
     by_body = ~(F.col("_t.remote") | F.col("_t.onsite") | F.col("_t.hybrid") | F.col("_t.remote_place"))
     found = once(df, "_f", {
-        "a": F.when(generic, has(full, SIDE_A)), "b": F.when(generic, has(full, SIDE_B)), "ir": F.when(~F.col("_t.ir"), has(full, INTERVENTIONAL)),
-        "government": has(F.concat_ws(" ", org, full), GOVERNMENT), "private": F.when(~F.col("_t.private_org") & ~F.col("_t.academic"), has(full, PRIVATE)), "academic": F.when(~F.col("_t.private_org") & ~F.col("_t.academic"), has(body, ACADEMIC)),
-        "remote": F.when(by_body, has(full, REMOTE_PHRASE)), "hybrid": F.when(by_body, has(full, HYBRID_PHRASE)),
+        "a": F.when(generic, has(full, rules.side_a)), "b": F.when(generic, has(full, rules.side_b)), "ir": F.when(~F.col("_t.ir"), has(full, rules.interventional)),
+        "government": has(F.concat_ws(" ", org, full), rules.government), "private": F.when(~F.col("_t.private_org") & ~F.col("_t.academic"), has(full, rules.private)), "academic": F.when(~F.col("_t.private_org") & ~F.col("_t.academic"), has(body, rules.academic)),
+        "remote": F.when(by_body, has(full, rules.remote_phrase)), "hybrid": F.when(by_body, has(full, rules.hybrid_phrase)),
     })
     return found.drop("_a")
 
 
 def _route() -> Column:
-    """Which rule settles the specialty: a key of REASONS, or null."""
+    """Which rule settles the specialty: a key of the rules' reasons, or null."""
     a, b = F.col("_f.a"), F.col("_f.b")  # null unless an attending physician's title names no specialty
     return (
         F.when(F.col("_t.other") & ~F.col("_t.ours"), F.lit(None).cast("string"))
@@ -116,18 +117,19 @@ def work_model() -> Column:
     )
 
 
-def classify(postings: DataFrame) -> DataFrame:
-    """postings with specialty (a, b or null), is_attending, is_interventional, is_locum, is_leadership, setting, work_model and reasons."""
-    df = with_matches(postings).withColumn("_route", _route())
+def classify(postings: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """After a rule set, the default one if none is given: postings with specialty (a, b or null), is_attending, is_interventional, is_locum, is_leadership, setting, work_model and reasons."""
+    rules = rules or default()
+    df = with_matches(postings, rules).withColumn("_route", _route())
     specialty = F.when(F.col("_route").isin("a_title", "a_body"), "a").when(F.col("_route").isin("b_title", "ir_title", "b_body"), "b")
     df = df.withColumn("specialty", specialty)
-    why = F.element_at(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv)), F.col("_route"))
+    why = F.element_at(F.create_map(*(F.lit(x) for kv in rules.reasons.items() for x in kv)), F.col("_route"))
     attending = F.col("_t.attending")
     df = df.withColumns({
         "is_attending": attending, "is_interventional": F.col("_t.ir") | (F.coalesce(F.col("specialty") == "b", F.lit(False)) & F.col("_f.ir")),
         "is_locum": F.col("_t.locum"), "is_leadership": attending & F.col("specialty").isNotNull() & F.col("_t.leadership"),
         "setting": setting(), "work_model": work_model(),
-        "reasons": F.array_compact(F.array(F.when(~attending, REASONS["not_attending"]), why)),
+        "reasons": F.array_compact(F.array(F.when(~attending, rules.reasons["not_attending"]), why)),
     })
     return df.drop("_t", "_f", "_route")
 

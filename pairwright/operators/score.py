@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.geo import half_up
 from pairwright.functions.text import age_days, ascii_words, has, once
+from pairwright.operators.rules import RuleSet, default, guarded
 
 #: Weights of the parts per side, tiers, and what counts for and against a posting.
 PARTS = ("specialty_fit", "seniority", "practice_quality", "location", "recency", "signal")
@@ -59,16 +60,19 @@ def _unit(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def score_roles(roles: DataFrame, today: Column, preferred: tuple[str, ...] = PREFERRED) -> DataFrame:
-    """roles with score, tier, subscores (struct), age_days, score_reasons and concerns, both in order and distinct."""
+def score_roles(roles: DataFrame, today: Column, preferred: tuple[str, ...] | None = None, rules: RuleSet | None = None) -> DataFrame:
+    """After a rule set, the default one if none is given: roles with score, tier, subscores (struct), age_days, score_reasons and concerns, both in order and distinct."""
+    rules = rules or default()
+    preferred = preferred or rules.preferred
     df = once(roles, "_a", {"text": ascii_words(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))})
     text, body = F.col("_a.text"), F.coalesce("description", F.lit(""))
-    rules = {f"{side}{k}": (F.coalesce(F.col("specialty") == side, F.lit(False)) & has(text, p), pts, why) for side in ("a", "b") for k, (p, pts, why) in enumerate(POSITIVE[side])}
-    against = {f"n{k}": (has(text, p), pts, why) for k, (p, pts, why) in enumerate(NEGATIVE)}
-    ir_only = F.coalesce((F.col("specialty") == "b") & F.col("is_interventional"), F.lit(False)) & ~has(text, DIAGNOSTIC)
-    found = {n: c for n, (c, _, _) in (rules | against).items()} | {"ir_only": ir_only, "entry": has(text, ENTRY), "trauma": has(text, TRAUMA), "ranked": has(text, RANKED)}
+    is_side = lambda side: F.coalesce(F.col("specialty") == side, F.lit(False))
+    speaking = {f"{side}{k}": (hit, *rule[1:]) for side in ("a", "b") for k, (rule, hit) in enumerate(zip(rules.positive[side], guarded(text, rules.positive[side], is_side(side)), strict=True))}
+    against = {f"n{k}": (hit, *rule[1:]) for k, (rule, hit) in enumerate(zip(rules.negative, guarded(text, rules.negative), strict=True))}
+    ir_only = F.coalesce((F.col("specialty") == "b") & F.col("is_interventional"), F.lit(False)) & ~has(text, rules.diagnostic)
+    found = {n: c for n, (c, _, _) in (speaking | against).items()} | {"ir_only": ir_only, "entry": has(text, rules.entry), "trauma": has(text, rules.trauma), "ranked": has(text, rules.ranked)}
     roles = once(df, "_m", found).drop("_a")
-    good, bad = ([(F.col(f"_m.{n}"), pts, why) for n, (_, pts, why) in x.items()] for x in (rules, against))
+    good, bad = ([(F.col(f"_m.{n}"), pts, why) for n, (_, pts, why) in x.items()] for x in (speaking, against))
     ir_only = F.col("_m.ir_only")
     fit = F.lit(0.55)
     for hit, pts, _ in good:
@@ -79,7 +83,7 @@ def score_roles(roles: DataFrame, today: Column, preferred: tuple[str, ...] = PR
     entry = F.col("_m.entry")
     seniority = F.when(F.col("is_locum"), 0.25).when(entry, 0.35).when(F.col("is_leadership"), 0.95).otherwise(0.6)
     quality = F.lit(0.55)
-    for name, (value, _) in SETTINGS.items():
+    for name, (value, _) in rules.settings.items():
         quality = F.when(F.col("setting") == name, F.lit(value)).otherwise(quality)
     trauma = F.col("_m.trauma")
     quality = _unit(quality + F.when(trauma, 0.1).otherwise(0.0) + F.when(F.col("_m.ranked"), 0.05).otherwise(0.0))
@@ -91,10 +95,10 @@ def score_roles(roles: DataFrame, today: Column, preferred: tuple[str, ...] = PR
         recency = recency.when(age <= upto, value)
     recency = recency.otherwise(0.08)
     signal = F.greatest(F.lit(0.15), F.least(F.lit(1.0), F.length(body) / 1800.0))
-    licence = F.element_at(F.create_map(*(F.lit(x) for kv in LICENCES.items() for x in kv)), F.col("country"))
+    licence = F.element_at(F.create_map(*(F.lit(x) for kv in rules.licences.items() for x in kv)), F.col("country"))
     reasons = [
         *(F.when(h, w) for h, _, w in good), F.when(F.col("is_leadership"), "leadership scope (chief / director / division head)"),
-        *(F.when(F.col("setting") == n, w) for n, (_, w) in SETTINGS.items()), F.when(trauma, "Level I trauma centre"),
+        *(F.when(F.col("setting") == n, w) for n, (_, w) in rules.settings.items()), F.when(trauma, "Level I trauma centre"),
         F.when(F.col("work_model") == "remote", "remote / teleradiology"), F.when(age <= 14, "posted within two weeks"),
     ]
     concerns = [
@@ -105,19 +109,20 @@ def score_roles(roles: DataFrame, today: Column, preferred: tuple[str, ...] = PR
         F.when(F.length(body) < 300, "thin posting — little detail to evaluate"),
     ]
     df = roles.withColumns(dict(zip((f"_{p}" for p in PARTS), (_unit(fit), seniority, quality, place, recency, signal), strict=True)))
-    weight = {p: F.when(F.col("specialty") == "a", RUBRIC["a"][k]).otherwise(RUBRIC["b"][k]) for k, p in enumerate(PARTS)}
+    weight = {p: F.when(F.col("specialty") == "a", rules.rubric["a"][k]).otherwise(rules.rubric["b"][k]) for k, p in enumerate(PARTS)}
     weighted = {p: F.col(f"_{p}") * weight[p] for p in PARTS}
     total = F.lit(0.0)
     for p in PARTS:
         total = total + weighted[p]
     score = half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))).cast("long")
     df = df.withColumns({"score": score, "subscores": F.struct(*(half_up(weighted[p]).cast("long").alias(p) for p in PARTS)), "age_days": age, "score_reasons": F.array_distinct(F.array_compact(F.array(*reasons))), "concerns": F.array_distinct(F.array_compact(F.array(*concerns)))})
-    return df.withColumn("tier", tier(F.col("score"))).drop("_m", *(f"_{p}" for p in PARTS))
+    return df.withColumn("tier", tier(F.col("score"), rules)).drop("_m", *(f"_{p}" for p in PARTS))
 
 
-def tier(score: Column) -> Column:
-    out = F.when(score >= TIERS[0][0], TIERS[0][1])
-    for least, name in TIERS[1:]:
+def tier(score: Column, rules: RuleSet | None = None) -> Column:
+    rules = rules or default()
+    out = F.when(score >= rules.tiers[0][0], rules.tiers[0][1])
+    for least, name in rules.tiers[1:]:
         out = out.when(score >= least, name)
     return out.otherwise("low")
 

@@ -11,6 +11,7 @@ from pairwright.functions import text as T
 from pairwright.functions.geo import half_up
 from pairwright.operators import areas, classify, geocode, pairs, roles, score
 from pairwright.plans import core_sql
+from pairwright.plans.other_rules import other_rules
 from pairwright.plans.fixtures import TODAY, postings, sites, table
 from pairwright.plans.gazetteer import places
 
@@ -93,6 +94,17 @@ def area_summary(spark, sf_dir):
     return found.select("area_id", "label", "key", "is_together", "a_count", "b_count", "best_a", "best_b", "span_miles", "same_org", "approximate", "score", "missing_side", "remote_unlocked", F.array_join("a_ids", ",").alias("a_ids"))
 
 
+@query
+def other_sides(spark, sf_dir):
+    """Postings by a second rule set, for technologists and assistants."""
+    rules = other_rules()
+    found = classify.classify(postings(spark, sf_dir), rules).filter(classify.is_relevant())
+    place = F.when(F.col("location").contains("Qatar"), "QA").when(F.col("location") == "", F.lit(None)).otherwise("US")
+    found = found.withColumns({"country": place, "precision": F.when(F.col("location").contains(","), "city").otherwise("region"), "date_posted": T.to_date(F.col("date_posted"))})
+    scored = score.score_roles(found, _today(), rules=rules)
+    return scored.select("posting_ordinal", "specialty", "setting", "is_leadership", "score", "tier", *(F.col(f"subscores.{p}").alias(p) for p in score.PARTS))
+
+
 # ---- text -------------------------------------------------------------------------------------------------
 
 

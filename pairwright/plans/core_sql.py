@@ -10,7 +10,9 @@ import re
 from pairwright.functions import text as T
 from pairwright.operators import classify as C
 from pairwright.operators import score as S
+from pairwright.operators.rules import RuleSet, default
 from pairwright.plans.fixtures import POSTINGS_SQL, SITES_SQL, TODAY
+from pairwright.plans.other_rules import other_rules
 
 
 def quoted(s: str) -> str:
@@ -54,41 +56,43 @@ def _pairs(select: str, radius: float = 45.0) -> str:
     return _PAIRS.format(r=f"{radius}::DOUBLE") + select
 
 
-def classified(source: str) -> str:
+def classified(source: str, rules: RuleSet | None = None) -> str:
     """classified: a view of postings with what the rules say of them."""
+    rules = rules or default()
     t, f = "titleish", "full_text"
     return f"""c0 AS (SELECT *, title || ' ' || department AS titleish, title || ' ' || department || ' ' || description AS full_text FROM {source}), c1 AS (
-  SELECT *, NOT {hit(t, C.NOT_ATTENDING)} AS is_attending, {hit(t, C.OTHER_SPECIALTY)} AS other, {hit(t, C.OURS_AFTER_ALL)} AS ours, {hit(t, C.SIDE_A)} AS ta, {hit(t, C.SIDE_B)} AS tb, {hit(t, C.INTERVENTIONAL)} AS tir,
-    {hit(f, C.INTERVENTIONAL)} AS fir, {hit(t, C.PHYSICIAN)} AS md, {hit(f, C.SIDE_A)} AS fa, {hit(f, C.SIDE_B)} AS fb FROM c0
+  SELECT *, NOT {hit(t, rules.not_attending)} AS is_attending, {hit(t, rules.other_specialty)} AS other, {hit(t, rules.ours_after_all)} AS ours, {hit(t, rules.side_a)} AS ta, {hit(t, rules.side_b)} AS tb, {hit(t, rules.interventional)} AS tir,
+    {hit(f, rules.interventional)} AS fir, {hit(t, rules.physician)} AS md, {hit(f, rules.side_a)} AS fa, {hit(f, rules.side_b)} AS fb FROM c0
 ), c2 AS (
   SELECT *, CASE WHEN other AND NOT ours THEN NULL WHEN ta THEN 'a_title' WHEN tb THEN 'b_title' WHEN tir THEN 'ir_title' WHEN NOT (is_attending AND md AND NOT other) THEN NULL WHEN fa AND NOT fb THEN 'a_body' WHEN fb AND NOT fa THEN 'b_body' WHEN fa AND fb THEN 'both' END AS route FROM c1
 ), classified AS (
-  SELECT *, CASE WHEN route IN ('a_title', 'a_body') THEN 'a' WHEN route IN ('b_title', 'ir_title', 'b_body') THEN 'b' END AS specialty, {hit(t, C.LOCUM)} AS is_locum,
-    is_attending AND route IS NOT NULL AND route <> 'both' AND {hit(t, C.LEADERSHIP)} AS is_leadership, tir OR (coalesce(route, '') IN ('b_title', 'ir_title', 'b_body') AND fir) AS is_interventional,
-    CASE WHEN {hit(f"org || ' ' || {f}", C.GOVERNMENT)} THEN 'government' WHEN {hit("org", C.PRIVATE)} THEN 'private' WHEN {hit(f"org || ' ' || {t}", C.ACADEMIC)} THEN 'academic' WHEN {hit(f, C.PRIVATE)} THEN 'private'
-      WHEN {hit("description", C.ACADEMIC)} THEN 'academic' WHEN org <> '' THEN 'hospital-employed' ELSE 'unknown' END AS setting,
-    CASE WHEN {hit(t, C.REMOTE_TITLE)} THEN 'remote' WHEN {hit(t, C.ONSITE_TITLE)} THEN 'onsite' WHEN {hit(t, C.HYBRID_TITLE)} THEN 'hybrid' WHEN {hit("location", C.REMOTE_PLACE)} OR {hit(f, C.REMOTE_PHRASE)} THEN 'remote' WHEN {hit(f, C.HYBRID_PHRASE)} THEN 'hybrid' ELSE 'onsite' END AS work_model
+  SELECT *, CASE WHEN route IN ('a_title', 'a_body') THEN 'a' WHEN route IN ('b_title', 'ir_title', 'b_body') THEN 'b' END AS specialty, {hit(t, rules.locum)} AS is_locum,
+    is_attending AND route IS NOT NULL AND route <> 'both' AND {hit(t, rules.leadership)} AS is_leadership, tir OR (coalesce(route, '') IN ('b_title', 'ir_title', 'b_body') AND fir) AS is_interventional,
+    CASE WHEN {hit(f"org || ' ' || {f}", rules.government)} THEN 'government' WHEN {hit("org", rules.private)} THEN 'private' WHEN {hit(f"org || ' ' || {t}", rules.academic)} THEN 'academic' WHEN {hit(f, rules.private)} THEN 'private'
+      WHEN {hit("description", rules.academic)} THEN 'academic' WHEN org <> '' THEN 'hospital-employed' ELSE 'unknown' END AS setting,
+    CASE WHEN {hit(t, rules.remote_title)} THEN 'remote' WHEN {hit(t, rules.onsite_title)} THEN 'onsite' WHEN {hit(t, rules.hybrid_title)} THEN 'hybrid' WHEN {hit("location", rules.remote_place)} OR {hit(f, rules.remote_phrase)} THEN 'remote' WHEN {hit(f, rules.hybrid_phrase)} THEN 'hybrid' ELSE 'onsite' END AS work_model
   FROM c2
 )"""
 
 
-def scores(source: str) -> str:
+def scores(source: str, rules: RuleSet | None = None) -> str:
     """scored: a view (title, description, specialty, ..., country, prec) with score, tier and the scores' parts."""
+    rules = rules or default()
     x = "title || ' ' || description"
-    good = " ".join(f"+ CASE WHEN specialty = '{side}' AND {hit(x, p)} THEN {pts * 0.12!r}::DOUBLE ELSE 0 END" for side in ("a", "b") for p, pts, _ in S.POSITIVE[side])
-    bad = " ".join(f"+ CASE WHEN {hit(x, p)} THEN {pts * 0.12!r}::DOUBLE ELSE 0 END" for p, pts, _ in S.NEGATIVE)
-    weights = {p: f"CASE WHEN specialty = 'a' THEN {S.RUBRIC['a'][k]} ELSE {S.RUBRIC['b'][k]} END" for k, p in enumerate(S.PARTS)}
+    good = " ".join(f"+ CASE WHEN specialty = '{side}' AND {hit(x, p)} THEN {pts * 0.12!r}::DOUBLE ELSE 0 END" for side in ("a", "b") for p, pts, _ in rules.positive[side])
+    bad = " ".join(f"+ CASE WHEN {hit(x, p)} THEN {pts * 0.12!r}::DOUBLE ELSE 0 END" for p, pts, _ in rules.negative)
+    weights = {p: f"CASE WHEN specialty = 'a' THEN {rules.rubric['a'][k]} ELSE {rules.rubric['b'][k]} END" for k, p in enumerate(S.PARTS)}
     parts = ", ".join(f"p_{p} * ({weights[p]}) AS w_{p}" for p in S.PARTS)
-    tiers = " ".join(f"WHEN score >= {n} THEN '{t}'" for n, t in S.TIERS)
+    tiers = " ".join(f"WHEN score >= {n} THEN '{t}'" for n, t in rules.tiers)
     return f"""s0 AS (
-  SELECT *, greatest(0, datediff('day', date_posted::DATE, DATE '{TODAY}')) AS age0, {hit(x, S.DIAGNOSTIC)} AS dx, {hit(x, S.ENTRY)} AS entry, {hit(x, S.TRAUMA)} AS trauma, {hit(x, S.RANKED)} AS ranked
+  SELECT *, greatest(0, datediff('day', date_posted::DATE, DATE '{TODAY}')) AS age0, {hit(x, rules.diagnostic)} AS dx, {hit(x, rules.entry)} AS entry, {hit(x, rules.trauma)} AS trauma, {hit(x, rules.ranked)} AS ranked
   FROM {source}
 ), s1 AS (
   SELECT *, CASE WHEN date_posted IS NULL THEN NULL ELSE age0 END AS age_days,
     greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.55::DOUBLE {good} - CASE WHEN specialty = 'b' AND is_interventional AND NOT dx THEN 0.3::DOUBLE ELSE 0 END {bad})) AS p_specialty_fit,
     (CASE WHEN is_locum THEN 0.25 WHEN entry THEN 0.35 WHEN is_leadership THEN 0.95 ELSE 0.6 END)::DOUBLE AS p_seniority,
-    least(1.0::DOUBLE, (CASE setting WHEN 'academic' THEN 0.75 WHEN 'private' THEN 0.72 WHEN 'government' THEN 0.6 ELSE 0.55 END)::DOUBLE + (CASE WHEN trauma THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN ranked THEN 0.05 ELSE 0 END)::DOUBLE) AS p_practice_quality,
-    (CASE WHEN country IN ({', '.join(map(quoted, S.PREFERRED))}) THEN 0.7 ELSE 0.3 END)::DOUBLE + (CASE WHEN prec = 'city' THEN 0.15 ELSE 0 END)::DOUBLE AS p_location,
+    least(1.0::DOUBLE, (CASE setting {" ".join(f"WHEN {quoted(k)} THEN {v}" for k, (v, _) in rules.settings.items())} ELSE 0.55 END)::DOUBLE + (CASE WHEN trauma THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN ranked THEN 0.05 ELSE 0 END)::DOUBLE) AS p_practice_quality,
+    (CASE WHEN country IN ({', '.join(map(quoted, rules.preferred))}) THEN 0.7 ELSE 0.3 END)::DOUBLE + (CASE WHEN prec = 'city' THEN 0.15 ELSE 0 END)::DOUBLE AS p_location,
     greatest(0.15::DOUBLE, least(1.0::DOUBLE, length(description) / 1800.0::DOUBLE)) AS p_signal FROM s0
 ), s2 AS (
   SELECT *, (CASE WHEN age_days IS NULL THEN 0.5 WHEN age_days <= 14 THEN 1 WHEN age_days <= 45 THEN 0.75 WHEN age_days <= 90 THEN 0.45 WHEN age_days <= 180 THEN 0.25 ELSE 0.08 END)::DOUBLE AS p_recency FROM s1
@@ -100,14 +104,15 @@ def scores(source: str) -> str:
 _NOT_ATTENDING = quoted(C.REASONS["not_attending"])
 _WHY = "CASE route " + " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in C.REASONS.items() if k != "not_attending") + " END"
 
-def _classified() -> str:
-    return f"{POSTINGS_SQL}, {classified('postings')}"
 
+def _classified(rules: RuleSet | None = None) -> str:
+    return f"{POSTINGS_SQL}, {classified('postings', rules)}"
 
-def _scored() -> str:
+
+def _scored(rules: RuleSet | None = None) -> str:
     """Scores of relevant postings whose places are told by a comma and a name alone."""
     placed = "SELECT *, CASE WHEN contains(location, 'Qatar') THEN 'QA' WHEN location = '' THEN NULL ELSE 'US' END AS country, CASE WHEN contains(location, ',') THEN 'city' ELSE 'region' END AS prec FROM classified WHERE is_attending AND specialty IS NOT NULL"
-    return f"{_classified()}, placed AS ({placed}), {scores('placed')}"
+    return f"{_classified(rules)}, placed AS ({placed}), {scores('placed', rules)}"
 
 
 def area_walk(radius: float = 45.0) -> str:
@@ -189,6 +194,7 @@ SELECT doc_id, array_to_string(e, '|') AS emails, array_to_string(p, '|') AS pho
         "classify_postings": f"WITH {_classified()} SELECT posting_ordinal, specialty, is_attending, is_interventional, is_locum, is_leadership, setting, work_model, array_to_string(list_filter([CASE WHEN NOT is_attending THEN {_NOT_ATTENDING} END, {_WHY}], lambda r: r IS NOT NULL), '; ') AS reasons FROM classified",
         "setting_counts": f"WITH {_classified()} SELECT setting, work_model, count(*) AS n FROM classified GROUP BY ALL",
         "relevant_counts": f"WITH {_classified()} SELECT specialty, source_name, count(*) AS n, count_if(is_interventional)::BIGINT AS n_ir FROM classified WHERE is_attending AND specialty IS NOT NULL GROUP BY ALL",
+        "other_sides": f"WITH {_scored(other_rules())} SELECT posting_ordinal, specialty, setting, is_leadership, score, tier, {', '.join(S.PARTS)} FROM scored",
         "score_parts": f"WITH {_scored()} SELECT posting_ordinal, score, tier, coalesce(age_days, -1)::BIGINT AS age_days, {', '.join(S.PARTS)} FROM scored",
         "score_shares": f"WITH {_scored()} SELECT tier, {', '.join(f'sum(floor(greatest(0.0, least(100.0, {p} / {c}.0::DOUBLE * 100)) + 0.5))::BIGINT AS {p}' for p, c in S.CEILING.items())}, count(*) AS n FROM scored GROUP BY 1",
     }

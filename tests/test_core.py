@@ -264,3 +264,28 @@ def test_ultipro_links_and_job_counts(spark):
     landed = spark.createDataFrame(rows, payloads.SCHEMA)
     assert "https://recruiting.ultipro.com/ORG1/OpportunityDetail?opportunityId=abc" in {r.url for r in payloads.to_postings(landed).collect()}
     assert {(r.source_name, r.kind, r.jobs) for r in payloads.job_counts(landed).collect()} == {("U", "json", 2), ("G", "greenhouse", 1), ("E", "lever", 0)}
+
+
+def test_rules_are_a_parameter(spark):
+    from pairwright.operators import rules, score
+    from pairwright.plans.other_rules import other_rules
+
+    row = [("Radiology Technologist", "", "State University", "hybrid suite, no call, solo coverage", "", "x")]
+    df = spark.createDataFrame(row, "title string, department string, org string, description string, location string, source_name string")
+    default, other = classify.classify(df).first(), classify.classify(df, other_rules()).first()
+    assert (default.specialty, default.is_attending) == ("b", False) or not default.is_attending
+    assert (other.specialty, other.is_attending, other.setting) == ("a", True, "academic")
+    found = classify.classify(df, other_rules()).withColumns({"country": F.lit("QA"), "precision": F.lit("city"), "date_posted": F.lit("2026-01-01").cast("date")})
+    got = score.score_roles(found, F.lit("2026-01-02").cast("date"), rules=other_rules()).first()
+    assert got.score_reasons[:2] == ["hybrid rooms", "academic setting"] and got.concerns[:2] == ["alone", "on call"]
+    assert rules.default() is rules.default() and rules.default().side_a == classify.SIDE_A
+
+
+def test_one_search_over_all_rules_finds_what_single_ones_find(spark):
+    from pairwright.functions.text import has
+    from pairwright.operators.rules import guarded
+
+    some = [(r"\bno call\b", 1.0, "x"), (r"\bcall\b", 1.0, "y"), (r"^q", 1.0, "z")]
+    df = spark.createDataFrame([("a call",), ("no call",), ("q",), ("",), ("nothing",)], "t string")
+    for r in df.select(*(g.alias(f"g{k}") for k, g in enumerate(guarded(F.col("t"), some))), *(has(F.col("t"), p).alias(f"h{k}") for k, (p, *_) in enumerate(some))).collect():
+        assert (r.g0, r.g1, r.g2) == (r.h0, r.h1, r.h2)
