@@ -83,8 +83,8 @@ def latest_marks(log: DataFrame) -> DataFrame:
 
 
 def append_marks(marks: DataFrame, path: str, now: Column) -> None:
-    """Adds valid marks to the log, stamped by the writer."""
-    marks.filter(mark_error().isNull()).withColumn("updated_at", now).write.mode("append").parquet(path)
+    """Adds valid marks to the log, stamped by the writer; seq keeps the order of what is added at one instant."""
+    marks.filter(mark_error().isNull()).withColumns({"updated_at": now, "seq": F.monotonically_increasing_id()}).write.mode("append").parquet(path)
 
 
 def board_marks(log: DataFrame, board_id: str) -> DataFrame:

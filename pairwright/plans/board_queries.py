@@ -104,6 +104,17 @@ def marks_latest(spark, sf_dir):
     return board.latest_marks(marks_log(spark, sf_dir)).select("board_id", "role_id", "pinned", "status", "note", "seq")
 
 
+@query
+def marks_merged(spark, sf_dir):
+    """The log in two parts, merged into the table one after the other, and the first one once more."""
+    from pairwright.operators.marks import merge_marks, read_marks
+
+    log, path = marks_log(spark, sf_dir), scratch(spark)
+    for part in (F.col("seq") % 3 > 0, F.col("seq") % 3 == 0, F.col("seq") % 3 > 0):
+        merge_marks(spark, path, log.filter(part))
+    return read_marks(spark, path).select("board_id", "role_id", "pinned", "status", "note", "seq")
+
+
 @query
 def marks_invalid(spark, sf_dir):
     return marks_log(spark, sf_dir).withColumn("error", board.mark_error()).filter("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n"))

@@ -47,6 +47,7 @@ def oracles() -> dict[str, str]:
         "sort_oldest": f"WITH {_ROLES} SELECT row_number() OVER (ORDER BY age_days DESC NULLS LAST, score DESC, id) AS rank, id FROM r QUALIFY rank <= 50",
         "search_docs": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license')",
         "marks_latest": f"WITH {_MARKS} SELECT board_id, role_id, pinned, status, note, seq FROM m2",
+        "marks_merged": f"WITH {_MARKS} SELECT board_id, role_id, pinned, status, note, seq FROM m2",
         "marks_invalid": f"WITH {_MARKS} SELECT error, count(*) AS n FROM m1 WHERE error IS NOT NULL GROUP BY 1",
         "role_marks": f"WITH {_ROLES}, {_MARKS} SELECT id, coalesce(pinned, false) AS pinned, coalesce(status, 'new') AS status, coalesce(note, '') AS note FROM r LEFT JOIN m2 ON role_id = id AND board_id = 'board-3'",
         "pinned": f"WITH {_ROLES}, {_MARKS} SELECT id, score FROM r WHERE id IN (SELECT role_id FROM m2 WHERE board_id = 'board-3' AND pinned)",
