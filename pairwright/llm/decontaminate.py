@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairwright.llm.common import columns_of, materialize, release, ship, slices
+from pairwright.llm.words import Words, words_of
 
 #: Bytes of text that one index holds, and how far apart the sampled suffix positions are.
 SHARD, SAMPLED = 8_000_000, 8
@@ -35,41 +36,6 @@ _SMALL = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.ui
 _IN_WORD = (_SMALL >= 128) | ((_SMALL >= 97) & (_SMALL <= 122)) | ((_SMALL >= 48) & (_SMALL <= 57))
 
 
-@dataclass
-class Words:
-    """The words of a batch of texts: their numbers, the places of their bytes, and how many each text has."""
-
-    ids: np.ndarray
-    dictionary: pa.Array
-    start: np.ndarray
-    end: np.ndarray
-    counts: np.ndarray
-
-
-def words_of(texts: pa.Array) -> Words:
-    """Small-letter words of all texts in one go; a null text has none. Places are bytes within the own text."""
-    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = _IN_WORD[data]
-    begins = inside[:-1].copy()
-    begins[1:] &= ~inside[:-2]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]  # a text's first byte continues no word of the text before
-    begins[first] = inside[first]
-    ends = inside[:-1] & ~inside[1:]
-    ends[first[1:] - 1] = inside[first[1:] - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    own = _SMALL[data[inside[:-1]]]
-    bounds = np.concatenate([[0], np.cumsum(end - start)])
-    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(own)]).dictionary_encode()
-    upto = np.searchsorted(start, offsets)
-    counts = np.diff(upto)
-    base = np.repeat(offsets[:-1], counts)
-    return Words(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary, start - base, end - base, counts)
-
-
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """The order of all suffixes of s, whose last symbol occurs once; by prefix doubling, which goes on with ties only."""
     n, bits = len(s), max(1, int(symbols).bit_length())
@@ -271,7 +237,7 @@ def _searcher(block, text_at: int, width: int, with_text: bool):
 
     def shard(b: pa.RecordBatch) -> list[pa.Array]:
         texts, phrases = b.column(text_at), block.value
-        found = words_of(texts)
+        found = words_of(texts, _IN_WORD, _SMALL)
         window, text, at = _occurrences(found, phrases)
         n, lengths = b.num_rows, phrases.lengths
         items: list[list[str]] = [[] for _ in range(n)]
