@@ -289,3 +289,41 @@ def test_one_search_over_all_rules_finds_what_single_ones_find(spark):
     df = spark.createDataFrame([("a call",), ("no call",), ("q",), ("",), ("nothing",)], "t string")
     for r in df.select(*(g.alias(f"g{k}") for k, g in enumerate(guarded(F.col("t"), some))), *(has(F.col("t"), p).alias(f"h{k}") for k, (p, *_) in enumerate(some))).collect():
         assert (r.g0, r.g1, r.g2) == (r.h0, r.h1, r.h2)
+
+
+def test_spans_without_all_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(areas, "PAIRS", 30)
+    rng = random.Random(4)
+    rows = []
+    for area in range(40):
+        lat, lon, wide = rng.uniform(-70, 70), rng.uniform(-170, 170), rng.choice([0, 0.01, 1, 20, 170])
+        for i in range(rng.choice([1, 2, 40, 150])):
+            rows.append((f"x{area}", "a" if i % 3 else "b", max(-89.0, min(89.0, lat + rng.uniform(-1, 1) * wide / 4)), (lon + rng.uniform(-1, 1) * wide + 180) % 360 - 180))
+    rows += rows[:20]
+    want = {}
+    for area in {r[0] for r in rows}:
+        a, b = ([r[2:] for r in rows if r[:2] == (area, s)] for s in "ab")
+        if a and b:
+            want[area] = max(miles(x, y) for x in a for y in b)
+    got = {r.area_id: r.span for r in areas.area_spans(spark.createDataFrame(rows, "area_id string, side string, lat double, lon double")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_span_of_a_full_area(spark):
+    """100,000 coordinates of one area: 2.5 thousand million pairs, of which few are left to measure."""
+    n = 50_000
+    side = spark.range(2 * n).select(F.lit("x").alias("area_id"), F.when(F.col("id") < n, "a").otherwise("b").alias("side"), F.radians((F.col("id") * 7919 % 36000) / 100.0).alias("t"), F.sqrt((F.col("id") * 104729 % 100003) / 100003.0).alias("r"))
+    df = side.select("area_id", "side", (40 + F.col("r") * F.sin("t") * 0.6).alias("lat"), (-80 + F.col("r") * F.cos("t") * 0.8).alias("lon"))
+    got = areas.area_spans(df).first().span
+    import numpy as np
+
+    x = df.toPandas()
+    rim = x[(((x.lat - 40) / 0.6) ** 2 + ((x.lon + 80) / 0.8) ** 2) > 0.9]  # the farthest pair is on the rim
+    a, b = (np.radians(rim[rim.side == s][["lat", "lon"]].to_numpy()) for s in "ab")
+    most = 0.0
+    for p in a:
+        h = np.sin((b[:, 0] - p[0]) / 2) ** 2 + np.cos(p[0]) * np.cos(b[:, 0]) * np.sin((b[:, 1] - p[1]) / 2) ** 2
+        most = max(most, float(h.max()))
+    assert got == pytest.approx(2 * 3958.7613 * math.asin(math.sqrt(most)))
