@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,29 +154,42 @@ def _run_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows)
 
 
-def _agreement(words: list[bytes], at: int, last: int, lead: int, others: list[bytes]) -> np.ndarray:
-    """Places of words that agree with a run's first occurrence: within at to last, and from there on both sides as far as all agree."""
+def _agreement(words: list[bytes], at: int, last: int, lead: int, others: list[bytes]) -> list[tuple[int, int]]:
+    """Stretches of words that agree with a run's first occurrence: within at to last, and from there on both sides as far as all agree."""
     shift = lead - at
-    inside = [i for i in range(at, last) if words[i] == others[i + shift]]
-    i = at - 1
-    while inside[:1] == [at] and i >= 0 and i + shift >= 0 and words[i] == others[i + shift]:
-        i -= 1
-    j = last
-    while inside[-1:] == [last - 1] and j < len(words) and j + shift < len(others) and words[j] == others[j + shift]:
-        j += 1
-    return np.array([*range(i + 1, at), *inside, *range(last, j)], np.int64)
+    if words[at:last] == others[lead : last + shift]:
+        inside = [(at, last)]
+    else:
+        same = [words[i] == others[i + shift] for i in range(at, last)]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))) + at
+        inside = [(int(i), int(j)) for i, j in edges.reshape(-1, 2)]
+    if inside and inside[0][0] == at:
+        i = at
+        while i > 0 and i + shift > 0 and words[i - 1] == others[i - 1 + shift]:
+            i -= 1
+        inside[0] = (i, inside[0][1])
+    if inside and inside[-1][1] == last:
+        j = last
+        while j < len(words) and j + shift < len(others) and words[j] == others[j + shift]:
+            j += 1
+        inside[-1] = (inside[-1][0], j)
+    return inside
 
 
 def _without(text: bytes, gone: list[dict], least_words: int) -> tuple[bytes, int]:
     """The text without the passages whose words are those of a first occurrence, and their number."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    words = [text[s:e] for s, e in spans]
+    words = text.split()  # of bytes: at the six ASCII blanks
     out = np.zeros(len(words) + 1, bool)
     for g in gone:
-        out[_agreement(words, g["at"], g["last"], g["lead"], g["words"].split())] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], out]).astype(np.int8)))
+        for i, j in _agreement(words, g["at"], g["last"], g["lead"], g["words"].split()):
+            out[i:j] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], out]).astype(np.int8))).reshape(-1, 2)
+    edges = edges[edges[:, 1] - edges[:, 0] >= min(least_words, LINE_WORDS)].tolist()
+    if not edges:
+        return text, 0
+    spans = [m.span() for m in _WORD.finditer(text)]
     kept, at, n = [], 0, 0
-    for i, j in edges.reshape(-1, 2).tolist():
+    for i, j in edges:
         if j - i < least_words and (j - i < LINE_WORDS or _lines(text, spans, i, j) < 3):
             continue
         kept.append(text[at : spans[i][0]])
@@ -203,13 +217,16 @@ def _remover(width: int, text_at: int, least_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_at):
-            texts, removed = [], []
-            for t, gone in zip(b.column(text_at).cast(pa.binary()), b.column(width).to_pylist(), strict=True):
-                text, n = (t.as_py(), 0) if not gone else _without(t.as_py(), gone, least_words)
-                texts.append(text)
-                removed.append(n)
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else b.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int32())], names=[f"c{i}" for i in range(width + 1)])
+            texts, gone = b.column(text_at).cast(pa.binary()), b.column(width)
+            removed, changed = np.zeros(b.num_rows, np.int32), []
+            for i in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                text, removed[i] = _without(texts[i].as_py(), gone[i].as_py(), least_words)
+                if removed[i]:
+                    changed.append(text)
+            if changed:
+                texts = pc.replace_with_mask(texts, pa.array(removed > 0), pa.array(changed, pa.binary()))
+            columns = [texts.cast(pa.string()) if i == text_at else b.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], names=[f"c{i}" for i in range(width + 1)])
 
     return run
 
