@@ -182,58 +182,64 @@ def _key(city: Column, region: Column, country: Column) -> Column:
     return F.concat_ws(":", F.coalesce(country, F.lit("??")), F.lower(F.coalesce(region, F.lit(""))), place)
 
 
-#: Cells along either side of an area's box, first coarse, then fine.
-GRIDS = (8, 64)
+#: Cells along either side of an area's box, coarse ones first; each number divides the next.
+GRIDS = (8, 32, 128)
 #: Pairs of places up to which all are measured.
 PAIRS = 10_000
 
 
-def _boxes(spots: DataFrame, n: int) -> DataFrame:
-    """spots with `cell` of a grid of n by n over their area's box."""
+def _gridded(spots: DataFrame) -> DataFrame:
+    """spots with their cells in all GRIDS over their area's box."""
+    finest = GRIDS[-1]
     box = spots.groupBy("area_id").agg(*(f(c).alias(f"{k}_{c}") for c in ("lat", "lon") for k, f in (("min", F.min), ("max", F.max))))
-    at = lambda c: F.least(F.lit(n - 1), F.floor((F.col(c) - F.col(f"min_{c}")) / F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(1e-12)) * n))
-    return spots.join(box, "area_id").withColumn("cell", (at("lat") * n + at("lon")).cast("long")).select("area_id", "side", "lat", "lon", "cell")
+    at = lambda c: F.least(F.lit(finest - 1), F.floor((F.col(c) - F.col(f"min_{c}")) / F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(1e-12)) * finest))
+    cells = [(F.floor(at("lat") * n / finest) * n + F.floor(at("lon") * n / finest)).cast("long").alias(f"cell_{n}") for n in GRIDS]
+    return spots.join(box, "area_id").select("area_id", "side", "lat", "lon", *cells)
 
 
-def _far_cells(spots: DataFrame) -> DataFrame:
+def _far_cells(spots: DataFrame, n: int, parents: DataFrame | None, parent: int) -> DataFrame:
     """area_id, a_cell and b_cell that may hold the farthest pair: those whose farthest corners are no nearer than some pair that is known.
 
     For longitudes less than a quarter turn apart no place of a box is farther from a place than its corners;
     wider cells count as a half turn apart.
     """
     corner = [f(c).alias(f"{k}_{c}") for c in ("lat", "lon") for k, f in (("min", F.min), ("max", F.max))]
-    cells = spots.groupBy("area_id", "side", "cell").agg(*corner, F.min(F.struct("lat", "lon")).alias("one"))
+    cells = spots.groupBy("area_id", "side", F.col(f"cell_{n}").alias("cell")).agg(*corner, F.min(F.struct("lat", "lon")).alias("one"), F.first(f"cell_{parent}").alias("in"))
     names = [c for c in cells.columns if c not in ("area_id", "side")]
     of = lambda side: cells.filter(F.col("side") == side).select("area_id", *(F.col(c).alias(f"{side}_{c}") for c in names))
-    both = of("a").join(of("b"), "area_id")
+    if parents is None:
+        both = of("a").join(of("b"), "area_id")
+    else:
+        around = parents.select("area_id", F.col("a_cell").alias("a_in"), F.col("b_cell").alias("b_in"))
+        both = of("a").join(around, ["area_id", "a_in"]).join(of("b"), ["area_id", "b_in"])
     ends = [(x, y) for x in ("min", "max") for y in ("min", "max")]
     corners = [haversine_miles(F.col(f"a_{i}_lat"), F.col(f"a_{j}_lon"), F.col(f"b_{k}_lat"), F.col(f"b_{m}_lon")) for i, j in ends for k, m in ends]
     wide = F.greatest(F.abs(F.col("a_max_lon") - F.col("b_min_lon")), F.abs(F.col("b_max_lon") - F.col("a_min_lon"))) >= 90
     most = F.when(wide, F.lit(math.pi * EARTH_MILES)).otherwise(F.greatest(*corners))
     known = haversine_miles(F.col("a_one.lat"), F.col("a_one.lon"), F.col("b_one.lat"), F.col("b_one.lon"))
-    both = both.select("area_id", "a_cell", "b_cell", most.alias("most"), F.max(known).over(W.partitionBy("area_id")).alias("known"))
-    return both.filter(F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("known")).select("area_id", "a_cell", "b_cell")
+    both = materialize(both.select("area_id", "a_cell", "b_cell", most.alias("most"), known.alias("known")))
+    best = both.groupBy("area_id").agg(F.max("known").alias("best"))
+    return both.join(best, "area_id").filter(F.col("most") * (1 + 1e-9) + 1e-6 >= F.col("best")).select("area_id", "a_cell", "b_cell")
 
 
 def area_spans(members: DataFrame) -> DataFrame:
     """area_id and span: the largest distance between an a and a b member, over distinct coordinates.
 
     Where an area has more than PAIRS pairs, cells that can't hold the farthest one go before places are
-    paired: at most 64 by 64 coarse cells meet, then the fine cells of those that are left, then the places
-    of the pairs of fine cells.
+    paired: at most 64 by 64 coarse cells meet, then the finer cells within pairs that are left, then the
+    places within pairs of the finest.
     """
     spots = materialize(members.groupBy("area_id", "side", "lat", "lon").agg(F.lit(1).alias("_")).drop("_"))
     sizes = spots.groupBy("area_id").agg((F.count_if(F.col("side") == "a") * F.count_if(F.col("side") == "b")).alias("n"))
     large = materialize(sizes.filter(F.col("n") > PAIRS).select("area_id"))
     if not large.limit(1).count():
         return _farthest(spots, None)
-    few, many = spots.join(large, "area_id", "left_anti"), spots.join(large, "area_id", "left_semi")
+    many = materialize(_gridded(spots.join(large, "area_id", "left_semi")))
+    pairs, parent = None, GRIDS[0]
     for n in GRIDS:
-        inside = materialize(_boxes(many, n))
-        pairs = materialize(_far_cells(inside))
-        either = pairs.select("area_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_cell").alias("cell")) for s in "ab"))).alias("c")).select("area_id", "c.*").distinct()
-        many = inside.join(either, ["area_id", "side", "cell"], "left_semi")
-    return _farthest(few, None).unionByName(_farthest(many, pairs))
+        pairs, parent = materialize(_far_cells(many, n, pairs, parent)), n
+    found = _farthest(many.withColumn("cell", F.col(f"cell_{parent}")), pairs)
+    return _farthest(spots.join(large, "area_id", "left_anti"), None).unionByName(found)
 
 
 def _farthest(spots: DataFrame, pairs: DataFrame | None) -> DataFrame:
