@@ -34,7 +34,7 @@ def harmonic(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), 2.0 * a * b / (a + b)).otherwise(0.0)
 
 
-def proximity(miles: Column, radius: float) -> Column:
+def proximity(miles: Column, radius: Column | float) -> Column:
     """1 at no distance, 0 from the radius on."""
     return F.when(miles.isNull() | (miles >= radius), 0.0).otherwise(1 - F.pow(miles / radius, F.lit(1.5)))
 

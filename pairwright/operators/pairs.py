@@ -76,9 +76,8 @@ def _note(level: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in NOTES.items() for x in kv)), level)
 
 
-def onsite_pairs(roles: DataFrame, radius: float = DEFAULT_RADIUS) -> DataFrame:
-    """Both on site: within the radius, or anywhere in one small country."""
-    found = within_radius(roles, radius).unionByName(beyond_in_small_country(roles, radius))
+def _onsite(found: DataFrame, radius: Column) -> DataFrame:
+    """Pairs with their distance and radius, scored."""
     level = confidence()
     key_a, key_b = pair_org_key(F.col("a_org")), pair_org_key(F.col("b_org"))
     far = (level == "country-scale") & (F.col("exact") > radius)
@@ -86,8 +85,22 @@ def onsite_pairs(roles: DataFrame, radius: float = DEFAULT_RADIUS) -> DataFrame:
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in CONFIDENCE.items() for x in kv)), level)
     found = found.withColumns({"same_org": (key_a == key_b) & (key_a != ""), "confidence": level})
     score = (harmonic(_score("a"), _score("b")) * 0.62 + near * 100 * 0.28 + F.when(F.col("same_org"), 100).otherwise(0) * 0.1) * weight
-    found = found.withColumns({"id": F.concat_ws("~", "a_id", "b_id"), "miles": to_tenth(F.col("exact")), "drive_minutes": drive_minutes(F.col("exact")), "remote_partner": F.lit(False), "score": half_up(score).cast("long"), "confidence_note": _note(F.col("confidence"))})
-    return found.select(*_COLUMNS)
+    return found.withColumns({"id": F.concat_ws("~", "a_id", "b_id"), "miles": to_tenth(F.col("exact")), "drive_minutes": drive_minutes(F.col("exact")), "remote_partner": F.lit(False), "score": half_up(score).cast("long"), "confidence_note": _note(F.col("confidence"))})
+
+
+def onsite_pairs(roles: DataFrame, radius: float = DEFAULT_RADIUS) -> DataFrame:
+    """Both on site: within the radius, or anywhere in one small country."""
+    found = within_radius(roles, radius).unionByName(beyond_in_small_country(roles, radius))
+    return _onsite(found, F.lit(float(radius))).select(*_COLUMNS)
+
+
+def pairs_by_radius(roles: DataFrame, radii: list[float]) -> DataFrame:
+    """onsite_pairs for each of several radii, with `radius`: the neighbours within the widest one are joined once, each radius filters them."""
+    widest = max(radii)
+    found = within_radius(roles, widest).unionByName(beyond_in_small_country(roles, widest))
+    each = found.withColumn("radius", F.explode(F.array(*(F.lit(float(r)) for r in sorted(set(radii))))))
+    wanted = (F.col("exact") <= F.col("radius")) | F.coalesce(_same_small_country() & ~_both_pinpoint(), F.lit(False))
+    return _onsite(each.filter(wanted), F.col("radius")).select("radius", *_COLUMNS)
 
 
 def _score(side: str) -> Column:

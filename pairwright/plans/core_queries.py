@@ -58,6 +58,11 @@ def pairs_best(spark, sf_dir):
     return pairs.best_pairs(pairs.onsite_pairs(sites(spark, sf_dir), 60.0), 3).select("a_id", "b_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def pairs_by_radius(spark, sf_dir):
+    return pairs.pairs_by_radius(sites(spark, sf_dir), [15, 45, 60]).select("radius", "id", "miles", "confidence", "score")
+
+
 @query
 def area_assign(spark, sf_dir):
     return areas.assign_areas(sites(spark, sf_dir)).select("id", "area_id", F.round("area_lat", 6).alias("area_lat"), F.round("area_lon", 6).alias("area_lon"))

@@ -183,6 +183,7 @@ SELECT doc_id, array_to_string(e, '|') AS emails, array_to_string(p, '|') AS pho
         ),
         "pairs_country_scale": _pairs("SELECT id, miles, score FROM onsite WHERE confidence = 'country-scale'"),
         "pairs_best": _pairs("SELECT a_id, b_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM onsite) WHERE rank <= 3", 60.0),
+        "pairs_by_radius": " UNION ALL ".join(f"SELECT {r}.0::DOUBLE AS radius, * FROM ({_pairs('SELECT id, miles, confidence, score FROM onsite', float(r))})" for r in (15, 45, 60)),
         "area_summary": area_summary(),
         "area_assign": area_assign(),
         "area_bands": area_bands(),

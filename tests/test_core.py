@@ -327,3 +327,10 @@ def test_span_of_a_full_area(spark):
         h = np.sin((b[:, 0] - p[0]) / 2) ** 2 + np.cos(p[0]) * np.cos(b[:, 0]) * np.sin((b[:, 1] - p[1]) / 2) ** 2
         most = max(most, float(h.max()))
     assert got == pytest.approx(2 * 3958.7613 * math.asin(math.sqrt(most)))
+
+
+def test_radii_from_one_join_are_those_of_each(spark):
+    df = spark.createDataFrame(scatter(150, 3.0), SITE)
+    got = {(r.radius, r.id): (r.miles, r.confidence, r.score) for r in pairs.pairs_by_radius(df, [15, 90, 45]).collect()}
+    want = {(float(k), r.id): (r.miles, r.confidence, r.score) for k in (15, 45, 90) for r in pairs.onsite_pairs(df, k).collect()}
+    assert got == want and len(got) > 100
