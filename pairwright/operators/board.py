@@ -196,3 +196,39 @@ def separation_label(miles: Column, minutes: Column) -> Column:
     hours, rest = F.floor(minutes / 60), minutes % 60
     long = F.concat(F.lit(" · ~"), hours.cast("string"), F.lit("h"), F.when(rest > 0, F.concat(F.lit(" "), rest.cast("string"), F.lit("m"))).otherwise(""))
     return F.concat(far, F.when(minutes.isNull(), "").when(minutes < 60, F.concat(F.lit(" · ~"), minutes.cast("string"), F.lit(" min"))).otherwise(long))
+
+
+#: How countries, settings and work models are shown.
+COUNTRY_NAMES = {"US": "United States", "QA": "Qatar", "AE": "UAE", "SA": "Saudi Arabia", "KW": "Kuwait", "BH": "Bahrain", "OM": "Oman"}
+SETTING_LABELS = {"academic": "Academic", "private": "Private group", "hospital-employed": "Hospital-employed", "government": "Government / VA", "unknown": "Unspecified"}
+WORK_MODEL_LABELS = {"remote": "Remote", "hybrid": "Hybrid", "onsite": "On-site"}
+
+
+def _label(names: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), key)
+
+
+def place_label(precision: Column, city: Column, region: Column, country: Column, raw: Column, fallback: str = "Location not stated") -> Column:
+    """Where a role is, in words: state in the first country, country elsewhere, then what the posting said."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    at_home = F.coalesce(country == "US", F.lit(False))
+    abroad = F.when(~at_home, _label(COUNTRY_NAMES, country))
+    tail = F.when(at_home, some(region)).otherwise(abroad)
+    return (
+        F.when(precision == "remote", "Remote").when(some(city).isNotNull(), F.concat_ws(", ", city, tail))
+        .when(some(region).isNotNull() & at_home, F.concat(region, F.lit(" (state-wide)"))).when(abroad.isNotNull(), F.concat(abroad, F.lit(" (country-wide)")))
+        .otherwise(F.coalesce(some(raw), F.lit(fallback)))
+    )
+
+
+def setting_label(setting: Column) -> Column:
+    return _label(SETTING_LABELS, setting)
+
+
+def work_model_label(work_model: Column) -> Column:
+    return _label(WORK_MODEL_LABELS, work_model)
+
+
+def run_label(day: Column) -> Column:
+    """The day of a run, like 19 Aug 2026; what is no day is unknown."""
+    return F.coalesce(F.date_format(day.try_cast("date"), "d MMM yyyy"), F.lit("unknown"))

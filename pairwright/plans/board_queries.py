@@ -252,6 +252,23 @@ def display_columns(spark, sf_dir):
     return rows.select("id", digest.location_label().alias("location"), board.posted_label(F.col("age_days")).alias("posted"))
 
 
+@query
+def role_cards(spark, sf_dir):
+    """What a role's card shows; every fourth role has no city, and some of those no known country."""
+    from pairwright.functions.text import excerpt
+
+    rows = simple_roles(spark, sf_dir)
+    k = F.col("k")
+    city, country = F.when(k % 4 != 0, F.col("city")), F.when(k % 5 == 4, "FR").otherwise(F.col("country"))
+    precision = F.when(city.isNotNull(), "city").when(k % 16 == 0, "remote").when(k % 8 == 0, "region").otherwise("country")
+    region = F.when(precision != "country", F.col("region"))
+    day = F.when(k % 10 != 3, F.date_add(_today(), (k % 400).cast("int")).cast("string")).otherwise("soon")
+    return rows.select(
+        "id", board.place_label(precision, city, region, country, F.when(k % 3 == 0, F.col("location_text"))).alias("place"), board.setting_label(F.col("setting")).alias("setting"), board.work_model_label(F.col("work_model")).alias("work_model"),
+        board.run_label(day).alias("run_day"), excerpt(F.col("description"), 10).alias("lede"),
+    )
+
+
 def _events_stream(spark, sf_dir):
     name = "events.parquet"
     schema = table(spark, sf_dir, "events").schema

@@ -59,6 +59,11 @@ SELECT *, a_count > 0 AND b_count > 0 AS is_together, a_count > 0 AND b_count =
 'https://board.example/#role=role%2F' || k || '%20(x)' AS board_url FROM u WHERE is_new QUALIFY rank <= 12""",
         "digest_counts": f"WITH {_RUNS} SELECT count(*) AS total_roles, count_if(is_new)::BIGINT AS new_this_run, count_if(is_new AND specialty = 'a')::BIGINT AS new_a, count_if(is_new AND specialty = 'b')::BIGINT AS new_b FROM u",
         "source_coverage": _COVERAGE,
+        "role_cards": f"""WITH {_ROLES}, c AS (SELECT *, CASE WHEN k % 4 <> 0 THEN city END AS town, CASE WHEN k % 5 = 4 THEN 'FR' ELSE country END AS land FROM r),
+d AS (SELECT *, MAP {{'QA': 'Qatar'}}[land] AS abroad FROM c)
+SELECT id, CASE WHEN town IS NOT NULL THEN town || CASE WHEN land = 'US' THEN ', OH' WHEN abroad IS NOT NULL THEN ', ' || abroad ELSE '' END WHEN k % 16 = 0 THEN 'Remote' WHEN k % 8 = 0 AND land = 'US' THEN 'OH (state-wide)' WHEN abroad IS NOT NULL THEN abroad || ' (country-wide)'
+    WHEN k % 3 = 0 THEN 'somewhere' ELSE 'Location not stated' END AS place, CASE WHEN k % 5 = 0 THEN 'Private group' ELSE 'Academic' END AS setting, CASE WHEN k % 4 = 0 THEN 'Remote' ELSE 'On-site' END AS work_model,
+  CASE WHEN k % 10 <> 3 THEN strftime(DATE '2001-08-01' + (k % 400)::INTEGER, '%-d %b %Y') ELSE 'unknown' END AS run_day, CASE WHEN k % 2 = 0 THEN 'radiology…' ELSE 'clinic' END AS lede FROM d""",
         "display_columns": f"""WITH {_ROLES} SELECT id, CASE WHEN city IS NOT NULL THEN city || ', ' || CASE WHEN country = 'US' THEN 'OH' ELSE country END WHEN work_model = 'remote' THEN 'Remote' ELSE 'somewhere' END AS location,
 CASE WHEN age_days IS NULL THEN 'date not stated' WHEN age_days = 0 THEN 'posted today' WHEN age_days = 1 THEN 'posted yesterday' WHEN age_days < 30 THEN 'posted ' || age_days || ' days ago' ELSE 'posted ' || floor(age_days / 30.0 + 0.5)::BIGINT || CASE WHEN floor(age_days / 30.0 + 0.5) = 1 THEN ' month ago' ELSE ' months ago' END END AS posted FROM r""",
         "registry_valid": """WITH s AS (SELECT s_name AS name, s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN (['greenhouse', 'json', 'workday', 'rss', 'none', 'carrier-pigeon', 'jooble', 'usajobs', 'jsearch', 'adzuna'])[s_suppkey % 10 + 1] END AS kind, s_suppkey % 12 <> 0 OR s_suppkey % 10 = 2 AS has FROM supplier),
