@@ -1,8 +1,8 @@
 """Rules as data: what classify and score go by, for any two sides.
 
 Patterns are of ASCII words and tried without regard to case. A rule set is compiled to columns by the
-operators; `guarded` gives several patterns of one text a shared search, and looks at them one by one only
-where that finds something.
+operators. A search over all patterns at once before the single ones took more than twice as long (score_parts
+at scale 0.1: 77 s instead of 29), as most texts hold some, so each is tried by itself where its side is asked for.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from functools import cache
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from pairwright.functions.text import has
 
@@ -72,8 +71,5 @@ def default() -> RuleSet:
 
 
 def guarded(text: Column, rules: list[Rule], where: Column | None = None) -> list[Column]:
-    """Whether each rule's pattern is found, where it is asked for; a text in which none is found is searched once."""
-    some = has(text, [p for p, *_ in rules]) if rules else F.lit(False)
-    if where is not None:
-        some = where & some
-    return [F.when(some, has(text, p)).otherwise(False) for p, *_ in rules]
+    """Whether each rule's pattern is found; texts are only searched where it is asked for."""
+    return [has(text, p) if where is None else where & has(text, p) for p, *_ in rules]

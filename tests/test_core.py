@@ -281,7 +281,7 @@ def test_rules_are_a_parameter(spark):
     assert rules.default() is rules.default() and rules.default().side_a == classify.SIDE_A
 
 
-def test_one_search_over_all_rules_finds_what_single_ones_find(spark):
+def test_rules_as_columns(spark):
     from pairwright.functions.text import has
     from pairwright.operators.rules import guarded
 
