@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -292,7 +293,6 @@ def test_rules_as_columns(spark):
 
 
 def test_spans_without_all_pairs_are_those_of_all_pairs(spark, monkeypatch):
-    import random
 
     monkeypatch.setattr(areas, "PAIRS", 30)
     rng = random.Random(4)
@@ -334,3 +334,24 @@ def test_radii_from_one_join_are_those_of_each(spark):
     got = {(r.radius, r.id): (r.miles, r.confidence, r.score) for r in pairs.pairs_by_radius(df, [15, 90, 45]).collect()}
     want = {(float(k), r.id): (r.miles, r.confidence, r.score) for k in (15, 45, 90) for r in pairs.onsite_pairs(df, k).collect()}
     assert got == want and len(got) > 100
+
+
+def test_pairs_are_counted_and_picked_without_all_of_them(spark):
+    """Totals, numbers and best pairs are those of all pairs, also where many roles are alike."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        country, org, precision = rng.choice(["US", "QA", "KW", None]), rng.choice(["Org 1 Inc", "Org 1", "Org 2", "", None]), rng.choice(["city", "city", "region", None])
+        place = (None, None) if i % 40 == 0 else (rng.choice([29.0, 29.3, 30.1]), rng.choice([47.0, 47.5, 48.9]))
+        rows.append((f"r{i}", "ab"[i % 2], org, rng.choice([None, -1, 0, 40, 41, 90]), *place, country, precision, "remote" if i % 7 == 1 else "onsite"))
+    df = spark.createDataFrame(rows, "id string, side string, org string, score long, lat double, lon double, country string, precision string, work_model string")
+    for radius in (15.0, 60.0):
+        every = pairs.build_pairs(df, radius).cache()
+        want = every.groupBy("remote_partner", "confidence").agg(F.count("*").alias("n"), F.sum("score").alias("total_score"), F.count_if("same_org").alias("n_same_org"))
+        assert sorted(pairs.pair_totals(df, radius).collect()) == sorted(want.collect()) and want.count() == 4
+        onsite = every.filter("NOT remote_partner")
+        assert pairs.count_onsite_pairs(df, radius).first().pairs == onsite.count() > 1000
+        best = pairs.best_pairs(onsite, 3).select("a_id", "b_id", "score", "rank")
+        assert sorted(pairs.best_onsite_pairs(df, 3, radius).collect()) == sorted(best.collect())
+        every.unpersist()
+    assert pairs.pair_totals(df.limit(0)).collect() == [] and pairs.count_onsite_pairs(df.limit(0)).first().pairs == 0
