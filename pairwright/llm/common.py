@@ -43,16 +43,18 @@ def hot_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, tot
 
     The rows of a hot group, one of more than a thousandth of all rows, are dealt out in as many pieces as
     it has thousandths, and its row is repeated for each of them. Only the hot groups' hashes and numbers of
-    pieces are broadcast, two numbers each for at most PARTS groups, whatever the keys and values weigh.
+    pieces are told to all tasks, two numbers each for at most PARTS groups, whatever the keys and values weigh.
     """
     least = max(1000, total // PARTS)
     code = F.xxhash64(*keys)
-    hot = groups.filter(F.col(size) > least).groupBy(code.alias("_code")).agg(F.max(F.ceil(F.col(size) / least)).cast("long").alias("_parts"))
-    hot = F.broadcast(hot)
-    parts = F.coalesce("_parts", F.lit(1).cast("long"))
-    dealt = rows.withColumn("_code", code).join(hot, "_code", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts))
-    spread = groups.withColumn("_code", code).join(hot, "_code", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    return dealt.drop("_code", "_parts").join(spread.drop("_code", "_parts"), [*keys, "_part"]).drop("_part")
+    hot = groups.filter(F.col(size) > least).groupBy(code.alias("code")).agg(F.max(F.ceil(F.col(size) / least)).cast("long").alias("parts")).collect()
+    parts = F.lit(1).cast("long")
+    if hot:
+        pieces = F.map_from_arrays(F.lit([r["code"] for r in hot]), F.lit([r["parts"] for r in hot]))
+        parts = F.when(code.isin([r["code"] for r in hot]), F.element_at(pieces, code)).otherwise(parts)
+    dealt = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts))
+    spread = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(spread, [*keys, "_part"]).drop("_part")
 
 
 def map_columns(df: DataFrame, run, more: list[T.StructField]) -> DataFrame:
