@@ -202,19 +202,13 @@ def identifiers_of(words: DataFrame) -> DataFrame:
     return words.select(F.lit("identifier").alias("label"), F.element_at(F.array(*made), digit(53, len(made)) + 1).alias("value"))
 
 
-def corpus_samples(docs: DataFrame, most_docs: int = 20_000) -> DataFrame:
-    """Labelled samples, each once: values that the fixed patterns caught, and ordinary identifiers.
-
-    Caught values and long words are those of all documents. Words that are put together with other parts
-    are those of about most_docs documents, chosen by their texts' hashes.
-    """
-    n = docs.count()
+def corpus_samples(docs: DataFrame) -> DataFrame:
+    """Labelled samples of all documents, each once: values that the fixed patterns caught, and ordinary identifiers, which are long words and every word put together with other parts."""
     df = base_matches(docs.select(F.col("text").cast("string").alias("text")))
     labelled = lambda name, values: F.transform(values, lambda v: F.struct(F.lit(name).alias("label"), v.alias("value")))
     caught = labelled("caught", F.transform(F.concat("_assign", "_access", "_hex"), lambda m: m["value"]))
     plain = labelled("identifier", F.regexp_extract_all("_text", F.lit(IDENTIFIER), F.lit(0)))
-    chosen = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) * n < 1_000_000 * most_docs
-    words = F.when(chosen, labelled("word", F.array_distinct(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))))).otherwise(F.slice(plain, 1, 0))
+    words = labelled("word", F.array_distinct(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))))
     found = materialize(df.select(F.explode(F.concat(caught, plain, words)).alias("s")).select("s.label", "s.value").distinct())
     return found.filter("label <> 'word'").unionByName(identifiers_of(found.filter("label = 'word'").select(F.col("value").alias("word"))))
 

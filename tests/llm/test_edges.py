@@ -220,3 +220,10 @@ def test_pipeline_of_empty_and_null_tables(spark, empty, nulls, tmp_path):
     for name, docs, n in (("empty", empty, 0), ("nulls", nulls, 2)):
         write_tables(spark, str(tmp_path / name), docs, none)
         assert corpus_pipeline.run(spark, str(tmp_path / name)).select("doc_id").distinct().count() <= max(n, 0)
+
+
+def test_secret_chains_learn_from_every_document(spark):
+    """25,000 documents with a word of their own each: every word is in the samples."""
+    n = 25_000
+    docs = spark.range(n).select(F.concat(F.lit("w"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij")).alias("text"))
+    assert secrets.corpus_samples(docs).count() == n
