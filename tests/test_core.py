@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +356,29 @@ def test_pairs_are_counted_and_picked_without_all_of_them(spark):
         assert sorted(pairs.best_onsite_pairs(df, 3, radius).collect()) == sorted(best.collect())
         every.unpersist()
     assert pairs.pair_totals(df.limit(0)).collect() == [] and pairs.count_onsite_pairs(df.limit(0)).first().pairs == 0
+
+
+def test_parts_of_the_order_and_blocks_give_the_same_areas(spark, monkeypatch):
+    """Parts of 300 roles, cut within a score too, and roles in blocks; few places, ties of score, missing countries."""
+    rng = random.Random(5)
+    spots = [(40 + rng.randrange(500) / 100, -80 + rng.randrange(600) / 100) for _ in range(60)]
+    rows = [(f"r{i}", "ab"[i % 2], "o", rng.randrange(40), *spots[rng.randrange(60)], rng.choice(["US", "QA", None]), "R", "C", 1, "region" if i % 4 == 0 else "city", "onsite", i) for i in range(3000)]
+    rows = [(*r[:3], 40 if r[3] > 25 else r[3], *r[4:]) for r in rows]
+    tile, want, centre = areas._Tile(45.0, 85.0), {}, {}
+    for id_, score, lat, lon, country, precision, _ in sorted((tuple(r[k] for k in (0, 3, 4, 5, 6, 10, 12)) for r in rows), key=lambda r: (-r[1], r[6])):
+        want[id_] = tile.choose(lat, lon, precision == "city", country) or id_
+        centre[want[id_]] = tile.join(want[id_], lat, lon, country)
+    monkeypatch.setattr(areas, "ONE", 300)
+    looked, choose = [], areas._Tile.choose
+    alone = areas._Tile(45.0, 85.0)
+    monkeypatch.setattr(areas._Tile, "choose", lambda *a: looked.append(1) or choose(*a))
+    order = sorted(rows, key=lambda r: (-r[3], r[12]))
+    lat, lon, pinned = (np.array([f(r) for r in order]) for f in (lambda r: r[4], lambda r: r[5], lambda r: r[10] == "city"))
+    codes = {None: 0}
+    country = np.array([codes.setdefault(r[6], len(codes)) for r in order])
+    found, sums, _ = areas._stretch(alone, areas.LEAST_BLOCK, [r[0] for r in order], lat, lon, pinned, [r[6] for r in order], country, codes, [None] * len(order))
+    assert found == [want[r[0]] for r in order] and len(looked) < len(order) / 2
+    assert {a: (s[1] / s[0], s[2] / s[0]) for a, s in zip(found, sums.tolist())} == centre
+    got = areas.assign_areas(spark.createDataFrame(rows, SITE), 45.0).collect()
+    assert {r.id: r.area_id for r in got} == want and all((r.area_lat, r.area_lon) == centre[r.area_id] for r in got)
+    assert sorted((r.area_id, r.rank) for r in got) == sorted((a, k) for a in centre for k in range(list(want.values()).count(a)))
