@@ -26,7 +26,7 @@ from pairwright.llm.common import map_columns, ship, slices
 SPACE = "▁"
 _UNKNOWN = 1  # the code of characters that no piece has; 0 parts words
 #: How much text is a batch, and how many characters are indexed at once (a longer word goes whole).
-BATCH_BYTES, AT_ONCE = 8_000_000, 1_000_000
+BATCH_BYTES, AT_ONCE = 2_000_000, 250_000
 
 
 class PieceCoder:

@@ -400,3 +400,17 @@ def test_random_pages_against_another_parser(spark):
         plain = _Plain()
         plain.feed(html)
         assert got[i] == plain.found
+
+
+def test_indexing_different_words_takes_little_memory():
+    import random
+    import tracemalloc
+
+    coder, rng = piece_encode.PieceCoder(piece_encode.default_model_path()), random.Random(1)
+    text = " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(110_000))
+    tracemalloc.start()
+    try:
+        coder.encode([text])
+        assert tracemalloc.get_traced_memory()[1] < 70_000_000
+    finally:
+        tracemalloc.stop()
