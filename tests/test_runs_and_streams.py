@@ -122,3 +122,14 @@ def test_evicted_roles_leave_no_state(spark, tmp_path):
     assert {r["change"]: r["n"] for r in spark.table("lives").groupBy("change").agg(F.count("*").alias("n")).collect()} == {"first": 52, "stale": 50, "evicted": 50}
     seen = spark.read.format("statestore").option("stateVarName", "life").load(str(tmp_path / "ck"))
     assert seen.count() == 2
+
+
+def test_roles_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lifecycle, "BUCKETS", 2)
+    start = dt.datetime(2026, 1, 1)
+    rows = [(start + dt.timedelta(days=d, hours=i), f"r{i}", failed) for i in range(6) for d, failed in ((0, False), (1, True))] + [(start + dt.timedelta(days=15, hours=2), "r0", False), (start + dt.timedelta(days=15, hours=2), "r6", False)]
+    schema = "at timestamp, id string, failed boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "landing"))
+    changes = lifecycle.run_changes(spark.readStream.schema(schema).json(str(tmp_path / "landing")), str(tmp_path / "ck"))
+    assert sorted((tuple(r) for r in changes.collect()), key=repr) == plain_life(rows, max(r[0] for r in rows))
+    assert spark.read.format("statestore").option("stateVarName", "life").load(str(tmp_path / "ck")).count() <= 2
