@@ -382,3 +382,17 @@ def test_parts_of_the_order_and_blocks_give_the_same_areas(spark, monkeypatch):
     got = areas.assign_areas(spark.createDataFrame(rows, SITE), 45.0).collect()
     assert {r.id: r.area_id for r in got} == want and all((r.area_lat, r.area_lon) == centre[r.area_id] for r in got)
     assert sorted((r.area_id, r.rank) for r in got) == sorted((a, k) for a in centre for k in range(list(want.values()).count(a)))
+
+
+def test_rules_are_tried_once_for_each_different_text(spark):
+    from pairwright.functions.scratch import for_each_different
+
+    df = spark.createDataFrame([(k, "x" if k % 3 else None, "y") for k in range(30)], "k long, a string, b string")
+    given = []
+
+    def find(rows):
+        given.append(rows.count())
+        return rows.selectExpr("*", "concat(coalesce(a, '-'), b) AS ab")
+
+    got = for_each_different(df, ["a", "b"], find)
+    assert given == [2] and sorted((r.k, r.a, r.ab) for r in got.collect()) == [(k, "x" if k % 3 else None, "xy" if k % 3 else "-y") for k in range(30)]
