@@ -384,6 +384,18 @@ def test_parts_of_the_order_and_blocks_give_the_same_areas(spark, monkeypatch):
     assert sorted((r.area_id, r.rank) for r in got) == sorted((a, k) for a in centre for k in range(list(want.values()).count(a)))
 
 
+def test_pairs_of_classes_are_all_pairs(spark):
+    """Many like roles are few classes, whose members make every pair again."""
+    rows = [(f"{s}{k}", s, f"Org {k % 3}", k % 2 * 50 if k % 5 else None, 40.0 + k % 4 / 10, -80.0, "QA" if k % 2 else "US", "city" if k % 3 else "region", "remote" if s == "b" and k % 7 == 0 else "onsite") for s in "ab" for k in range(240)]
+    df = spark.createDataFrame(rows, "id string, side string, org string, score long, lat double, lon double, country string, precision string, work_model string")
+    for k in (None, 3):
+        classes, members = pairs.pair_classes(df, 45.0, k)
+        want = pairs.remote_pairs(df, k).unionByName(pairs.onsite_pairs(df, 45.0)).cache()
+        got = pairs.members_paired(classes, members).cache()
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        assert pairs.count_members_paired(classes, members).first().pairs == want.count() > 5 * classes.count()
+
+
 def test_rules_are_tried_once_for_each_different_text(spark):
     from pairwright.functions.scratch import for_each_different
 
