@@ -396,6 +396,16 @@ def test_pairs_of_classes_are_all_pairs(spark):
         assert pairs.count_members_paired(classes, members).first().pairs == want.count() > 5 * classes.count()
 
 
+def test_remote_pairs_are_dealt_among_tasks(spark):
+    """One file of roles makes all pairs, in more than one task."""
+    rows = [(f"{s}{k}", s, "Org", k, 40.0, -80.0, "US", "city", "remote" if s == "b" and k % 2 else "onsite") for s in "ab" for k in range(60)]
+    df = spark.createDataFrame(rows, "id string, side string, org string, score long, lat double, lon double, country string, precision string, work_model string").coalesce(1)
+    got = pairs.remote_pairs(df)
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == sorted((f"a{i}", f"b{j}") for i in range(60) for j in range(1, 60, 2))
+    assert all(r.id == f"{r.a_id}~{r.b_id}" for r in got.collect())
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_rules_are_tried_once_for_each_different_text(spark):
     from pairwright.functions.scratch import for_each_different
 
