@@ -268,6 +268,27 @@ def test_ultipro_links_and_job_counts(spark):
     assert {(r.source_name, r.kind, r.jobs) for r in payloads.job_counts(landed).collect()} == {("U", "json", 2), ("G", "greenhouse", 1), ("E", "lever", 0)}
 
 
+def test_only_jobs_with_keys_are_shuffled(spark):
+    """Kinds without keys keep all their jobs and need no exchange; the first job of a key counts, in whichever request it came."""
+    lever = '[{"text": "T", "hostedUrl": "https://x/1"}, {"text": "T", "hostedUrl": "https://x/1"}]'
+    jooble = ['{"jobs": [{"title": "A", "link": "https://x/1"}, {"title": "B", "link": "https://x/1"}, {"title": "N"}]}', '{"jobs": [{"title": "C", "link": "https://x/1"}, {"title": "D", "link": "https://x/2"}]}']
+    rows = [("L", "https://l", "lever", 0, True, 200, None, lever), *(("J", "https://j", "jooble", k, True, 200, None, b) for k, b in ((1, jooble[1]), (0, jooble[0])))]
+    landed = spark.createDataFrame(rows, payloads.SCHEMA)
+    found = payloads.to_postings(landed)
+    assert sorted((r.source_name, r.title, r.request_seq, r.posting_ordinal) for r in found.collect()) == [("J", "A", 0, 0), ("J", "D", 1, 1), ("L", "T", 0, 0), ("L", "T", 0, 1)]
+    alone = payloads.to_postings(landed, {"lever": payloads.lever, "rss": payloads.rss})
+    assert alone.count() == 2 and "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("plan", ["feed_queries"])
+def test_pages_are_dealt_among_tasks(spark, plan):
+    """However few bytes the pages are, their bodies are made and taken apart in many tasks."""
+    from pairwright.plans import board_queries, feed_queries
+
+    made = feed_queries.feeds if plan == "feed_queries" else board_queries.landed
+    assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_rules_are_a_parameter(spark):
     from pairwright.operators import rules, score
     from pairwright.plans.other_rules import other_rules
