@@ -280,7 +280,7 @@ def test_only_jobs_with_keys_are_shuffled(spark):
     assert alone.count() == 2 and "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("plan", ["feed_queries"])
+@pytest.mark.parametrize("plan", ["feed_queries", "board_queries"])
 def test_pages_are_dealt_among_tasks(spark, plan):
     """However few bytes the pages are, their bodies are made and taken apart in many tasks."""
     from pairwright.plans import board_queries, feed_queries
