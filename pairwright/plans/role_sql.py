@@ -99,14 +99,14 @@ e2 AS (SELECT *, CASE WHEN NOT board THEN trim(org) WHEN inferred_org <> '' THEN
 employed AS (SELECT * EXCLUDE (board, head, inferred_org), trim(regexp_replace(regexp_replace(regexp_replace({title}, {quoted(T.TITLE_PLACE)}, '', 'g'), '\\s{{2,}}', ' ', 'g'), '[\\s–—-]+$', '')) AS clean_title FROM e2)"""
 
 
-def _roles() -> str:
-    """stated (every posting with its fate) and scored (every role before the merge)."""
+def _roles(text: str = "substr(description, 1, 1500)") -> str:
+    """stated (every posting with its fate) and scored (every role before the merge). text: what scores go by; those who only count roles keep the beginning."""
     posting = "SELECT * EXCLUDE (org, location), CASE WHEN org <> '' THEN org ELSE source_name END AS org, location_text AS location, org AS own_org FROM located"
     owner = "CASE WHEN org <> '' THEN org ELSE 'url:' || url END"
     return f"""{_located()}, seen AS ({posting}), {classified("seen")},
 stated AS (SELECT * EXCLUDE (org), own_org AS org, CASE WHEN NOT is_attending OR specialty IS NULL THEN 'irrelevant' WHEN datediff('day', date_posted::DATE, DATE '{TODAY}') > {R.MAX_AGE_DAYS} THEN 'expired' ELSE 'role' END AS fate FROM classified),
 {_employer("(SELECT * FROM stated WHERE fate = 'role')")},
-placed AS (SELECT employed.* EXCLUDE (title, org, employer, clean_title, setting, description), clean_title AS title, employer AS org, substr(description, 1, 1500) AS description, city, region, country, CASE WHEN "precision" = 'none' AND work_model = 'remote' THEN 'remote' ELSE "precision" END AS prec,
+placed AS (SELECT employed.* EXCLUDE (title, org, employer, clean_title, setting, description), clean_title AS title, employer AS org, {text} AS description, city, region, country, CASE WHEN "precision" = 'none' AND work_model = 'remote' THEN 'remote' ELSE "precision" END AS prec,
   CASE WHEN setting IN ('hospital-employed', 'unknown') AND category IN ('specialty-group', 'teleradiology') THEN 'private' ELSE setting END AS setting FROM employed JOIN geo ON geo.raw = trim(location_text)),
 {scores("placed")}, named AS (SELECT *, {org_key(owner, T.MERGE_ORG_WORDS)} || '::' || {NORM.format("title")} || '::' || {NORM.format("coalesce(city, '')")} AS id FROM scored)"""
 
@@ -126,7 +126,7 @@ def oracles() -> dict[str, str]:
         "employers": f"WITH {POSTINGS_SQL}, {_employer('postings')} SELECT posting_ordinal, employer, clean_title FROM employed",
         "score_reasons": f"""WITH {plain}, y AS (SELECT *, title || ' ' || description AS x FROM scored), z AS (SELECT specialty, 'reason' AS kind, unnest(list_distinct([{', '.join(reasons)}])) AS why FROM y UNION ALL SELECT specialty, 'concern', unnest(list_distinct([{', '.join(concerns)}])) FROM y)
 SELECT specialty, kind, why, count(*) AS n FROM z WHERE why IS NOT NULL GROUP BY ALL""",
-        "merged_roles": f"""WITH {_roles()}, m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {rank} DESC, score DESC, source_ordinal, posting_ordinal) AS nth, count(*) OVER (PARTITION BY id) AS copies FROM named),
+        "merged_roles": f"""WITH {_roles("description")}, m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {rank} DESC, score DESC, source_ordinal, posting_ordinal) AS nth, count(*) OVER (PARTITION BY id) AS copies FROM named),
 o AS (SELECT id, list_sort(list(DISTINCT source_name)) AS sources FROM named GROUP BY id)
 SELECT m.id, title, org, specialty, score, tier, setting, work_model, city, prec AS "precision", copies, source_name, array_to_string(list_filter(sources, lambda s: s <> source_name), '|') AS also_seen_on FROM m JOIN o ON o.id = m.id WHERE nth = 1""",
         "funnel_counts": f"""WITH {_roles()} SELECT (SELECT count(*) FROM stated) AS raw, (SELECT count(*) FROM stated WHERE fate = 'irrelevant') AS irrelevant, (SELECT count(*) FROM stated WHERE fate = 'expired') AS expired,

@@ -439,3 +439,16 @@ def test_rules_are_tried_once_for_each_different_text(spark):
 
     got = for_each_different(df, ["a", "b"], find)
     assert given == [2] and sorted((r.k, r.a, r.ab) for r in got.collect()) == [(k, "x" if k % 3 else None, "xy" if k % 3 else "-y") for k in range(30)]
+
+
+def test_scores_go_by_the_whole_text(spark):
+    """What stands at a long text's end counts, and its length does."""
+    from pairwright.plans.core_queries import oracle_sql
+
+    texts = ["calm " * 400 + "Limb salvage at a Level I trauma center; nationally ranked, solo coverage.", "calm " * 400 + "x" * 74]
+    rows = [(f"Vascular Surgeon {k}", "Acme", f"https://x/{k}", text, "Doha, Qatar", "onsite", "Source", "health-system", 0, k, "role", "a", False, False, False, "private", None) for k, text in enumerate(texts)]
+    names = "title string, org string, url string, description string, location_text string, work_model string, source_name string, category string, source_ordinal int, posting_ordinal long, fate string, specialty string, is_interventional boolean, is_leadership boolean, is_locum boolean, setting string, date_posted date"
+    scored = {r.posting_ordinal: r for r in roles.score_stated(spark.createDataFrame(rows, names), places(spark), F.lit("2001-08-01").cast("date")).collect()}
+    assert [scored[k].description for k in (0, 1)] == texts and {r.subscores.signal for r in scored.values()} == {8}
+    assert {"limb salvage / PAD volume", "Level I trauma centre"} <= set(scored[0].score_reasons) and "solo coverage" in scored[0].concerns
+    assert scored[0].subscores.practice_quality > scored[1].subscores.practice_quality and "1500" not in oracle_sql()["merged_roles"]
