@@ -452,3 +452,17 @@ def test_scores_go_by_the_whole_text(spark):
     assert [scored[k].description for k in (0, 1)] == texts and {r.subscores.signal for r in scored.values()} == {8}
     assert {"limb salvage / PAD volume", "Level I trauma centre"} <= set(scored[0].score_reasons) and "solo coverage" in scored[0].concerns
     assert scored[0].subscores.practice_quality > scored[1].subscores.practice_quality and "1500" not in oracle_sql()["merged_roles"]
+
+
+def test_best_pairs_of_like_roles_come_from_classes(spark, monkeypatch):
+    """Few places and scores: what is paired doesn't grow with the roles at them; ties, common employers and unknown ones."""
+    rng = random.Random(3)
+    rows = [(f"{'ab'[i % 2]}{i}", "ab"[i % 2], rng.choice(["Org 1", "Org 2 Inc", "", None]), rng.choice([40, 41, 90]), *rng.choice([(29.0, 47.0), (29.3, 47.5), (35.0, 47.0)]), rng.choice(["US", "KW"]), rng.choice(["city", "region"]), "onsite") for i in range(1200)]
+    df = spark.createDataFrame(rows, "id string, side string, org string, score long, lat double, lon double, country string, precision string, work_model string")
+    every = pairs.onsite_pairs(df, 60.0).cache()
+    want = sorted(pairs.best_pairs(every, 3).select("a_id", "b_id", "score", "rank").collect())
+    made, found = [], pairs._found
+    monkeypatch.setattr(pairs, "_found", lambda *args, **kwargs: made.append(found(*args, **kwargs)) or made[-1])
+    assert sorted(pairs.best_onsite_pairs(df, 3, 60.0).collect()) == want and len(want) == 1800
+    assert sum(m.count() for m in made) < every.count() / 20
+    every.unpersist()
