@@ -466,3 +466,16 @@ def test_best_pairs_of_like_roles_come_from_classes(spark, monkeypatch):
     assert sorted(pairs.best_onsite_pairs(df, 3, 60.0).collect()) == want and len(want) == 1800
     assert sum(m.count() for m in made) < every.count() / 20
     every.unpersist()
+
+
+def test_roles_go_through_remote_pairs_together(spark, monkeypatch):
+    """Rows of at most TOGETHER roles of one score are paired, not single ones; unknown scores, ids in order within a row."""
+    rows = [(f"{s}{k}", s, "Org", [None, -1, 70][k % 3], 40.0 if k % 10 else None, -80.0, "US", "city", "remote" if s == "b" and k % 2 else "onsite") for s in "ab" for k in range(900)]
+    df = spark.createDataFrame(rows, "id string, side string, org string, score long, lat double, lon double, country string, precision string, work_model string")
+    given, each = [], pairs._each
+    monkeypatch.setattr(pairs, "_each", lambda found, *facts: given.append(found) or each(found, *facts))
+    monkeypatch.setattr(pairs, "TOGETHER", 20)
+    got = sorted((r.id, r.a_id, r.b_id, r.score) for r in pairs.remote_pairs(df).collect())
+    assert got == sorted((f"a{i}~b{j}", f"a{i}", f"b{j}", 74 if i % 3 == j % 3 == 2 else 14) for i in range(900) if i % 10 for j in range(1, 900, 2))
+    met = given[0].collect()
+    assert len(met) < len(got) / 100 and all(len(r[f"{s}_roles"]) <= 20 and [x[f"{s}_id"] for x in r[f"{s}_roles"]] == sorted(x[f"{s}_id"] for x in r[f"{s}_roles"]) for r in met for s in "ab")
