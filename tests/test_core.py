@@ -479,3 +479,18 @@ def test_roles_go_through_remote_pairs_together(spark, monkeypatch):
     assert got == sorted((f"a{i}~b{j}", f"a{i}", f"b{j}", 74 if i % 3 == j % 3 == 2 else 14) for i in range(900) if i % 10 for j in range(1, 900, 2))
     met = given[0].collect()
     assert len(met) < len(got) / 100 and all(len(r[f"{s}_roles"]) <= 20 and [x[f"{s}_id"] for x in r[f"{s}_roles"]] == sorted(x[f"{s}_id"] for x in r[f"{s}_roles"]) for r in met for s in "ab")
+
+
+def test_roles_at_a_place_go_through_onsite_pairs_together(spark, monkeypatch):
+    """Pairs are those that single roles make; places meet once for many of them."""
+    rng = random.Random(8)
+    spots = [(29.0, 47.0), (29.3, 47.5), (31.0, 47.0), (None, 47.0)]
+    rows = [(f"{'ab'[i % 2]}{i}", "ab"[i % 2], rng.choice(["Org 1", "Org 1 Inc", "", None]), rng.choice([None, -1, 40, 90]), *rng.choice(spots), rng.choice(["US", "KW", None]), rng.choice(["city", "region", None]), "onsite") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id string, side string, org string, score long, lat double, lon double, country string, precision string, work_model string")
+    single = lambda radius: pairs._onsite(pairs._found(*pairs._sides(df), radius), F.lit(radius)).select(*pairs._COLUMNS)
+    given, each = [], pairs._each
+    monkeypatch.setattr(pairs, "_each", lambda found, *facts: given.append(found) or each(found, *facts))
+    monkeypatch.setattr(pairs, "TOGETHER", 16)
+    both = pairs.pairs_by_radius(df, [60, 15])
+    assert sorted(map(repr, both.collect())) == sorted(repr(r) for k in (15.0, 60.0) for r in single(k).select(F.lit(k).alias("radius"), "*").collect())
+    assert given[0].count() < both.count() / 10
