@@ -482,7 +482,7 @@ def test_roles_go_through_remote_pairs_together(spark, monkeypatch):
 
 
 def test_roles_at_a_place_go_through_onsite_pairs_together(spark, monkeypatch):
-    """Pairs are those that single roles make; places meet once for many of them."""
+    """Pairs are those that single roles make; places meet once for many of them, and labels are worked out there."""
     rng = random.Random(8)
     spots = [(29.0, 47.0), (29.3, 47.5), (31.0, 47.0), (None, 47.0)]
     rows = [(f"{'ab'[i % 2]}{i}", "ab"[i % 2], rng.choice(["Org 1", "Org 1 Inc", "", None]), rng.choice([None, -1, 40, 90]), *rng.choice(spots), rng.choice(["US", "KW", None]), rng.choice(["city", "region", None]), "onsite") for i in range(1000)]
@@ -491,6 +491,10 @@ def test_roles_at_a_place_go_through_onsite_pairs_together(spark, monkeypatch):
     given, each = [], pairs._each
     monkeypatch.setattr(pairs, "_each", lambda found, *facts: given.append(found) or each(found, *facts))
     monkeypatch.setattr(pairs, "TOGETHER", 16)
+    want = single(45.0).withColumn("apart", board.separation_label(F.col("miles"), F.col("drive_minutes")))
+    got = pairs.onsite_pairs(df, 45.0, apart=board.separation_label(F.col("miles"), F.col("drive_minutes")))
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == (wanted := sorted(map(repr, want.collect())))
+    assert given[0].count() < len(wanted) / 20 and given[0].agg(F.max(F.size("a_roles")), F.max(F.size("b_roles"))).first() == (16, 16)
     both = pairs.pairs_by_radius(df, [60, 15])
     assert sorted(map(repr, both.collect())) == sorted(repr(r) for k in (15.0, 60.0) for r in single(k).select(F.lit(k).alias("radius"), "*").collect())
-    assert given[0].count() < both.count() / 10
+    assert given[1].count() < len(wanted) / 10
